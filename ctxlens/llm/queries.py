@@ -22,6 +22,12 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, write_records(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0))
 
 
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_search import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -40,6 +46,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    written = write_archives(table(spark, sf_dir, "pages"), segment_bytes=4096)
+    return read_archives(spark, [path for path, _ in written]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -56,7 +69,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_records, op3_token_counts, op4_source_mix, op5_secret_scan, op9_quality, op10_bpe_codec)
+    for f in (op1_token_records, op2_vector_search, op3_token_counts, op4_source_mix, op5_secret_scan, op7_warc, op9_quality, op10_bpe_codec)
 }
 
 _CUTS = ", ".join(
@@ -65,6 +78,13 @@ _CUTS = ", ".join(
 )
 
 ORACLE = {
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT h, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN first > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first > page_id THEN first END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h""",
     "op9_quality": rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
