@@ -46,6 +46,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op6_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .span_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), output="digest")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
@@ -69,7 +75,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_records, op2_vector_search, op3_token_counts, op4_source_mix, op5_secret_scan, op7_warc, op9_quality, op10_bpe_codec)
+    for f in (op1_token_records, op2_vector_search, op3_token_counts, op4_source_mix, op5_secret_scan, op6_span_dedup, op7_warc, op9_quality, op10_bpe_codec)
 }
 
 _CUTS = ", ".join(
@@ -78,6 +84,15 @@ _CUTS = ", ".join(
 )
 
 ORACLE = {
+    "op6_span_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i+34], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS c FROM win) WHERE c >= 2),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM dup, (SELECT unnest(range(35)) AS k)),
+w AS (SELECT doc_id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM d),
+kept AS (SELECT w.doc_id, string_agg(w, ' ' ORDER BY w.i) AS s, count(*) AS n FROM w ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
 g AS (SELECT h, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY h)
