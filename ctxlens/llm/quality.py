@@ -14,16 +14,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD, broadcast_if_small, cut
+from .common import WORD, broadcast_if_small, cut
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: Metrics with adaptive cutoffs, and the floor of each cutoff (fixed values).
 #: symbol_rate and upper_rate: symbols and ASCII capitals in 1000 characters of words;
 #: word_len: mean word length in hundredths of a character; dup_line_rate: in 1000 lines.
 FLOORS = {"symbol_rate": 100, "upper_rate": 400, "word_len": 1500, "dup_line_rate": 300}
 #: With fewer lines than this, one repeated line is no sign of anything.
 FEW_LINES = 5
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CAPITALS = "[A-Z]"
 
 
 @dataclass(frozen=True)
@@ -49,30 +49,30 @@ def _barrier(df: DataFrame, **cols: Column) -> DataFrame:
 
 
 def light_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_upper, n_lines (with a word), n_dup_lines; null text: none."""
+    """Adds __words, n_words, word_chars, n_symbols, n_upper, n_lines (with a word), n_dup_lines; null text: none."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = _barrier(docs, __lines=F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0))
-    return df.select(
-        "*",
-        F.regexp_count(t, F.lit(WORD)).cast("long").alias("n_words"),
-        F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.length(t) - F.length(F.translate(t, CAPITALS, ""))).cast("long").alias("n_upper"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-    ).drop("__lines")
-
-
-def repeat_words(docs: DataFrame, text: str = "text", width: int = 5) -> DataFrame:
-    """Adds n_repeat_words: words in ``width``-word windows found twice or more in the text.
+    df = _barrier(docs, __words=F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), __lines=F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)))
+    df = _barrier(
+        df,
+        n_words=F.size("__words").cast("long"),
+        word_chars=F.length(F.array_join("__words", "")).cast("long"),
+        n_symbols=F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
+        n_upper=F.regexp_count(t, F.lit(CAPITALS)).cast("long"),
+        n_lines=F.size("__lines").cast("long"),
+        n_dup_lines=(F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+    )
+    return df.drop("__lines")
+
+
+def repeat_words(df: DataFrame, width: int = 5) -> DataFrame:
+    """Replaces __words by n_repeat_words: words in ``width``-word windows found twice or more in the text.
 
     Window starts are sorted by (hash of the window, start); equal neighbours are repeats; the union
     of the flagged windows is the sum of their steps. Texts whose windows all differ stop early.
     """
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = _barrier(docs, __words=F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
-    n = F.size("__words") - (width - 1)
-    at = lambda i, k: F.get(F.col("__words"), i + k)
+    df = _barrier(df, __word=F.transform("__words", lambda x: F.xxhash64(x)))
+    n = F.size("__word") - (width - 1)
+    at = lambda i, k: F.get(F.col("__word"), i + k)
     starts = F.when(n > 1, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     df = _barrier(df, __hash=F.transform(starts, lambda i: F.xxhash64(*[at(i, k) for k in range(width)])))
     repeats = F.size("__hash") > F.size(F.array_distinct("__hash"))
@@ -82,7 +82,7 @@ def repeat_words(docs: DataFrame, text: str = "text", width: int = 5) -> DataFra
     df = _barrier(df, __starts=F.when(F.col("__pairs").isNotNull(), F.array_sort(F.array_distinct(F.flatten(F.filter(near, lambda x: x.isNotNull()))))))
     steps = F.zip_with("__starts", F.slice("__starts", F.lit(2), F.greatest(F.size("__starts") - 1, F.lit(0))), lambda a, b: F.least(F.lit(width), F.coalesce(b - a, F.lit(width))))
     total = F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
-    return df.withColumn("n_repeat_words", F.coalesce(F.when(F.col("__starts").isNotNull(), total), F.lit(0)).cast("long")).drop("__words", "__hash", "__pairs", "__starts")
+    return df.withColumn("n_repeat_words", F.coalesce(F.when(F.col("__starts").isNotNull(), total), F.lit(0)).cast("long")).drop("__words", "__word", "__hash", "__pairs", "__starts")
 
 
 def _rates() -> dict[str, Column]:
@@ -134,21 +134,43 @@ def thresholds(metrics: DataFrame, rules: Rules, keys: tuple[str, str] = ("lang"
     return both.groupBy(lang, source).agg(*[F.max(F.when(F.col("metric") == m, F.greatest(F.lit(floor).cast("long"), fence))).alias(f"cut_{m}") for m, floor in FLOORS.items()])
 
 
-def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
-    """All columns of ``docs`` with the metrics, base_failed and kept.
+def measure(docs: DataFrame, text: str = "text", repeats: bool = True) -> DataFrame:
+    """``docs`` with all metrics and rates; columns of ``docs`` that have a computed name are replaced."""
+    docs = docs.drop(*[c for c in MADE if c in docs.columns])
+    df = light_metrics(docs, text)
+    df = repeat_words(df) if repeats else df.drop("__words")
+    return df.select("*", *[c.alias(n) for n, c in _rates().items()])
 
-    Nulls: a null text has no words (base_failed); null language or source is a group of its own.
-    Columns of ``docs`` that have a computed name are replaced. Ties and repeated rows are judged alike.
-    """
-    made = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *FLOORS]
-    docs = docs.drop(*[c for c in made if c in docs.columns])
-    rates = lambda df: df.select("*", *[c.alias(n) for n, c in _rates().items()])
-    cuts = cut(thresholds(rates(light_metrics(docs.select(*keys, text), text)), rules, keys))
+
+MADE = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *FLOORS]
+
+
+def verdicts(measured: DataFrame, cuts: DataFrame, rules: Rules = Rules(), keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """``measured`` with base_failed and kept, joined to the cutoffs of its (language, source)."""
     cuts = cuts.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], *[f"cut_{m}" for m in FLOORS])
-    full = rates(repeat_words(light_metrics(docs, text), text))
-    joined = full.join(broadcast_if_small(cuts), F.col(keys[0]).eqNullSafe(F.col("__0")) & F.col(keys[1]).eqNullSafe(F.col("__1")), "left")
+    joined = measured.join(broadcast_if_small(cuts), F.col(keys[0]).eqNullSafe(F.col("__0")) & F.col(keys[1]).eqNullSafe(F.col("__1")), "left")
     base = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     fine = F.lit(True)
     for m in FLOORS:
         fine = fine & (F.col(m) <= F.col(f"cut_{m}"))
     return joined.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & fine).drop("__0", "__1")
+
+
+def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", keys: tuple[str, str] = ("lang", "source"), columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (or only ``columns`` of it) with the metrics, cutoffs, base_failed and kept.
+
+    Without the text among ``columns`` every text is measured once and the metrics are kept in the shared
+    folder; with it, a first pass takes the light metrics for the sketches and a second one measures
+    and filters, so that texts are neither shuffled nor written.
+
+    Nulls: a null text has no words (base_failed); null language or source is a group of its own.
+    Columns of ``docs`` that have a computed name are replaced. Ties and repeated rows are judged alike.
+    """
+    columns = [c for c in (columns or docs.columns) if c not in MADE]
+    if text in columns:
+        light = measure(docs.select(*keys, text), text, repeats=False)
+        measured = measure(docs.select(*columns), text)
+    else:
+        own = list(dict.fromkeys([*columns, *keys, text]))
+        light = measured = cut(measure(docs.select(*own), text).drop(text))
+    return verdicts(measured, cut(thresholds(light, rules, keys)), rules, keys)
