@@ -43,9 +43,9 @@ def _rows(bucket: np.ndarray, group: int, columns: list[np.ndarray], place: np.n
     order = np.argsort(bucket, kind="stable")
     bucket, place, columns = bucket[order], place[order], [c[order] for c in columns]
     ids, at = np.unique(bucket, return_index=True)
-    ends = [*at[1:].tolist(), len(bucket)]
+    ends = np.append(at[1:], len(bucket)).tolist()[: len(at)]
     packed = [b"".join([c[a:z].tobytes() for c in columns]) + np.diff(place[a:z], prepend=0).astype("<i8").astype("<u4").tobytes() for a, z in zip(at.tolist(), ends, strict=True)]
-    return pa.table({"bucket": pa.array(ids, pa.int32()), "grp": pa.array(np.full(len(ids), group), pa.int32()), "n": pa.array(np.diff(np.append(at, len(bucket))), pa.int32()), "data": pa.array(packed, pa.binary())})
+    return pa.table({"bucket": pa.array(ids, pa.int32()), "grp": pa.array(np.full(len(ids), group), pa.int32()), "n": pa.array(np.array(ends, "i8") - at, pa.int32()), "data": pa.array(packed, pa.binary())})
 
 
 _PACKED = "bucket int, grp int, n int, data binary"
