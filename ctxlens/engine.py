@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions.text import note_key
 from .operators import changes, facts, identity, retrieval, views
 from .sources import sinks
 
@@ -73,6 +74,31 @@ class Memory:
         new = fresh.withColumns({"superseded_by": F.lit(None).cast(self.facts.schema["superseded_by"].dataType), "superseded_at": F.lit(None).cast(self.facts.schema["superseded_at"].dataType)})
         return replace(self, facts=old.unionByName(new.select(*self.facts.columns)))
 
+    def set_fact(self, person, attribute: str, claim: str, fact_id, at) -> Memory:
+        """A value said out loud: no new fact if it is current; else the current fact of the slot is closed. fact_id and at are the caller's."""
+        now = facts.resolve(self.facts, person, attribute).first()  # one row
+        if now is not None and now["claim"] == claim:
+            return self
+        kinds = self.facts.schema
+        value = {
+            "fact_id": F.lit(fact_id), "person_id": F.lit(person), "attribute": F.lit(attribute), "claim": F.lit(claim), "valid_from": F.lit(at),
+            "source_utterance_id": F.lit(None) if kinds["source_utterance_id"].dataType.simpleString() != "string" else F.lit(f"spoken-{attribute}-{now['fact_id'] if now else 'initial'}"),
+        }
+        row = self.facts.sparkSession.range(1).select(*[value.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds], F.lit(now["fact_id"] if now else None).cast(kinds["fact_id"].dataType).alias("supersedes"))
+        return self.record_facts(row)
+
+    def set_birthday(self, person, birthday: str, fact_id, at) -> Memory:
+        return self.set_fact(person, "birthday", birthday, fact_id, at)
+
+    def add_note(self, person, text: str, fact_id, at) -> Memory:
+        """Appends a note; the same text twice (under text source keys) is one note."""
+        kinds = self.facts.schema
+        note = {"fact_id": F.lit(fact_id), "person_id": F.lit(person), "attribute": F.lit("note"), "claim": F.lit(text), "valid_from": F.lit(at)}
+        if kinds["source_utterance_id"].dataType.simpleString() == "string":
+            note["source_utterance_id"] = note_key(F.lit(text))
+        row = self.facts.sparkSession.range(1).select(*[note.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds], F.lit(None).cast(kinds["fact_id"].dataType).alias("supersedes"))
+        return self.record_facts(row)
+
     def set_name(self, person, name: str) -> tuple[Memory, DataFrame]:
         """The new snapshot and one relabel event per conversation of the person."""
         people = self.people.withColumn("name", F.when(F.col("person_id") == person, F.lit(name)).otherwise(F.col("name")))

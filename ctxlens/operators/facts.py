@@ -126,3 +126,20 @@ def guard(candidates: DataFrame, window: DataFrame, final_turn: DataFrame) -> Da
     """Model output that may be used: its source is the final turn, and its person is in the window."""
     a = candidates.join(final_turn.select("source_utterance_id"), "source_utterance_id", "left_semi")
     return a.join(window.select("person_id").distinct(), "person_id", "left_semi")
+
+
+def predates(candidates: DataFrame, currents: DataFrame, utterances: DataFrame) -> DataFrame:
+    """candidate_id, stale: whether a candidate's source is not later than that of the fact it would replace.
+
+    The same source is stale; within a conversation the starts decide, across conversations the creation times; a
+    source that is missing on either side can't make a candidate stale. ``candidates`` (candidate_id, source_utterance_id,
+    current_id), ``currents`` (fact_id, source_utterance_id).
+    """
+    u = utterances.select(F.col("utterance_id"), "conversation_id", "start_ms", "created_at")
+    new = u.select(F.col("utterance_id").alias("source_utterance_id"), F.col("conversation_id").alias("nc"), F.col("start_ms").alias("ns"), F.col("created_at").alias("na"))
+    old = u.select(F.col("utterance_id").alias("old_source"), F.col("conversation_id").alias("oc"), F.col("start_ms").alias("os"), F.col("created_at").alias("oa"))
+    pairs = candidates.join(currents.select(F.col("fact_id").alias("current_id"), F.col("source_utterance_id").alias("old_source")), "current_id")
+    df = pairs.join(new, "source_utterance_id", "left").join(old, "old_source", "left")
+    known = F.when(F.col("nc") == F.col("oc"), F.col("ns") <= F.col("os")).otherwise(F.col("na") <= F.col("oa"))
+    stale = F.when(F.col("source_utterance_id") == F.col("old_source"), True).when(F.col("nc").isNull() | F.col("oc").isNull(), False).otherwise(known)
+    return df.select("candidate_id", stale.alias("stale"))

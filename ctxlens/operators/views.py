@@ -99,3 +99,14 @@ def due_notifications(promises: DataFrame, now: Column, already: DataFrame | Non
     """Open promises due more than a second from now that have no notification yet."""
     due = promises.where((F.col("status") == "open") & (F.col("due_at") > now + F.expr("INTERVAL 1 SECOND")))
     return due if already is None else due.join(already.select("promise_id"), "promise_id", "left_anti")
+
+
+def public_row(table: DataFrame) -> DataFrame:
+    """Without vectors."""
+    return table.drop("embedding")
+
+
+def keyed(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """One map from id to row for each group, of a bounded set of rows per group; the last id in a tie wins nothing, ids being unique."""
+    others = [c for c in rows.columns if c != group]
+    return rows.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.struct(*others))))).alias("by_id"))

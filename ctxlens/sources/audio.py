@@ -79,10 +79,25 @@ def pcm_frames(messages: DataFrame) -> DataFrame:
 
 
 def uplink_report(messages: DataFrame) -> DataFrame:
-    """Per conversation: frames, wrong sizes and a verdict."""
-    bad = F.count_if(F.octet_length("raw") != FRAME_SAMPLES * 4)
-    report = messages.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("frames"), bad.alias("bad_sizes"))
-    return report.withColumn("verdict", F.when(F.col("frames") == 0, "no audio").when(F.col("bad_sizes") > 0, "bad frame sizes").otherwise("ok"))
+    """Per conversation: frames, bad_sizes, audio_seconds, peak, rms and a verdict.
+
+    Peak and energy are taken per Arrow batch and then summed, so frames are read once where they lie.
+    """
+
+    def measure(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            ids, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
+            frames = [np.frombuffer(r[: len(r) // 4 * 4], "<f4").astype("f8") for r in raws]
+            cols = [len(r) != FRAME_SAMPLES * 4 for r in raws], [float(np.abs(x).max(initial=0)) for x in frames], [float(x @ x) for x in frames], [len(x) for x in frames]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(cols[0], pa.bool_()), *[pa.array(c, t) for c, t in zip(cols[1:], (pa.float64(), pa.float64(), pa.int64()), strict=True)]], ["conversation_id", "bad", "peak", "energy", "n"])
+
+    kind = messages.schema["conversation_id"].dataType.simpleString()
+    m = messages.select("conversation_id", F.coalesce("raw", F.lit(b"")).alias("raw")).mapInArrow(measure, f"conversation_id {kind}, bad boolean, peak double, energy double, n long")
+    r = m.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("frames"), F.count_if("bad").alias("bad_sizes"), F.max("peak").alias("peak"), F.sqrt(F.try_divide(F.sum("energy"), F.sum("n"))).alias("rms"))
+    verdict = F.when(F.col("bad_sizes") > 0, "bad frame sizes").when(F.col("peak") > 0.0005, "ok").otherwise("silent")
+    return r.withColumn("audio_seconds", F.col("frames") * FRAME_SAMPLES / SAMPLE_RATE).withColumn("verdict", verdict)
 
 
 def packetize(chunks: DataFrame, key: str = "conversation_id", seq: str = "seq", samples: str = "samples", size: int = FRAME_SAMPLES) -> DataFrame:

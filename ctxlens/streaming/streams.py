@@ -59,6 +59,21 @@ def changed_only(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.select(key, "seq", value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seq long, {value} string", f"{value} string", "append", GroupStateTimeout.NoTimeout)
 
 
+def pcm_clock(messages: DataFrame, frame_bytes: int = 6400, frame_ms: int = 100) -> DataFrame:
+    """conversation_id, seq, position_ms of the frames of a stream (conversation_id, seq, raw): only whole frames move the clock."""
+
+    def step(k, batches: Iterator[pd.DataFrame], state: GroupState):
+        n = state.get[0] if state.exists else 0
+        ok = pd.concat(batches).sort_values("seq")
+        ok = ok[ok["size"] == frame_bytes]
+        state.update((n + len(ok),))
+        yield pd.DataFrame({"conversation_id": k[0], "seq": ok["seq"], "position_ms": [(n + i) * frame_ms for i in range(len(ok))]}).astype({"position_ms": "int64"})
+
+    kind = messages.schema["conversation_id"].dataType.simpleString()
+    sized = messages.select("conversation_id", "seq", F.octet_length("raw").alias("size"))
+    return sized.groupBy("conversation_id").applyInPandasWithState(step, f"conversation_id {kind}, seq long, position_ms long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def announce_once(pending: DataFrame) -> DataFrame:
     """One announcement per cluster."""
     return pending.dropDuplicates(["conversation_id", "cluster_id"])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxlens.engine import Memory
-from ctxlens.operators import changes, cluster, facts, identity, retrieval, scoring, segments, views, voice_activity
+from ctxlens.operators import changes, cluster, facts, identity, retrieval, scoring, segments, session, views, voice_activity
 from ctxlens.sources import audio, sinks
 from ctxlens.sources.tables import event_script, provider, read_transcript, released
 
@@ -211,6 +211,8 @@ def test_audio(spark, tmp_path):
     assert sorted(frames) == [0, 1, 2] and frames[0] == [1.0] * 30 + [2.0] * 20 and frames[1] == [2.0] * 5 + [3.0] * 45
     m = spark.createDataFrame([(1, 0, bytes(6400)), (1, 1, bytes(5)), (1, 2, bytes(6400))], "conversation_id long, seq long, raw binary")
     assert rows(audio.pcm_frames(m), "seq", "position_ms") == [(0, 0), (2, 100)] and audio.uplink_report(m).first().verdict == "bad frame sizes"
+    r = audio.uplink_report(spark.createDataFrame([(1, np.full(1600, 0.5, "<f4").tobytes())], "conversation_id long, raw binary")).first()
+    assert (r.verdict, r.peak, r.rms, r.audio_seconds) == ("ok", 0.5, 0.5, 0.1)
 
 
 def test_sources(spark, tmp_path):
@@ -220,3 +222,40 @@ def test_sources(spark, tmp_path):
     e = event_script(spark, [{"type": "fact", "at_ms": 100}, {"type": "utterance", "at_ms": 0}], speed=2.0, loops=2)
     assert [(r.type, r.at_ms) for r in e.orderBy("seq").collect()] == [("utterance", 0), ("fact", 50), ("utterance", 50), ("fact", 100)]
     assert provider("X", fixture=1, x=2) == 2 and provider(None, fixture=1) == 1
+
+
+def test_session(spark):
+    rng = np.random.default_rng(2)
+    voice = np.eye(16)[:2]
+    turns = spark.createDataFrame([(1, f"turn-{i}", 2000 * i, 2000 * i + 2000, (voice[i % 2] + 0.02 * rng.standard_normal(16)).tolist()) for i in range(4)], "conversation_id long, label string, start_ms long, end_ms long, embedding array<double>")
+    spans = turns.select("conversation_id", F.col("label").alias("speaker"), "start_ms", "end_ms")
+    words = spark.createDataFrame([(1, i, 0, f"w{i}", 2000 * i + 100, 2000 * i + 300) for i in range(5)], "conversation_id long, utterance_id long, position int, text string, start_ms long, end_ms long")
+    got = session.session_utterances(words, spans, turns, clock_ms=4500)
+    assert rows(got, "run", "speaker", "text", "is_final") == [(1, "cluster-0", "w0", True), (2, "cluster-1", "w1", True), (3, "cluster-0", "w2", False), (4, "cluster-1", "w3", False)]
+    prints = spark.createDataFrame([(1, 7, voice[0].tolist())], "voiceprint_id long, person_id long, embedding array<double>")
+    people = spark.createDataFrame([(7, "Ann")], "person_id long, name string")
+    d = session.session_decisions(spans, turns, prints, people)
+    assert rows(d, "query_id", "kind", "person_id") == [("1:cluster-0", "match", 7), ("1:cluster-1", "new", None)]
+
+
+def test_partial_turns(spark):
+    e = [(1, "started", "a", 900, None), (2, "delta", "a", 1000, "hel"), (3, "delta", "a", 1100, "lo"), (4, "stopped", "a", 1500, None), (5, "started", "b", 1400, None), (6, "delta", "b", 1600, "yes"), (7, "completed", "a", 1700, "Hello."), (8, "completed", "b", 1800, "Yes."), (9, "delta", "c", 1900, "x")]
+    got = session.partial_turns(spark.createDataFrame([(1, *x) for x in e], "conversation_id long, seq long, type string, item_id string, at_ms long, text string"))
+    assert rows(got, "seq", "label", "text", "start_ms", "end_ms") == [(2, "turn-0", "hel", 900, 1000), (3, "turn-0", "hello", 900, 1100), (6, "turn-1", "yes", 1500, 1600), (7, "turn-0", "Hello.", 900, 1500), (8, "turn-1", "Yes.", 1500, 1800), (9, "turn-2", "x", 1500, 1900)]
+
+
+def test_predates(spark):
+    u = spark.createDataFrame([(1, 1, 0, DAY(2)), (2, 1, 50, DAY(1)), (3, 2, 0, DAY(3))], "utterance_id long, conversation_id long, start_ms long, created_at timestamp")
+    now = spark.createDataFrame([(10, 1), (11, 99)], "fact_id long, source_utterance_id long")
+    c = spark.createDataFrame([(1, 1, 10), (2, 2, 10), (3, 3, 10), (4, 3, 11), (5, 1, 11)], "candidate_id long, source_utterance_id long, current_id long")
+    assert rows(facts.predates(c, now, u), "candidate_id", "stale") == [(1, True), (2, False), (3, False), (4, False), (5, False)]
+
+
+def test_spoken_facts(spark):
+    empty = spark.createDataFrame([], "fact_id string, person_id string, attribute string, claim string, source_utterance_id string, valid_from timestamp, superseded_by string, superseded_at timestamp")
+    m = Memory(None, empty, None, None)
+    for i, value in enumerate(["July 14", "July 15", "July 15", "July 14"]):
+        m = m.set_birthday("p", value, f"f{i}", DAY(i + 1))
+    assert rows(m.facts, "fact_id", "superseded_by", "source_utterance_id") == [("f0", "f1", "spoken-birthday-initial"), ("f1", "f3", "spoken-birthday-f0"), ("f3", None, "spoken-birthday-f1")]
+    m = m.add_note("p", "Likes tea", "n1", DAY(9)).add_note("p", "Likes tea", "n2", DAY(10))
+    assert m.facts.where("attribute = 'note'").count() == 1
