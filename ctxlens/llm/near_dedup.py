@@ -5,7 +5,7 @@
 2. Each class has MinHash samples; bands of them give buckets, and all samples are folded into an odd sketch,
    a bitmap of parities. The population count of the XOR of two sketches estimates how many
    samples differ, precisely where similarity is high.
-3. Members of a bucket, with their sets, are packed into blocks. A task takes a block: pairs that its own links
+3. Buckets of the same members count once. Members of a bucket, with their sets, are packed into blocks. A task takes a block: pairs that its own links
    don't connect yet, that meet in no earlier band, and whose sketches are close enough are confirmed on the
    full sets. It returns a spanning forest of its links, never all pairs.
 4. Buckets of more than one block: after connecting what is known, blocks hold members of one component where
@@ -291,7 +291,10 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     nodes = some.groupBy("node").agg(F.min(F.struct(F.coalesce("__doc", F.lit(-1)).alias("d"), "bands", "sketch")).alias("r"))
     nodes = nodes.select("node", F.col("r.d").alias("__first"), F.col("r.bands").alias("bands"), F.col("r.sketch").alias("sketch"))
     keyed = _key_bands(nodes, p)
-    crowds = cut(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # buckets with the same members (by a 128-bit digest of the set) hold the same pairs: the first band's stands for all
+    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"s{i}") for i in (0, 1)]
+    crowds = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *same).where("n > 1")
+    crowds = cut(crowds.groupBy("n", "s0", "s1").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n"))
     places = cut(keyed.join(crowds, ["band", "key"]).select("band", "key", "n", "node"))
     wanted = cut(nodes.join(places.select("node").distinct(), "node"))
     sets = _sets_of(docs, wanted, p, doc_id, text).groupBy("node").agg(F.first("shingles").alias("shingles"))
