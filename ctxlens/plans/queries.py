@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates, numeric, text
-from ..operators import changes, cluster, facts, identity, retrieval, scoring, segments, views, voice_activity
+from ..operators import changes, cluster, facts, identity, retrieval, scoring, segments, session as sessions, views, voice_activity
 from ..sources import audio, sinks
 from ..sources.tables import Bench, lookup, released
 from ..streaming import reducer, streams
@@ -147,6 +147,16 @@ def model_output_guard(b):
     return facts.guard(b.candidates(), u, u.where("turn = 2").select(F.col("utterance_id").alias("source_utterance_id"))).select("fact_id", "person_id")
 
 
+@query("""SELECT c.fact_id AS candidate_id, CASE WHEN c.source_utterance_id = f.source_utterance_id THEN true WHEN a.utterance_id IS NULL OR b.utterance_id IS NULL THEN false
+    WHEN a.conversation_id = b.conversation_id THEN a.start_ms <= b.start_ms ELSE a.conversation_id <= b.conversation_id END AS stale FROM candidates c JOIN facts f ON f.fact_id = c.fact_id % 5000 AND f.fact_id <> c.fact_id
+    LEFT JOIN utterances a ON a.utterance_id = c.source_utterance_id LEFT JOIN utterances b ON b.utterance_id = f.source_utterance_id""", "candidates", "facts", "utterances")
+def ordering_guard(b):
+    """Candidates against an earlier fact; conversations stand in the order of their ids."""
+    u = b.utterances().withColumn("created_at", F.col("conversation_id"))
+    c = b.candidates().select(F.col("fact_id").alias("candidate_id"), "source_utterance_id", (F.col("fact_id") % 5000).alias("current_id")).where("candidate_id != current_id")
+    return facts.predates(c, b.facts(), u)
+
+
 # changes
 
 
@@ -606,6 +616,29 @@ def nearest_in_time(b):
     return cluster.nearest_in_time(u.where("turn % 2 = 0").select("conversation_id", F.col("utterance_id").alias("label"), "start_ms", "end_ms"), placed)
 
 
+@query()
+def session_utterances(b):
+    """Words, spans and embeddings of ten conversations through the whole session plan."""
+    t = _turns(b)
+    spans = t.select("conversation_id", F.col("label").alias("speaker"), "start_ms", "end_ms")
+    words = t.select("conversation_id", F.regexp_extract("label", "[0-9]+", 0).cast("long").alias("utterance_id"), F.lit(0).alias("position"), F.col("label").alias("text"), (F.col("start_ms") + 10).alias("start_ms"), (F.col("start_ms") + 90).alias("end_ms"))
+    return sessions.session_utterances(words, spans, t, clock_ms=400_000)
+
+
+@query()
+def session_decisions(b):
+    t = _turns(b)
+    return sessions.session_decisions(t.select("conversation_id", F.col("label").alias("speaker"), "start_ms", "end_ms"), t, b.voiceprints(), b.people(), threshold=0.5, margin=0.01)
+
+
+@query()
+def partial_turns(b):
+    """Deltas of a streaming transcriber, four events per item."""
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("started", "delta", "stopped", "completed"))), (i % 4 + 1).cast("int"))
+    return sessions.partial_turns(b.raw("events").select((F.floor(i / 400)).alias("conversation_id"), i.alias("seq"), kind.alias("type"), F.floor(i / 4).cast("string").alias("item_id"), (i * 250).alias("at_ms"), F.col("event_type").alias("text")))
+
+
 @query()
 def energy_vad(b):
     i = F.col("event_id")
