@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,63 +10,69 @@ from pyspark.sql import functions as F
 LINK, NEW_MS, EMBED_MS, NEAR_MS = 0.5, 1500, 250, 1200
 
 
-@dataclass
-class Voice:
-    """One cluster: its centroid moves by the share of new speech in all its speech."""
-
-    number: int
-    centroid: np.ndarray
-    speech: int
-    turns: list[tuple[int, int]] = field(default_factory=list)
-
-    def near(self, v: np.ndarray) -> float:
-        mag = np.linalg.norm(v) * np.linalg.norm(self.centroid)
-        return float(v @ self.centroid / mag) if mag else 0.0
-
-    def gap(self, a: int, b: int) -> int:
-        return min(max(0, a - y, x - b) for x, y in self.turns)
-
-    def take(self, a: int, b: int, v: np.ndarray | None = None) -> None:
-        """Adds a turn; without a vector (placed by adjacency or as a last resort) the centroid stays."""
-        if v is not None:
-            share = (b - a) / (self.speech + b - a)
-            self.centroid = self.centroid * (1 - share) + v * share
-        self.turns.append((a, b))
-        self.speech += b - a
-
-
 class Clusterer:
-    """Places turns; those that can't be placed yet are retried, the last first, after each placed one."""
+    """Places turns; those that can't be placed yet are retried, the last first, after each placed one.
+
+    A cluster's centroid moves by the share of new speech in all its speech. Centroids are one matrix, and the spans of all placed
+    turns two columns, so a turn is held against all clusters at once.
+    """
 
     def __init__(self):
-        self.voices: list[Voice] = []
+        self.centroids = np.zeros((0, 0))
+        self.speech: list[int] = []
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.owners: list[int] = []
         self.waiting: list[tuple[str, int, int, np.ndarray | None]] = []
 
-    def _best(self, v: np.ndarray) -> tuple[Voice | None, float]:
-        scored = [(c, c.near(v)) for c in self.voices]
-        return max(scored, key=lambda s: s[1], default=(None, -2.0))
-
-    def _closest(self, a: int, b: int, reach: float) -> Voice | None:
-        gaps = [(c.gap(a, b), c) for c in self.voices]
-        gap, voice = min(gaps, key=lambda g: g[0], default=(np.inf, None))
-        return voice if gap <= reach else None
+    def _take(self, c: int, a: int, b: int, v: np.ndarray | None = None) -> None:
+        """Adds a turn; without a vector (placed by adjacency or as a last resort) the centroid stays."""
+        if v is not None:
+            share = (b - a) / (self.speech[c] + b - a)
+            self.centroids[c] = self.centroids[c] * (1 - share) + v * share
+        self.speech[c] += b - a
+        self._span(c, a, b)
+
+    def _span(self, c: int, a: int, b: int) -> None:
+        self.starts.append(a)
+        self.ends.append(b)
+        self.owners.append(c)
+
+    def _open(self, a: int, b: int, v: np.ndarray) -> int:
+        c = len(self.speech)
+        self.centroids = np.vstack((self.centroids, v)) if c else v[None].astype("f8")
+        self.speech.append(b - a)
+        self._span(c, a, b)
+        return c
+
+    def _best(self, v: np.ndarray) -> tuple[int, float]:
+        """The cluster of the largest cosine, the first on a tie; a zero vector is at 0 from all."""
+        mag = np.sqrt((self.centroids**2).sum(1)) * np.sqrt(v @ v)
+        cos = np.divide(self.centroids @ v, mag, out=np.zeros(len(mag)), where=mag > 0)
+        c = int(np.argmax(cos))
+        return c, float(cos[c])
+
+    def _closest(self, a: int, b: int, reach: float) -> int | None:
+        gap = np.maximum(0, np.maximum(a - np.array(self.ends), np.array(self.starts) - b))
+        near = gap.min()
+        return min(o for o, g in zip(self.owners, gap.tolist(), strict=True) if g == near) if near <= reach else None
 
     def _retry(self, last: bool = False) -> list[tuple]:
         out = []
-        for i in range(len(self.waiting) - 1, -1, -1) if self.voices else ():
+        for i in range(len(self.waiting) - 1, -1, -1) if self.speech else ():
             label, a, b, v = self.waiting[i]
-            voice, score = self._best(v) if v is not None else (None, None)
+            c, score = self._best(v) if v is not None else (None, None)
             how = "matched"
             if v is not None and score < LINK:
                 how = "nearest"
                 if not last:
                     continue
             if v is None:
-                voice, how = self._closest(a, b, np.inf if last else NEAR_MS), "adjacent"
-                if voice is None:
+                c, how = self._closest(a, b, np.inf if last else NEAR_MS), "adjacent"
+                if c is None:
                     continue
-            voice.take(a, b, v if how == "matched" else None)
-            out.append((label, voice.number, score, how))
+            self._take(c, a, b, v if how == "matched" else None)
+            out.append((label, c, score, how))
             del self.waiting[i]
         return out
 
@@ -77,13 +81,12 @@ class Clusterer:
         if v is None or b - a < EMBED_MS:
             self.waiting.append((label, a, b, None))
             return self._retry()
-        voice, score = self._best(v)
-        if voice is not None and score >= LINK:
-            voice.take(a, b, v)
-            return [(label, voice.number, score, "matched"), *self._retry()]
-        if b - a >= NEW_MS or not self.voices:
-            self.voices.append(Voice(len(self.voices), v, b - a, [(a, b)]))
-            return [(label, len(self.voices) - 1, score if voice is not None else None, "created"), *self._retry()]
+        c, score = self._best(v) if self.speech else (None, None)
+        if c is not None and score >= LINK:
+            self._take(c, a, b, v)
+            return [(label, c, score, "matched"), *self._retry()]
+        if b - a >= NEW_MS or not self.speech:
+            return [(label, self._open(a, b, v), score, "created"), *self._retry()]
         self.waiting.append((label, a, b, v))
         return self._retry()
 

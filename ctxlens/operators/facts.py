@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import attribute_aliases, canonical_attribute
+from ..session import settle
 
 
 def _order(ts: str = "valid_from", key: str = "fact_id") -> list:
@@ -52,18 +53,23 @@ def lineage(facts: DataFrame) -> DataFrame:
     return facts.select(F.col("fact_id").alias("new_id"), F.col("claim").alias("new_claim")).join(old, "new_id")
 
 
-def chains(facts: DataFrame, view: str = "ctxlens_chain_facts", levels: int = 10_000) -> DataFrame:
-    """Depth of each fact below the root of its supersession chain, along the stored pointers.
+def chains(facts: DataFrame) -> DataFrame:
+    """fact_id, root_id, depth of each fact in its supersession chain, along the stored pointers.
 
-    Pointers only run within a (person, attribute), so this is a recursive query with one equi-join per level.
+    Pointer doubling: a row knows an ancestor and the way to it; each round joins it to that ancestor's own, so a chain of n
+    facts takes log2(n) equi-joins. A pointer to a fact that isn't there ends the chain.
     """
-    facts.select("fact_id", "superseded_by", "person_id", "attribute").createOrReplaceTempView(view)
-    return facts.sparkSession.sql(f"""
-        WITH RECURSIVE chain(fact_id, root_id, depth) MAX RECURSION LEVEL {levels} AS (
-          SELECT f.fact_id, f.fact_id, 0L FROM {view} f LEFT ANTI JOIN {view} p ON p.superseded_by = f.fact_id
-          UNION ALL
-          SELECT f.superseded_by, c.root_id, c.depth + 1 FROM chain c JOIN {view} f ON f.fact_id = c.fact_id WHERE f.superseded_by IS NOT NULL)
-        SELECT fact_id, root_id, depth FROM chain""")
+    edges = facts.where("superseded_by IS NOT NULL").select(F.col("superseded_by").alias("fact_id"), F.col("fact_id").alias("up"))
+    edges = edges.groupBy("fact_id").agg(F.min("up").alias("up"))
+    state = facts.select("fact_id").join(edges, "fact_id", "left").select("fact_id", F.coalesce("up", "fact_id").alias("root_id"), F.col("up").isNotNull().cast("long").alias("depth"))
+    state, before = settle(state), None
+    while True:
+        total = state.agg(F.sum("depth")).first()[0]
+        if total == before:
+            return state
+        before = total
+        above = state.select(F.col("fact_id").alias("root_id"), F.col("root_id").alias("next"), F.col("depth").alias("more"))
+        state = settle(state.join(above, "root_id").select("fact_id", F.col("next").alias("root_id"), (F.col("depth") + F.col("more")).alias("depth")))
 
 
 def fold_candidates(rows: list[dict], spoken: bool = False) -> list[dict]:
@@ -102,24 +108,40 @@ _FOLD = "person_id long, slot string, fact_id long, claim string, source_utteran
 
 
 def reconcile(candidates: DataFrame, spoken: bool = False) -> DataFrame:
-    """Facts after reconciling candidates per (person, slot), where relations make the window form insufficient.
+    """Facts after reconciling candidates per (person, canonical slot), where relations make the window form insufficient.
 
     candidates: person_id, attribute, fact_id, claim (normalized), source_utterance_id, position (order of the source),
-    valid_from, created_at, relation. A group is one person's slot, folded in order of (position, fact_id).
+    valid_from, created_at, relation. They arrive in the order of fact_id. Slots are sorted next to each other and streamed through
+    a task; the candidates of one slot are in memory at a time.
     """
     import pandas as pd
 
     names = [c.split()[0] for c in _FOLD.split(", ")]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["arrival", "fact_id"])
-        out = pd.DataFrame(fold_candidates(pdf.to_dict("records"), spoken), columns=[*pdf.columns, "superseded_by", "superseded_at"])
-        out["superseded_by"] = out["superseded_by"].astype("Int64")
-        out["superseded_at"] = pd.to_datetime(out["superseded_at"])
-        return out[names]
-
-    rows = candidates.withColumn("slot", canonical_attribute(F.col("attribute"))).withColumn("arrival", F.col("fact_id")).drop("attribute")
-    return rows.groupBy("person_id", "slot").applyInPandas(fold, _FOLD)
+    keys = ["person_id", "slot"]
+
+    def run(batches):
+        key, held = None, []
+
+        def out(rows: list[dict]) -> pd.DataFrame:
+            frame = pd.DataFrame(rows, columns=names)
+            frame["superseded_by"] = frame["superseded_by"].astype("Int64")
+            frame["superseded_at"] = pd.to_datetime(frame["superseded_at"])
+            return frame
+
+        for pdf in batches:
+            done = []
+            for r in pdf.to_dict("records"):
+                if (r["person_id"], r["slot"]) != key:
+                    done += fold_candidates(held, spoken)
+                    key, held = (r["person_id"], r["slot"]), []
+                held.append(r)
+            if done:
+                yield out(done)
+        if held:
+            yield out(fold_candidates(held, spoken))
+
+    rows = candidates.withColumn("slot", canonical_attribute(F.col("attribute"))).select(*[n for n in names if not n.startswith("superseded")])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "fact_id").mapInPandas(run, _FOLD)
 
 
 def guard(candidates: DataFrame, window: DataFrame, final_turn: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine, index_score
 from ..functions.text import any_term_pattern, query_terms, term_share
+from ..session import settle
 
 K = 60
 
@@ -29,22 +30,23 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, row_id: str, vector: str =
 def bm25(docs: DataFrame, terms: list[str], doc_id: str, text: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(doc_id, score) of documents that hold a term; tokens are lower-case runs of letters and digits.
 
-    Statistics of the whole table take one pass; terms are few and literal, so scoring is a second scan without
-    a shuffle. Scores are to twelve digits, as sums of doubles depend on their order.
+    Texts are read once: each becomes its tokens between double blanks, in which a term's count is a difference of
+    lengths. The counts (a few numbers per document) are kept for the statistics of the whole table and for scoring.
+    Scores are to twelve digits, as sums of doubles depend on their order.
     """
-    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
     terms = list(dict.fromkeys(t.lower() for t in terms))
-    times = lambda t: F.size(F.filter(tokens, lambda x: x == F.lit(t)))
-    counted = docs.select(F.col(doc_id), F.size(tokens).alias("n"), *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    plain = docs.select(F.col(doc_id), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "  ")).alias("t"))
+    plain = plain.select(doc_id, F.inline(F.array(F.struct(F.concat(F.lit(" "), "t", F.lit(" ")).alias("s")))))  # once per row
+    times = lambda x: ((F.length("s") - F.length(F.replace(F.col("s"), F.lit(x), F.lit("")))) / len(x)).cast("long")
+    n = F.when(F.trim("s") == "", 0).otherwise(times("  ") + 1)
+    counted = settle(plain.select(doc_id, n.alias("n"), *[times(f" {t} ").alias(f"tf{i}") for i, t in enumerate(terms)]))
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
-    score = F.lit(0.0)
+    score, hit = F.lit(0.0), F.lit(False)
     for i in range(len(terms)):
         idf = F.log1p((F.lit(stats.docs) - stats[f"df{i}"] + 0.5) / (F.lit(stats[f"df{i}"]) + 0.5))
         tf = F.col(f"tf{i}")
         score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.lit(stats["mean"] or 1.0)))).otherwise(0.0)
-    hit = F.lit(False)
-    for i in range(len(terms)):
-        hit = hit | (F.col(f"tf{i}") > 0)
+        hit = hit | (tf > 0)
     return counted.where(hit).select(doc_id, F.round(score, 12).alias("score"))
 
 

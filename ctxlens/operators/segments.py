@@ -16,7 +16,9 @@ def time_words(utterances: DataFrame) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0))
     u = utterances.withColumn("__words", words)
     total = F.aggregate("__words", F.lit(0).cast("long"), lambda s, x: s + F.length(x))
-    u = u.select("conversation_id", "utterance_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), total.alias("total"), F.posexplode("__words").alias("position", "text"))
+    # the total comes before the explosion: next to it, it would be summed anew for every word
+    u = u.select("conversation_id", "utterance_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), total.alias("total"), "__words")
+    u = u.select("conversation_id", "utterance_id", "a", "b", "total", F.posexplode("__words").alias("position", "text"))
     w = Window.partitionBy("conversation_id", "utterance_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     u = u.withColumn("upto", F.sum(F.length("text")).over(w))
     at = lambda n: F.expr(f"a + (2 * (b - a) * {n} + total) DIV (2 * total)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC for every date rule; adaptive plans; a state store that survives large keyed state.
 SETTINGS = {
@@ -21,3 +21,12 @@ def builder(app: str = "ctxlens", master: str | None = None) -> SparkSession.Bui
     for k, v in SETTINGS.items():
         b = b.config(k, v)
     return b
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Materialises an intermediate result in ``spark.checkpoint.dir`` (where unset: a folder of the warehouse), cutting its lineage."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        spark.sparkContext.setCheckpointDir(base)
+    return df.checkpoint(eager=True)

@@ -24,7 +24,7 @@ def test_supersession(spark):
     assert rows(f, "fact_id", "superseded_by") == [(1, 3), (3, 4), (4, None), (5, None)]
     assert rows(facts.current(f), "person_id", "fact_id") == [(1, 4), (2, 5)]
     assert [r.fact_id for r in facts.history(f, 1, "move_date").collect()] == [1, 3, 4]
-    assert rows(facts.chains(f, "t_chain"), "fact_id", "root_id", "depth") == [(1, 1, 0), (3, 1, 1), (4, 1, 2), (5, 5, 0)]
+    assert rows(facts.chains(f), "fact_id", "root_id", "depth") == [(1, 1, 0), (3, 1, 1), (4, 1, 2), (5, 5, 0)]
     assert rows(facts.lineage(f), "old_claim", "new_claim") == [("sep 1", "sep 15"), ("sep 15", "sep 1")]
 
 
