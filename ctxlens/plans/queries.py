@@ -282,13 +282,13 @@ def _legs(b):
 _FUSED = "SELECT doc_id AS fact_id, round(coalesce(1.0::DOUBLE / (60 + s), 0) + coalesce(1.0::DOUBLE / (60 + l), 0), 9) AS score FROM ({sem}) FULL JOIN ({lex}) USING (doc_id) {where} ORDER BY round(coalesce(1.0::DOUBLE / (60 + s), 0) + coalesce(1.0::DOUBLE / (60 + l), 0), 12) DESC, s NULLS LAST, l NULLS LAST LIMIT 10"
 
 
-@query(_BM25 + _LEGS + " " + _FUSED.format(sem="SELECT * FROM sem WHERE s <= 10", lex="SELECT * FROM lex WHERE l <= 10", where="WHERE doc_id % 3 <> 0"), "cos")
+@query(_BM25 + _LEGS + " " + _FUSED.format(sem="SELECT * FROM sem WHERE s <= 10", lex="SELECT * FROM lex WHERE l <= 10", where="WHERE doc_id % 3 <> 0 AND doc_id IN (SELECT doc_id FROM documents)"), "cos")
 def rrf_filter_after(b):
     """Superseded rows use up places of the fused legs."""
     return retrieval.search_facts(*_legs(b), mode="fused").select("fact_id", F.round("score", 9).alias("score"))
 
 
-@query(_BM25 + _LEGS + " " + _FUSED.format(sem="SELECT doc_id, row_number() OVER (ORDER BY s) AS s FROM (SELECT * FROM sem WHERE s <= 10) WHERE doc_id % 3 <> 0", lex="SELECT doc_id, row_number() OVER (ORDER BY l) AS l FROM lex WHERE doc_id % 3 <> 0 QUALIFY row_number() OVER (ORDER BY l) <= 10", where=""), "cos")
+@query(_BM25 + _LEGS + " " + _FUSED.format(sem="SELECT doc_id, row_number() OVER (ORDER BY s) AS s FROM (SELECT * FROM sem WHERE s <= 10) WHERE doc_id % 3 <> 0 AND doc_id IN (SELECT doc_id FROM documents)", lex="SELECT doc_id, row_number() OVER (ORDER BY l) AS l FROM lex WHERE doc_id % 3 <> 0 QUALIFY row_number() OVER (ORDER BY l) <= 10", where=""), "cos")
 def rrf_manual(b):
     """The lexical leg is filtered before its limit, the semantic one after."""
     return retrieval.search_facts(*_legs(b), mode="manual").select("fact_id", F.round("score", 9).alias("score"))
