@@ -47,6 +47,12 @@ def history(facts: DataFrame, person: int, attribute: str) -> DataFrame:
     return facts.where((F.col("person_id") == person) & F.col("attribute").isin(attribute_aliases(attribute))).orderBy(*_order())
 
 
+def recent(facts: DataFrame, person: int | None = None) -> DataFrame:
+    """Live facts, newest first."""
+    rows = live(facts) if person is None else live(facts).where(F.col("person_id") == person)
+    return rows.orderBy(F.col("valid_from").desc(), F.col("fact_id").desc())
+
+
 def lineage(facts: DataFrame) -> DataFrame:
     """Each successor with the claim that it replaced."""
     old = facts.where("superseded_by IS NOT NULL").select(F.col("superseded_by").alias("new_id"), F.col("fact_id").alias("old_id"), F.col("claim").alias("old_claim"))

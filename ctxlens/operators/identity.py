@@ -88,7 +88,7 @@ def stamp(utterances: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def enroll(voiceprints: DataFrame, prints: DataFrame, dims: int) -> DataFrame:
     """Appends prints of the right length."""
-    return voiceprints.unionByName(prints.where(F.size("embedding") == dims).drop("__dims"))
+    return voiceprints.unionByName(prints.where(F.size("embedding") == dims))
 
 
 def relabel_events(utterances: DataFrame, people: DataFrame) -> DataFrame:

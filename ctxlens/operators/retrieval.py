@@ -85,6 +85,11 @@ def search_facts(facts: DataFrame, semantic: DataFrame, lexical: DataFrame, mode
     return reciprocal_rank_fusion(sem, lex, "fact_id", limit)
 
 
+def search_mode(setting: str | None) -> str:
+    """Retrieval path of a setting: "1" asks for the manual one, anything else for the fused one."""
+    return "manual" if (setting or "").strip() == "1" else "fused"
+
+
 def search_text(query: str, promises: DataFrame, utterances: DataFrame, person: int | None = None, limit: int = 5) -> DataFrame:
     """kind, id, person_id, text, score: open promises (0.5) and utterances (0.25) that hold any term, first ids."""
     pattern = any_term_pattern(query)

@@ -66,8 +66,10 @@ def speech_per_speaker(segments: DataFrame) -> DataFrame:
     return segments.groupBy("conversation_id", "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms"))
 
 
-def speakers_over(segments: DataFrame, floor_ms: int) -> DataFrame:
-    return speech_per_speaker(segments).where(F.col("speech_ms") >= floor_ms)
+def speakers_over(segments: DataFrame, floor_ms: int, ranked: bool = False) -> DataFrame:
+    """Speakers with at least so much speech; ``ranked``: most first within a conversation."""
+    over = speech_per_speaker(segments).where(F.col("speech_ms") >= floor_ms)
+    return over.orderBy("conversation_id", F.col("speech_ms").desc(), "speaker") if ranked else over
 
 
 def unassigned_turns(segments: DataFrame, aliases: DataFrame) -> DataFrame:

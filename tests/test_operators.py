@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxlens.engine import Memory
+from ctxlens.functions import hooks
 from ctxlens.operators import changes, cluster, facts, identity, retrieval, scoring, segments, session, views, voice_activity
 from ctxlens.sources import audio, sinks
-from ctxlens.sources.tables import event_script, provider, read_transcript, released
+from ctxlens.schemas import TABLES
+from ctxlens.sources.tables import event_script, provider, read_table, read_transcript, released
 
 DAY = lambda n: dt.datetime(2024, 1, n)
 FACT = "fact_id long, person_id long, attribute string, claim string, source_utterance_id long, valid_from timestamp"
@@ -259,3 +261,36 @@ def test_spoken_facts(spark):
     assert rows(m.facts, "fact_id", "superseded_by", "source_utterance_id") == [("f0", "f1", "spoken-birthday-initial"), ("f1", "f3", "spoken-birthday-f0"), ("f3", None, "spoken-birthday-f1")]
     m = m.add_note("p", "Likes tea", "n1", DAY(9)).add_note("p", "Likes tea", "n2", DAY(10))
     assert m.facts.where("attribute = 'note'").count() == 1
+
+
+def test_hooks(spark):
+    d = spark.createDataFrame([(1, "ab"), (2, None), (3, "c")], "id long, text string")
+    out = d.withColumn("v", hooks.embedder(lambda xs: [[len(x), 1.0] for x in xs], 2, batch=1)(F.col("text")))
+    assert [r.v for r in out.orderBy("id").collect()] == [[2.0, 1.0], None, [1.0, 1.0]]
+    assert hooks.checked_vectors(out, "v", 2).count() == 3
+    with pytest.raises(Exception, match="dimensions"):
+        hooks.checked_vectors(out, "v", 3).collect()
+    steps = spark.createDataFrame([("r", "search_memory")] * 6 + [("q", None), ("q", "add_note")], "request_id string, tool string")
+    assert rows(hooks.over_budget(steps), "request_id", "calls") == [("r", 6)]
+    assert retrieval.search_mode("1") == "manual" and retrieval.search_mode(None) == "fused"
+
+
+def test_enroll_stamp_and_lists(spark):
+    v = spark.createDataFrame([(1, 7, [1.0, 2.0])], "voiceprint_id long, person_id long, embedding array<double>")
+    more = spark.createDataFrame([(2, 8, [1.0, 2.0]), (3, 8, [1.0])], v.schema)
+    assert rows(identity.enroll(v, more, 2), "voiceprint_id") == [(1,), (2,)]
+    u = spark.createDataFrame([(1, "a", None), (2, "b", 5)], "utterance_id long, cluster_id string, person_id long")
+    d = spark.createDataFrame([("a", 9), ("b", None)], "cluster_id string, person_id long")
+    assert rows(identity.stamp(u, d), "utterance_id", "person_id") == [(1, 9), (2, 5)]
+    allowed = spark.range(1).select(identity.wake_allowed(F.lit("go"), F.lit(0), F.lit(0), F.lit(0.6)), identity.wake_allowed(F.lit("go"), F.lit(0), F.lit(0), F.lit(None).cast("double")))
+    assert allowed.first()[:] == (True, False)
+    drafts = spark.createDataFrame([(1, "x@y", None, DAY(1)), (2, "x@y", DAY(2), DAY(2)), (3, " ", None, DAY(3))], "draft_id long, `to` string, sent_at timestamp, created_at timestamp")
+    assert [(r.draft_id, r.sendable) for r in sinks.drafts_to_send(drafts).collect()] == [(3, False), (2, False), (1, True)]
+    by = views.keyed(u, "cluster_id", "utterance_id").where("cluster_id = 'b'").first().by_id
+    assert by[2].person_id == 5 and "embedding" not in views.public_row(v).columns
+
+
+def test_ensure_tables(spark, tmp_path):
+    made = sinks.ensure_tables(spark, f"{tmp_path}/store")
+    assert sorted(made) == sorted(TABLES) and sinks.ensure_tables(spark, f"{tmp_path}/store") == []
+    assert read_table(spark, f"{tmp_path}/store", "facts").count() == 0
