@@ -178,7 +178,7 @@ def may_have_missed(b):
 _WORDS = "list_filter(list_distinct(regexp_split_to_array(lower({0}), '[^a-z0-9]+')), lambda w: length(w) >= 4 AND w NOT IN ('" + "','".join(text.CHANGE_STOP_WORDS) + "'))"
 _TOUCHED = f"""SELECT change_id, promise_id FROM (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY promise_id) AS n FROM (
     SELECT c.change_id, p.promise_id FROM pairs c JOIN op p ON p.person_id = c.person_id
-    UNION SELECT c.change_id, p.promise_id FROM pairs c JOIN people x ON x.person_id = c.person_id JOIN (SELECT x.person_id, p.promise_id FROM people x JOIN op p ON contains(lower(p.text), lower(trim(x.name))) WHERE x.person_id < 150) p ON p.person_id = c.person_id
+    UNION SELECT c.change_id, p.promise_id FROM pairs c JOIN people x ON x.person_id = c.person_id JOIN (SELECT x.person_id, p.promise_id FROM people x JOIN op p ON contains(lower(p.text), lower(trim(x.name))) WHERE x.person_id IN (SELECT person_id FROM pairs)) p ON p.person_id = c.person_id
     UNION SELECT c.change_id, p.promise_id FROM (SELECT change_id, unnest({_WORDS.format("before_claim || ' ' || after_claim")}) AS w FROM pairs) c
       JOIN (SELECT promise_id, w, row_number() OVER (PARTITION BY w ORDER BY promise_id) AS k FROM (SELECT promise_id, unnest({_WORDS.format("text")}) AS w FROM op)) p ON p.w = c.w AND k <= 3)) WHERE n <= 3"""
 _OPEN = ", op AS (SELECT * FROM promises WHERE status = 'open')"
