@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import change_words
+from ..session import settle
 
 
 def pairs(facts: DataFrame) -> DataFrame:
@@ -82,6 +83,7 @@ def context_changes(facts: DataFrame, utterances: DataFrame, people: DataFrame,
     changes = pairs(facts)
     if limit is not None:
         changes = changes.orderBy(F.col("superseded_at").desc(), F.col("valid_from").desc(), "change_id").limit(max(1, min(limit, 25)))
+    changes = settle(changes)  # three branches and the result read it
     known = people.select(F.col("person_id").alias("p"), F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.lit("Unknown speaker")).alias("person_name"))
     touched = affected_promises(changes, promises, people).groupBy("change_id").agg(F.array_sort(F.collect_list("promise_id")).alias("affected_promises"))
     out = rooms(changes, utterances).join(known, F.col("person_id") == F.col("p"), "left").join(touched, "change_id", "left")
