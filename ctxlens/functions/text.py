@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -22,7 +23,6 @@ ATTRIBUTE_ALIASES = {"move_date": "move", "food_preference": "preference", "work
 CHANGE_CUES = ["actually", "instead", "changed?", "pushed", "moved", "rescheduled", "no longer", "not anymore", "now", "rather than", "correction"]
 #: Attributes whose change may interrupt a conversation (fixed values).
 ACTIONABLE = ["location", "move", "move_date", "job", "employer", "project", "travel"]
-WAKE_PHRASE = "hey amelia"
 
 
 def _fold(text: str) -> str:
@@ -110,9 +110,13 @@ def speaker_label(name: Column, person_id: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.concat(F.lit("Unknown speaker "), F.right(person_id.cast("string"), F.lit(4))), F.lit("Unknown speaker"))
 
 
-def wake_command(text: Column) -> Column:
-    """What follows the first adjacent "hey amelia" in the original text, without leading punctuation; null if nothing does."""
-    words = WAKE_PHRASE.split()
+def wake_command(text: Column, phrase: str) -> Column:
+    """What follows the first occurrence of the phrase's words, adjacent and in either case, in the original text.
+
+    Leading punctuation is dropped; null if the phrase or a command is missing. ``phrase``: the words, blank-separated, which
+    are those of the caller's assistant.
+    """
+    words = [re.escape(w) for w in phrase.split()]
     pattern = r"(?iu)(?:^|[^\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(words) + r"(?![\p{L}\p{N}])[^\p{L}\p{N}]*(.*)$"
     return F.nullif(F.trim(F.regexp_extract(F.regexp_replace(text, r"[\r\n]+", " "), pattern, 1)), F.lit(""))
 

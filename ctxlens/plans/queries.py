@@ -737,8 +737,8 @@ def normalize_claim(b):
 @query("SELECT promise_id, CASE promise_id % 4 WHEN 0 THEN text WHEN 1 THEN 'remind me: ' || text END AS command FROM promises", "promises")
 def wake_command(b):
     k = F.col("promise_id") % 4
-    said = F.when(k == 0, F.concat(F.lit("Well, HEY,  Amelia! — "), F.col("text"))).when(k == 1, F.concat(F.lit("Hey Amelia—remind me: "), F.col("text"))).when(k == 2, F.concat(F.lit("they ameliate "), F.col("text"))).otherwise("hey amelia ...")
-    return b.promises().select("promise_id", text.wake_command(said).alias("command"))
+    said = F.when(k == 0, F.concat(F.lit("Well, HEY,  Robin! — "), F.col("text"))).when(k == 1, F.concat(F.lit("Hey Robin—remind me: "), F.col("text"))).when(k == 2, F.concat(F.lit("they robinate "), F.col("text"))).otherwise("hey robin ...")
+    return b.promises().select("promise_id", text.wake_command(said, "hey robin").alias("command"))
 
 
 @query("SELECT promise_id, CASE promise_id % 3 WHEN 0 THEN left(text, 80) WHEN 1 THEN text END AS title FROM promises", "promises")

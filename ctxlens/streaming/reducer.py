@@ -91,8 +91,9 @@ def promise_state(events: DataFrame) -> DataFrame:
 
 
 def agent_turns(events: DataFrame) -> DataFrame:
-    """request_id, steps in order, reply, done of each request."""
-    e = events.where("type IN ('amelia_step', 'amelia_audio')")
-    steps = F.array_sort(F.collect_list(F.when(F.col("type") == "amelia_step", F.struct("seq", "step", "message"))))
-    ended = F.max_by((F.col("type") == "amelia_audio") | F.col("step").isin("denied", "error"), "seq")
-    return e.groupBy("request_id").agg(F.transform(steps, lambda s: F.struct(s["step"].alias("step"), s["message"].alias("message"))).alias("steps"), F.max_by("text", F.when(F.col("type") == "amelia_audio", F.col("seq"))).alias("reply"), ended.alias("done"))
+    """request_id, steps in order, reply, done of each request, from the assistant's events: types that end in _step and _audio."""
+    e = events.where(F.endswith("type", F.lit("_step")) | F.endswith("type", F.lit("_audio")))
+    step, audio = F.endswith("type", F.lit("_step")), F.endswith("type", F.lit("_audio"))
+    steps = F.array_sort(F.collect_list(F.when(step, F.struct("seq", "step", "message"))))
+    ended = F.max_by(audio | F.col("step").isin("denied", "error"), "seq")
+    return e.groupBy("request_id").agg(F.transform(steps, lambda s: F.struct(s["step"].alias("step"), s["message"].alias("message"))).alias("steps"), F.max_by("text", F.when(audio, F.col("seq"))).alias("reply"), ended.alias("done"))

@@ -23,7 +23,7 @@ def test_reducer(spark):
         {"type": "identity", "conversation_id": "c", "person_id": "p0", "name": "Other", "utterance_ids": []}, {"type": "conversation", "conversation_id": "c", "title": "T"},
         {"type": "fact", "fact_id": "f1", "person_id": "p1", "attribute": "x", "claim": "1"}, {"type": "fact", "fact_id": "f2", "person_id": "p1", "attribute": "x", "claim": "2", "superseded_fact_id": "f1"},
         {"type": "promise", "promise_id": "q", "person_id": "p1", "text": "t", "status": "open"}, {"type": "promise", "promise_id": "q", "person_id": "p1", "text": "t", "status": "done"},
-        {"type": "amelia_step", "request_id": "r", "step": "reason", "message": "m"}, {"type": "amelia_audio", "request_id": "r", "text": "done"},
+        {"type": "agent_step", "request_id": "r", "step": "reason", "message": "m"}, {"type": "agent_audio", "request_id": "r", "text": "done"},
     )
     r = reducer.utterance_state(e).first()
     assert (r.text, r.person_id, r.is_final) == ("c", "p1", True)
