@@ -15,6 +15,7 @@ read again by the later steps.
 from __future__ import annotations
 
 import hashlib
+import math
 import tempfile
 
 import numpy as np
@@ -215,12 +216,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     judged on the input. Null texts have no words. Rows that repeat a document repeat its windows, so all of
     them lose their words; order and ties play no role. Extra columns are ignored.
 
-    Scale: groups hold 1/256 of the text, at least 256 KB and at most 128 MB; there is a bucket of hashes for
-    each eight groups, at least 64. Nothing is collected; no pair of documents is formed.
+    Scale: a group's text grows with the root of the whole (2 MB of 1 GB, 20 MB of 100 GB), within 256 KB and 128 MB, so
+    that both the number of groups and their size stay fit for tasks; there is a bucket of hashes for each eight
+    groups, at least 64. Nothing is collected; no pair of documents is formed.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("__doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     size = src.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    group_bytes = group_bytes or min(128 << 20, max(256 << 10, size // 256))
+    group_bytes = group_bytes or min(128 << 20, max(256 << 10, 64 * math.isqrt(size)))
     groups = max(1, -(-size // group_bytes))
     buckets = max(64, groups // 8)
     src = src.withColumn("grp", F.pmod(F.xxhash64("__doc", "__text"), F.lit(groups)).cast("int"))
