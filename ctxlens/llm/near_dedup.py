@@ -18,11 +18,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, cut
+from .common import WORD, broadcast_if_small, cut, small
 from .hashing import Batch, hash_windows, mix
 
 
@@ -177,8 +177,17 @@ _MEMBER = "node binary, bands binary, sketch binary, shingles binary"
 _LINKS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
 
+_KEY = ["__k0", "__k1"]
+
+
+def _keyed(doc_id: str, text: str) -> list[Column]:
+    """__doc, the row key (128 bits of doc_id and text, so rows with one key are copies) and __text."""
+    doc, t = F.col(doc_id).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return [doc.alias("__doc"), *[F.xxhash64(F.lit(i), doc, t).alias(k) for i, k in enumerate(_KEY)], t.alias("__text")]
+
+
 def signatures(docs: DataFrame, p: Params, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set), bands, sketch of every document."""
+    """__doc, row key, n_shingles, node (digest of the set), bands, sketch of every document."""
 
     def run(batches):
         import pyarrow as pa
@@ -187,20 +196,19 @@ def signatures(docs: DataFrame, p: Params, doc_id: str, text: str) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = shingle_sets(part.column(1).to_pylist(), p.width)
+                sets = shingle_sets(part.column(3).to_pylist(), p.width)
                 samples = [signer.samples(s) if len(s) else None for s in sets]
                 cols = [[len(s) for s in sets], [digest(s) for s in sets], [None if x is None else signer.bands(x).astype("<u8").tobytes() for x in samples], [None if x is None else signer.sketch(x) for x in samples]]
-                yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["__doc", "n_shingles", "node", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(3)] + [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["__doc", *_KEY, "n_shingles", "node", "bands", "sketch"])
 
-    src = docs.select(F.col(doc_id).cast("long").alias("__doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    return src.mapInArrow(run, "__doc long, n_shingles long, node binary, bands binary, sketch binary")
+    src = docs.select(*_keyed(doc_id, text))
+    return src.mapInArrow(run, "__doc long, __k0 long, __k1 long, n_shingles long, node binary, bands binary, sketch binary")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, p: Params, doc_id: str, text: str) -> DataFrame:
-    """(node, shingles) of the wanted nodes, each from the document that ``wanted`` (node, __first) names."""
-    ids = wanted.select(F.col("__first").alias("__key"), F.col("node").alias("__node"))
-    src = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    met = src.join(broadcast_if_small(ids), "__key").select("__node", "__text")
+    """(node, shingles) of the wanted nodes, each from the row that ``wanted`` (node, row key) names."""
+    ids = wanted.select(*_KEY, F.col("node").alias("__node"))
+    met = docs.select(*_keyed(doc_id, text)).join(broadcast_if_small(ids), _KEY).select("__node", "__text")
 
     def run(batches):
         import pyarrow as pa
@@ -276,20 +284,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.unionByName(stars.select(F.col("comp").alias("node"), "comp").distinct())
 
 
-def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
-
-    Null and wordless texts have no shingles and are linked with nothing. Rows with one doc_id stay apart unless
-    their texts are linked; component_id is the least doc_id in the component (null only if all are), and
-    kept is doc_id = component_id. Extra columns are ignored.
-
-    Recall of the bands and of the sketch filter is stated at Params; no bucket, block or candidate list is
-    capped.
-    """
+def _linked(docs: DataFrame, p: Params, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and (node, comp) of the nodes that are linked."""
     sigs = cut(signatures(docs, p, doc_id, text))
     some = sigs.where("n_shingles > 0")
-    nodes = some.groupBy("node").agg(F.min(F.struct(F.coalesce("__doc", F.lit(-1)).alias("d"), "bands", "sketch")).alias("r"))
-    nodes = nodes.select("node", F.col("r.d").alias("__first"), F.col("r.bands").alias("bands"), F.col("r.sketch").alias("sketch"))
+    nodes = some.groupBy("node").agg(F.min(F.struct(F.coalesce("__doc", F.lit(-1)).alias("d"), *_KEY, "bands", "sketch")).alias("r"))
+    nodes = nodes.select("node", *[F.col(f"r.{k}").alias(k) for k in _KEY], F.col("r.bands").alias("bands"), F.col("r.sketch").alias("sketch"))
     keyed = _key_bands(nodes, p)
     # buckets with the same members (by a 128-bit digest of the set) hold the same pairs: the first band's stands for all
     same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"s{i}") for i in (0, 1)]
@@ -325,7 +325,21 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
         pairs = a.join(b, ["band", "key"]).where((F.col("at_a") < F.col("at_b")) & ~F.coalesce(F.col("own_a") == F.col("own_b"), F.lit(False)))
         links = cut(_between(pairs, p).unionByName(links))
 
-    comps = components(links)
+    return sigs, components(links)
+
+
+def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row.
+
+    Null and wordless texts have no shingles and are linked with nothing. Rows with one doc_id stay apart unless
+    their texts are linked; component_id is the least doc_id in the component (null only if all are), and
+    kept is doc_id = component_id. Extra columns are ignored.
+
+    Recall of the bands and of the sketch filter is stated at Params; no bucket, block or candidate list is
+    capped.
+    """
+    sigs, comps = _linked(docs, p, doc_id, text)
+    some = sigs.where("n_shingles > 0")
     known = some.select("node", "__doc").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = known.groupBy("comp").agg(F.min("__doc").alias("component_id"))
     alone = sigs.where("n_shingles = 0").select("__doc", "n_shingles", F.col("__doc").alias("component_id"))
@@ -335,15 +349,22 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
 
 
 def keep_one(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that another one of their group stands for.
+    """``docs`` with exactly one row of each group of near-duplicates, whatever the doc_ids are.
 
-    Rows that share a doc_id count as one document, of which the row with the least text (null last) stays.
+    The row with the least doc_id (null last) stays; among several, the one with the least row key. Of
+    copies (same doc_id and text) any one. Rows without words are linked with nothing and all stay.
     """
-    kept = cut(near_duplicates(docs, p, doc_id, text).where("kept").select(F.coalesce(F.col(doc_id), F.lit(-1)).alias("__key")).distinct())
-    keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)))
-    stay = keyed.join(kept, "__key", "left_semi")
-    if docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        from pyspark.sql import Window
-
-        stay = stay.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.col(text).asc_nulls_last()))).where("__nth = 1")
-    return stay.select(*docs.columns)
+    sigs, comps = _linked(docs, p, doc_id, text)
+    some = sigs.where("n_shingles > 0").select("__doc", *_KEY, "node")
+    known = some.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    best = known.groupBy("comp").agg(F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", *_KEY)).alias("r"))
+    stay = cut(best.select(*[F.col(f"r.{k}").alias(k) for k in _KEY]))
+    copied = cut(some.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*_KEY).join(stay, _KEY))
+    keyed = docs.withColumns({c: v for c, v in zip(["__doc", *_KEY, "__text"], _keyed(doc_id, text), strict=True)})
+    worded = keyed.where(F.col("__text").rlike(WORD))
+    if not small(copied, 0):
+        once = worded.join(stay.join(copied, _KEY, "left_anti"), _KEY, "left_semi")
+        worded = once.unionByName(worded.join(copied, _KEY, "left_semi").dropDuplicates(_KEY))
+    else:
+        worded = worded.join(stay, _KEY, "left_semi")
+    return worded.unionByName(keyed.where(~F.col("__text").rlike(WORD))).select(*docs.columns)

@@ -224,6 +224,18 @@ def test_components_of_a_long_chain(spark):
     random.Random(0).shuffle(order)
     links = [(name(a), name(b)) for a, b in zip(order, order[1:])] + [(name(100), name(101)), (name(101), name(101))]
     got = {r.node: r.comp for r in near_dedup.components(spark.createDataFrame(links, "a binary, b binary")).collect()}
+def test_keep_one_row_of_each_component_whatever_the_ids(spark):
+    rng = random.Random(12)
+    a, b, c, e, f = (text_of(rng, 80) for _ in range(5))
+    near = lambda t: t + " tail"
+    rows = [(None, a), (None, b), (-1, c), (3, e), (5, f), (5, near(e)), (None, near(a)), (7, near(b)), (9, "x y z"), (9, "x y z"), (None, ""), (None, ""), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in near_dedup.keep_one(d).collect()]
+    assert (len([r for r in got if r in ((None, a), (None, near(a)))])) == 1
+    rest = [r for r in got if r not in ((None, a), (None, near(a)))]
+    assert sorted(map(str, rest)) == sorted(map(str, [(7, near(b)), (-1, c), (3, e), (5, f), (9, "x y z"), (None, ""), (None, ""), (None, None)]))
+
+
     assert {bytes(v) for k, v in got.items() if k < name(50)} == {name(0)} and bytes(got[name(101)]) == name(100)
 
 
