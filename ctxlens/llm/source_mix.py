@@ -4,7 +4,7 @@ Each source has a weight schedule over training time t in [0, 1], linear between
 scaled to the source's target, is the source's cumulative demand D(t) in words. A source's documents
 stand in a fixed random order and fill its demand one after the other (and again, in a second pass);
 inverting D at a document's first word gives the time, and the demand of all sources at that time
-is its training position.
+is its training position. In a second pass that word stands one source size later in the demand.
 """
 
 from __future__ import annotations
@@ -111,11 +111,11 @@ def total_curve(sources: list[Source]) -> list[tuple[float, float, float]]:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=Fraction(3, 2), most: int = 2, seed: int = 17, bucket_rows: int = 2000, text: str = "text", with_key: bool = False) -> DataFrame:
-    """One row per document, by position: doc_id, source, size, source_size, target, taken, first_taken, position.
+    """One row per document, by position: doc_id, source, size, source_size, target, taken, first_taken, position, again_position.
 
     taken: words that the mix takes of the document, over both passes (the document at the end of a
     source's demand is taken in part); first_taken: in the first pass; position: of its first word in
-    training, null if nothing is taken. Every source's taken words are its target, rounded down.
+    training, null if nothing is taken; again_position: likewise in the second pass. Every source's taken words are its target, rounded down.
 
     Scale: the running sums per source are two-level. A document's place in its source is a hash;
     the top of the hash is a bucket of about ``bucket_rows`` documents, sums of (source, bucket) are summed
@@ -148,13 +148,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=Fraction(3,
     whole = F.floor("target")
     part = lambda start: F.greatest(F.lit(0), F.least(F.col("size"), whole - start)).cast("long")
     first, again = part(F.col("start")), part(F.col("start") + F.col("source_size"))
-    df = df.select(*["h"] * with_key, "doc_id", "source", "size", "source_size", "target", (first + again).alias("taken"), first.alias("first_taken"), F.when(first > 0, _time_at(F.col("knots"), F.col("start").cast("double"))).alias("t"))
-    df = df.withColumn("position", F.when(F.col("t").isNotNull(), F.floor(_demand_at(total_curve(sources), F.col("t"))))) if sources else df.withColumn("position", F.lit(None).cast("long"))
-    return df.drop("t").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    df = df.select(*["h"] * with_key, "doc_id", "source", "size", "source_size", "target", (first + again).alias("taken"), first.alias("first_taken"), *[F.when(n > 0, _time_at(F.col("knots"), at.cast("double"))).alias(t) for t, n, at in (("t", first, F.col("start")), ("u", again, F.col("start") + F.col("source_size")))])
+    place = lambda t: F.when(F.col(t).isNotNull(), F.floor(_demand_at(total_curve(sources), F.col(t)))) if sources else F.lit(None).cast("long")
+    df = df.withColumns({"position": place("t"), "again_position": place("u")})
+    return df.drop("t", "u").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix in training order, with the columns of ``docs``; a document taken twice comes twice.
+    """The documents of the mix in training order, with the columns of ``docs``; a document taken twice comes twice,
+    each time where its source's schedule puts it.
 
     A document at the end of its source's demand, of which only a part would be taken, comes whole if
     that part is at least half of it. Rows are joined to their places
@@ -167,9 +169,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     nth = lambda *order: F.row_number().over(Window.partitionBy("__h", "__doc").orderBy(*order))
     places = mix(docs, **options, with_key=True).where(F.col("taken") > 0)
     half = F.col("size") / 2
-    times = (F.when(F.col("first_taken") >= half, 1).otherwise(0) + F.when(F.col("taken") - F.col("first_taken") >= half, 1).otherwise(0)).cast("int")
-    places = places.select(F.col("h").alias("__h"), F.coalesce("doc_id", F.lit(0)).alias("__doc"), F.col("position").alias("__position"), times.alias("__times"))
-    places = places.withColumn("__nth", nth("__position")).where("__times > 0")
+    at = F.array_compact(F.array(F.when(F.col("first_taken") >= half, F.col("position")), F.when(F.col("taken") - F.col("first_taken") >= half, F.col("again_position"))))
+    places = places.select(F.col("h").alias("__h"), F.coalesce("doc_id", F.lit(0)).alias("__doc"), F.col("position").alias("__position"), at.alias("__at"))
+    places = places.withColumn("__nth", nth("__position")).drop("__position").where(F.size("__at") > 0)
     rows = docs.withColumns({"__h": F.xxhash64(F.lit(seed), doc, F.col(text)), "__doc": F.coalesce(doc, F.lit(0))}).withColumn("__nth", nth(F.lit(0)))
-    copies = rows.join(places, keys).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return copies.orderBy("__copy", "__position", "__doc").select(*docs.columns)
+    copies = rows.join(places, keys).withColumn("__position", F.explode("__at"))
+    return copies.orderBy("__position", "__doc").select(*docs.columns)

@@ -79,6 +79,33 @@ def test_mixed_documents_repeat_whole_documents(spark):
     assert max(v for k, v in times.items() if k != 3) <= 2 and sum(times.values()) > 60
 
 
+def test_second_passes_follow_the_schedule(spark):
+    rng = random.Random(21)
+    rows = [(i, text_of(rng, 10), "abcd"[i % 4]) for i in range(1200)]
+    d = spark.createDataFrame(rows, DOC)
+    sized = d.select("source", F.size(F.split("text", " ")).cast("long").alias("size"))
+    plan = source_mix.plan_sources(sized)
+    assert any(s.target == 2 * s.size for s in plan)  # a whole second pass
+
+    def demand(s, t):
+        for (t0, d0, w0), (t1, _, w1) in zip(s.knots, s.knots[1:]):
+            if t <= t1:
+                return d0 + w0 * (t - t0) + (w1 - w0) / (t1 - t0) * (t - t0) ** 2 / 2
+
+    mixed = source_mix.mixed_documents(d).select("source").collect()
+    words = {s.name: 0 for s in plan}
+    for i, r in enumerate(mixed, 1):
+        words[r.source] += 10
+        if i % 150 == 0:
+            lo, hi = 0.0, 1.0
+            for _ in range(50):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if sum(demand(s, mid) for s in plan) < 10 * i else (lo, mid)
+            assert all(abs(words[s.name] - demand(s, lo)) <= 60 for s in plan), (i, words)
+    got = source_mix.mix(d).collect()
+    assert all((r.again_position is None) == (r.taken == r.first_taken) and (r.again_position is None or r.again_position > r.position) for r in got)
+
+
 # span dedup
 
 
