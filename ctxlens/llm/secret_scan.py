@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist (operator 5).
 
 A document's text is the first layer. Each layer is scanned; URL escapes, Unicode escapes, base64
-runs and compressed payloads in it give further layers, until none is new (a layer already seen for
+runs (broken into lines or not) and compressed payloads in it give further layers, until none is new (a layer already seen for
 the same place is a cycle and is left). A finding in a layer is mapped to the code points of the
 document that it came from.
 """
@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -30,6 +32,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: Two lines and more of base64 characters, and one line's; lines may be indented or quoted.
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*\r?\n[ \t>]*+[A-Za-z0-9+/_-]++)++={0,2}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 #: A document's layers may hold this many bytes together; what would exceed it is left packed and reported.
 MAX_UNPACKED = 256 << 20
@@ -41,6 +46,7 @@ class Layer:
 
     text: str
     spans: tuple[int, int] | tuple[list[int], list[int]] | None = None
+    plain: bool = True
 
     def place(self, a: int, b: int) -> tuple[int, int]:
         if self.spans is None:
@@ -115,88 +121,247 @@ def _unicode(m: re.Match) -> list[tuple[str, int, int]] | None:
     return [(chr(n), 0, len(m[0]))] if n < 0x110000 and not 0xD800 <= n < 0xE000 else None
 
 
-def _gunzip(raw: bytes, limit: int, wbits: int) -> bytes | None:
-    d = zlib.decompressobj(wbits)
-    out = d.decompress(raw, limit + 1)
-    return out if d.eof or out else None
+class _Inflate:
+    """A zlib object with the interface of bz2's and lzma's decompressors."""
 
+    def __init__(self, wbits: int):
+        self.d, self.needs_input = zlib.decompressobj(wbits), True
 
-def _unzstd(raw: bytes, limit: int) -> bytes | None:
-    with zstandard.ZstdDecompressor().stream_reader(raw) as r:
-        return r.read(limit + 1)
+    def decompress(self, raw: bytes, most: int) -> bytes:
+        out = self.d.decompress(self.d.unconsumed_tail + raw, most)
+        self.needs_input = not self.d.unconsumed_tail and len(out) < most
+        return out
 
+    eof = property(lambda self: self.d.eof)
+    unused_data = property(lambda self: self.d.unused_data)
 
-#: Magic bytes and decompressors of the packed layers.
+
+class _Zstd:
+    """Zstandard likewise, one frame; a piece's output isn't bounded by ``most`` but by the frame's blocks (128 KB)."""
+
+    needs_input = True
+
+    def __init__(self):
+        self.d = zstandard.ZstdDecompressor().decompressobj()
+
+    def decompress(self, raw: bytes, most: int) -> bytes:
+        return self.d.decompress(raw) if raw else b""
+
+    eof = property(lambda self: self.d.eof)
+    unused_data = property(lambda self: self.d.unused_data)
+
+
+#: Magic bytes and decompressors of the packed layers, and the bytes fed at once.
 PACKED = (
-    (b"\x1f\x8b", lambda raw, n: _gunzip(raw, n, 31)),
-    (b"\x78\x01", lambda raw, n: _gunzip(raw, n, 15)),
-    (b"\x78\x5e", lambda raw, n: _gunzip(raw, n, 15)),
-    (b"\x78\x9c", lambda raw, n: _gunzip(raw, n, 15)),
-    (b"\x78\xda", lambda raw, n: _gunzip(raw, n, 15)),
-    (b"BZh", lambda raw, n: bz2.BZ2Decompressor().decompress(raw, n + 1)),
-    (b"\xfd7zXZ\x00", lambda raw, n: lzma.LZMADecompressor().decompress(raw, n + 1)),
-    (b"\x28\xb5\x2f\xfd", _unzstd),
+    (b"\x1f\x8b", lambda: _Inflate(31), 1 << 14),
+    (b"\x78\x01", lambda: _Inflate(15), 1 << 14),
+    (b"\x78\x5e", lambda: _Inflate(15), 1 << 14),
+    (b"\x78\x9c", lambda: _Inflate(15), 1 << 14),
+    (b"\x78\xda", lambda: _Inflate(15), 1 << 14),
+    (b"BZh", bz2.BZ2Decompressor, 1 << 14),
+    (b"\xfd7zXZ\x00", lzma.LZMADecompressor, 1 << 14),
+    (b"\x28\xb5\x2f\xfd", _Zstd, 64),
 )
+_BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, zstandard.ZstdError)
 
 
-def _unpack(raw: bytes, budget: list[int], seen: set) -> str | None:
-    """Text of a base64 payload, through any compressed layers; None if it isn't text."""
-    while True:
-        if raw in seen:  # a payload that unpacks to itself
-            return None
-        seen.add(raw)
-        for magic, f in PACKED:
-            if raw.startswith(magic):
-                try:
-                    out = f(raw, budget[0])
-                except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, zstandard.ZstdError):
-                    out = None
-                break
-        else:
+def _members(raw: bytes, budget: list[int]) -> tuple[bytes, bytes, bool] | None:
+    """What the compressed members at the start of ``raw`` hold, together, what follows them, and whether all are whole.
+
+    None if there are none. A broken member gives what comes before its fault, and is the rest itself. A payload
+    beyond the budget is counted and left packed (with no rest).
+    """
+    out, rest, whole = [], raw, True
+    left = budget[0]
+    while (kind := next((k for k in PACKED if rest.startswith(k[0])), None)) and (not out or raw.startswith(kind[0])):
+        _, make, step = kind
+        d, got, at = make(), [], 0
+        try:
+            while not d.eof:
+                if d.needs_input:
+                    if at >= len(rest):
+                        break
+                    piece, at = rest[at : at + step], at + step
+                else:
+                    piece = b""
+                x = d.decompress(piece, 1 << 20)
+                left -= len(x)
+                if left < 0:
+                    budget[1] += 1
+                    return b"", b"", True
+                got.append(x)
+        except _BROKEN:
+            pass
+        if not d.eof and not any(got):
             break
-        if not out:
-            return None
-        if len(out) > budget[0]:
-            budget[1] += 1
-            return None
-        budget[0] -= len(out)
-        raw = out
+        out.append(b"".join(got))
+        if not d.eof:
+            whole = False
+            break
+        rest = d.unused_data + rest[at:]
+    if not out:
+        return None
+    budget[0] = left
+    return b"".join(out), rest, whole
+
+
+#: ASCII text in UTF-16, both byte orders, anywhere in a binary payload.
+UTF16 = (re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){6,}"), re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){6,}"))
+
+
+def _views(raw: bytes):
+    """(text, plain) for each way to read bytes as text; plain: they are UTF-8 without control characters."""
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    odd = sum(1 for c in text if c < " " and c not in "\t\n\r\x0b\x0c")
-    return text if text and odd == 0 else None
+        text = None
+    if text is not None and not any(c < " " and c not in "\t\n\r\x0b\x0c" for c in text):
+        if text:
+            yield text, True
+        return
+    yield raw.decode("latin-1") if text is None else text, False
+    if b"\x00" in raw:
+        for pattern in UTF16:
+            for m in pattern.finditer(raw):
+                yield m[0].replace(b"\x00", b"").decode("ascii"), False
+
+
+def _unpack(raw: bytes, budget: list[int], seen: set, loose: bool = False):
+    """Views of a payload, through any compressed members; ``loose``: only of what was compressed."""
+    todo = [(raw, loose)]
+    while todo:
+        raw, loose = todo.pop()
+        if not raw or raw in seen:  # a payload that unpacks to itself
+            continue
+        seen.add(raw)
+        if (found := _members(raw, budget)) is not None:
+            out, rest, whole = found
+            todo.append((out, False))
+            if whole:
+                todo.append((rest, loose))
+            elif not loose:
+                yield from _views(rest)
+        elif not loose:
+            yield from _views(raw)
+
+
+def _wrapped(text: str):
+    """(payload, start, end) of base64 broken into lines: equal lines, the first and the last may be shorter.
+
+    What stands next to the payload may look like a line of it, so the first line is tried with and without, as is the last.
+    """
+    for m in LINES.finditer(text):
+        runs = [r.span() for r in RUN.finditer(text, m.start(), m.end())]
+        width = [b - a for a, b in runs]
+        i = 0
+        while i + 1 < len(runs):
+            head = i if width[i] == width[i + 1] else i + 1 if width[i] < width[i + 1] else i
+            j = head
+            while j + 1 < len(runs) and width[j + 1] == width[head]:
+                j += 1
+            last = j + 1 if j + 1 < len(runs) and width[j + 1] < width[head] else j
+            for a in {i, head}:
+                for b in {j, last}:
+                    joined = "".join(text[x:y] for x, y in runs[a : b + 1])
+                    if b > a and len(joined) >= 16:
+                        yield joined, runs[a][0], runs[b][1]
+            i = max(i + 1, j)
 
 
 def _base64(layer: Layer, budget: list[int]):
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
+    runs = ((m[0], *m.span()) for m in BASE64.finditer(layer.text))
+    for run, a, b in itertools.chain(runs, _wrapped(layer.text) if "\n" in layer.text else ()):
+        run = run.rstrip("=")
         if len(run) % 4 == 1:
             continue
         try:
             raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        text = _unpack(raw, budget, set())
-        if text is not None:
-            yield Layer(text, layer.place(*m.span()))
+        for text, plain in _unpack(raw, budget, set()):
+            yield Layer(text, layer.place(a, b), plain)
+
+
+def _escaped_magic(byte) -> re.Pattern:
+    return re.compile("|".join("".join(byte(c) for c in magic) for magic, *_ in PACKED))
+
+
+def _literal(c: int) -> str:
+    return f"|{re.escape(chr(c))}" if 0x20 < c < 0x7F else ""
+
+
+def _any_case(c: int) -> str:
+    return "".join(f"[{x}{x.upper()}]" if x.isalpha() else x for x in f"{c:02x}")
+
+
+#: Escaped bytes: a magic in escaped form, and the tokens of a run (escapes, and the characters that stand for themselves).
+BYTES_URL = (
+    _escaped_magic(lambda c: f"(?:%{_any_case(c)}{_literal(c)})"),
+    re.compile(r"%([0-9A-Fa-f]{2})|[!-$&-~]"),
+)
+BYTES_CODE = (
+    _escaped_magic(lambda c: rf"(?:\\x{_any_case(c)}|\\u00{_any_case(c)}|\\U000000{_any_case(c)}|\\u\{{0{{0,4}}{_any_case(c)}\}}|\\{c:03o}|&\#x0{{0,4}}{_any_case(c)};|&\#0{{0,4}}{c};{_literal(c)})"),
+    re.compile(r"\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\U000000([0-9A-Fa-f]{2})|\\u\{0{0,4}([0-9A-Fa-f]{1,2})\}|&#x0{0,4}([0-9A-Fa-f]{1,2});|&#0{0,4}([0-9]{1,3});|\\([0-7]{1,3})|\\([abfnrtv\\'\"/])|[ -\[\]-~]"),
+)
+_C = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11}
+
+
+def _byte(m: re.Match) -> int:
+    """The byte of a token; over 255 (no byte) never unpacks, so it only has to stay one."""
+    if not m.lastindex:
+        return ord(m[0])
+    x = m[m.lastindex]
+    if m.re is BYTES_URL[1] or m.lastindex <= 5:
+        return int(x, 16)
+    return (int(x) if m.lastindex == 6 else int(x, 8) if m.lastindex == 7 else _C.get(x) or ord(x)) & 255
+
+
+def _bytes(layer: Layer, budget: list[int], magic: re.Pattern, token: re.Pattern):
+    """Compressed bytes written as escapes, wherever a magic stands in them."""
+    start = end = done = 0
+    at, raw = [], b""
+    for m in magic.finditer(layer.text):
+        if m.start() < done:
+            continue
+        if m.start() >= end:  # a new run
+            start = end = m.start()
+            at, made = [], bytearray()
+            while t := token.match(layer.text, end):
+                at.append(end)
+                made.append(_byte(t))
+                end = t.end()
+            at, raw = [*at, end], bytes(made)
+        if end - start == len(raw):  # nothing is escaped
+            continue
+        i = bisect.bisect_left(at, m.start())
+        if i < len(raw) and at[i] == m.start() and (found := _members(raw[i:], budget)) is not None:
+            to = len(raw) - len(found[1]) * found[2]
+            done = at[to] if found[2] else done
+            for text, plain in _unpack(found[0], budget, set()):
+                yield Layer(text, layer.place(m.start(), at[to]), plain)
 
 
 def unwrap(layer: Layer, budget: list[int]) -> list[Layer]:
     """Layers directly inside a layer."""
     out, t = [], layer.text
-    if "%" in t and (x := _unescape(layer, URL, _url)):
-        out.append(x)
-    if ("\\" in t or "&#" in t) and (x := _unescape(layer, UNICODE, _unicode)):
-        out.append(x)
-    if any(len(w) >= 16 for w in t.split()):
+    if "%" in t:
+        if x := _unescape(layer, URL, _url):
+            out.append(x)
+        out += _bytes(layer, budget, *BYTES_URL)
+    if "\\" in t or "&#" in t:
+        if x := _unescape(layer, UNICODE, _unicode):
+            out.append(x)
+        out += _bytes(layer, budget, *BYTES_CODE)
+    if any(len(w) >= 16 for w in t.split()) or "\n" in t:
         out += _base64(layer, budget)
     return out
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
-    """(base spans, spans that only decoded layers show, number of layers, payloads over the limit)."""
+    """(base spans, spans that only decoded layers show, number of layers, payloads over the limit).
+
+    A payload that isn't plain text counts as a layer only if it holds something.
+    """
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     root = Layer(text)
     base = sorted(scan(text), key=order)
@@ -206,14 +371,17 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
         if (key := layer.key()) in seen:
             continue
         seen.add(key)
-        layers += 1
-        budget[0] -= len(layer.text)
-        for kind, a, z in scan(layer.text):
+        budget[0] -= len(layer.text) * layer.plain
+        found = scan(layer.text)
+        for kind, a, z in found:
             more.add((kind, *layer.place(a, z)))
+        inside = []
         if budget[0] > 0:
-            todo += unwrap(layer, budget)
+            inside = unwrap(layer, budget)
+            todo += inside
         else:
             budget[1] += 1
+        layers += layer.plain or bool(found or inside)
     return base, sorted(more - have, key=order), layers, budget[1]
 
 

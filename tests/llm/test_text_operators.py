@@ -1,13 +1,18 @@
 """Quality rules, secret scans, BPE, token counts, records: against brute force and the libraries."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import json
+import lzma
 import re
 import zlib
+from urllib.parse import quote
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
@@ -106,6 +111,29 @@ def test_nested_layers():
     assert secret_scan.find(mixed)[1] == [("assign", 0, 21)]
 
 
+def test_binary_escaped_and_wrapped_payloads_are_scanned():
+    secret = b'token = "abcdefgh12"'
+    noise = np.random.default_rng(1).integers(0, 256, 300, dtype="u1").tobytes()
+    b64 = lambda b: base64.b64encode(b).decode()
+    lines = lambda b, w: "\n".join(b64(b)[i : i + w] for i in range(0, len(b64(b)), w))
+    packed = gzip.compress(b"some words first " + secret)
+    cases = {
+        "nul": b64(b"\x00\x01" + secret), "latin1": b64(b"\xe9\xff " + secret), "utf16": b64(secret.decode().encode("utf-16")), "utf16be": b64(b"\x01" + secret.decode().encode("utf-16-be")),
+        "binary": b64(gzip.compress(noise + b"\n" + secret)), "two members": b64(gzip.compress(b"nothing") + gzip.compress(secret)), "zlib, then bz2": b64(zlib.compress(b"nothing") + bz2.compress(secret)),
+        "xz twice": b64(lzma.compress(b"a") + lzma.compress(secret)), "zstd twice": b64(zstandard.compress(b"nothing") + zstandard.compress(secret)), "after a member": b64(gzip.compress(b"nothing") + secret),
+        "percent": "".join(f"%{b:02x}" for b in packed), "quoted": quote(packed), "hex": "".join(f"\\x{b:02x}" for b in packed), "repr": repr(zlib.compress(secret))[2:-1], "json": json.dumps(packed.decode("latin-1"))[1:-1],
+        "formula": "x^2 \\f " + "".join(f"\\x{b:02x}" for b in packed), "broken": b64(b"x^2 " + secret), "cut off": b64(gzip.compress(secret + noise)[:-40]),
+        "mime": lines(b"x" * 70 + secret + b"y" * 70, 76), "wrapped gzip": lines(gzip.compress(noise + secret + noise), 64), "crlf": lines(noise + secret, 76).replace("\n", "\r\n"),
+    }
+    for name, w in cases.items():
+        for text in (f"plain é {w} end", f"plain\n{w}\nend of it"):
+            _, more, _, left = secret_scan.find(text)
+            assert not left and any(k == "assign" for k, _, _ in more), name
+            out = secret_scan.redact(text)
+            assert w not in out and out.startswith("plain") and out.endswith(text[-4:]), (name, out)
+    assert secret_scan.find("an internationalization misunderstanding\nof words")[1:] == ([], 1, 0)
+
+
 def test_decoding_stops():
     loop = base64.b64encode(b"no secrets in this layer at all").decode()
     for _ in range(12):
