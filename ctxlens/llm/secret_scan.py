@@ -36,10 +36,24 @@ UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-F
 LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*\r?\n[ \t>]*+[A-Za-z0-9+/_-]++)++={0,2}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
-#: A document's layers may hold this many bytes together; what would exceed it is left packed and reported.
+#: A document's compressed payloads may unpack to this many bytes together; one that would exceed it is left packed and reported.
 MAX_UNPACKED = 256 << 20
 
 
+class Budget:
+    """Bytes that a document's payloads may still unpack to, the places of payloads left packed, and payloads already tried."""
+
+    def __init__(self, left: int):
+        self.left, self.packed, self.tried = left, set(), set()
+
+    def new(self, raw: bytes, place: tuple[int, int]) -> bool:
+        """Whether the payload wasn't met at this place yet (layers hold copies of one another)."""
+        key = hashlib.sha256(raw).digest(), place
+        met = key in self.tried
+        self.tried.add(key)
+        return not met
+
+
 @dataclass
 class Layer:
     """text; spans None: the document itself; a pair: all of it came from one place; else a place for each code point."""
@@ -165,14 +179,14 @@ PACKED = (
 _BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, zstandard.ZstdError)
 
 
-def _members(raw: bytes, budget: list[int]) -> tuple[bytes, bytes, bool] | None:
+def _members(raw: bytes, budget: Budget, place: tuple[int, int]) -> tuple[bytes, bytes, bool] | None:
     """What the compressed members at the start of ``raw`` hold, together, what follows them, and whether all are whole.
 
     None if there are none. A broken member gives what comes before its fault, and is the rest itself. A payload
-    beyond the budget is counted and left packed (with no rest).
+    beyond the budget is noted by its place and left packed (with no rest).
     """
     out, rest, whole = [], raw, True
-    left = budget[0]
+    left = budget.left
     while (kind := next((k for k in PACKED if rest.startswith(k[0])), None)) and (not out or raw.startswith(kind[0])):
         _, make, step = kind
         d, got, at = make(), [], 0
@@ -187,7 +201,7 @@ def _members(raw: bytes, budget: list[int]) -> tuple[bytes, bytes, bool] | None:
                 x = d.decompress(piece, 1 << 20)
                 left -= len(x)
                 if left < 0:
-                    budget[1] += 1
+                    budget.packed.add((*place, hashlib.sha256(raw).digest()))
                     return b"", b"", True
                 got.append(x)
         except _BROKEN:
@@ -201,7 +215,7 @@ def _members(raw: bytes, budget: list[int]) -> tuple[bytes, bytes, bool] | None:
         rest = d.unused_data + rest[at:]
     if not out:
         return None
-    budget[0] = left
+    budget.left = left
     return b"".join(out), rest, whole
 
 
@@ -226,22 +240,22 @@ def _views(raw: bytes):
                 yield m[0].replace(b"\x00", b"").decode("ascii"), False
 
 
-def _unpack(raw: bytes, budget: list[int], seen: set, loose: bool = False):
-    """Views of a payload, through any compressed members; ``loose``: only of what was compressed."""
-    todo = [(raw, loose)]
+def _unpack(raw: bytes, budget: Budget, place: tuple[int, int]):
+    """Views of a payload, through any compressed members."""
+    todo, seen = [raw], set()
     while todo:
-        raw, loose = todo.pop()
+        raw = todo.pop()
         if not raw or raw in seen:  # a payload that unpacks to itself
             continue
         seen.add(raw)
-        if (found := _members(raw, budget)) is not None:
+        if (found := _members(raw, budget, place)) is not None:
             out, rest, whole = found
-            todo.append((out, False))
+            todo.append(out)
             if whole:
-                todo.append((rest, loose))
-            elif not loose:
+                todo.append(rest)
+            else:
                 yield from _views(rest)
-        elif not loose:
+        else:
             yield from _views(raw)
 
 
@@ -268,7 +282,7 @@ def _wrapped(text: str):
             i = max(i + 1, j)
 
 
-def _base64(layer: Layer, budget: list[int]):
+def _base64(layer: Layer, budget: Budget):
     runs = ((m[0], *m.span()) for m in BASE64.finditer(layer.text))
     for run, a, b in itertools.chain(runs, _wrapped(layer.text) if "\n" in layer.text else ()):
         run = run.rstrip("=")
@@ -278,8 +292,10 @@ def _base64(layer: Layer, budget: list[int]):
             raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        for text, plain in _unpack(raw, budget, set()):
-            yield Layer(text, layer.place(a, b), plain)
+        place = layer.place(a, b)
+        if budget.new(raw, place):
+            for text, plain in _unpack(raw, budget, place):
+                yield Layer(text, place, plain)
 
 
 def _escaped_magic(byte) -> re.Pattern:
@@ -316,7 +332,7 @@ def _byte(m: re.Match) -> int:
     return (int(x) if m.lastindex == 6 else int(x, 8) if m.lastindex == 7 else _C.get(x) or ord(x)) & 255
 
 
-def _bytes(layer: Layer, budget: list[int], magic: re.Pattern, token: re.Pattern):
+def _bytes(layer: Layer, budget: Budget, magic: re.Pattern, token: re.Pattern):
     """Compressed bytes written as escapes, wherever a magic stands in them."""
     start = end = done = 0
     at, raw = [], b""
@@ -334,14 +350,17 @@ def _bytes(layer: Layer, budget: list[int], magic: re.Pattern, token: re.Pattern
         if end - start == len(raw):  # nothing is escaped
             continue
         i = bisect.bisect_left(at, m.start())
-        if i < len(raw) and at[i] == m.start() and (found := _members(raw[i:], budget)) is not None:
+        if i < len(raw) and at[i] == m.start() and budget.new(raw[i:], place := layer.place(m.start(), end)):
+            if (found := _members(raw[i:], budget, place)) is None:
+                continue
             to = len(raw) - len(found[1]) * found[2]
             done = at[to] if found[2] else done
-            for text, plain in _unpack(found[0], budget, set()):
-                yield Layer(text, layer.place(m.start(), at[to]), plain)
+            place = layer.place(m.start(), at[to])
+            for text, plain in _unpack(found[0], budget, place):
+                yield Layer(text, place, plain)
 
 
-def unwrap(layer: Layer, budget: list[int]) -> list[Layer]:
+def unwrap(layer: Layer, budget: Budget) -> list[Layer]:
     """Layers directly inside a layer."""
     out, t = [], layer.text
     if "%" in t:
@@ -357,32 +376,33 @@ def unwrap(layer: Layer, budget: list[int]) -> list[Layer]:
     return out
 
 
-def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
-    """(base spans, spans that only decoded layers show, number of layers, payloads over the limit).
+def _find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, list[tuple[int, int, bytes]]]:
+    """(base spans, spans that only decoded layers show, number of layers, payloads left packed by place and digest).
 
     A payload that isn't plain text counts as a layer only if it holds something.
     """
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     root = Layer(text)
     base = sorted(scan(text), key=order)
-    seen, have, more, todo, budget, layers = set(), set(base), set(), unwrap(root, b := [MAX_UNPACKED, 0]), b, 1
+    seen, have, more, todo, budget, layers = set(), set(base), set(), unwrap(root, b := Budget(MAX_UNPACKED)), b, 1
     while todo:
         layer = todo.pop()
         if (key := layer.key()) in seen:
             continue
         seen.add(key)
-        budget[0] -= len(layer.text) * layer.plain
         found = scan(layer.text)
         for kind, a, z in found:
             more.add((kind, *layer.place(a, z)))
-        inside = []
-        if budget[0] > 0:
-            inside = unwrap(layer, budget)
-            todo += inside
-        else:
-            budget[1] += 1
+        inside = unwrap(layer, budget)
+        todo += inside
         layers += layer.plain or bool(found or inside)
-    return base, sorted(more - have, key=order), layers, budget[1]
+    return base, sorted(more - have, key=order), layers, sorted(budget.packed)
+
+
+def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
+    """(base spans, spans that only decoded layers show, number of layers, payloads over the limit)."""
+    base, more, layers, packed = _find(text)
+    return base, more, layers, len(packed)
 
 
 def _joined(spans) -> str:
@@ -414,10 +434,10 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
 
 def redact(text: str, mark: str = "[SECRET]") -> str:
-    """The text with every found place, overlapping ones merged, replaced by ``mark``."""
-    base, more, _, _ = find(text)
+    """The text with every found place and every payload left packed, overlapping ones merged, replaced by ``mark``."""
+    base, more, _, packed = _find(text)
     out, at, end = [], 0, 0
-    for _, a, b in sorted(base + more, key=lambda s: s[1:]):
+    for a, b in sorted([s[1:] for s in base + more] + [s[:2] for s in packed]):
         if a < end:
             end = max(end, b)
             at = max(at, end)

@@ -134,6 +134,21 @@ def test_binary_escaped_and_wrapped_payloads_are_scanned():
     assert secret_scan.find("an internationalization misunderstanding\nof words")[1:] == ([], 1, 0)
 
 
+def test_only_unpacked_bytes_are_limited_and_bombs_redacted(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MAX_UNPACKED", 3000)
+    secret = 'token = "abcdefgh12"'
+    deep = secret
+    for _ in range(4):
+        deep = "".join(f"%{b:02x}" for b in deep.encode()) if len(deep) < 40 else deep.replace("%", "%25")
+    bomb = base64.b64encode(gzip.compress(b"word " * 2000)).decode()
+    text = "long words " * 600 + deep + " end"
+    _, more, _, left = secret_scan.find(text)
+    assert not left and more and deep not in secret_scan.redact(text)
+    text = f"a {bomb} b {base64.b64encode(secret.encode()).decode()} 100%25 c"
+    _, more, _, left = secret_scan.find(text)
+    assert left == 1 and more and secret_scan.redact(text) == "a [SECRET] b [SECRET] 100%25 c"
+
+
 def test_decoding_stops():
     loop = base64.b64encode(b"no secrets in this layer at all").decode()
     for _ in range(12):
