@@ -154,6 +154,9 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, p: Params = Params(),
     table's most frequent one, take no part. Rows that share an id count as one row's copies: none is
     another's neighbour. Equal scores go to the smaller id. Extra columns are ignored.
 
+    A query that met fewer than k candidates in its share of the lists scans all others, so it returns k unless
+    the table has fewer.
+
     Queries and candidate blocks meet by an equi-join on the list; both sides are packed rows of bounded
     size. After each round of lists the k-th score of a query is renewed, which bounds what the next
     round lets through to about k times the ratio of the rounds, whatever the table's size.
@@ -208,8 +211,10 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, p: Params = Params(),
                 yield pa.RecordBatch.from_arrays([pa.array(qid[qi], pa.int64()), pa.array(cand[ci], pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    state = None
-    for lo, hi in bounds:
+    repeated = _repeated_ids(src)
+
+    def step(state: DataFrame | None, queries: DataFrame, n_queries: int, lo: int, hi: int) -> DataFrame:
+        """The state after the lists from rank lo to hi of each query."""
         tau = F.lit(float("-inf")).alias("tau")
         if state is not None:
             kth = state.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
@@ -223,8 +228,16 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, p: Params = Params(),
         found = met.mapInArrow(scan, out)
         if state is not None:
             found = found.unionByName(state)
-        found = found.dropDuplicates(["query_id", "vec_id"]) if _repeated_ids(src) else found
-        state = cut(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
+        found = found.dropDuplicates(["query_id", "vec_id"]) if repeated else found
+        return cut(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
+    state = None
+    for lo, hi in bounds:
+        state = step(state, queries, n_queries, lo, hi)
+    if edges[-1] < lists:  # queries that have met fewer than k candidates scan the rest, too
+        full = state.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+        short = cut(queries.join(full, queries["vec_id"] == full["query_id"], "left_anti"))
+        if n_short := short.count():
+            state = step(state, short, n_short, edges[-1], lists)
     return state.withColumn("rank", F.row_number().over(best)).select("query_id", "rank", "vec_id", "score")
 
 

@@ -224,6 +224,18 @@ def test_near_dedup(spark, block):
     assert kept.columns == d.columns and kept.where("doc_id = 2001").count() == (kept.where("doc_id = 2000").count() == 0) * 1 or kept.where("doc_id = 2001").count() <= 1
 
 
+def test_keep_one_row_of_each_component_whatever_the_ids(spark):
+    rng = random.Random(12)
+    a, b, c, e, f = (text_of(rng, 80) for _ in range(5))
+    near = lambda t: t + " tail"
+    rows = [(None, a), (None, b), (-1, c), (3, e), (5, f), (5, near(e)), (None, near(a)), (7, near(b)), (9, "x y z"), (9, "x y z"), (None, ""), (None, ""), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in near_dedup.keep_one(d).collect()]
+    assert (len([r for r in got if r in ((None, a), (None, near(a)))])) == 1
+    rest = [r for r in got if r not in ((None, a), (None, near(a)))]
+    assert sorted(map(str, rest)) == sorted(map(str, [(7, near(b)), (-1, c), (3, e), (5, f), (9, "x y z"), (None, ""), (None, ""), (None, None)]))
+
+
 def test_near_dedup_of_nothing(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(d).count() == 0 and near_dedup.keep_one(d).count() == 0
@@ -251,18 +263,6 @@ def test_components_of_a_long_chain(spark):
     random.Random(0).shuffle(order)
     links = [(name(a), name(b)) for a, b in zip(order, order[1:])] + [(name(100), name(101)), (name(101), name(101))]
     got = {r.node: r.comp for r in near_dedup.components(spark.createDataFrame(links, "a binary, b binary")).collect()}
-def test_keep_one_row_of_each_component_whatever_the_ids(spark):
-    rng = random.Random(12)
-    a, b, c, e, f = (text_of(rng, 80) for _ in range(5))
-    near = lambda t: t + " tail"
-    rows = [(None, a), (None, b), (-1, c), (3, e), (5, f), (5, near(e)), (None, near(a)), (7, near(b)), (9, "x y z"), (9, "x y z"), (None, ""), (None, ""), (None, None)]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [tuple(r) for r in near_dedup.keep_one(d).collect()]
-    assert (len([r for r in got if r in ((None, a), (None, near(a)))])) == 1
-    rest = [r for r in got if r not in ((None, a), (None, near(a)))]
-    assert sorted(map(str, rest)) == sorted(map(str, [(7, near(b)), (-1, c), (3, e), (5, f), (9, "x y z"), (None, ""), (None, ""), (None, None)]))
-
-
     assert {bytes(v) for k, v in got.items() if k < name(50)} == {name(0)} and bytes(got[name(101)]) == name(100)
 
 
@@ -338,6 +338,18 @@ def test_vector_search(spark):
     assert [r.rank for r in few] == [1, 2, 3, 4]
 
 
+def test_few_candidates_are_all_returned(spark):
+    rng = np.random.default_rng(31)
+    for n in (12, 20, 25):
+        x = rng.standard_normal((n, 8))
+        d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got: dict = {}
+        for r in vector_search.search(d, F.lit(True), 20).collect():
+            got.setdefault(r.query_id, {})[r.vec_id] = r.score
+        assert sorted(got) == list(range(n)) and {len(v) for v in got.values()} == {min(20, n - 1)}
+        assert all(s == pytest.approx(float(x[q] @ x[v]), abs=1e-12) and q != v for q, found in got.items() for v, s in found.items())
+
+
 def test_hypothesis_test_keeps_true_neighbours():
     rng = np.random.default_rng(9)
     p = vector_search.Params(columns=8)
