@@ -53,6 +53,25 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if small(df, rows) else df
 
 
+#: A key that holds more than one in so many rows of a join's side is met by broadcast, so at most so many keys are.
+HOT_KEYS = 200
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, total: int, salt: list[str]) -> DataFrame:
+    """``left`` left-joined to ``right`` (one row per key; ``weight``: how many rows of the left have it), without ``weight``.
+
+    Keys that hold more than 1 / HOT_KEYS of the left's ``total`` rows are broadcast, HOT_KEYS of them at most. Their rows pass
+    the ordinary join under keys of their own (of the columns ``salt``), so that no task gets them all. Keys must not be null.
+    """
+    values = [c for c in right.columns if c not in (*on, weight)]
+    hot = right.where(F.col(weight) * HOT_KEYS > total).select(*[F.col(k).alias(f"__hot_{k}") for k in on], F.struct(F.lit(1).alias("__one"), *values).alias("__hot"))
+    met = left.join(F.broadcast(hot), [F.col(k) == F.col(f"__hot_{k}") for k in on], "left").drop(*[f"__hot_{k}" for k in on])
+    met = met.withColumn("__own", F.when(F.col("__hot").isNotNull(), F.xxhash64(*salt).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
+    rest = right.select(*on, F.struct(F.lit(1).alias("__one"), *values).alias("__cold"), F.lit(0).cast("long").alias("__own"))
+    met = met.join(rest, [*on, "__own"], "left")
+    return met.select(*left.columns, *[F.coalesce(F.col(f"__hot.{c}"), F.col(f"__cold.{c}")).alias(c) for c in values])
+
+
 def map_text(df: DataFrame, make, fields: list, keep: list[str], text: str = "text", step: int = 256) -> DataFrame:
     """Rows of ``df`` with columns computed from whole texts in Arrow batches.
 

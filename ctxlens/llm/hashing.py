@@ -1,12 +1,13 @@
 """Hashes of words and word windows for whole batches of texts, without a loop over words.
 
-A word's hash is a polynomial in its bytes, read off prefix sums over the batch; a window's hash is a
-sum of its words' hashes with one odd factor for each place. Both are mixed to 64 bits. ``lane`` selects
-one of two independent families; together they give 128 bits.
+A word of up to 16 bytes is mapped one to one to 128 bits (a Feistel network over its bytes, with its length in the
+keys); a longer one has 128 bits of BLAKE2b. So no structure of words makes two of them equal. The halves are two independent
+lanes. A window's hash in a lane is a sum of its words' hashes with one odd factor for each place, mixed to 64 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -14,8 +15,6 @@ import numpy as np
 #: Bytes that separate words.
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes hashed at once; a chunk ends at a separator.
-CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,20 +25,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _family(lane: int) -> tuple[np.ndarray, int, np.ndarray]:
-    """Random values of the bytes, an odd base, odd factors of the places of a window."""
-    rng = np.random.default_rng(1000 + lane)
-    return rng.integers(0, 1 << 63, 256, dtype="u8") * np.uint64(2) + np.uint64(1), int(rng.integers(1 << 40, 1 << 62)) * 2 + 1, rng.integers(0, 1 << 63, 64, dtype="u8") * np.uint64(2) + np.uint64(1)
-
-
-@lru_cache(maxsize=4)
-def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _family(lane)[1]
-    up = np.full(n, base, "u8")
-    up[0] = 1
-    down = np.full(n, pow(base, -1, 1 << 64), "u8")
-    down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def _factors(lane: int) -> np.ndarray:
+    """Random odd factors of the places of a window."""
+    return np.random.default_rng(1000 + lane).integers(0, 1 << 63, 64, dtype="u8") * np.uint64(2) + np.uint64(1)
 
 
 def find_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,23 +37,28 @@ def find_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """64-bit hash of each word."""
-    values, _, _ = _family(lane)
-    out = np.empty(len(starts), "u8")
-    i = 0
-    while i < len(starts):
-        lo = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, lo + CHUNK, "right")))
-        hi = ends[j - 1]
-        size = CHUNK if hi - lo <= CHUNK else 1 << int(hi - lo).bit_length()
-        up, down = _powers(lane, size)
-        sums = np.zeros(hi - lo + 1, "u8")
-        np.cumsum(values[buf[lo:hi]] * up[: hi - lo], out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (sums[e] - sums[s]) * down[s]
-        i = j
-    return mix(out)
+#: Keys of the rounds, and masks of the first bytes of an integer.
+ROUNDS = np.random.default_rng(1002).integers(0, 1 << 63, 6, dtype="u8")
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], "u8")
+
+
+def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(2, words): both lanes of each word's hash."""
+    size = ends - starts
+    padded = np.concatenate((buf, np.zeros(16, "u1")))
+    eight = np.ndarray(len(buf) + 9, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    a = eight[starts] & FIRST[np.minimum(size, 8)]
+    b = eight[starts + np.minimum(size, 8)] & FIRST[np.clip(size - 8, 0, 8)]
+    length = size.astype("u8") << np.uint64(56)
+    for i in range(0, len(ROUNDS), 2):
+        b = b ^ mix(a ^ ROUNDS[i] ^ length)
+        a = a ^ mix(b ^ ROUNDS[i + 1])
+    out = np.stack((a, b))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        digests = [hashlib.blake2b(buf[s:e].tobytes(), digest_size=16).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        out[:, long] = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2).T
+    return out
 
 
 def hash_windows(words: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
@@ -73,7 +66,7 @@ def hash_windows(words: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, "u8")
-    factors = _family(lane)[2]
+    factors = _factors(lane)
     total = np.zeros(n, "u8")
     for k in range(width):
         total += words[k : k + n] * factors[k]
@@ -90,9 +83,13 @@ class Batch:
         edges = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.first = np.searchsorted(self.starts, edges)
         self.last = np.repeat(self.first[1:], np.diff(self.first))  # end of each word's text
+        self.hashes: np.ndarray | None = None
 
     def words(self, lane: int = 0) -> np.ndarray:
-        return hash_words(self.buf, self.starts, self.ends, lane)
+        """Hash of each word in a lane."""
+        if self.hashes is None:
+            self.hashes = hash_words(self.buf, self.starts, self.ends)
+        return self.hashes[lane]
 
     def inside(self, width: int) -> np.ndarray:
         """Whether the window that starts at each word ends in the same text."""

@@ -5,11 +5,12 @@
 2. Each class has MinHash samples; bands of them give buckets, and all samples are folded into an odd sketch,
    a bitmap of parities. The population count of the XOR of two sketches estimates how many
    samples differ, precisely where similarity is high.
-3. Buckets of the same members count once. Members of a bucket, with their sets, are packed into blocks. A task takes a block: pairs that its own links
-   don't connect yet, that meet in no earlier band, and whose sketches are close enough are confirmed on the
-   full sets. It returns a spanning forest of its links, never all pairs.
+3. Buckets of the same members count once. Members of a bucket, with their sets, are packed into blocks of bounded number and
+   size. A task takes a block: pairs that its own links don't connect yet, that meet in no earlier band, and whose sketches
+   promise enough similarity are confirmed on the full sets. It returns a spanning forest of its links, never all pairs.
 4. Buckets of more than one block: after connecting what is known, blocks hold members of one component where
-   they can; pairs of blocks that are wholly of one component are left out, the others are compared likewise.
+   they can; pairs of blocks that are wholly of one component are left out, the others are compared likewise,
+   each pair of blocks under a key of its own.
 5. Components of the links by alternating stars; the smallest doc_id is the component.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, broadcast_if_small, cut, small
+from .common import WORD, broadcast_if_small, cut, small, split_join
 from .hashing import Batch, hash_windows, mix
 
 
@@ -30,8 +31,9 @@ from .hashing import Batch, hash_windows, mix
 class Params:
     """Pairs at 85 % miss all of 24 bands of 5 samples with a probability of 8e-7.
 
-    far: sketches that differ in more of the 256 bits than this are not compared; at a similarity of 85 % the
-    expected count is 33 and its deviation 7.
+    promise: pairs whose sketches estimate less similarity than this are not compared. At 85 % the sketches differ in 33 of
+    256 bits, with a deviation of 7; 0.48 stands for 80 bits. block, block_bytes: members of a block, and
+    the bytes of their sets (a single set may be larger).
     """
 
     width: int = 5
@@ -39,8 +41,9 @@ class Params:
     bands: int = 24
     rows: int = 5
     bits: int = 256
-    far: int = 80
+    promise: float = 0.476
     block: int = 512
+    block_bytes: int = 8 << 20
     seed: int = 5
 
 
@@ -100,11 +103,9 @@ class Signer:
         return np.packbits(odd.astype("u1")).tobytes()
 
 
-def similarity(sketch_a: bytes, sketch_b: bytes, samples: int) -> float:
-    """Estimate of the Jaccard similarity from two odd sketches: 1 + bits / (4 * samples) * ln(1 - 2 * differing / bits)."""
-    a, b = np.frombuffer(sketch_a, "u1"), np.frombuffer(sketch_b, "u1")
-    bits = 8 * len(a)
-    return 1 + bits / (4 * samples) * float(np.log(max(1e-9, 1 - 2 * int(np.bitwise_count(a ^ b).sum()) / bits)))
+def similarity(differing: np.ndarray, bits: int, samples: int) -> np.ndarray:
+    """Estimates of the Jaccard similarity from the numbers of bits in which two odd sketches differ."""
+    return 1 + bits / (4 * samples) * np.log(np.maximum(1e-9, 1 - 2 * np.asarray(differing) / bits))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -161,7 +162,7 @@ def compare(rows: list[dict], other: list[dict] | None, band: int, p: Params) ->
         rest = np.arange(max(lo, i + 1), len(both))
         if not len(rest):
             break
-        near = np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1) <= p.far
+        near = similarity(np.bitwise_count(sketch[rest] ^ sketch[i]).sum(axis=1), p.bits, p.bands * p.rows) >= p.promise
         near &= 100 * np.minimum(size[rest], size[i]) >= p.percent * np.maximum(size[rest], size[i])
         rest = rest[near]
         if band and len(rest):
@@ -258,72 +259,77 @@ def _between(pairs: DataFrame, p: Params) -> DataFrame:
     return pairs.select("band", "left", "right").mapInArrow(run, _LINKS)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, comp): the least node that links reach, by alternating large and small stars.
+def components(links: DataFrame) -> DataFrame:
+    """(node, comp): the least node that links reach, by alternating large and small stars until nothing changes.
 
-    Each round is aggregations and joins on nodes, written to the shared folder; a hub is an ordinary hot join key.
-    Nodes without links don't appear.
+    Each round is aggregations and joins on nodes, written to the shared folder; hubs are split. The number of rounds
+    grows with the logarithm of the longest path. Nodes without links don't appear.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = cut(edges)
-    last = None
-    for _ in range(rounds):
+    size, last = edges.count(), None
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        large = split_join(both.where("v > u"), least, ["u"], "c", 2 * size, ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
-        last = now
-    else:
-        raise RuntimeError("components did not settle")
+        size, last = now[0], now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return stars.unionByName(stars.select(F.col("comp").alias("node"), "comp").distinct())
 
 
+def _slots(n: Column, size: Column, p: Params) -> Column:
+    """Blocks for so many members with sets of so many bytes."""
+    return F.ceil(F.greatest(n / p.block, size / p.block_bytes)).cast("int")
+
+
 def _linked(docs: DataFrame, p: Params, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows, and (node, comp) of the nodes that are linked."""
     sigs = cut(signatures(docs, p, doc_id, text))
     some = sigs.where("n_shingles > 0")
-    nodes = some.groupBy("node").agg(F.min(F.struct(F.coalesce("__doc", F.lit(-1)).alias("d"), *_KEY, "bands", "sketch")).alias("r"))
-    nodes = nodes.select("node", *[F.col(f"r.{k}").alias(k) for k in _KEY], F.col("r.bands").alias("bands"), F.col("r.sketch").alias("sketch"))
-    keyed = _key_bands(nodes, p)
+    nodes = some.groupBy("node").agg(F.min(F.struct(F.coalesce("__doc", F.lit(-1)).alias("d"), *_KEY, (8 * F.col("n_shingles")).alias("bytes"), "bands", "sketch")).alias("r"))
+    nodes = nodes.select("node", *[F.col(f"r.{k}").alias(k) for k in (*_KEY, "bytes", "bands", "sketch")])
+    keyed = _key_bands(nodes, p, "bytes")
     # buckets with the same members (by a 128-bit digest of the set) hold the same pairs: the first band's stands for all
     same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"s{i}") for i in (0, 1)]
-    crowds = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *same).where("n > 1")
-    crowds = cut(crowds.groupBy("n", "s0", "s1").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n"))
-    places = cut(keyed.join(crowds, ["band", "key"]).select("band", "key", "n", "node"))
+    crowds = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"), *same).where("n > 1")
+    crowds = cut(crowds.groupBy("n", "size", "s0", "s1").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", "n", "size"))
+    bound = crowds.select("band", "key", "n", _slots(F.col("n"), F.col("size"), p).alias("slots"))
+    places = split_join(keyed, bound, ["band", "key"], "n", max(1, p.bands * (some.count())), ["node"]).where("slots IS NOT NULL")
+    places = cut(places.select("band", "key", "slots", "node", "bytes"))
     wanted = cut(nodes.join(places.select("node").distinct(), "node"))
     sets = _sets_of(docs, wanted, p, doc_id, text).groupBy("node").agg(F.first("shingles").alias("shingles"))
     members = wanted.select("node", "bands", "sketch").join(sets, "node")
 
-    slots = F.ceil(F.col("n") / p.block).cast("int")
-    dealt = places.withColumn("slot", F.pmod(F.xxhash64("node", "key"), slots).cast("int")).join(members, "node")
+    dealt = places.withColumn("slot", F.pmod(F.xxhash64("node", "key"), F.col("slots")).cast("int")).join(members, "node")
     one = F.struct("node", "bands", "sketch", "shingles")
     blocks = dealt.groupBy("band", "key", "slot").agg(F.collect_list(one).alias("members")).where(F.size("members") > 1)
     links = cut(_within(blocks, p))
 
-    if places.where(F.col("n") > p.block).limit(1).count():
+    if places.where("slots > 1").limit(1).count():
         comps = components(links)
-        large = places.where(F.col("n") > p.block).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        large = places.where("slots > 1").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = large.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band", "key")
-        large = large.join(mixed, ["band", "key"])
+        large = cut(large.join(mixed, ["band", "key"]))
         # components of half a block and more fill blocks of their own; the others are dealt together
-        weight = large.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        own = F.when(F.col("c") * 2 >= p.block, F.col("comp"))
-        dealt = large.join(weight, ["band", "key", "comp"]).withColumn("own", own)
-        spread = F.when(F.col("own").isNotNull(), F.ceil(F.col("c") / p.block)).otherwise(F.ceil(F.col("n") / p.block)).cast("int")
+        weight = large.groupBy("band", "key", "comp").agg(_slots(2 * F.count(F.lit(1)), 2 * F.sum("bytes"), p).alias("halves")).where("halves > 1")
+        dealt = large.join(weight, ["band", "key", "comp"], "left").withColumn("own", F.when(F.col("halves").isNotNull(), F.col("comp")))
+        spread = F.coalesce(F.ceil(F.col("halves") / 2), F.col("slots")).cast("int")
         dealt = dealt.withColumn("slot", F.pmod(F.xxhash64("node", "key"), spread).cast("int")).join(members, "node")
         one = F.struct("node", "comp", "bands", "sketch", "shingles")
-        packed = cut(dealt.groupBy("band", "key", "own", "slot").agg(F.collect_list(one).alias("members")))
-        packed = packed.withColumn("at", F.concat(F.coalesce("own", F.lit(b"")), F.encode(F.lpad(F.col("slot").cast("string"), 10, "0"), "utf-8")))
-        a = packed.select("band", "key", F.col("own").alias("own_a"), F.col("at").alias("at_a"), F.col("members").alias("left"))
-        b = packed.select("band", "key", F.col("own").alias("own_b"), F.col("at").alias("at_b"), F.col("members").alias("right"))
-        pairs = a.join(b, ["band", "key"]).where((F.col("at_a") < F.col("at_b")) & ~F.coalesce(F.col("own_a") == F.col("own_b"), F.lit(False)))
-        links = cut(_between(pairs, p).unionByName(links))
+        at = F.concat(F.coalesce("own", F.lit(b"")), F.encode(F.lpad(F.col("slot").cast("string"), 10, "0"), "utf-8")).alias("at")
+        packed = cut(dealt.groupBy("band", "key", "own", "slot").agg(F.collect_list(one).alias("members")).select("band", "key", "own", at, "members"))
+        # a pair of blocks is a row without members; those come by the block, which is as good a key as there are blocks
+        side = lambda s: packed.select("band", "key", F.col("own").alias(f"own_{s}"), F.col("at").alias(f"at_{s}"))
+        pairs = side("a").join(side("b"), ["band", "key"]).where((F.col("at_a") < F.col("at_b")) & ~F.coalesce(F.col("own_a") == F.col("own_b"), F.lit(False)))
+        block = lambda s, name: packed.select("band", "key", F.col("at").alias(f"at_{s}"), F.col("members").alias(name))
+        met = pairs.drop("own_a", "own_b").join(block("a", "left"), ["band", "key", "at_a"]).join(block("b", "right"), ["band", "key", "at_b"])
+        links = cut(_between(met, p).unionByName(links))
 
     return sigs, components(links)
 
@@ -339,11 +345,14 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     capped.
     """
     sigs, comps = _linked(docs, p, doc_id, text)
-    some = sigs.where("n_shingles > 0")
-    known = some.select("node", "__doc").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    names = known.groupBy("comp").agg(F.min("__doc").alias("component_id"))
+    some = sigs.where("n_shingles > 0").select("__doc", *_KEY, "n_shingles", "node")
+    nodes = some.groupBy("node").agg(F.min("__doc").alias("first"), F.count(F.lit(1)).alias("copies"))
+    nodes = cut(nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    names = nodes.groupBy("comp").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    total = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.sum("copies").alias("rows")).first()
+    named = cut(split_join(nodes, names, ["comp"], "size", total["nodes"], ["node"]).select("node", "component_id", "copies"))
+    linked_rows = split_join(some, named, ["node"], "copies", total["rows"] or 0, _KEY)
     alone = sigs.where("n_shingles = 0").select("__doc", "n_shingles", F.col("__doc").alias("component_id"))
-    linked_rows = some.select("__doc", "n_shingles", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(names, "comp")
     out = linked_rows.select("__doc", "n_shingles", "component_id").unionByName(alone)
     return out.select(F.col("__doc").alias(doc_id), "n_shingles", "component_id", F.col("__doc").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -356,8 +365,9 @@ def keep_one(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text
     """
     sigs, comps = _linked(docs, p, doc_id, text)
     some = sigs.where("n_shingles > 0").select("__doc", *_KEY, "node")
-    known = some.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    best = known.groupBy("comp").agg(F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", *_KEY)).alias("r"))
+    first = some.groupBy("node").agg(F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", *_KEY)).alias("r"))
+    known = first.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    best = known.groupBy("comp").agg(F.min("r").alias("r"))
     stay = cut(best.select(*[F.col(f"r.{k}").alias(k) for k in _KEY]))
     copied = cut(some.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*_KEY).join(stay, _KEY))
     keyed = docs.withColumns({c: v for c, v in zip(["__doc", *_KEY, "__text"], _keyed(doc_id, text), strict=True)})

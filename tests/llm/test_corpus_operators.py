@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from ctxlens.llm import hashing, near_dedup, source_mix, span_dedup, vector_search, warc  # noqa: E402
+from ctxlens.llm import common, hashing, near_dedup, source_mix, span_dedup, vector_search, warc  # noqa: E402
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, source string"
@@ -173,6 +173,27 @@ def test_word_hashes_follow_content():
             assert (h[i] == h[j]) == (words[i] == words[j])
 
 
+def thue_morse(n):
+    """A word of n letters and its complement: equal under any polynomial modulo a power of two, if n is large enough."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_without_structural_collisions(spark):
+    pairs = [thue_morse(1 << k) for k in range(1, 13)]
+    words = [w for p in pairs for w in p] + ["a", "a\0", "a\0\0", "\0", "\0a", "aaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaa\0", "aaaaaaaab", "aaaaaaaaba"]
+    b = hashing.Batch([" ".join(words).encode()])
+    for lane in (0, 1):
+        assert len(set(b.words(lane).tolist())) == len(words)
+    rng = random.Random(22)
+    tail = text_of(rng, 60)
+    rows = [(2 * i + j, f"{w} {tail} {i}") for i, p in enumerate(pairs[7:]) for j, w in enumerate(p)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, [tuple(r) for r in span_dedup.remove_repeats(d, output="digest").collect()])) == sorted(map(str, brute_spans(rows)))
+    short = spark.createDataFrame([(2 * i + j, w) for i, p in enumerate(pairs) for j, w in enumerate(p)], "doc_id long, text string")
+    assert all(r.kept for r in near_dedup.near_duplicates(short).collect())
+
+
 # near-dedup
 
 
@@ -197,7 +218,7 @@ def brute_near(rows):
     for i, (doc, _) in enumerate(rows):
         comp.setdefault(top(i), []).append(doc)
     first = {k: min((x for x in v if x is not None), default=None) for k, v in comp.items()}
-    return sorted(str((doc, len(s), first[top(i)], doc == first[top(i)])) for i, ((doc, _), s) in enumerate(zip(rows, sets, strict=True)))
+    return sorted(str((doc, len(s), first[top(i)], doc == first[top(i)])) for i, ((doc, _), s) in enumerate(zip(rows, sets, strict=True))), len(comp)
 
 
 def near_rows():
@@ -214,14 +235,27 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 6])
-def test_near_dedup(spark, block):
+@pytest.mark.parametrize("options", [{}, {"block": 6}, {"block_bytes": 5000}])
+def test_near_dedup(spark, options, monkeypatch):
     rows = near_rows()
+    monkeypatch.setattr(common, "HOT_KEYS", 10 if options else 200)  # with and without hot keys
     d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string")
-    got = near_dedup.near_duplicates(d, near_dedup.Params(block=block))
-    assert sorted(str(tuple(r)) for r in got.collect()) == brute_near(rows)
-    kept = near_dedup.keep_one(d, near_dedup.Params(block=block))
-    assert kept.columns == d.columns and kept.where("doc_id = 2001").count() == (kept.where("doc_id = 2000").count() == 0) * 1 or kept.where("doc_id = 2001").count() <= 1
+    got = near_dedup.near_duplicates(d, near_dedup.Params(**options))
+    want, n_components = brute_near(rows)
+    assert sorted(str(tuple(r)) for r in got.collect()) == want
+    kept = near_dedup.keep_one(d, near_dedup.Params(**options))
+    assert kept.columns == d.columns
+    assert kept.count() == n_components
+
+
+def test_split_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    left = spark.createDataFrame([(i % 3 if i < 60 else i, i) for i in range(100)], "k long, i long")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("top"), F.lit(None).cast("long").alias("none")).where("k % 10 != 9")
+    got = common.split_join(left, right, ["k"], "n", 100, ["i"])
+    assert got.columns == ["k", "i", "top", "none"]
+    want = left.join(right.drop("n"), "k", "left")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def test_keep_one_row_of_each_component_whatever_the_ids(spark):
@@ -253,10 +287,27 @@ def test_odd_sketches_estimate_similarity():
             both = rng.integers(0, 1 << 63, int(n * shared), dtype="u8")
             a, b = (np.unique(np.concatenate((both, rng.integers(0, 1 << 63, n - len(both), dtype="u8")))) for _ in range(2))
             true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-            errors.append(near_dedup.similarity(signer.sketch(signer.samples(a)), signer.sketch(signer.samples(b)), 120) - true)
+            x, y = (np.frombuffer(signer.sketch(signer.samples(v)), "u1") for v in (a, b))
+            errors.append(near_dedup.similarity(np.bitwise_count(x ^ y).sum(), 256, 120) - true)
         assert abs(np.mean(errors)) < 0.05 and np.std(errors) < 0.08
 
 
+def test_bands_find_pairs_just_above_the_threshold():
+    rng = np.random.default_rng(13)
+    p = near_dedup.Params()
+    signer, far, agree, expected = near_dedup.Signer(p), 0, 0, 0.0
+    for _ in range(1500):
+        both, own = 275, 22  # 275 of 319: 86.2 %
+        x = rng.integers(0, 1 << 63, both + 2 * own, dtype="u8") * np.uint64(2)
+        s, t = (signer.samples(np.sort(v)) for v in (x[: both + own], np.concatenate((x[:both], x[both + own :]))))
+        same = signer.bands(s) == signer.bands(t)
+        agree += int(same.sum())
+        expected += p.bands * (both / (both + 2 * own)) ** p.rows
+        d = np.bitwise_count(np.frombuffer(signer.sketch(s), "u1") ^ np.frombuffer(signer.sketch(t), "u1")).sum()
+        far += not same.any() or near_dedup.similarity(d, p.bits, p.bands * p.rows) < p.promise
+    assert far == 0 and abs(agree / expected - 1) < 0.02
+
+
 def test_components_of_a_long_chain(spark):
     name = lambda i: i.to_bytes(4, "big")
     order = list(range(40))
