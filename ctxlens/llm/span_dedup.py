@@ -1,22 +1,25 @@
 """Substring dedup by fixed-block anchors (operator 6).
 
 Every document is cut into non-overlapping reference blocks of BLOCK words, counted from its start, which
-are indexed by hash. Every rolling window of BLOCK words probes the index. Both sides keep, of each
-GROUP consecutive blocks of one phase, the block with the least hash: a repeat of WINDOW words holds
-GROUP whole blocks of the other place's phase, whose least one both places keep, so none is lost, and
-most probes need not travel. A hit is then extended: the WINDOW-word windows around it are compared as
-128-bit hashes, and the union of the repeated ones is the maximal exact repeats.
-
-Documents are dealt to groups; places are word numbers in a group, so that what travels is one packed
-row for each (group, bucket of hashes). The texts are shuffled once, by group, and that shuffle is
-read again by the later steps.
+are indexed by hash. Every rolling window of BLOCK words probes the index. A hit is then extended: the
+WINDOW-word windows around it are compared as 128-bit hashes, and the union of the repeated ones is the maximal exact
+repeats.
+
+Which probes travel: of each run of GROUP consecutive blocks of one phase (any place may start one), both sides keep the
+block with the least hash. None is lost: WINDOW = (GROUP + 1) * BLOCK words at p that stand at q, too, hold, wherever q's reference
+blocks fall, GROUP whole ones of them in a row. Their words are the same at p, where they are GROUP consecutive windows of one phase; so
+both places keep the one with the least hash, which is a reference block at q: p's window has a hit. The same holds
+the other way round. GROUP = 1 keeps every block and every window; tests compare the two.
+
+Documents are dealt to groups. A group sends each distinct hash once, with what is needed to count it, and gets those back that
+are repeated; where they stand it finds in its own texts. So a block that stands everywhere is one entry of each group. The texts are
+shuffled once, by group, and that shuffle is read again by the later steps.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,29 +31,57 @@ from .hashing import Batch, hash_windows
 WINDOW = 35
 BLOCK = 7
 GROUP = 4
-#: What a task holds of one bucket's rows in memory; more goes to a temporary file of the task.
-SPOOL = 64 << 20
+#: Flags of an entry: it has a reference block; it stands for two places or more.
+IS_BLOCK, MANY = 1, 2
 
 
-def _sorted_docs(t) -> tuple:
-    t = t.sort_by([("__doc", "ascending"), ("__text", "ascending")])
-    return t, Batch([x.encode() for x in t["__text"].to_pylist()])
+def _batch(t) -> Batch:
+    return Batch([x.encode() for x in t["__text"].to_pylist()])
 
 
-def _rows(bucket: np.ndarray, group: int, columns: list[np.ndarray], place: np.ndarray):
-    """One packed row for each bucket: columns of hashes, then places as differences (they compress well)."""
+def distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(distinct keys in order, order of the rows, first row of each key in that order); a key has one column or more."""
+    order = np.lexsort(keys[::-1])
+    rows = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in rows], axis=0)
+    first = np.flatnonzero(new)
+    return [k[first] for k in rows], order, first
+
+
+def entries(keys: list[np.ndarray], block: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct keys of a group and their flags."""
+    some, order, first = distinct(keys)
+    if not len(first):
+        return some, np.zeros(0, "u1")
+    many = np.diff(np.append(first, len(order))) > 1
+    return some, (np.maximum.reduceat(block[order], first) * IS_BLOCK + many * MANY).astype("u1")
+
+
+def repeated(keys: list[np.ndarray], flags: np.ndarray) -> np.ndarray:
+    """Whether each entry's key has two places or more, one of them a reference block."""
+    some, order, first = distinct(keys)
+    if not len(first):
+        return np.zeros(0, bool)
+    places = np.add.reduceat((1 + (flags & MANY > 0))[order], first)
+    good = (places > 1) & (np.bitwise_or.reduceat(flags[order], first) & IS_BLOCK > 0)
+    out = np.empty(len(order), bool)
+    out[order] = np.repeat(good, np.diff(np.append(first, len(order))))
+    return out
+
+
+def _rows(bucket: np.ndarray, group: int, columns: list[np.ndarray], flags: np.ndarray):
+    """One packed row for each bucket: columns of hashes, then flags. Keys are in order, and so are their buckets."""
     import pyarrow as pa
 
-    order = np.argsort(bucket, kind="stable")
-    bucket, place, columns = bucket[order], place[order], [c[order] for c in columns]
     ids, at = np.unique(bucket, return_index=True)
     ends = np.append(at[1:], len(bucket)).tolist()[: len(at)]
-    packed = [b"".join([c[a:z].tobytes() for c in columns]) + np.diff(place[a:z], prepend=0).astype("<i8").astype("<u4").tobytes() for a, z in zip(at.tolist(), ends, strict=True)]
+    packed = [b"".join([c[a:z].tobytes() for c in (*columns, flags)]) for a, z in zip(at.tolist(), ends, strict=True)]
     return pa.table({"bucket": pa.array(ids, pa.int32()), "grp": pa.array(np.full(len(ids), group), pa.int32()), "n": pa.array(np.array(ends, "i8") - at, pa.int32()), "data": pa.array(packed, pa.binary())})
 
 
 _PACKED = "bucket int, grp int, n int, data binary"
-_HITS = "grp int, data binary"
+_HITS = "grp int, bucket int, data binary"
 
 
 def anchors(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,117 +127,79 @@ def _of_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype("i4")
 
 
-def _merge(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct keys (of one or more columns) in order, with the sums of their counts."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    new = np.ones(len(counts), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    at = np.flatnonzero(new)
-    return [k[at] for k in keys], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
-
-
-class Bucket:
-    """Resolves one bucket: which entries have an equal one elsewhere.
+def _resolve(packed: DataFrame, kinds: list[str]) -> DataFrame:
+    """(grp, bucket, keys) of the entries that are repeated; one bucket after the other is in a task's memory."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
 
-    Rows are read once to count the distinct hashes and spooled (to a file, if there are many); then the
-    spool is read to report. Memory is bounded by the distinct hashes of a bucket, not by copies.
-    """
+    def settle(rows: list[tuple[int, int, int, bytes]]):
+        import pyarrow as pa
 
-    def __init__(self, kinds: list[str], blocks_only: bool):
-        self.kinds, self.blocks_only = kinds, blocks_only
-        self.spool = tempfile.SpooledTemporaryFile(max_size=SPOOL)
-        self.rows: list[tuple[int, int, int]] = []
-        self.keys: list[np.ndarray] = [np.zeros(0, k) for k in kinds]
-        self.counts = np.zeros(0, "i8")
-        self.fresh: list[tuple[list[np.ndarray], np.ndarray]] = []
-        self.waiting = 0
-
-    def columns(self, n: int, data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
-        at, cols = 0, []
-        for k in self.kinds:
-            size = n * np.dtype(k).itemsize
-            cols.append(np.frombuffer(data, k, n, at))
+        cols, ends = [], np.cumsum([r[2] for r in rows])
+        at = 0
+        for k in kinds:
+            size = np.dtype(k).itemsize
+            cols.append(np.concatenate([np.frombuffer(r[3], k, r[2], at * r[2]) for r in rows]))
             at += size
-        return cols, np.cumsum(np.frombuffer(data, "<u4", n, at).view("<i4").astype("i8"))
-
-    def add(self, grp: int, n: int, data: bytes) -> None:
-        self.rows.append((grp, n, len(data)))
-        self.spool.write(data)
-        cols, place = self.columns(n, data)
-        count = (place & 1 if self.blocks_only else np.ones(n)).astype("i8")
-        self.fresh.append(([c[count > 0] for c in cols], count[count > 0]))
-        self.waiting += n
-        if self.waiting > 1 << 21:
-            self.settle()
-
-    def settle(self) -> None:
-        parts = [(self.keys, self.counts), *self.fresh]
-        self.keys, self.counts = _merge([np.concatenate([p[0][i] for p in parts]) for i in range(len(self.kinds))], np.concatenate([p[1] for p in parts]))
-        self.counts = np.minimum(self.counts, 2)
-        self.fresh, self.waiting = [], 0
-
-    def times(self, cols: list[np.ndarray]) -> np.ndarray:
-        """Stored count of each key: by the first column, then along equal first columns."""
-        out = np.zeros(len(cols[0]), "i8")
-        if not len(self.counts):
-            return out
-        at = np.searchsorted(self.keys[0], cols[0])
-        todo = np.arange(len(out))
-        while len(todo):
-            ok = at[todo] < len(self.counts)
-            todo = todo[ok]
-            todo = todo[self.keys[0][at[todo]] == cols[0][todo]]
-            same = np.all([k[at[todo]] == c[todo] for k, c in zip(self.keys, cols, strict=True)], axis=0)
-            out[todo[same]] = self.counts[at[todo[same]]]
-            todo = todo[~same]
-            at[todo] += 1
-        return out
-
-    def hits(self):
-        """(group, packed places) of the entries that have an equal one elsewhere."""
-        self.settle()
-        self.spool.seek(0)
-        for grp, n, size in self.rows:
-            cols, place = self.columns(n, self.spool.read(size))
-            own = place & 1 if self.blocks_only else 1
-            found = place[self.times(cols) - own >= 1]
-            if len(found):
-                yield grp, ((found >> 1) if self.blocks_only else found).astype("<u4").tobytes()
-        self.spool.close()
-
-
-def _resolve(packed: DataFrame, kinds: list[str], blocks_only: bool) -> DataFrame:
-    """(grp, places) of the entries with an equal one elsewhere; buckets stream through a task one after the other."""
+        flags = np.concatenate([np.frombuffer(r[3], "u1", r[2], width * r[2]) for r in rows])
+        good = repeated(cols, flags)
+        found = []
+        for (bucket, grp, n, _), z in zip(rows, ends.tolist(), strict=True):
+            mine = good[z - n : z]
+            if mine.any():
+                found.append((grp, bucket, b"".join([c[z - n : z][mine].tobytes() for c in cols])))
+        for i in range(0, len(found), 1024):
+            part = list(zip(*found[i : i + 1024], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.binary())], ["grp", "bucket", "data"])
 
     def run(batches):
-        import pyarrow as pa
-
-        now, bucket = None, None
-
-        def out(b):
-            rows = list(b.hits())
-            for at in range(0, len(rows), 1024):
-                part = rows[at : at + 1024]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary())], ["grp", "data"])
-
+        rows: list[tuple[int, int, int, bytes]] = []
         for b in batches:
             for i in range(b.num_rows):
-                key, grp, n, data = (b.column(j)[i].as_py() for j in range(4))
-                if key != now:
-                    if bucket is not None:
-                        yield from out(bucket)
-                    now, bucket = key, Bucket(kinds, blocks_only)
-                bucket.add(grp, n, data)
-        if bucket is not None:
-            yield from out(bucket)
-
-    return packed.repartition("bucket").sortWithinPartitions("bucket", "grp").mapInArrow(run, _HITS)
-
-
-def _places(hits) -> np.ndarray:
-    data = hits["data"].to_pylist()
-    return np.unique(np.concatenate([np.frombuffer(d, "<u4") for d in data] or [np.zeros(0, "<u4")])).astype("i8")
+                row = tuple(b.column(j)[i].as_py() for j in range(4))
+                if rows and rows[0][0] != row[0]:
+                    yield from settle(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from settle(rows)
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _HITS)
+
+
+def _known(hits, kinds: list[str]) -> list[np.ndarray]:
+    """Columns of the keys that a group got back, and their buckets as the last one."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    parts: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in kinds] + [[np.zeros(0, "i8")]]
+    for bucket, data in zip(hits["bucket"].to_pylist(), hits["data"].to_pylist(), strict=True):
+        n, at = len(data) // width, 0
+        for k, p in zip(kinds, parts, strict=False):
+            p.append(np.frombuffer(data, k, n, at))
+            at += n * np.dtype(k).itemsize
+        parts[-1].append(np.full(n, bucket, "i8"))
+    return [np.concatenate(p) for p in parts]
+
+
+def _is_in(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(sorted_keys, keys), max(0, len(sorted_keys) - 1))
+    return sorted_keys[at] == keys if len(sorted_keys) else np.zeros(len(keys), bool)
+
+
+def repeated_windows(batch: Batch, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Word numbers at which a window with one of the keys (a, b) starts."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    at = np.flatnonzero(batch.inside(WINDOW))
+    h = hash_windows(batch.words(0), WINDOW, 0)[at]
+    on = _is_in(h, a)
+    at, h = at[on], h[on]
+    if not len(at):
+        return at
+    second = hash_windows(batch.words(1), WINDOW, 1)[at]
+    place, found = np.searchsorted(a, h), np.zeros(len(at), bool)
+    while (same := (place < len(a)) & (a[np.minimum(place, len(a) - 1)] == h)).any():  # more than once only for a collision in a
+        found |= same & (b[np.minimum(place, len(a) - 1)] == second)
+        place = place + 1
+    return at[found]
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", output: str = "text", group_bytes: int | None = None) -> DataFrame:
@@ -218,7 +211,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Scale: a group's text grows with the root of the whole (2 MB of 1 GB, 20 MB of 100 GB), within 256 KB and 128 MB, so
     that both the number of groups and their size stay fit for tasks; there is a bucket of hashes for each eight
-    groups, at least 64. Nothing is collected; no pair of documents is formed.
+    groups, at least 64. Nothing is collected; no pair of documents is formed. Rows with the same doc_id and text are in one group.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("__doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     size = src.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
@@ -227,17 +220,25 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     buckets = max(64, groups // 8)
     src = src.withColumn("grp", F.pmod(F.xxhash64("__doc", "__text"), F.lit(groups)).cast("int"))
 
+    def low(h: np.ndarray) -> np.ndarray:
+        """A block's key: its bucket and the lower half of its hash."""
+        return _of_bucket(h, buckets).astype("u8") << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+
     def probe(t):
-        _, batch = _sorted_docs(t)
-        at, h, block = anchors(batch)
-        return _rows(_of_bucket(h, buckets), t["grp"][0].as_py(), [h.astype("<u4")], at << 1 | block)
+        _, h, block = anchors(_batch(t))
+        (key,), flags = entries([low(h)], block)
+        return _rows((key >> np.uint64(32)).astype("i4"), t["grp"][0].as_py(), [key.astype("<u4")], flags)
 
     def extend(t, hits):
         if not t.num_rows or not hits.num_rows:
-            return _rows(np.zeros(0, "i4"), 0, [np.zeros(0, "<u8")] * 2, np.zeros(0, "i8"))
-        _, batch = _sorted_docs(t)
-        at, a, b = extended(batch, _places(hits))
-        return _rows(_of_bucket(a, buckets), t["grp"][0].as_py(), [a.astype("<u8"), b.astype("<u8")], at)
+            return _rows(np.zeros(0, "i4"), 0, [np.zeros(0, "<u8")] * 2, np.zeros(0, "u1"))
+        batch = _batch(t)
+        at, h, _ = anchors(batch)
+        part, bucket = _known(hits, ["<u4"])
+        key = np.sort(bucket.astype("u8") << np.uint64(32) | part)
+        _, a, b = extended(batch, at[_is_in(low(h), key)])
+        (a, b), flags = entries([a, b], np.ones(len(a), "u1"))
+        return _rows(_of_bucket(a, buckets), t["grp"][0].as_py(), [a.astype("<u8"), b.astype("<u8")], flags)
 
     last = T.StructField("kept_sha256" if output == "digest" else "kept_text", T.StringType())
     schema = T.StructType([T.StructField("__doc", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), last])
@@ -245,8 +246,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def remove(t, hits):
         import pyarrow as pa
 
-        t, batch = _sorted_docs(t)
-        gone = covered(batch, _places(hits))
+        batch = _batch(t)
+        a, b, _ = _known(hits, ["<u8", "<u8"])
+        gone = covered(batch, repeated_windows(batch, a, b) if len(a) else np.zeros(0, "i8"))
         n, lost, kept = [], [], []
         for i, raw in enumerate(batch.texts):
             mask = gone[batch.first[i] : batch.first[i + 1]]
@@ -258,7 +260,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return pa.table({"__doc": t["__doc"], "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(lost, pa.int64()), last.name: pa.array(kept, pa.string())})
 
     by_group = src.groupBy("grp")
-    found = _resolve(by_group.applyInArrow(probe, _PACKED), ["<u4"], True)
+    found = _resolve(by_group.applyInArrow(probe, _PACKED), ["<u4"])
     windows = by_group.cogroup(found.groupBy("grp")).applyInArrow(extend, _PACKED)
-    repeated = _resolve(windows, ["<u8", "<u8"], False)
-    return by_group.cogroup(repeated.groupBy("grp")).applyInArrow(remove, schema).withColumnRenamed("__doc", doc_id)
+    again = _resolve(windows, ["<u8", "<u8"])
+    return by_group.cogroup(again.groupBy("grp")).applyInArrow(remove, schema).withColumnRenamed("__doc", doc_id)

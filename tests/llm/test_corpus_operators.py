@@ -144,22 +144,34 @@ def test_span_dedup(spark, group_bytes):
     assert kept[3] == "" and kept[2] == "a b"
 
 
-def test_bucket_spools_and_merges():
-    b = span_dedup.Bucket(["<u4"], True)
+def test_entries_count_places_and_blocks():
     rng = np.random.default_rng(0)
-    want = {}
-    data = []
-    for g in range(3):
-        h = rng.integers(0, 50, 200).astype("<u4")
-        place = np.sort(rng.choice(5000, 200, replace=False)).astype("i8")
-        block = rng.integers(0, 2, 200)
-        data.append((g, h, place, block))
-        b.add(g, 200, h.tobytes() + np.diff(place << 1 | block, prepend=0).astype("<u4").tobytes())
-        b.settle()
-    for g, h, place, block in data:
-        n = {x: sum(int(((hh == x) & (bb == 1)).sum()) for _, hh, _, bb in data) for x in set(h.tolist())}
-        want[g] = [int(p) for p, x, own in zip(place, h.tolist(), block, strict=True) if n[x] - own >= 1]
-    assert {g: np.frombuffer(x, "<u4").tolist() for g, x in b.hits()} == want
+    groups = [(rng.integers(0, 60, 40).astype("u8"), rng.integers(0, 2, 40)) for _ in range(3)]
+    packed = [span_dedup.entries([h], block) for h, block in groups]
+    keys, flags = np.concatenate([k[0] for k, _ in packed]), np.concatenate([f for _, f in packed])
+    every = [(x, b) for h, block in groups for x, b in zip(h.tolist(), block.tolist(), strict=True)]
+    good = {x for x in range(60) if sum(k == x for k, _ in every) > 1 and any(k == x and b for k, b in every)}
+    assert len(keys) == sum(len(set(h.tolist())) for h, _ in groups)
+    assert set(keys[span_dedup.repeated([keys], flags)].tolist()) == good and not set(keys[~span_dedup.repeated([keys], flags)].tolist()) & good
+
+
+def test_thinned_probes_lose_nothing(monkeypatch):
+    """Every window that is repeated has a hit at each of its places, whatever GROUP is."""
+    rng = random.Random(41)
+    shared = [text_of(rng, n) for n in (35, 36, 41, 47, 90)]
+    texts = [" ".join([text_of(rng, rng.randrange(0, 40)), rng.choice(shared), text_of(rng, rng.randrange(0, 40))]).strip() for _ in range(60)] + ["z " * 80]
+    batch = hashing.Batch([t.encode() for t in texts])
+    h = hashing.hash_windows(batch.words(0), 35)
+    at = np.flatnonzero(batch.inside(35))
+    repeats = {i for i in at.tolist() if (h[at] == h[i]).sum() > 1}
+    found = {}
+    for group in (1, 4):
+        monkeypatch.setattr(span_dedup, "GROUP", group)
+        place, key, block = span_dedup.anchors(batch)
+        (some,), flags = span_dedup.entries([key], block)
+        hits = place[np.isin(key, some[span_dedup.repeated([some], flags)])]
+        found[group] = set(span_dedup.extended(batch, hits)[0].tolist())
+    assert repeats and repeats <= found[4] <= found[1]
 
 
 def test_word_hashes_follow_content():
