@@ -3,8 +3,9 @@
 Metrics are integers. Their distribution in each (language, source) is kept as a mergeable quantile
 sketch: counts of log-linear buckets (a power of two in 16 steps, so any quantile is within 1/16 of
 the true value). Buckets of two parts of the data merge by adding counts, which is what the
-aggregation does on each side of its shuffle, so no group meets in one task. A group's cutoff is an
-outlier fence over its quantiles, never below a floor.
+aggregation does on each side of its shuffle, so no group meets in one task. A group's sketch is merged with its
+language's, scaled down to the weight of a few documents, so that a small group leans on the language and a
+large one on itself, by one rule for all sizes. A group's cutoff is an outlier fence over the quantiles of that.
 """
 
 from __future__ import annotations
@@ -17,25 +18,28 @@ from pyspark.sql import functions as F
 from .common import WORD, broadcast_if_small, cut
 
 SYMBOLS = "[#*$%&|<>]"
-#: Metrics with adaptive cutoffs, and the floor of each cutoff (fixed values).
+CAPITALS = "[A-Z]"
+#: Metrics with adaptive cutoffs, and the least spread of each: what counts as one step where the quartiles are equal.
 #: symbol_rate and upper_rate: symbols and ASCII capitals in 1000 characters of words;
 #: word_len: mean word length in hundredths of a character; dup_line_rate: in 1000 lines.
-FLOORS = {"symbol_rate": 100, "upper_rate": 400, "word_len": 1500, "dup_line_rate": 300}
-#: With fewer lines than this, one repeated line is no sign of anything.
-FEW_LINES = 5
-CAPITALS = "[A-Z]"
+STEPS = {"symbol_rate": 5, "upper_rate": 2, "word_len": 5, "dup_line_rate": 40}
+#: What every text is taken to hold besides its own, so that short ones need more evidence: characters, words of five, lines.
+PRIOR_CHARS, PRIOR_WORDS, PRIOR_LINES = 100, 10, 4
 
 
 @dataclass(frozen=True)
 class Rules:
-    """min_words and max_repeat_percent are the base rule. A cutoff is q(hi) + spread * (q(hi) - q(lo))."""
+    """min_words and max_repeat_percent are the base rule. A cutoff is hi + spread * max(hi - lo, step of the metric).
+
+    lo, hi: percentages of the quantiles; prior: weight, in documents, of the language's sketch in that of a group.
+    """
 
     min_words: int = 10
     max_repeat_percent: int = 20
-    lo: float = 0.25
-    hi: float = 0.75
+    lo: int = 25
+    hi: int = 75
     spread: int = 6
-    least_rows: int = 50
+    prior: int = 50
 
 
 def _barrier(df: DataFrame, **cols: Column) -> DataFrame:
@@ -86,12 +90,11 @@ def repeat_words(df: DataFrame, width: int = 5) -> DataFrame:
 
 
 def _rates() -> dict[str, Column]:
-    rate = lambda x, by, y, least=1: F.expr(f"CASE WHEN {y} >= {least} THEN {x} * {by} DIV {y} ELSE 0L END")
     return {
-        "symbol_rate": rate("n_symbols", 1000, "word_chars"),
-        "upper_rate": rate("n_upper", 1000, "word_chars"),
-        "word_len": rate("word_chars", 100, "n_words"),
-        "dup_line_rate": rate("n_dup_lines", 1000, "n_lines", FEW_LINES),
+        "symbol_rate": F.expr(f"n_symbols * 1000 DIV (word_chars + {PRIOR_CHARS})"),
+        "upper_rate": F.expr(f"n_upper * 1000 DIV (word_chars + {PRIOR_CHARS})"),
+        "word_len": F.expr(f"(word_chars + {5 * PRIOR_WORDS}) * 100 DIV (n_words + {PRIOR_WORDS})"),
+        "dup_line_rate": F.expr(f"n_dup_lines * 1000 DIV (n_lines + {PRIOR_LINES})"),
     }
 
 
@@ -107,31 +110,40 @@ def sketch(metrics: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return long.select(*keys, "m.*").groupBy(*keys, "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(sk: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
-    """Quantiles of merged sketches: the first bucket whose running count reaches ceil(q * total)."""
+def quantiles(sk: DataFrame, keys: list[str], percents: dict[str, int]) -> DataFrame:
+    """Quantiles of merged sketches: the first bucket whose running count reaches that share of the total."""
     w = Window.partitionBy(*keys, "metric")
     run = sk.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
-    pick = [F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * F.lit(q)), F.col("bucket"))).alias(name) for name, q in qs.items()]
-    return run.groupBy(*keys, "metric").agg(F.max("total").alias("rows"), *pick)
+    pick = [F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket"))).alias(name) for name, q in percents.items()]
+    return run.groupBy(*keys, "metric").agg(*pick)
+
+
+def leaning(fine: DataFrame, lang: str, source: str, prior: int) -> DataFrame:
+    """Sketches of (language, source) merged with their language's at the weight of ``prior`` documents.
+
+    Counts are whole numbers: the group's times the language's total, plus ``prior`` times the language's.
+    """
+    long = F.col("n").cast("decimal(20,0)")
+    coarse = fine.groupBy(lang, "metric", "bucket").agg(F.sum("n").alias("__of_lang"))
+    coarse = coarse.withColumn("__total", F.sum("__of_lang").over(Window.partitionBy(lang, "metric")))
+    groups = fine.select(lang, source).distinct()
+    wide = groups.select(F.col(lang).alias("__lang"), source).join(coarse, F.col("__lang").eqNullSafe(F.col(lang))).drop("__lang")
+    own = fine.select(F.col(lang).alias("__l"), F.col(source).alias("__s"), F.col("metric").alias("__m"), F.col("bucket").alias("__b"), long.alias("__n"))
+    same = F.col(lang).eqNullSafe(F.col("__l")) & F.col(source).eqNullSafe(F.col("__s")) & (F.col("metric") == F.col("__m")) & (F.col("bucket") == F.col("__b"))
+    n = F.coalesce("__n", F.lit(0).cast("decimal(20,0)")) * F.col("__total") + F.lit(prior) * F.col("__of_lang")
+    return wide.join(own, same, "left").select(lang, source, "metric", "bucket", n.cast("decimal(38,0)").alias("n"))
 
 
 def thresholds(metrics: DataFrame, rules: Rules, keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """Cutoff of each metric for each (language, source), wide: cut_<metric>.
 
-    A group with fewer than ``least_rows`` documents uses its language's cutoff, whose sketch is the
-    merge of the language's groups. The tables here have one row per group, metric and bucket.
+    The tables here have one row per group, metric and bucket of the language.
     """
     lang, source = keys
-    fine = cut(sketch(metrics, [lang, source], list(FLOORS)))
-    coarse = fine.groupBy(lang, "metric", "bucket").agg(F.sum("n").alias("n"))
-    qs = {"lo": rules.lo, "hi": rules.hi}
-    own = quantiles(fine, [lang, source], qs)
-    wide = quantiles(coarse, [lang], qs).select(F.col(lang).alias("__lang"), F.col("metric").alias("__metric"), F.col("lo").alias("lang_lo"), F.col("hi").alias("lang_hi"))
-    both = own.join(wide, own[lang].eqNullSafe(wide["__lang"]) & (own["metric"] == wide["__metric"]))
-    few = F.col("rows") < rules.least_rows
-    lo, hi = F.when(few, F.col("lang_lo")).otherwise(F.col("lo")), F.when(few, F.col("lang_hi")).otherwise(F.col("hi"))
-    fence = (hi + rules.spread * (hi - lo)).cast("long")
-    return both.groupBy(lang, source).agg(*[F.max(F.when(F.col("metric") == m, F.greatest(F.lit(floor).cast("long"), fence))).alias(f"cut_{m}") for m, floor in FLOORS.items()])
+    fine = cut(sketch(metrics, [lang, source], list(STEPS)))
+    own = quantiles(leaning(fine, lang, source, rules.prior), [lang, source], {"lo": rules.lo, "hi": rules.hi})
+    fence = lambda step: (F.col("hi") + rules.spread * F.greatest(F.col("hi") - F.col("lo"), F.lit(step).cast("long"))).cast("long")
+    return own.groupBy(lang, source).agg(*[F.max(F.when(F.col("metric") == m, fence(step))).alias(f"cut_{m}") for m, step in STEPS.items()])
 
 
 def measure(docs: DataFrame, text: str = "text", repeats: bool = True) -> DataFrame:
@@ -142,16 +154,16 @@ def measure(docs: DataFrame, text: str = "text", repeats: bool = True) -> DataFr
     return df.select("*", *[c.alias(n) for n, c in _rates().items()])
 
 
-MADE = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *FLOORS]
+MADE = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *STEPS]
 
 
 def verdicts(measured: DataFrame, cuts: DataFrame, rules: Rules = Rules(), keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """``measured`` with base_failed and kept, joined to the cutoffs of its (language, source)."""
-    cuts = cuts.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], *[f"cut_{m}" for m in FLOORS])
+    cuts = cuts.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], *[f"cut_{m}" for m in STEPS])
     joined = measured.join(broadcast_if_small(cuts), F.col(keys[0]).eqNullSafe(F.col("__0")) & F.col(keys[1]).eqNullSafe(F.col("__1")), "left")
     base = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     fine = F.lit(True)
-    for m in FLOORS:
+    for m in STEPS:
         fine = fine & (F.col(m) <= F.col(f"cut_{m}"))
     return joined.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & fine).drop("__0", "__1")
 

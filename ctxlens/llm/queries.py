@@ -84,10 +84,7 @@ QUERIES = {
     for f in (op1_token_records, op2_vector_search, op3_token_counts, op4_source_mix, op5_secret_scan, op6_span_dedup, op7_warc, op8_near_dedup, op9_quality, op10_bpe_codec)
 }
 
-_CUTS = ", ".join(
-    f"max(CASE WHEN metric = '{m}' THEN greatest({floor}, CAST(fence AS BIGINT)) END) AS cut_{m}"
-    for m, floor in (("symbol_rate", 100), ("upper_rate", 400), ("word_len", 1500), ("dup_line_rate", 300))
-)
+_CUTS = ", ".join(f"max(CASE WHEN metric = '{m}' THEN (hi + 6 * greatest(hi - lo, {step}))::BIGINT END) AS cut_{m}" for m, step in (("symbol_rate", 5), ("upper_rate", 2), ("word_len", 5), ("dup_line_rate", 40)))
 
 ORACLE = {
     "op8_near_dedup": r"""
@@ -129,23 +126,19 @@ win AS (SELECT doc_id, i, array_to_string(words[i:i+4], ' ') AS s FROM (SELECT d
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c >= 2),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM dup, (SELECT unnest(range(5)) AS k) GROUP BY doc_id),
 r AS (SELECT m.doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-  CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END AS symbol_rate,
-  CASE WHEN word_chars > 0 THEN n_upper * 1000 // word_chars ELSE 0 END AS upper_rate,
-  CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END AS word_len,
-  CASE WHEN n_lines >= 5 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS dup_line_rate
+  n_symbols * 1000 // (word_chars + 100) AS symbol_rate, n_upper * 1000 // (word_chars + 100) AS upper_rate,
+  (word_chars + 50) * 100 // (n_words + 10) AS word_len, n_dup_lines * 1000 // (n_lines + 4) AS dup_line_rate
   FROM m LEFT JOIN rep ON m.doc_id = rep.doc_id),
 l AS (SELECT lang, source, metric, v, greatest(length(bin(v)) - 5, 0) AS sh FROM (
   SELECT lang, source, unnest(['symbol_rate', 'upper_rate', 'word_len', 'dup_line_rate']) AS metric,
     unnest([symbol_rate, upper_rate, word_len, dup_line_rate])::BIGINT AS v FROM r)),
 fine AS (SELECT lang, source, metric, (((v >> sh) + 1) << sh) - 1 AS bucket, count(*) AS n FROM l GROUP BY ALL),
-coarse AS (SELECT lang, metric, bucket, sum(n) AS n FROM fine GROUP BY ALL),
-fq AS (SELECT lang, source, metric, max(total) AS total, min(CASE WHEN upto >= ceil(total * 0.25) THEN bucket END) AS lo, min(CASE WHEN upto >= ceil(total * 0.75) THEN bucket END) AS hi FROM (
-  SELECT *, sum(n) OVER (PARTITION BY lang, source, metric) AS total, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto FROM fine) GROUP BY ALL),
-cq AS (SELECT lang, metric, min(CASE WHEN upto >= ceil(total * 0.25) THEN bucket END) AS lo, min(CASE WHEN upto >= ceil(total * 0.75) THEN bucket END) AS hi FROM (
-  SELECT *, sum(n) OVER (PARTITION BY lang, metric) AS total, sum(n) OVER (PARTITION BY lang, metric ORDER BY bucket) AS upto FROM coarse) GROUP BY ALL),
-f AS (SELECT fq.lang, source, fq.metric, CASE WHEN total < 50 THEN cq.hi + 6 * (cq.hi - cq.lo) ELSE fq.hi + 6 * (fq.hi - fq.lo) END AS fence
-  FROM fq JOIN cq ON fq.lang IS NOT DISTINCT FROM cq.lang AND fq.metric = cq.metric),
-cuts AS (SELECT lang, source, {_CUTS} FROM f GROUP BY ALL),
+coarse AS (SELECT *, sum(n) OVER (PARTITION BY lang, metric) AS total FROM (SELECT lang, metric, bucket, sum(n) AS n FROM fine GROUP BY ALL)),
+lean AS (SELECT g.lang, g.source, c.metric, c.bucket, coalesce(f.n, 0) * c.total + 50 * c.n AS n FROM (SELECT DISTINCT lang, source FROM fine) g JOIN coarse c ON g.lang IS NOT DISTINCT FROM c.lang
+  LEFT JOIN fine f ON f.lang IS NOT DISTINCT FROM g.lang AND f.source IS NOT DISTINCT FROM g.source AND f.metric = c.metric AND f.bucket = c.bucket),
+q AS (SELECT lang, source, metric, min(CASE WHEN upto * 100 >= total * 25 THEN bucket END) AS lo, min(CASE WHEN upto * 100 >= total * 75 THEN bucket END) AS hi FROM (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, metric) AS total, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto FROM lean) GROUP BY ALL),
+cuts AS (SELECT lang, source, {_CUTS} FROM q GROUP BY ALL),
 v AS (SELECT r.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   symbol_rate <= cut_symbol_rate AND upper_rate <= cut_upper_rate AND word_len <= cut_word_len AND dup_line_rate <= cut_dup_line_rate AS fine
   FROM r JOIN cuts ON r.lang IS NOT DISTINCT FROM cuts.lang AND r.source IS NOT DISTINCT FROM cuts.source)

@@ -71,16 +71,43 @@ def test_quality_sketch_merges_and_bounds_quantiles(spark):
     whole = quality.sketch(m, ["lang"], ["symbol_rate"])
     parts = quality.sketch(m.where("half = 0"), ["lang"], ["symbol_rate"]).unionByName(quality.sketch(m.where("half = 1"), ["lang"], ["symbol_rate"])).groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n"))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
-    q = quality.quantiles(whole, ["lang"], {"lo": 0.25, "hi": 0.75}).first()
+    q = quality.quantiles(whole, ["lang"], {"lo": 25, "hi": 75}).first()
     for got, exact in ((q.lo, sorted(values)[999]), (q.hi, sorted(values)[2999])):
         assert exact <= got <= exact * (1 + 1 / 16) + 1
 
 
 def test_quality_cutoff_adapts_to_the_group(spark):
     plain = "plain words of an ordinary text that goes on for a while number "
-    rows = [(i, plain + str(i), "en", "prose") for i in range(80)] + [(1000 + i, f"x{i} | y{i} | z{i} | " * 5 + f"<{i}>", "en", "tables") for i in range(80)] + [(5000, "odd ### $$$ %%% " * 4 + plain, "en", "prose")]
-    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), columns=["doc_id", "lang", "source"]).collect()}
-    assert all(kept[i] for i in range(80)) and not kept[5000]
+    table = lambda i: f"x{i} | y{i} | z{i} | " * 5 + f"<{i}>"
+    rows = [(i, plain + str(i), "en", "prose") for i in range(80)] + [(1000 + i, table(i), "en", "tables") for i in range(80)]
+    rows += [(5000, table(7), "en", "prose"), (5001, table(7), "en", "tables"), (5002, table(7), "en", "new"), (5003, plain, "en", "new"), (5004, table(1), None, None)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), columns=["doc_id", "lang", "source"], rules=quality.Rules(max_repeat_percent=100)).collect()
+    kept = {r.doc_id: r.kept for r in got}
+    cuts = {(r.lang, r.source): r.cut_symbol_rate for r in got}
+    assert cuts["en", "prose"] < cuts["en", "tables"] and len(set(cuts.values())) == 4
+    assert all(kept[i] and kept[1000 + i] for i in range(80))
+    assert not kept[5000] and kept[5001] and kept[5003] and kept[5004]  # the same text, judged by its own group
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """Cutoffs of the merged sketch against counting: a group's values, and its language's at the weight of 50 documents."""
+    rng = np.random.default_rng(7)
+    rows = [("a", s, int(v)) for s, n in (("x", 3), ("y", 400), (None, 40)) for v in rng.integers(0, 15, n)] + [(None, "x", 9)]
+    m = spark.createDataFrame(rows, "lang string, source string, symbol_rate long")
+    lean = quality.leaning(quality.sketch(m, ["lang", "source"], ["symbol_rate"]), "lang", "source", 50)
+    got = {(r.lang, r.source): (r.lo, r.hi) for r in quality.quantiles(lean, ["lang", "source"], {"lo": 25, "hi": 75}).collect()}
+    for lang, source in {(r[0], r[1]) for r in rows}:
+        own, all_of = [r[2] for r in rows if r[:2] == (lang, source)], [r[2] for r in rows if r[0] == lang]
+        weight = {v: own.count(v) + 50 * all_of.count(v) / len(all_of) for v in set(all_of)}
+        want = []
+        for q in (0.25, 0.75):
+            upto = 0.0
+            for v in sorted(weight):
+                upto += weight[v]
+                if upto >= q * sum(weight.values()) - 1e-9:
+                    want.append(v)
+                    break
+        assert got[lang, source] == tuple(want)
 
 
 def test_base_secrets(spark, docs):
