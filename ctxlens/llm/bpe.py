@@ -1,9 +1,9 @@
 """Byte-level BPE over Arrow batches.
 
 Ids come from the ``tokenizers`` library. Byte-level BPE treats every pre-token by itself, so a
-worker asks the library once for each distinct pre-token and keeps the answer in a bounded
-memo; a text is then a join of memo entries. Texts outside the code points for which the
-splitting pattern is spelled out below (and texts with special strings) go to the library whole.
+worker asks the library once for each distinct pre-token and keeps the answer in a memo that is bounded in
+entries and bytes; a text is then a join of memo entries. Only the byte-level pattern is spelled out below; texts under any
+other pattern, outside the code points that it covers, or with special strings go to the library whole.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ _SPLIT = re.compile(
 )
 _PLAIN = re.compile("[\0-ɏ]*")
 assert array("I").itemsize == 4 and sys.byteorder == "little"  # of what array() packs
-#: Distinct pre-tokens that a worker remembers; reaching it empties the memo.
-MEMO = 1_200_000
+#: Distinct pre-tokens that a worker remembers; reaching it empties the memo. Longer ones than MEMO_CHARS are asked for each time.
+MEMO, MEMO_CHARS = 1_200_000, 64
+#: The pattern that _SPLIT spells out (fixed value).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_chars() -> list[str]:
@@ -82,7 +84,7 @@ def _left_first(splits: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
 
 
 def tokenizer_of_ranks(ranks: dict[bytes, int], pattern: str):
-    """A ``tokenizers`` BPE that gives the ids of a rank file: id = rank, merges in rank order."""
+    """A ``tokenizers`` BPE that gives the ids of a rank file: id = rank, merges in rank order; text outside all matches has none."""
     from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
     chars = byte_chars()
@@ -93,7 +95,7 @@ def tokenizer_of_ranks(ranks: dict[bytes, int], pattern: str):
         merges += [(name(a), name(b)) for a, b in _left_first(splits)]
     tok = Tokenizer(models.BPE(vocab={name(b): r for b, r in ranks.items()}, merges=merges, ignore_merges=True))
     tok.pre_tokenizer = pre_tokenizers.Sequence(
-        [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        [pre_tokenizers.Split(Regex(pattern), "removed", invert=True), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
     )
     tok.decoder = decoders.ByteLevel()
     return tok
@@ -109,11 +111,14 @@ class Memo(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMO:
             self.clear()
+        long = len(word) > MEMO_CHARS
         if word.isascii() and word.isprintable():
             name = word.replace(" ", self.chars[32])
         else:
             name = word.encode().decode("latin-1").translate(self.chars)
-        ids = self[word] = array("I", [t.id for t in self.bpe(name)]).tobytes()
+        ids = array("I", [t.id for t in self.bpe(name)]).tobytes()
+        if not long:
+            self[word] = ids
         return ids
 
 
@@ -140,11 +145,6 @@ class Encoder:
             else:
                 yield self._whole(t)
 
-    def encode_with_offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids and the (start, end) code points of each token; parts of one character share its span."""
-        e = self.tok.encode(text, add_special_tokens=False)
-        return e.ids, e.offsets
-
 
 class Decoder:
     """Ids back to bytes by the reversed byte table; a character split over tokens comes out whole."""
@@ -160,9 +160,26 @@ class Decoder:
             except KeyError:  # an added token, whose text is not byte-mapped
                 self.table.append(piece.encode())
 
+        self.sizes = np.array([len(t) for t in self.table], "i8")
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def offsets(self, ids: bytes, raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+        """(start, end) of each token in code points of the text, whose bytes are ``raw``, and how many tokens hold part of a character.
+
+        Byte places are running sums of the tokens' sizes; the byte-to-character map counts the bytes that begin a
+        character. Tokens that share a character have its span.
+        """
+        end = np.cumsum(self.sizes[np.frombuffer(ids, "<u4")])
+        if len(end) and end[-1] != len(raw):
+            raise ValueError("ids and text differ")
+        start = end - self.sizes[np.frombuffer(ids, "<u4")]
+        begins = (np.frombuffer(raw, "u1") & 0xC0) != 0x80
+        char = np.cumsum(begins) - 1
+        edge = np.append(begins, True)
+        return char[start], char[end - 1] + 1, int((~edge[start] | ~edge[end]).sum())
+
 
 def _settle() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
@@ -186,14 +203,22 @@ def json_encoder(path: str) -> Encoder:
         and model.get("type") == "BPE"
         and not model.get("dropout")
     )
-    return Encoder(Tokenizer.from_file(path), memo_ok, [t["content"] for t in spec.get("added_tokens", [])])
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return Encoder(tok, memo_ok, [t["content"] for t in spec.get("added_tokens", [])])
 
 
 @lru_cache(maxsize=4)
-def ranks_encoder(path: str, pattern: str, memo_ok: bool = True) -> Encoder:
-    """Encoder of a rank file, once per Python worker."""
+def ranks_encoder(path: str, pattern: str) -> Encoder:
+    """Encoder of a rank file, once per Python worker. Only under the pattern that is spelled out here are pre-tokens remembered."""
     _settle()
-    return Encoder(tokenizer_of_ranks(read_ranks(path), pattern), memo_ok)
+    return Encoder(tokenizer_of_ranks(read_ranks(path), pattern), pattern == BYTE_LEVEL)
+
+
+@lru_cache(maxsize=4)
+def json_decoder(path: str) -> Decoder:
+    return Decoder(json_encoder(path).tok)
 
 
 @lru_cache(maxsize=4)

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import json_encoder, ranks_decoder, ranks_encoder
+from .bpe import json_decoder, json_encoder, ranks_decoder, ranks_encoder
 from .common import map_text
 
 
@@ -42,45 +42,57 @@ def encode_documents(docs: DataFrame, path: str, pattern: str | None = None, tex
 
 
 def token_offsets(docs: DataFrame, path: str, pattern: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``tokens``: array of (id, start, end) in code points; parts of a split character share its span."""
+    """Adds ``tokens``: array of (id, start, end) in code points; parts of a split character share its span.
+
+    For byte-level vocabularies that encode a text without loss. Null and empty texts have none.
+    """
+    import numpy as np
+
     item = T.StructType([T.StructField(n, T.IntegerType(), False) for n in ("id", "start", "end")])
     fields = [T.StructField("tokens", T.ArrayType(item, False))]
 
     def make():
-        enc = _encoder(path, pattern)
+        enc, dec = _encoder(path, pattern), json_decoder(path) if pattern is None else ranks_decoder(path, pattern)
 
-        def one(t):
-            ids, spans = enc.encode_with_offsets(t)
-            return [{"id": i, "start": a, "end": b} for i, (a, b) in zip(ids, spans, strict=True)]
+        def one(t, ids):
+            start, end, _ = dec.offsets(ids, t.encode())
+            return [{"id": i, "start": a, "end": b} for i, a, b in zip(np.frombuffer(ids, "<u4").tolist(), start.tolist(), end.tolist(), strict=True)]
 
-        return lambda texts: [[one(t) for t in texts]]
+        return lambda texts: [[one(t, ids) for t, ids in zip(texts, enc.encode(texts), strict=True)]]
 
     return map_text(docs, make, fields, keep or docs.columns, text)
 
 
 def codec_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Encodes, decodes the ids again, and gives digests of both with ``round_trip``.
+    """Encodes, decodes the ids again, maps tokens to characters, and gives digests with ``round_trip``.
 
     ids_sha256 covers the ids as little-endian unsigned 32-bit integers; decoded_sha256 the decoded
-    bytes. Null texts count as empty.
+    bytes; offsets_sha256 the starts, then the ends, of the tokens in code points, likewise as 32-bit integers (null if the
+    pattern leaves out a part of the text); n_split counts tokens that hold part of a character. Null texts count as
+    empty; ``keep`` columns that have a computed name are replaced; rows are independent, so repeats and ties need no rule.
     """
     fields = [
         T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType()),
         T.StructField("round_trip", T.BooleanType()),
+        T.StructField("n_split", T.LongType()),
+        T.StructField("offsets_sha256", T.StringType()),
     ]
 
     def make():
         enc, dec = ranks_encoder(path, pattern), ranks_decoder(path, pattern)
 
         def f(texts):
-            out = ([], [], [], [])
+            rows = []
             for t, ids in zip(texts, enc.encode(texts), strict=True):
-                back = dec.decode(ids)
-                for col, v in zip(out, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), back == t.encode()), strict=True):
-                    col.append(v)
-            return out
+                raw, back = t.encode(), dec.decode(ids)
+                split, spans = None, None
+                if back == raw:
+                    start, end, split = dec.offsets(ids, raw)
+                    spans = hashlib.sha256(start.astype("<u4").tobytes() + end.astype("<u4").tobytes()).hexdigest()
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), back == raw, split, spans))
+            return [list(c) for c in zip(*rows, strict=True)]
 
         return f
 

@@ -216,10 +216,47 @@ def test_encoder_over_all_low_code_points_and_merges():
     assert list(js.encode(texts)) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_other_patterns_are_not_split_by_the_memo():
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path(RANKS))
+    texts = ["Hello  world, it's 12345 o'clock", "", "a1b22 é日本🙂 \n\n x", "word" * 50 + " 9999999"]
+    for pattern in (r"\p{N}{1,3}|[^\s\p{N}]+|\s+", r"[a-z]+", r"\s*\S", r".|\n"):
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        mine = bpe.ranks_encoder(P.path(RANKS), pattern)
+        assert not mine.memo_ok
+        assert [np.frombuffer(b, "<u4").tolist() for b in mine.encode(texts)] == [enc.encode_ordinary(t) for t in texts], pattern
+    assert bpe.ranks_encoder(P.path(RANKS), P.PATTERN).memo_ok
+
+
+def test_files_with_truncation_and_padding(tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path(JSON))
+    text = "many words of a text " * 20
+    want = tok.encode(text, add_special_tokens=False).ids
+    tok.enable_truncation(5)
+    tok.enable_padding(length=300)
+    tok.save(f"{tmp_path}/cut.json")
+    enc = bpe.json_encoder(f"{tmp_path}/cut.json")
+    assert np.frombuffer(next(enc.encode([text])), "<u4").tolist() == want 
+
+
 def test_offsets_share_split_characters(spark):
-    r = bpe_codec.token_offsets(spark.createDataFrame([(1, "a 🙂b")], "doc_id long, text string"), P.path(RANKS), P.PATTERN).first().tokens
-    spans = [(t.start, t.end) for t in r]
-    assert spans[0] == (0, 1) and spans[-1][1] == 4 and all(a <= b for a, b in spans) and len(spans) > 3
+    _, tok = encoders()
+    texts = ["a 🙂b", "", "é日本 ñandú 🙂🙂 x", "plain words, and 12 more", "日" * 50, None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lib = bpe.ranks_encoder(P.path(RANKS), P.PATTERN).tok
+    for got, of in ((bpe_codec.token_offsets(d, P.path(RANKS), P.PATTERN), lib), (bpe_codec.token_offsets(d, P.path(JSON)), tok)):
+        for r in got.collect():
+            e = of.encode(texts[r.doc_id] or "", add_special_tokens=False)
+            assert [(t.id, (t.start, t.end)) for t in r.tokens] == list(zip(e.ids, e.offsets, strict=True)), texts[r.doc_id]
+    rows = by_id(bpe_codec.codec_digests(d, P.path(RANKS), P.PATTERN))
+    spans = lib.encode(texts[0], add_special_tokens=False).offsets
+    assert rows[0].n_split >= 2 and rows[3].n_split == 0 and rows[1].n_split == 0
+    assert rows[0].offsets_sha256 == hashlib.sha256(np.array([[a for a, _ in spans], [b for _, b in spans]], "<u4").tobytes()).hexdigest()
+    part = by_id(bpe_codec.codec_digests(d, P.path(RANKS), "[a-z]+"))
+    assert part[3].offsets_sha256 is None and not part[3].round_trip and part[1].round_trip
 
 
 def test_token_counts_use_the_cache(spark, docs, tmp_path):
@@ -228,13 +265,26 @@ def test_token_counts_use_the_cache(spark, docs, tmp_path):
     want = {r.doc_id: len(tok.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
     for run in (1, 2):
         got = token_counts.count_tokens(docs, P.path(JSON), cache, keep=["doc_id"]).collect()
-        assert len(got) == docs.count() and all(r.n_tokens == want[r.doc_id] and r.over_limit == (r.n_tokens > 1024) for r in got)
-        stored = spark.read.parquet(f"{cache}/*")
+        assert len(got) == docs.count() and all(r.n_tokens == want[r.doc_id] and r.over_limit == (r.n_tokens > 1024) and r.cached == (run == 2) for r in got)
+        stored = token_counts.read_cache(spark, cache, token_counts.tokenizer_version(P.path(JSON)))
         assert stored.count() == docs.select(F.coalesce("text", F.lit(""))).distinct().count()  # nothing is encoded twice
     more = docs.limit(3).unionByName(spark.createDataFrame([(99, "brand new text", "en", "s", 1, "", "")], DOCS))
-    assert by_id(token_counts.count_tokens(more, P.path(JSON), cache, keep=["doc_id"]))[99].n_tokens == len(tok.encode("brand new text").ids)
+    new = by_id(token_counts.count_tokens(more, P.path(JSON), cache, keep=["doc_id"]))
+    assert new[99].n_tokens == len(tok.encode("brand new text").ids) and not new[99].cached and sum(r.cached for r in new.values()) == 3
     assert token_counts.count_tokens(docs.limit(0), P.path(JSON), cache, keep=["doc_id"]).count() == 0
     assert "n_tokens" in token_counts.count_tokens(docs, P.path(JSON), cache).columns
+    other = token_counts.count_tokens(docs, P.path("word_bpe_49k.json"), cache, keep=["doc_id"])  # another version shares nothing
+    assert not any(r.cached for r in other.collect())
+
+
+def test_token_counts_of_a_hot_text(spark, monkeypatch):
+    from ctxlens.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    d = spark.createDataFrame([(i, "the same text" if i % 3 else f"text number {i}") for i in range(90)] + [(None, None)] * 3, "doc_id long, text string")
+    got = token_counts.count_tokens(d, P.path(JSON)).collect()
+    _, tok = encoders()
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == sorted((r.doc_id or -1, len(tok.encode(r.text or "").ids)) for r in d.collect())
 
 
 def test_sentencepiece_counts(spark):
