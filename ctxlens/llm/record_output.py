@@ -9,6 +9,7 @@ ids before it in the shard; with it, records can be read in any order.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import json_encoder
+from .bpe import json_encoder, ranks_encoder
 from .common import fresh_dir
 
 POLY = 0x82F63B78  # CRC-32C, reflected (fixed value, as is the mask's constant)
@@ -147,32 +148,46 @@ class Shard:
     tokens: int
 
 
-def write_records(docs: DataFrame, path: str, end_id: int | None = 0, out_dir: str | None = None, text: str = "text") -> list[Shard]:
+def encoder_of(path: str, pattern: str | None):
+    """``pattern`` None: a tokenizers JSON file; otherwise a rank file."""
+    return json_encoder(path) if pattern is None else ranks_encoder(path, pattern)
+
+
+def write_records(docs: DataFrame, path: str, end_id: int | None = 0, out_dir: str | None = None, text: str = "text", pattern: str | None = None, order: list[str] | None = None, shard_bytes: int | None = None) -> list[Shard]:
     """Encodes whole texts and writes shards in ascending doc_id order (null first); returns the manifest, in order.
 
     One range shuffle by (doc_id, hash of the text) sorts across shards; rows with an equal doc_id are
-    ordered by that hash, so reruns write the same bytes. A task writes its shard under a name of its
-    own attempt and then moves it into place, so lost or doubled attempts leave whole files. The
-    manifest has one entry per shard. Null texts are empty; an empty table gives no shards.
+    ordered by that hash, so reruns write the same bytes. ``order``: other columns to order by instead, before these. A task writes
+    its shard under a name of its own attempt and then moves it into place, so lost or doubled attempts leave whole
+    files. Null texts are empty; an empty table gives no shards; extra columns are ignored, whatever their names.
+
+    Scale: a shard has about ``shard_bytes`` of text, by default a multiple of the root of the whole, from 8 MB to 512 MB. Rows that
+    share a doc_id, or are equal, are split like any others. A task holds 256 records and as many index entries. The manifest
+    has one entry per shard.
     """
     spark = docs.sparkSession
     out_dir = out_dir or fresh_dir(spark, "records")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    keyed = keyed.withColumn("h", F.xxhash64("text"))
-    ordered = keyed.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
+    by = [F.col(c) for c in order or []]
+    keyed = docs.select(*[c.alias(f"by{i}") for i, c in enumerate(by)], F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shard_bytes = shard_bytes or min(512 << 20, max(8 << 20, 64 * math.isqrt(size)))
+    keys = [*[F.col(f"by{i}") for i in range(len(by))], F.col("doc_id").asc_nulls_first(), F.col("h")]
+    keyed = keyed.withColumns({"h": F.xxhash64("text"), "equal": F.monotonically_increasing_id()})  # the last only deals equal rows to several shards
+    ordered = keyed.repartitionByRange(max(1, -(-size // shard_bytes)), *keys, "equal").sortWithinPartitions(*keys)
 
     def write(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, fs_path = json_encoder(path), file_system(out_dir)
+        enc, fs_path = encoder_of(path, pattern), file_system(out_dir)
         fs, base = fs_path
         wide = enc.tok.get_vocab_size(with_added_tokens=True) > 1 << 16
         kind, width = ("<u4", 4) if wide else ("<u2", 2)
         tail = b"" if end_id is None else np.array([end_id], kind).tobytes()
         part = TaskContext.get().partitionId()
         own = f"{base}/.{uuid.uuid4().hex}"
-        rec, index, at, before = None, [], 0, 0
+        rec = idx = None
+        at = before = n_docs = 0
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 piece = b.slice(lo, 256)
@@ -180,21 +195,23 @@ def write_records(docs: DataFrame, path: str, end_id: int | None = 0, out_dir: s
                 packed = [np.frombuffer(x, "<u4").astype(kind).tobytes() + tail for x in enc.encode(texts)]
                 if rec is None:
                     fs.create_dir(base, recursive=True)
-                    rec = fs.open_output_stream(f"{own}.rec")
+                    rec, idx = (fs.open_output_stream(f"{own}.{ext}") for ext in ("rec", "idx"))
+                index = []
                 for i, p, frame in zip(ids, packed, frames([(i or 0).to_bytes(8, "little", signed=True) + bytes([i is None, width]) + p for i, p in zip(ids, packed, strict=True)]), strict=True):
                     n = len(p) // width
                     index.append((i or 0, at, n, before))
                     rec.write(frame)
                     at += len(frame)
                     before += n
+                idx.write(np.array(index, INDEX).tobytes())
+                n_docs += len(index)
         if rec is None:
             return
         rec.close()
-        with fs.open_output_stream(f"{own}.idx") as f:
-            f.write(np.array(index, INDEX).tobytes())
+        idx.close()
         for ext in ("rec", "idx"):
             fs.move(f"{own}.{ext}", f"{base}/part-{part:05d}.{ext}")
-        yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(index)], "tokens": [before]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "docs": [n_docs], "tokens": [before]})
 
     done = ordered.select("doc_id", "text").mapInArrow(write, "part long, docs long, tokens long").collect()
     return [Shard(f"{out_dir}/part-{r.part:05d}", r.docs, r.tokens) for r in sorted(done, key=lambda r: r.part)]
@@ -217,11 +234,9 @@ def read_records(spark: SparkSession, shards: list[Shard]) -> DataFrame:
         for b in batches:
             for shard, path, base in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 fs, p = file_system(path)
-                with fs.open_input_stream(f"{p}.idx") as f:
-                    index = np.frombuffer(f.read(), INDEX)
-                with fs.open_input_stream(f"{p}.rec", buffer_size=1 << 20) as f:
-                    for lo in range(0, len(index), 256):
-                        part = index[lo : lo + 256]
+                with fs.open_input_stream(f"{p}.idx", buffer_size=1 << 16) as idx, fs.open_input_stream(f"{p}.rec", buffer_size=1 << 20) as f:
+                    while entries := idx.read(256 * INDEX.itemsize):
+                        part = np.frombuffer(entries, INDEX)
                         docs, counts, crcs = [], [], []
                         for payload in unframe(f, len(part)):
                             doc, ids = ids_of(payload)
@@ -238,6 +253,58 @@ def read_records(spark: SparkSession, shards: list[Shard]) -> DataFrame:
     return todo.repartition(max(1, len(rows))).mapInArrow(read, schema)
 
 
+def read_index(spark: SparkSession, shards: list[Shard]) -> DataFrame:
+    """path, number, offset of every record, from the index files alone."""
+
+    def read(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                fs, p = file_system(path)
+                with fs.open_input_stream(f"{p}.idx", buffer_size=1 << 20) as f:
+                    at = 0
+                    while entries := f.read(10_000 * INDEX.itemsize):
+                        part = np.frombuffer(entries, INDEX)
+                        yield pa.RecordBatch.from_pydict({"path": [path] * len(part), "number": np.arange(at, at + len(part)), "offset": part["offset"].astype("i8")})
+                        at += len(part)
+
+    todo = spark.createDataFrame([(s.path,) for s in shards], "path string")
+    return todo.repartition(max(1, len(shards))).mapInArrow(read, "path string, number long, offset long")
+
+
+def read_at(entries: DataFrame) -> DataFrame:
+    """doc_id, ids of the records that ``entries`` (path, offset) name, in their order, checksums verified."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType(), False))])
+
+    def read(batches):
+        import pyarrow as pa
+
+        files: dict = {}
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                rows = []
+                for path, offset in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if path not in files:
+                        if len(files) >= 64:  # open files of a task
+                            files.pop(next(iter(files))).close()
+                        fs, p = file_system(path)
+                        files[path] = fs.open_input_file(f"{p}.rec")
+                    files[path].seek(offset)
+                    rows.append(ids_of(unframe(files[path], 1)[0]))
+                kind = pa.list_(pa.field("element", pa.int64(), False))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].astype("i8") for r in rows], kind)], ["doc_id", "ids"])
+
+    return entries.select("path", "offset").mapInArrow(read, schema)
+
+
+def read_shuffled(spark: SparkSession, shards: list[Shard], seed: int) -> DataFrame:
+    """doc_id, ids of all records in an order of their own for each seed (an epoch): only the index is sorted, records are read where they lie."""
+    key = F.xxhash64(F.lit(seed), F.regexp_extract("path", "[^/]+$", 0), "number")
+    return read_at(read_index(spark, shards).withColumn("key", key).repartitionByRange("key", "number").sortWithinPartitions("key", "number"))
+
+
 def read_one(path: str, number: int) -> tuple[int | None, np.ndarray]:
     """Record ``number`` of a shard through its index, without reading the others."""
     fs, p = file_system(path)

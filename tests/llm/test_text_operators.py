@@ -321,6 +321,16 @@ def test_records_round_trip(spark, docs, tmp_path):
         want = tok.encode(text[r.doc_id], add_special_tokens=False).ids + [0]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         start += len(want)
+    entries = record_output.read_index(spark, shards)
+    assert entries.count() == len(got)
+    every = {str((r.doc_id, list(r.ids))) for r in record_output.read_at(entries).collect()}
+    orders = []
+    for seed in (1, 2, 1):
+        orders.append([str((r.doc_id, list(r.ids))) for r in record_output.read_shuffled(spark, shards, seed).collect()])
+        assert set(orders[-1]) == every and len(orders[-1]) == len(got)
+    assert orders[0] == orders[2] != orders[1]
+    many = record_output.write_records(docs.drop("n_tokens"), P.path(JSON), 0, f"file://{tmp_path}/many", shard_bytes=100)
+    assert len(many) > 3 and [(r.doc_id, r.start, r.ids_crc32) for r in record_output.read_records(spark, many).orderBy("start").collect()] == [(r.doc_id, r.start, r.ids_crc32) for r in got]
     doc, arr = record_output.read_one(shards[0].path, 2)
     assert doc == ids[2] and arr.tolist() == tok.encode(text[doc], add_special_tokens=False).ids + [0]
     path = f"{tmp_path}/rec/part-00000.rec"
