@@ -2,7 +2,7 @@
 
 Vectors are rotated at random, put into inverted lists by their nearest centroid, and stored per
 list in column blocks of the rotated dimensions. A query scans the lists that its inner product
-with the centroids ranks first. Within a list the blocks are read one after the other; a candidate
+with the centroids ranks first, as many as a sample says hold enough of the true neighbours. Within a list the blocks are read one after the other; a candidate
 is abandoned as soon as its partial squared distance, scaled to all dimensions, exceeds by a
 hypothesis test what the query's current k-th neighbour allows. Survivors are scored exactly, in
 double precision, on the original vectors.
@@ -22,19 +22,23 @@ from .common import cut
 
 @dataclass(frozen=True)
 class Params:
-    """sample: vectors that rotation and centroids are fitted on (the bound; every vector is indexed).
+    """sample: vectors that rotation, centroids and the share of lists to scan are fitted on (the bound; every vector is indexed).
 
-    probe: share of the lists that a query scans. In isotropic vectors neighbours are spread over most
-    lists, hence the high default. rounds: shares of lists after which the k-th score is renewed.
-    eps: width of the test; a true neighbour is lost with a probability that falls with exp(-eps**2).
+    target: share of the true neighbours whose lists a query has to scan; how many lists that takes is measured on ``tries``
+    vectors of the sample by brute force, unless ``probe`` gives the share of the lists. rounds: shares of lists after
+    which the k-th score is renewed. eps: width of the test; a true neighbour is lost with a probability that falls
+    with exp(-eps**2). sparse: share of candidates left at which a block goes on pair by pair.
     """
 
     sample: int = 16_384
     max_lists: int = 4096
-    probe: float = 0.75
+    target: float = 0.96
+    tries: int = 256
+    probe: float | None = None
     rounds: tuple[float, ...] = (1 / 64, 1 / 8)
     eps: float = 2.1
-    columns: int = 16
+    columns: int = 8
+    sparse: float = 0.25
     block: int = 1024
     group: int = 512
     seed: int = 7
@@ -42,8 +46,11 @@ class Params:
 
 @dataclass(frozen=True)
 class Codebook:
+    """probe: share of the lists to scan."""
+
     rotation: np.ndarray
     centroids: np.ndarray
+    probe: float
 
 
 def usable(vec: Column) -> Column:
@@ -53,14 +60,15 @@ def usable(vec: Column) -> Column:
     return F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
-def fit(vectors: DataFrame, n: int, dims: int, p: Params) -> Codebook:
-    """Rotation and centroids from at most 2 * p.sample vectors, chosen by a hash of their id."""
+def fit(vectors: DataFrame, n: int, dims: int, p: Params, k: int) -> Codebook:
+    """Rotation, centroids and the share of lists from at most 2 * p.sample vectors, the least by a hash of id and vector."""
     step = max(1, n // p.sample)
-    rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0).select("vec_id", "vec").limit(2 * p.sample).collect()
-    x = np.array([r.vec for r in sorted(rows, key=lambda r: r.vec_id)], "f8").reshape(-1, dims)
+    key = F.xxhash64("vec_id", "vec")
+    rows = vectors.where(F.pmod(key, F.lit(step)) == 0).select(key.alias("key"), "vec_id", "vec").orderBy("key", "vec_id").limit(2 * p.sample).collect()
+    x = np.array([r.vec for r in rows], "f8").reshape(-1, dims)
     rng = np.random.default_rng(p.seed)
     rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
-    lists = int(min(p.max_lists, max(1, len(x) // 4), 1 << max(0, round(np.log2(max(1, n) ** 0.5)))))
+    lists = int(min(p.max_lists, max(1, len(x) // 4), 4 << max(0, round(np.log2(max(1, n) ** 0.5)))))
     distinct = np.unique(x, axis=0)
     c = distinct[rng.choice(len(distinct), min(lists, len(distinct)), replace=False)] if len(x) else np.zeros((1, dims))
     for _ in range(8):
@@ -69,43 +77,67 @@ def fit(vectors: DataFrame, n: int, dims: int, p: Params) -> Codebook:
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         c = np.where(n_of[:, None] > 0, total / np.maximum(n_of, 1)[:, None], c)
-    return Codebook(rotation, c)
+    return Codebook(rotation, c, share_to_scan(x, c, p, k) if p.probe is None else p.probe)
+
+
+def share_to_scan(x: np.ndarray, c: np.ndarray, p: Params, k: int) -> float:
+    """The share of lists, in a query's order, that holds ``target`` of the k nearest within the sample.
+
+    In a sample neighbours are farther than in the whole, so it is rather too large.
+    """
+    if len(x) < 2:
+        return 1.0
+    q = x[: p.tries]  # in the order of a hash
+    s = q @ x.T
+    s[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    k = min(k, len(x) - 1)
+    best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    rank = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)
+    ranks = rank[np.arange(len(q))[:, None], assign(x, c)[best]]
+    return float(np.quantile(ranks + 1, p.target, method="higher")) / len(c)
 
 
 def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1) if len(x) else np.zeros(0, int)
 
 
-def scan_block(ids, q, cand_ids, cols, x, tau, rotation, p: Params, k: int):
+def scan_block(ids, q, cand_ids, cols, x, tau, rotation, p: Params, k: int, repeated: bool = False):
     """(query row, candidate row, score) of a block's candidates that can be among a query's k nearest.
 
     q, x: original vectors; cols: the candidates' rotated dimensions in column blocks; tau: current
-    k-th score of each query. Per query at most k survive, ties to the smaller id.
+    k-th score of each query. After each column block the candidates whose partial distance fails the test are
+    abandoned. Per query at most k survive, ties to the smaller id. ``repeated``: ids aren't unique, and a row is left out as
+    the query's own if its vector is the query's, too.
     """
     dims = q.shape[1]
     rq = q @ rotation
-    qn, xn = (q * q).sum(1), (x * x).sum(1)
-    scale = qn[:, None] + xn[None, :]
+    scale = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :]
     allowed = scale - 2 * tau[:, None]  # squared distance of a candidate that just ties with tau
     slack = 1e-9 * scale
-    d, lo, part = 0, 0, np.zeros((len(q), len(x)))
-    for i, col in enumerate(cols):
-        rb = rq[:, lo : lo + col.shape[1]]
+    d, qi, ci, part = 0, None, None, np.zeros((len(q), len(x)))
+    for col in cols:
+        rb = rq[:, d : d + col.shape[1]]
         d += col.shape[1]
         widen = (1 + p.eps / np.sqrt(d)) ** 2 if d < dims else 1.0
-        if i < 2:
+        if qi is None:
             part += (rb * rb).sum(1)[:, None] + (col * col).sum(1)[None, :] - 2 * rb @ col.T
-            if i == 1 or len(cols) == 1:
-                qi, ci = np.nonzero(part * (dims / d) <= allowed * widen + slack * (dims / d))
-                part = part[qi, ci]
+            on = part * (dims / d) <= allowed * widen + slack * (dims / d)
+            if d < dims and on.mean() > p.sparse:
+                continue
+            if d == dims and len(x) > k:  # nothing beyond the k-th of this block can matter
+                far = part - scale  # minus twice the score
+                on &= far <= np.partition(far, k, axis=1)[:, k, None] + slack
+            qi, ci = np.nonzero(on)
+            part = part[qi, ci]
         else:
             diff = rb[qi] - col[ci]
             part = part + (diff * diff).sum(1)
             on = part * (dims / d) <= allowed[qi, ci] * widen + slack[qi, ci] * (dims / d)
             qi, ci, part = qi[on], ci[on], part[on]
-        lo = d
-    on = ids[qi] != cand_ids[ci]
-    qi, ci = qi[on], ci[on]
+    own = ids[qi] == cand_ids[ci]
+    if repeated:
+        own[own] = (q[qi[own]] == x[ci[own]]).all(axis=1)
+    qi, ci = qi[~own], ci[~own]
     score = np.concatenate([np.einsum("ij,ij->i", q[qi[a : a + 65536]], x[ci[a : a + 65536]]) for a in range(0, len(qi), 65536)] or [np.zeros(0)])
     on = score >= tau[qi]
     qi, ci, score = qi[on], ci[on], score[on]
@@ -151,8 +183,9 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, p: Params = Params(),
     """query_id, rank (from 1), vec_id, score of each query's k nearest rows by inner product.
 
     Rows whose id or vector is null, whose vector is zero or not finite, or whose length is not the
-    table's most frequent one, take no part. Rows that share an id count as one row's copies: none is
-    another's neighbour. Equal scores go to the smaller id. Extra columns are ignored.
+    table's most frequent one, take no part. Of rows that share an id, equal ones count as one; another vector under the query's
+    id is a candidate like any other; an id has one ranking, in which a candidate id has its best score. Equal scores go
+    to the smaller id. Extra columns are ignored; an empty table gives no rows.
 
     A query that met fewer than k candidates in its share of the lists scans all others, so it returns k unless
     the table has fewer.
@@ -173,12 +206,13 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, p: Params = Params(),
     dims = min(sizes, key=lambda d: (-sizes[d], d))
     n = sizes[dims]
     src = src.where(F.size("vec") == dims)
-    book = fit(src, n, dims, p)
+    book = fit(src, n, dims, p, k)
     lists = len(book.centroids)
     index = cut(build_index(src, book, kind, p))
     queries = src.where("is_query").select("vec_id", "vec")
     n_queries = queries.count()
-    edges = [0, *(max(1, round(f * lists)) for f in p.rounds), max(1, round(p.probe * lists))]
+    repeated = _repeated_ids(src)
+    edges = [0, *(max(1, round(f * lists)) for f in p.rounds), max(1, round(book.probe * lists))]
     bounds = [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
     def probes(lo: int, hi: int):
@@ -206,12 +240,11 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, p: Params = Params(),
                 qid = np.frombuffer(q_ids, "<i8")
                 qi, ci, score = scan_block(
                     qid, np.frombuffer(q_raw, kind).reshape(-1, dims).astype("f8"), cand, [np.frombuffer(c, "<f8").reshape(len(cand), -1) for c in cols],
-                    np.frombuffer(raw, kind).reshape(-1, dims).astype("f8"), np.frombuffer(q_tau, "<f8"), book.rotation, p, k,
+                    np.frombuffer(raw, kind).reshape(-1, dims).astype("f8"), np.frombuffer(q_tau, "<f8"), book.rotation, p, k, repeated,
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(qid[qi], pa.int64()), pa.array(cand[ci], pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    repeated = _repeated_ids(src)
 
     def step(state: DataFrame | None, queries: DataFrame, n_queries: int, lo: int, hi: int) -> DataFrame:
         """The state after the lists from rank lo to hi of each query."""
@@ -228,7 +261,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, p: Params = Params(),
         found = met.mapInArrow(scan, out)
         if state is not None:
             found = found.unionByName(state)
-        found = found.dropDuplicates(["query_id", "vec_id"]) if repeated else found
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) if repeated else found
         return cut(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
     state = None
     for lo, hi in bounds:

@@ -401,6 +401,34 @@ def test_vector_search(spark):
     assert [r.rank for r in few] == [1, 2, 3, 4]
 
 
+def test_clustered_vectors_scan_few_lists(spark):
+    rng = np.random.default_rng(33)
+    centres = rng.standard_normal((60, 16)) * 4
+    x = centres[rng.integers(0, 60, 3000)] + 0.3 * rng.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = vector_search.Params()
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<double>")
+    book = vector_search.fit(d, 3000, 16, p, 10)
+    again = vector_search.fit(d.repartition(5), 3000, 16, p, 10)
+    assert book.probe == again.probe < 0.3 and (book.centroids == again.centroids).all()
+    got = {}
+    for r in vector_search.search(d, F.col("vec_id") % 50 == 0, 10, p, vec="vec").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(found & set(np.argsort(-s)[:10].tolist()))
+    assert len(got) == 60 and hit >= 0.9 * 600
+
+
+def test_repeated_ids_have_one_ranking(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 2.0]), (1, [1.0, 0.0]), (2, [3.0, 1.0]), (2, [0.5, 5.0]), (3, [1.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in vector_search.search(d, F.col("vec_id") == 1, 5).orderBy("rank").collect()]
+    assert got == [(1, 1, 2, 10.0), (1, 2, 3, 2.0), (1, 3, 1, 0.0)]
+
+
 def test_few_candidates_are_all_returned(spark):
     rng = np.random.default_rng(31)
     for n in (12, 20, 25):
