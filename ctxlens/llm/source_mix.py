@@ -9,17 +9,17 @@ is its training position. In a second pass that word stands one source size late
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import broadcast_if_small, cut, small, split_join, word_count
 
 #: Weights by rank of the source, repeating (fixed values of the query).
 WEIGHTS = (3, 1, 2)
-#: Schedules by rank, repeating: knots (time, relative weight). Their integrals are 1.
+#: Schedules by rank, repeating: knots (time, relative weight).
 SCHEDULES = (
     ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)),
     ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)),
@@ -27,32 +27,6 @@ SCHEDULES = (
 )
 
 
-@dataclass(frozen=True)
-class Source:
-    """One source: size and target in words, and its demand curve as (time, cumulative words, words per time) knots."""
-
-    name: str | None
-    size: int
-    target: float
-    knots: tuple[tuple[float, float, float], ...]
-
-
-def water_fill(sizes: list[int], weights: list[int], share: Fraction, most: int) -> list[float]:
-    """Targets in proportion to the weights that sum to share * sum(sizes), none above most * size.
-
-    What a full source can't take goes to the others by weight, until none is above: sources fill up
-    in the order of (most * size / weight).
-    """
-    left, weight = share * sum(sizes), sum(weights)
-    out = [0.0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (Fraction(most * sizes[i], weights[i]), i)):
-        part = min(Fraction(most * sizes[i]), left * weights[i] / weight)
-        out[i] = float(part)
-        left -= part
-        weight -= weights[i]
-    return out
-
-
 def demand_knots(target: float, schedule) -> tuple[tuple[float, float, float], ...]:
     """(time, demand so far, demand rate) at each knot of a schedule."""
     area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(schedule, schedule[1:]))
@@ -65,13 +39,50 @@ def demand_knots(target: float, schedule) -> tuple[tuple[float, float, float], .
     return tuple(out)
 
 
-def plan_sources(sized: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=Fraction(3, 2), most: int = 2) -> list[Source]:
-    """Sources by code point, null last, with targets and demand curves. One row per source comes to the driver."""
-    totals = {r.source: r.n for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    names = sorted((s for s in totals if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in totals)
-    w = [weights[i % len(weights)] for i in range(len(names))]
-    targets = water_fill([totals[s] for s in names], w, share, most)
-    return [Source(s, totals[s], t, demand_knots(t, schedules[i % len(schedules)])) for i, (s, t) in enumerate(zip(names, targets, strict=True))]
+def _key(source: Column) -> Column:
+    """A source as a join key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def water_fill(sources: DataFrame, weights, share: Fraction, most: int) -> DataFrame:
+    """Adds rank and target to sources (source, source_size): in proportion to the weights (by rank, repeating), summing to
+    share * all sizes, none above most * size.
+
+    What a full source can't take goes to the others by weight, until none is above. Sources fill up in the order of
+    (most * size / weight): with the sums of those before, the level that the rest would share is known at each, and a source is
+    full if its own size is below it. Three running windows over one row for each source, which hold no rows.
+    """
+    whole = "decimal(38,0)"
+    order = F.col("source").asc_nulls_last()  # UTF-8 orders as code points do
+    df = sources.withColumn("rank", F.row_number().over(Window.orderBy(order)) - 1)
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    df = df.withColumns({"w": w, "cap": (F.col("source_size") * most).cast("decimal(20,0)")})
+    df = df.withColumn("fills", F.col("cap") * (F.lit(lcm(*weights)) / F.col("w")).cast("int"))
+    by = Window.orderBy("fills", "rank")
+    before, after = by.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.col("fills").desc(), F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"filled": F.coalesce(F.sum("cap").over(before), F.lit(0)).cast(whole), "weight": F.sum("w").over(after)})
+    total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("decimal(20,0)").alias("total"))
+    df = df.join(F.broadcast(total))  # one row
+    left = F.col("total") * share.numerator - F.col("filled") * share.denominator  # times the denominator
+    df = df.withColumns({"left": left.cast(whole)})
+    full = F.col("cap").cast("double") * F.col("weight") * share.denominator <= F.col("left").cast("double") * F.col("w")
+    df = df.withColumns({"full": full, "level": F.col("left").cast("double") / (F.col("weight") * share.denominator)})
+    level = df.where("NOT full").agg(F.min_by("level", F.struct("fills", "rank")).alias("shared"))
+    df = df.join(F.broadcast(level))  # one row
+    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("shared") * F.col("w"))
+    return df.select(*sources.columns, "rank", target.alias("target"))
+
+
+def plan_sources(sized: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=Fraction(3, 2), most: int = 2) -> DataFrame:
+    """One row per source, by code point, null last: key, source, rows, source_size, rank, target, shape (of its schedule)."""
+    totals = cut(sized.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size")))
+    return water_fill(totals, weights, share, most).withColumns({"key": _key(F.col("source")), "shape": (F.col("rank") % len(schedules)).cast("int")})
+
+
+def knots_of(shape: Column, target: Column, schedules) -> Column:
+    """A source's demand curve: its schedule's, for a target of 1, times its target."""
+    unit = [F.array(*[F.struct(F.lit(t).alias("t"), F.lit(d).alias("d"), F.lit(w).alias("w")) for t, d, w in demand_knots(1.0, s)]) for s in schedules]
+    return F.transform(F.element_at(F.array(*unit), shape + 1), lambda k: F.struct(k["t"].alias("t"), (k["d"] * target).alias("d"), (k["w"] * target).alias("w")))
 
 
 def _segments(knots: Column) -> Column:
@@ -96,18 +107,19 @@ def _demand_at(knots: list[tuple[float, float, float]], t: Column) -> Column:
     return out
 
 
-def total_curve(sources: list[Source]) -> list[tuple[float, float, float]]:
-    """Demand of all sources together, at the union of their knots."""
+def total_curve(by_shape: dict[int, float], schedules) -> list[tuple[float, float, float]]:
+    """Demand of all sources together, at the union of their knots: the schedules' curves times the sums of their targets."""
+    curves = [demand_knots(by_shape.get(i, 0.0), s) for i, s in enumerate(schedules)]
 
-    def at(s: Source, t: float) -> tuple[float, float]:
-        for (t0, d0, w0), (t1, _, w1) in zip(s.knots, s.knots[1:]):
+    def at(knots, t: float) -> tuple[float, float]:
+        for (t0, d0, w0), (t1, _, w1) in zip(knots, knots[1:]):
             if t <= t1:
                 k = (w1 - w0) / (t1 - t0)
                 return d0 + w0 * (t - t0) + k * (t - t0) ** 2 / 2, w0 + k * (t - t0)
-        return s.knots[-1][1:]
+        return knots[-1][1:]
 
-    times = sorted({k[0] for s in sources for k in s.knots})
-    return [(t, sum(at(s, t)[0] for s in sources), sum(at(s, t)[1] for s in sources)) for t in times]
+    times = sorted({k[0] for c in curves for k in c})
+    return [(t, sum(at(c, t)[0] for c in curves), sum(at(c, t)[1] for c in curves)) for t in times]
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=Fraction(3, 2), most: int = 2, seed: int = 17, bucket_rows: int = 2000, text: str = "text", with_key: bool = False) -> DataFrame:
@@ -115,22 +127,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=Fraction(3,
 
     taken: words that the mix takes of the document, over both passes (the document at the end of a
     source's demand is taken in part); first_taken: in the first pass; position: of its first word in
-    training, null if nothing is taken; again_position: likewise in the second pass. Every source's taken words are its target, rounded down.
+    training, null if nothing is taken; again_position: likewise in the second pass. Every source's taken words are its
+    target, rounded down.
 
     Scale: the running sums per source are two-level. A document's place in its source is a hash;
     the top of the hash is a bucket of about ``bucket_rows`` documents, sums of (source, bucket) are summed
     along each source, and windows run inside (source, bucket) only, so a source with a third of all
-    rows is spread over as many tasks. Sources and totals come to the driver, one row per source.
-    Null text: size 0; null source: the last source; rows with the same doc_id and text are
-    interchangeable. The output is range-partitioned and sorted by position; ``with_key`` adds ``h``, the
-    hash of (doc_id, text) that orders a source.
+    rows is spread over as many tasks; the join to its plan is split likewise. Sources stay a table; one sum for each schedule
+    comes to the driver. Null text: size 0; null source: the last source; rows with the same doc_id and text are
+    interchangeable; texts of any length count whole; extra columns are ignored. The output is range-partitioned and sorted by
+    position; ``with_key`` adds ``h``, the hash of (doc_id, text) that orders a source.
     """
-    spark = docs.sparkSession
     doc = F.col("doc_id").cast("long")
     sized = docs.select(doc.alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), doc, F.col(text)).alias("h"))
     sized = cut(sized)
-    sources = plan_sources(sized, weights, schedules, share, most)
-    buckets = 1 << max(6, min(30, (sized.count() // bucket_rows).bit_length()))
+    sources = cut(plan_sources(sized, weights, schedules, share, most))
+    by_shape = {r["shape"]: r["n"] for r in sources.groupBy("shape").agg(F.sum("target").alias("n")).collect()}  # a row for each schedule
+    n_rows = sized.count()
+    buckets = 1 << max(6, min(30, (n_rows // bucket_rows).bit_length()))
     bucket = F.shiftrightunsigned("h", 64 - (buckets.bit_length() - 1)).cast("int")
     sized = sized.withColumn("bucket", bucket)
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -140,16 +154,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=Fraction(3,
     placed = sized.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(sums, placed["source"].eqNullSafe(sums["s"]) & (placed["bucket"] == sums["b"])).withColumn("start", F.col("start") + F.col("before"))
 
-    knot = "array<struct<t:double,d:double,w:double>>"
-    table = spark.createDataFrame([(s.name, s.size, s.target, list(s.knots)) for s in sources], f"name string, source_size long, target double, knots {knot}")
-    if len(sources) <= 10_000:  # counted above; a larger table stays a splittable join side
-        table = F.broadcast(table)
-    df = placed.join(table, placed["source"].eqNullSafe(table["name"]))
+    df = split_join(placed.select(_key(F.col("source")).alias("key"), "doc_id", "source", "size", "h", "start"), sources.select("key", "rows", "source_size", "target", "shape"), ["key"], "rows", n_rows, ["h"])
+    df = df.withColumn("knots", knots_of(F.col("shape"), F.col("target"), schedules))
     whole = F.floor("target")
     part = lambda start: F.greatest(F.lit(0), F.least(F.col("size"), whole - start)).cast("long")
     first, again = part(F.col("start")), part(F.col("start") + F.col("source_size"))
     df = df.select(*["h"] * with_key, "doc_id", "source", "size", "source_size", "target", (first + again).alias("taken"), first.alias("first_taken"), *[F.when(n > 0, _time_at(F.col("knots"), at.cast("double"))).alias(t) for t, n, at in (("t", first, F.col("start")), ("u", again, F.col("start") + F.col("source_size")))])
-    place = lambda t: F.when(F.col(t).isNotNull(), F.floor(_demand_at(total_curve(sources), F.col(t)))) if sources else F.lit(None).cast("long")
+    curve = total_curve(by_shape, schedules)
+    place = lambda t: F.when(F.col(t).isNotNull(), F.floor(_demand_at(curve, F.col(t))))
     df = df.withColumns({"position": place("t"), "again_position": place("u")})
     return df.drop("t", "u").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
@@ -159,19 +171,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     each time where its source's schedule puts it.
 
     A document at the end of its source's demand, of which only a part would be taken, comes whole if
-    that part is at least half of it. Rows are joined to their places
-    by doc_id, content and number among equal rows.
+    that part is at least half of it. Rows meet their places by doc_id and content, which moves each text once, and the sort moves
+    it into training order; of rows that are equal in both, one stands for all. Null texts have no words and don't come.
     """
     text = options.get("text", "text")
     seed = options.get("seed", 17)
-    doc = F.col("doc_id").cast("long")
-    keys = ["__h", "__doc", "__nth"]
-    nth = lambda *order: F.row_number().over(Window.partitionBy("__h", "__doc").orderBy(*order))
+    keys = ["__h", "__doc"]
     places = mix(docs, **options, with_key=True).where(F.col("taken") > 0)
     half = F.col("size") / 2
     at = F.array_compact(F.array(F.when(F.col("first_taken") >= half, F.col("position")), F.when(F.col("taken") - F.col("first_taken") >= half, F.col("again_position"))))
-    places = places.select(F.col("h").alias("__h"), F.coalesce("doc_id", F.lit(0)).alias("__doc"), F.col("position").alias("__position"), at.alias("__at"))
-    places = places.withColumn("__nth", nth("__position")).drop("__position").where(F.size("__at") > 0)
-    rows = docs.withColumns({"__h": F.xxhash64(F.lit(seed), doc, F.col(text)), "__doc": F.coalesce(doc, F.lit(0))}).withColumn("__nth", nth(F.lit(0)))
-    copies = rows.join(places, keys).withColumn("__position", F.explode("__at"))
-    return copies.orderBy("__position", "__doc").select(*docs.columns)
+    places = places.select(F.col("h").alias("__h"), F.coalesce("doc_id", F.lit(0)).alias("__doc"), F.explode(at).alias("__position"))
+    doc = F.col("doc_id").cast("long")
+    rows = docs.withColumns({"__h": F.xxhash64(F.lit(seed), doc, F.col(text)), "__doc": F.coalesce(doc, F.lit(0))})
+    equal = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys))
+    if not small(equal, 0):
+        equal = broadcast_if_small(equal)
+        rows = rows.join(equal, keys, "left_anti").unionByName(rows.join(equal, keys, "left_semi").dropDuplicates(keys))
+    return rows.join(places, keys).orderBy("__position", "__doc").select(*docs.columns)

@@ -25,25 +25,30 @@ def text_of(rng, n, vocabulary=4000):
 # mixing
 
 
-def test_water_fill():
-    for sizes in ([100, 10, 50], [5, 5, 5, 5], [1000, 0, 1], [0, 0]):
-        t = source_mix.water_fill(sizes, [(3, 1, 2)[i % 3] for i in range(len(sizes))], Fraction(3, 2), 2)
-        assert sum(t) == pytest.approx(1.5 * sum(sizes)) and all(x <= 2 * s for x, s in zip(t, sizes, strict=True))
-
-    # resharing by weight until none is above
-    sizes, w = [100, 10, 50, 7], [3, 1, 2, 3]
-    left, fixed = Fraction(3, 2) * sum(sizes), {}
+def brute_fill(sizes, w=(3, 1, 2), most=2):
+    """Resharing by weight until none is above."""
+    n, left, fixed = len(sizes), Fraction(3, 2) * sum(sizes), {}
+    w = [w[i % len(w)] for i in range(n)]
     while True:
-        free = [i for i in range(4) if i not in fixed]
+        free = [i for i in range(n) if i not in fixed]
         share = {i: (left - sum(fixed.values())) * w[i] / sum(w[j] for j in free) for i in free}
-        over = [i for i in free if share[i] > 2 * sizes[i]]
+        over = [i for i in free if share[i] > most * sizes[i]]
         if not over:
-            break
-        fixed |= {i: Fraction(2 * sizes[i]) for i in over}
-    assert source_mix.water_fill(sizes, w, Fraction(3, 2), 2) == pytest.approx([float({**share, **fixed}[i]) for i in range(4)])
+            return [float({**share, **fixed}[i]) for i in range(n)]
+        fixed |= {i: Fraction(most * sizes[i]) for i in over}
 
 
-def test_mix(spark):
+def test_water_fill(spark):
+    rng = random.Random(51)
+    for sizes in ([100, 10, 50], [5, 5, 5, 5], [1000, 0, 1], [0, 0], [100, 10, 50, 7], [3], [rng.randrange(10**rng.randrange(1, 9)) for _ in range(60)]):
+        d = spark.createDataFrame([(f"s{i:03d}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+        got = [r.target for r in source_mix.water_fill(d, (3, 1, 2), Fraction(3, 2), 2).orderBy("rank").collect()]
+        assert got == pytest.approx(brute_fill(sizes)) and sum(got) == pytest.approx(1.5 * sum(sizes))
+        assert all(x <= 2 * s * (1 + 1e-12) for x, s in zip(got, sizes, strict=True))
+
+
+def test_mix(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
     rng = random.Random(1)
     rows = [(i, text_of(rng, rng.randrange(0, 60)), rng.choice(["a"] * 6 + ["b", "ç"]) if i % 11 else None) for i in range(600)] + [(900, None, "b"), (901, "", "a"), (7, rows7 := "x y z", "b"), (7, rows7, "b"), (None, "n o", "a")]
     d = spark.createDataFrame(rows, DOC)
@@ -51,10 +56,10 @@ def test_mix(spark):
     again = source_mix.mix(d.repartition(7), bucket_rows=20).collect()
     assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == len(rows)
     sizes = {s: sum(len(WORDS.findall(t or "")) for _, t, x in rows if x == s) for s in ("a", "b", "ç", None)}
-    targets = dict(zip(sizes, source_mix.water_fill(list(sizes.values()), [3, 1, 2, 3], Fraction(3, 2), 2), strict=True))
+    targets = dict(zip(sizes, brute_fill(list(sizes.values())), strict=True))
     for s in sizes:
         mine = [r for r in got if r.source == s]
-        assert {(r.source_size, r.target) for r in mine} == {(sizes[s], targets[s])}
+        assert {r.source_size for r in mine} == {sizes[s]} and all(r.target == pytest.approx(targets[s]) for r in mine)
         assert sum(r.taken for r in mine) == int(targets[s]) and all(0 <= r.taken <= 2 * r.size for r in mine)
     placed = [r.position for r in got if r.position is not None]
     assert placed == sorted(placed)  # training order
@@ -84,16 +89,17 @@ def test_second_passes_follow_the_schedule(spark):
     rows = [(i, text_of(rng, 10), "abcd"[i % 4]) for i in range(1200)]
     d = spark.createDataFrame(rows, DOC)
     sized = d.select("source", F.size(F.split("text", " ")).cast("long").alias("size"))
-    plan = source_mix.plan_sources(sized)
-    assert any(s.target == 2 * s.size for s in plan)  # a whole second pass
+    plan = source_mix.plan_sources(sized).collect()
+    assert any(s.target == 2 * s.source_size for s in plan)  # a whole second pass
 
     def demand(s, t):
-        for (t0, d0, w0), (t1, _, w1) in zip(s.knots, s.knots[1:]):
+        knots = source_mix.demand_knots(s.target, source_mix.SCHEDULES[s["shape"]])
+        for (t0, d0, w0), (t1, _, w1) in zip(knots, knots[1:]):
             if t <= t1:
                 return d0 + w0 * (t - t0) + (w1 - w0) / (t1 - t0) * (t - t0) ** 2 / 2
 
     mixed = source_mix.mixed_documents(d).select("source").collect()
-    words = {s.name: 0 for s in plan}
+    words = {s.source: 0 for s in plan}
     for i, r in enumerate(mixed, 1):
         words[r.source] += 10
         if i % 150 == 0:
@@ -101,7 +107,7 @@ def test_second_passes_follow_the_schedule(spark):
             for _ in range(50):
                 mid = (lo + hi) / 2
                 lo, hi = (mid, hi) if sum(demand(s, mid) for s in plan) < 10 * i else (lo, mid)
-            assert all(abs(words[s.name] - demand(s, lo)) <= 60 for s in plan), (i, words)
+            assert all(abs(words[s.source] - demand(s, lo)) <= 60 for s in plan), (i, words)
     got = source_mix.mix(d).collect()
     assert all((r.again_position is None) == (r.taken == r.first_taken) and (r.again_position is None or r.again_position > r.position) for r in got)
 
