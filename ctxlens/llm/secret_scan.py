@@ -1,15 +1,14 @@
 """Secret scans with a recursive decoding worklist (operator 5).
 
 A document's text is the first layer. Each layer is scanned; URL escapes, Unicode escapes, base64
-runs (broken into lines or not) and compressed payloads in it give further layers, until none is new (a layer already seen for
-the same place is a cycle and is left). A finding in a layer is mapped to the code points of the
-document that it came from.
+runs (broken into lines or not, whatever stands before them) and compressed payloads in it give further layers, until none is
+new (a layer already seen for the same place is a cycle and is left). A finding in a layer is mapped to the code points
+of the document that it came from. Unpacked payloads are read block by block, so that no size is too large.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bisect
 import bz2
 import hashlib
@@ -17,6 +16,7 @@ import itertools
 import lzma
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import zstandard
@@ -31,46 +31,77 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+URL_PLUS = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\+")
+UNICODE = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 #: Two lines and more of base64 characters, and one line's; lines may be indented or quoted.
 LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*\r?\n[ \t>]*+[A-Za-z0-9+/_-]++)++={0,2}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
-#: A document's compressed payloads may unpack to this many bytes together; one that would exceed it is left packed and reported.
-MAX_UNPACKED = 256 << 20
+#: Bytes of an unpacked payload that are looked at together, and how many of them the next block repeats: a finding or a payload inside
+#: that is longer is looked at in parts.
+BLOCK, OVERLAP = 64 << 20, 16 << 20
 
 
-class Budget:
-    """Bytes that a document's payloads may still unpack to, the places of payloads left packed, and payloads already tried."""
+class Tried:
+    """Payloads already unpacked, by place: layers hold copies of one another."""
 
-    def __init__(self, left: int):
-        self.left, self.packed, self.tried = left, set(), set()
+    def __init__(self):
+        self.keys = set()
 
     def new(self, raw: bytes, place: tuple[int, int]) -> bool:
-        """Whether the payload wasn't met at this place yet (layers hold copies of one another)."""
         key = hashlib.sha256(raw).digest(), place
-        met = key in self.tried
-        self.tried.add(key)
+        met = key in self.keys
+        self.keys.add(key)
         return not met
 
 
+class Places:
+    """Where the code points of a layer come from, as runs: point at[i] + k comes from the ``step[i]`` points from src[i] + k * step[i] on."""
+
+    def __init__(self):
+        self.at, self.src, self.step, self.size = array("q"), array("q"), array("q"), 0
+
+    def add(self, n: int, src: int, step: int) -> None:
+        if not self.at or self.step[-1] != step or self.src[-1] + (self.size - self.at[-1]) * step != src:
+            self.at.append(self.size)
+            self.src.append(src)
+            self.step.append(step)
+        self.size += n
+
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        i, j = bisect.bisect_right(self.at, a) - 1, bisect.bisect_right(self.at, b - 1) - 1
+        return self.src[i] + (a - self.at[i]) * self.step[i], self.src[j] + (b - self.at[j]) * self.step[j]
+
+    def follow(self, n: int, start: int, step: int, out: Places) -> None:
+        """Adds to ``out`` n points that come from ``step`` points of this layer each, from ``start`` on."""
+        while n > 0:
+            i = bisect.bisect_right(self.at, start) - 1
+            end = self.at[i + 1] if i + 1 < len(self.at) else self.size
+            m = min(n, (end - start) // step)
+            if m:
+                out.add(m, self.src[i] + (start - self.at[i]) * self.step[i], self.step[i] * step)
+            else:  # a point that comes from several runs
+                m = 1
+                s, e = self.place(start, start + step)
+                out.add(1, s, e - s)
+            n, start = n - m, start + m * step
+
+
 @dataclass
 class Layer:
-    """text; spans None: the document itself; a pair: all of it came from one place; else a place for each code point."""
+    """text; spans None: the document itself; a pair: all of it came from one place; else the places of its code points."""
 
     text: str
-    spans: tuple[int, int] | tuple[list[int], list[int]] | None = None
+    spans: tuple[int, int] | Places | None = None
     plain: bool = True
 
     def place(self, a: int, b: int) -> tuple[int, int]:
         if self.spans is None:
             return a, b
-        s, e = self.spans
-        return (s, e) if isinstance(s, int) else (s[a], e[b - 1])
+        return self.spans if isinstance(self.spans, tuple) else self.spans.place(a, b)
 
     def key(self) -> tuple:
-        s = self.spans
-        return hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest(), s if s is None or isinstance(s[0], int) else (s[0][0], s[1][-1])
+        return hashlib.sha256(self.text.encode("utf-8", "surrogatepass")).digest(), self.place(0, len(self.text))
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -87,52 +118,51 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 
 
 def _unescape(layer: Layer, pattern: re.Pattern, chars) -> Layer | None:
-    """The layer with every escape replaced; chars(match) gives (text, start, end in the match) pieces or None."""
-    out, starts, ends, at, changed = [], [], [], 0, False
-
-    def copy(a: int, b: int) -> None:
-        out.append(layer.text[a:b])
-        if layer.spans is None:
-            starts.extend(range(a, b))
-            ends.extend(range(a + 1, b + 1))
-        elif not isinstance(layer.spans[0], int):
-            starts.extend(layer.spans[0][a:b])
-            ends.extend(layer.spans[1][a:b])
+    """The layer with every escape replaced; chars(match) gives (text, points before each) runs of even steps, or None."""
+    out, at, changed = [], 0, False
+    places = None if isinstance(layer.spans, tuple) else Places()
+
+    def add(n: int, start: int, step: int) -> None:
+        if places is not None and n:
+            places.add(n, start, step) if layer.spans is None else layer.spans.follow(n, start, step, places)
 
     for m in pattern.finditer(layer.text):
-        pieces = chars(m)
-        if pieces is None:
+        runs = chars(m)
+        if runs is None:
             continue
-        copy(at, m.start())
-        at, changed = m.end(), True
-        for c, a, b in pieces:
-            out.append(c)
-            s, e = layer.place(m.start() + a, m.start() + b)
-            starts.append(s)
-            ends.append(e)
+        out.append(layer.text[at : m.start()])
+        add(m.start() - at, at, 1)
+        at, changed = m.start(), True
+        for text, step in runs:
+            out.append(text)
+            add(len(text), at, step)
+            at += len(text) * step
     if not changed:
         return None
-    copy(at, len(layer.text))
+    out.append(layer.text[at:])
+    add(len(layer.text) - at, at, 1)
     text = "".join(out)
-    one = layer.spans is not None and isinstance(layer.spans[0], int)
-    return Layer(text, layer.spans if one else (starts, ends)) if text else None
+    return Layer(text, layer.spans if places is None else places) if text else None
 
 
-def _url(m: re.Match) -> list[tuple[str, int, int]] | None:
-    raw, at, out = bytes.fromhex(m[0].replace("%", "")), 0, []
+def _url(m: re.Match) -> list[tuple[str, int]]:
+    """Escaped bytes as UTF-8, else as Latin-1; a plus sign is a blank."""
+    if m[0] == "+":
+        return [(" ", 1)]
+    raw = bytes.fromhex(m[0].replace("%", ""))
     try:
-        for c in raw.decode("utf-8"):
-            n = len(c.encode())
-            out.append((c, 3 * at, 3 * (at + n)))
-            at += n
+        text = raw.decode("utf-8")
     except UnicodeDecodeError:
-        out = [(chr(b), 3 * i, 3 * i + 3) for i, b in enumerate(raw)]
-    return out
+        text = raw.decode("latin-1")
+        return [(text, 3)]
+    return [(text, 3)] if len(text) == len(raw) else [(c, 3 * len(c.encode())) for c in text]
 
 
-def _unicode(m: re.Match) -> list[tuple[str, int, int]] | None:
-    n = int(m[6]) if m[6] else int(next(g for g in m.groups()[:5] if g), 16)
-    return [(chr(n), 0, len(m[0]))] if n < 0x110000 and not 0xD800 <= n < 0xE000 else None
+def _unicode(m: re.Match) -> list[tuple[str, int]] | None:
+    if m[1]:
+        return [(chr(0x10000 + ((int(m[1], 16) - 0xD800) << 10) + int(m[2], 16) - 0xDC00), len(m[0]))]
+    n = int(m[8]) if m[8] else int(next(g for g in m.groups()[2:7] if g), 16)
+    return [(chr(n), len(m[0]))] if n < 0x110000 and not 0xD800 <= n < 0xE000 else None
 
 
 class _Inflate:
@@ -179,44 +209,54 @@ PACKED = (
 _BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError, zstandard.ZstdError)
 
 
-def _members(raw: bytes, budget: Budget, place: tuple[int, int]) -> tuple[bytes, bytes, bool] | None:
-    """What the compressed members at the start of ``raw`` hold, together, what follows them, and whether all are whole.
+#: Where a member may start inside other bytes.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]")
 
-    None if there are none. A broken member gives what comes before its fault, and is the rest itself. A payload
-    beyond the budget is noted by its place and left packed (with no rest).
+
+class Members:
+    """What the compressed members of one kind from a place on hold, piece by piece.
+
+    end: where the whole members end. found: whether there is one. broken: whether another follows that breaks off; what comes
+    before its fault has been given.
     """
-    out, rest, whole = [], raw, True
-    left = budget.left
-    while (kind := next((k for k in PACKED if rest.startswith(k[0])), None)) and (not out or raw.startswith(kind[0])):
-        _, make, step = kind
-        d, got, at = make(), [], 0
-        try:
-            while not d.eof:
-                if d.needs_input:
-                    if at >= len(rest):
+
+    def __init__(self, raw: bytes, at: int = 0):
+        self.raw, self.end, self.found, self.broken = raw, at, False, False
+
+    def __iter__(self):
+        kind = next((k for k in PACKED if self.raw.startswith(k[0], self.end)), None)
+        while kind and self.raw.startswith(kind[0], self.end):
+            _, make, step = kind
+            d, at, got = make(), self.end, False
+            try:
+                while not d.eof:
+                    if not d.needs_input:
+                        piece = b""
+                    elif at < len(self.raw):
+                        piece, at = self.raw[at : at + step], min(len(self.raw), at + step)
+                    else:
                         break
-                    piece, at = rest[at : at + step], at + step
-                else:
-                    piece = b""
-                x = d.decompress(piece, 1 << 20)
-                left -= len(x)
-                if left < 0:
-                    budget.packed.add((*place, hashlib.sha256(raw).digest()))
-                    return b"", b"", True
-                got.append(x)
-        except _BROKEN:
-            pass
-        if not d.eof and not any(got):
-            break
-        out.append(b"".join(got))
-        if not d.eof:
-            whole = False
-            break
-        rest = d.unused_data + rest[at:]
-    if not out:
-        return None
-    budget.left = left
-    return b"".join(out), rest, whole
+                    if x := d.decompress(piece, 1 << 20):
+                        got = self.found = True
+                        yield x
+            except _BROKEN:
+                pass
+            if not d.eof:
+                self.broken = got
+                return
+            self.found = True
+            self.end = at - len(d.unused_data)
+
+
+def _blocks(pieces):
+    """Pieces joined to blocks of BLOCK bytes at most that overlap."""
+    held = bytearray()
+    for x in pieces:
+        held += x
+        if len(held) >= BLOCK:
+            yield bytes(held)
+            del held[: len(held) - OVERLAP]
+    yield bytes(held)
 
 
 #: ASCII text in UTF-16, both byte orders, anywhere in a binary payload.
@@ -240,62 +280,71 @@ def _views(raw: bytes):
                 yield m[0].replace(b"\x00", b"").decode("ascii"), False
 
 
-def _unpack(raw: bytes, budget: Budget, place: tuple[int, int]):
-    """Views of a payload, through any compressed members."""
-    todo, seen = [raw], set()
-    while todo:
-        raw = todo.pop()
-        if not raw or raw in seen:  # a payload that unpacks to itself
-            continue
-        seen.add(raw)
-        if (found := _members(raw, budget, place)) is not None:
-            out, rest, whole = found
-            todo.append(out)
-            if whole:
-                todo.append(rest)
-            else:
-                yield from _views(rest)
-        else:
-            yield from _views(raw)
+def _unpack(raw: bytes, seen: set[bytes]):
+    """Views of a payload, through any compressed members in it; ``seen``: digests, for payloads that unpack to themselves."""
+    digest = hashlib.sha256(raw).digest()
+    if not raw or digest in seen:
+        return
+    seen.add(digest)
+    at = 0
+    if any(raw.startswith(k[0]) for k in PACKED):
+        first = Members(raw)
+        for block in _blocks(first):
+            yield from _unpack(block, seen)
+        at = first.end if first.found else 0
+        if at == len(raw):
+            return
+    rest = raw[at:]
+    if at and not first.broken:
+        yield from _unpack(rest, seen)
+        return
+    yield from _views(rest)
+    done = 0
+    for m in MAGIC.finditer(rest):
+        if m.start() >= max(1, done):
+            inner = Members(rest, m.start())
+            for block in _blocks(inner):
+                yield from _unpack(block, seen)
+            done = inner.end if inner.found else done
 
 
 def _wrapped(text: str):
-    """(payload, start, end) of base64 broken into lines: equal lines, the first and the last may be shorter.
+    """(payload, start, end, alignments) of base64 broken into lines: equal lines, the last may be shorter, the first is any.
 
-    What stands next to the payload may look like a line of it, so the first line is tried with and without, as is the last.
+    What stands next to the payload may look like a line of it, so the line before is tried with and without, as is the last.
+    Only a first line that is longer than the others may have letters before the payload.
     """
     for m in LINES.finditer(text):
         runs = [r.span() for r in RUN.finditer(text, m.start(), m.end())]
         width = [b - a for a, b in runs]
         i = 0
-        while i + 1 < len(runs):
-            head = i if width[i] == width[i + 1] else i + 1 if width[i] < width[i + 1] else i
-            j = head
-            while j + 1 < len(runs) and width[j + 1] == width[head]:
+        while i < len(runs):
+            j = i
+            while j + 1 < len(runs) and width[j + 1] == width[i]:
                 j += 1
-            last = j + 1 if j + 1 < len(runs) and width[j + 1] < width[head] else j
-            for a in {i, head}:
+            last = j + 1 if j + 1 < len(runs) and width[j + 1] < width[i] else j
+            for a in {max(0, i - 1), i}:
                 for b in {j, last}:
                     joined = "".join(text[x:y] for x, y in runs[a : b + 1])
                     if b > a and len(joined) >= 16:
-                        yield joined, runs[a][0], runs[b][1]
-            i = max(i + 1, j)
-
-
-def _base64(layer: Layer, budget: Budget):
-    runs = ((m[0], *m.span()) for m in BASE64.finditer(layer.text))
-    for run, a, b in itertools.chain(runs, _wrapped(layer.text) if "\n" in layer.text else ()):
-        run = run.rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        place = layer.place(a, b)
-        if budget.new(raw, place):
-            for text, plain in _unpack(raw, budget, place):
-                yield Layer(text, place, plain)
+                        yield joined, runs[a][0], runs[b][1], 4 if a < i and width[a] > width[i] else 1
+            i = j + 1
+
+
+def _base64(layer: Layer, tried: Tried):
+    """Payloads of base64 runs. Letters that stand before one belong to the run, so each of the four alignments is decoded."""
+    runs = ((m[0], *m.span(), 4) for m in BASE64.finditer(layer.text))
+    for run, a, b, alignments in itertools.chain(runs, _wrapped(layer.text) if "\n" in layer.text else ()):
+        run = run.rstrip("=").replace("-", "+").replace("_", "/")
+        whole = b - a == len(run) or layer.text[a + len(run) : b].strip("=") == ""
+        for skip in range(alignments):
+            part = run[skip:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            raw = base64.b64decode(part + "=" * (-len(part) % 4))
+            place = layer.place(a + skip * whole, b)
+            if tried.new(raw, place):
+                for text, plain in _unpack(raw, set()):
+                    yield Layer(text, place, plain)
 
 
 def _escaped_magic(byte) -> re.Pattern:
@@ -332,7 +381,7 @@ def _byte(m: re.Match) -> int:
     return (int(x) if m.lastindex == 6 else int(x, 8) if m.lastindex == 7 else _C.get(x) or ord(x)) & 255
 
 
-def _bytes(layer: Layer, budget: Budget, magic: re.Pattern, token: re.Pattern):
+def _bytes(layer: Layer, tried: Tried, magic: re.Pattern, token: re.Pattern):
     """Compressed bytes written as escapes, wherever a magic stands in them."""
     start = end = done = 0
     at, raw = [], b""
@@ -341,68 +390,70 @@ def _bytes(layer: Layer, budget: Budget, magic: re.Pattern, token: re.Pattern):
             continue
         if m.start() >= end:  # a new run
             start = end = m.start()
-            at, made = [], bytearray()
+            at, made = array("q"), bytearray()
             while t := token.match(layer.text, end):
                 at.append(end)
                 made.append(_byte(t))
                 end = t.end()
-            at, raw = [*at, end], bytes(made)
+            at.append(end)
+            raw = bytes(made)
         if end - start == len(raw):  # nothing is escaped
             continue
         i = bisect.bisect_left(at, m.start())
-        if i < len(raw) and at[i] == m.start() and budget.new(raw[i:], place := layer.place(m.start(), end)):
-            if (found := _members(raw[i:], budget, place)) is None:
+        if i < len(raw) and at[i] == m.start() and tried.new(raw[i:], layer.place(m.start(), end)):
+            blocks = _blocks(inner := Members(raw, i))
+            first = next(blocks)
+            several = any([True for _ in blocks])  # the place is known once all is read
+            if not inner.found:
                 continue
-            to = len(raw) - len(found[1]) * found[2]
-            done = at[to] if found[2] else done
+            to = len(raw) if inner.broken else inner.end
+            done = at[to] if not inner.broken else done
             place = layer.place(m.start(), at[to])
-            for text, plain in _unpack(found[0], budget, place):
-                yield Layer(text, place, plain)
+            for block in itertools.chain([first], itertools.islice(_blocks(Members(raw, i)), 1, None) if several else ()):
+                for text, plain in _unpack(block, set()):
+                    yield Layer(text, place, plain)
 
 
-def unwrap(layer: Layer, budget: Budget) -> list[Layer]:
+def unwrap(layer: Layer, tried: Tried):
     """Layers directly inside a layer."""
-    out, t = [], layer.text
+    t = layer.text
     if "%" in t:
         if x := _unescape(layer, URL, _url):
-            out.append(x)
-        out += _bytes(layer, budget, *BYTES_URL)
+            yield x
+        if "+" in t and (x := _unescape(layer, URL_PLUS, _url)):
+            yield x
+        yield from _bytes(layer, tried, *BYTES_URL)
     if "\\" in t or "&#" in t:
         if x := _unescape(layer, UNICODE, _unicode):
-            out.append(x)
-        out += _bytes(layer, budget, *BYTES_CODE)
+            yield x
+        yield from _bytes(layer, tried, *BYTES_CODE)
     if any(len(w) >= 16 for w in t.split()) or "\n" in t:
-        out += _base64(layer, budget)
-    return out
+        yield from _base64(layer, tried)
 
 
-def _find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, list[tuple[int, int, bytes]]]:
-    """(base spans, spans that only decoded layers show, number of layers, payloads left packed by place and digest).
+def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
+    """(base spans, spans that only decoded layers show, number of layers).
 
-    A payload that isn't plain text counts as a layer only if it holds something.
+    A payload that isn't plain text counts as a layer only if it holds something. The worklist holds generators, so
+    that of a payload of many blocks one is in memory.
     """
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
-    root = Layer(text)
     base = sorted(scan(text), key=order)
-    seen, have, more, todo, budget, layers = set(), set(base), set(), unwrap(root, b := Budget(MAX_UNPACKED)), b, 1
+    tried, seen, have, more, layers = Tried(), set(), set(base), set(), 1
+    todo = [unwrap(Layer(text), tried)]
     while todo:
-        layer = todo.pop()
+        if (layer := next(todo[-1], None)) is None:
+            todo.pop()
+            continue
         if (key := layer.key()) in seen:
             continue
         seen.add(key)
         found = scan(layer.text)
         for kind, a, z in found:
             more.add((kind, *layer.place(a, z)))
-        inside = unwrap(layer, budget)
-        todo += inside
-        layers += layer.plain or bool(found or inside)
-    return base, sorted(more - have, key=order), layers, sorted(budget.packed)
-
-
-def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
-    """(base spans, spans that only decoded layers show, number of layers, payloads over the limit)."""
-    base, more, layers, packed = _find(text)
-    return base, more, layers, len(packed)
+        layers += layer.plain or bool(found)
+        todo.append(unwrap(layer, tried))
+    return base, sorted(more - have, key=order), layers
 
 
 def _joined(spans) -> str:
@@ -410,22 +461,23 @@ def _joined(spans) -> str:
 
 
 def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default all) with counts of base kinds, base_sha256, spans, n_layers and n_unscanned.
+    """``keep`` columns (default all) with counts of base kinds, base_sha256, spans and n_layers.
 
-    Null texts are empty. n_unscanned counts payloads that would exceed MAX_UNPACKED for one
-    document (decompression bombs); everything else is unwrapped to the fixpoint. No shuffle.
+    Null and empty texts have no spans. Everything is unwrapped to the fixpoint, however large; a decompression bomb
+    costs time, not memory. Rows are independent, so repeats and ties need no rule and an empty table gives no rows; ``keep`` columns
+    that have a computed name are replaced. No shuffle.
     """
     fields = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS]
-    fields += [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_layers", T.LongType()), T.StructField("n_unscanned", T.LongType())]
+    fields += [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_layers", T.LongType())]
 
     def make():
         def f(texts):
             rows = []
             for t in texts:
-                base, more, layers, left = find(t)
+                base, more, layers = find(t)
                 spans = sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
                 n = [sum(s[0] == k for s in base) for k in KINDS]
-                rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), layers, left))
+                rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), layers))
             return [list(c) for c in zip(*rows, strict=True)]
 
         return f
@@ -434,10 +486,10 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
 
 def redact(text: str, mark: str = "[SECRET]") -> str:
-    """The text with every found place and every payload left packed, overlapping ones merged, replaced by ``mark``."""
-    base, more, _, packed = _find(text)
+    """The text with every found place, overlapping ones merged, replaced by ``mark``."""
+    base, more, _ = find(text)
     out, at, end = [], 0, 0
-    for a, b in sorted([s[1:] for s in base + more] + [s[:2] for s in packed]):
+    for a, b in sorted(s[1:] for s in base + more):
         if a < end:
             end = max(end, b)
             at = max(at, end)
@@ -448,6 +500,6 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with secrets in the text replaced; a null text becomes empty, other columns stay."""
+    """``docs`` with secrets in the text replaced; a null text becomes empty, other columns stay, repeated rows are treated alike."""
     fields = [T.StructField(text, T.StringType())]
     return map_text(docs, lambda: lambda texts: [[redact(t, mark) for t in texts]], fields, docs.columns, text).select(*docs.columns)
