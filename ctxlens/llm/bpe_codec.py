@@ -63,13 +63,14 @@ def token_offsets(docs: DataFrame, path: str, pattern: str | None = None, text:
     return map_text(docs, make, fields, keep or docs.columns, text)
 
 
-def codec_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def codec_digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, ids: bool = False) -> DataFrame:
     """Encodes, decodes the ids again, maps tokens to characters, and gives digests with ``round_trip``.
 
     ids_sha256 covers the ids as little-endian unsigned 32-bit integers; decoded_sha256 the decoded
     bytes; offsets_sha256 the starts, then the ends, of the tokens in code points, likewise as 32-bit integers (null if the
     pattern leaves out a part of the text); n_split counts tokens that hold part of a character. Null texts count as
     empty; ``keep`` columns that have a computed name are replaced; rows are independent, so repeats and ties need no rule.
+    ``ids``: also the ids themselves.
     """
     fields = [
         T.StructField("n_tokens", T.LongType()),
@@ -79,19 +80,24 @@ def codec_digests(docs: DataFrame, path: str, pattern: str, text: str = "text",
         T.StructField("n_split", T.LongType()),
         T.StructField("offsets_sha256", T.StringType()),
     ]
+    if ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
 
     def make():
+        import numpy as np
+
         enc, dec = ranks_encoder(path, pattern), ranks_decoder(path, pattern)
 
         def f(texts):
             rows = []
-            for t, ids in zip(texts, enc.encode(texts), strict=True):
-                raw, back = t.encode(), dec.decode(ids)
+            for t, packed in zip(texts, enc.encode(texts), strict=True):
+                raw, back = t.encode(), dec.decode(packed)
                 split, spans = None, None
                 if back == raw:
-                    start, end, split = dec.offsets(ids, raw)
+                    start, end, split = dec.offsets(packed, raw)
                     spans = hashlib.sha256(start.astype("<u4").tobytes() + end.astype("<u4").tobytes()).hexdigest()
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), back == raw, split, spans))
+                row = (len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest(), back == raw, split, spans)
+                rows.append((*row, np.frombuffer(packed, "<i4")) if ids else row)
             return [list(c) for c in zip(*rows, strict=True)]
 
         return f

@@ -9,6 +9,7 @@ joined, and the chunked framing is decoded.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
@@ -77,10 +78,18 @@ def records_of(f) -> "iter":
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError("a record doesn't start with a WARC version")
-        headers = {}
+        headers, last = {}, ""
         while (line := f.readline()) not in (CRLF, b"\n", b""):
-            k, _, v = line.decode().partition(":")
-            headers[k.strip().lower()] = v.strip()
+            try:
+                text = line.decode()
+            except UnicodeDecodeError:
+                text = line.decode("latin-1")
+            if text[0] in " \t":  # a folded line goes on with the one before
+                headers[last] = f"{headers.get(last, '')} {text.strip()}".strip()
+                continue
+            k, _, v = text.partition(":")
+            last = k.strip().lower()
+            headers[last] = v.strip()
         n = int(headers["content-length"])
         block = f.read(n)
         if len(block) < n:
@@ -158,8 +167,9 @@ _RESULT = T.StructType(
     [T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType())]
     + [T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("segments", T.IntegerType())]
 )
-_SEGMENT = T.StructType(
-    [T.StructField("origin", T.StringType()), T.StructField("page_id", T.LongType()), T.StructField("digest", T.StringType())]
+#: What a scan of an archive gives: a result under a key of its own, or a segment (with a number) under its origin.
+_PART = T.StructType(
+    [T.StructField("origin", T.StringType()), *_RESULT.fields, T.StructField("digest", T.StringType()), T.StructField("http", T.BooleanType())]
     + [T.StructField("total", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("block", T.BinaryType())]
 )
 
@@ -168,17 +178,47 @@ def _number(x: str | None) -> int | None:
     return None if x is None else int(x)
 
 
-def _decoded(page, digest, block: bytes, segments: int) -> dict:
-    payload = http_payload(block)
-    sha = hashlib.sha1(payload).hexdigest()
-    if digest != f"sha1:{sha}":
+def digest_of(field: str | None) -> tuple[str, bytes] | None:
+    """(algorithm, digest) of a digest field, whose value may be hex or base32; None for none or an unknown algorithm."""
+    name, _, value = (field or "").partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in ("sha1", "sha256", "sha512", "md5"):
+        return None
+    size = hashlib.new(name, usedforsecurity=False).digest_size
+    try:
+        raw = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return None
+    return (name, raw) if len(raw) == size else None
+
+
+def _decoded(page, digest, http: bool, block: bytes, segments: int) -> dict:
+    payload = http_payload(block) if http else block
+    want = digest_of(digest)
+    if want and hashlib.new(want[0], payload, usedforsecurity=False).digest() != want[1]:
         raise ValueError(f"page {page}: the payload's digest is wrong")
-    return {"page_id": page, "payload_bytes": len(payload), "payload_digest": sha, "record_type": "response", "refers_to": None, "segments": segments}
+    return {"page_id": page, "payload_bytes": len(payload), "payload_digest": hashlib.sha1(payload).hexdigest(), "record_type": "response", "refers_to": None, "segments": segments}
 
 
-def _scan(archives: DataFrame, schema: T.StructType, row) -> DataFrame:
-    """Rows that ``row(headers, block)`` makes of the records of archives."""
-    kind = to_arrow_schema(schema)
+def _row(h: dict, block: bytes, key: str) -> dict | None:
+    """What a record gives: a result, a segment, or nothing (kinds that hold no payload)."""
+    page, kind = _number(h.get("page-id")), h.get("warc-type")
+    http = h.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+    if "warc-segment-number" in h:
+        own = {"page_id": page, "digest": h.get("warc-payload-digest"), "http": http} if kind != "continuation" else {}
+        return {"origin": h.get("warc-segment-origin-id") or h["warc-record-id"], **own, "total": _number(h.get("warc-segment-total-length")), "no": int(h["warc-segment-number"]), "block": block}
+    if kind == "revisit":
+        digest = digest_of(h.get("warc-payload-digest"))
+        sha = digest[1].hex() if digest and digest[0] == "sha1" else None
+        return {"origin": key, "page_id": page, "payload_bytes": _number(h.get("payload-length")), "payload_digest": sha, "record_type": "revisit", "refers_to": _number(h.get("refers-to-page-id")), "segments": 1}
+    if kind not in ("response", "resource"):
+        return None
+    return {"origin": key, **_decoded(page, h.get("warc-payload-digest"), http, block, 1)}
+
+
+def _scan(archives: DataFrame) -> DataFrame:
+    """Results and segments of the records of archives, read once."""
+    kind = to_arrow_schema(_PART)
 
     def read(batches):
         import pyarrow as pa
@@ -188,8 +228,8 @@ def _scan(archives: DataFrame, schema: T.StructType, row) -> DataFrame:
                 fs, p = file_system(path)
                 out, size = [], 0
                 with fs.open_input_stream(p, buffer_size=1 << 20, compression=None) as raw, io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 18) as f:
-                    for headers, block in records_of(f):
-                        if (r := row(headers, block)) is None:
+                    for i, (headers, block) in enumerate(records_of(f)):
+                        if (r := _row(headers, block, f"{path}#{i}")) is None:
                             continue
                         out.append(r)
                         size += len(r.get("block") or b"") + 100
@@ -199,34 +239,22 @@ def _scan(archives: DataFrame, schema: T.StructType, row) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, kind)
 
-    return archives.mapInArrow(read, schema)
+    return archives.mapInArrow(read, _PART)
 
 
 def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, segments of every record.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, segments of every record that holds or names a payload.
 
-    Whole records are decoded where they are read. Segments are shuffled by origin; a group is one
-    record, so it is as large as one payload. Missing or doubled segments, a wrong total length, broken
-    framing or a wrong digest raise ValueError.
+    Archives are read once. Whole records are decoded where they are read; segments are shuffled by origin, and a group is one
+    record, so it is as large as one payload. Missing or doubled segments, a wrong total length, broken framing, a wrong
+    digest, or a revisit whose length or digest isn't that of the page it refers to raise ValueError by the time this returns.
+    Archives of other writers may lack the page's id, the length of a revisit and its page (null then), give digests in hex or
+    base32 or none, fold headers, and hold records of other kinds, which are passed over. No archives give no rows.
     """
     archives = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-
-    def whole(h, block):
-        page = _number(h.get("page-id"))
-        if h["warc-type"] == "revisit":
-            return {"page_id": page, "payload_bytes": int(h["payload-length"]), "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"), "record_type": "revisit", "refers_to": _number(h.get("refers-to-page-id")), "segments": 1}
-        if h["warc-type"] != "response" or "warc-segment-number" in h:
-            return None
-        return _decoded(page, h["warc-payload-digest"], block, 1)
-
-    def segment(h, block):
-        if "warc-segment-number" not in h:
-            return None
-        return {"origin": h.get("warc-segment-origin-id") or h["warc-record-id"], "page_id": _number(h.get("page-id")), "digest": h.get("warc-payload-digest"), "total": _number(h.get("warc-segment-total-length")), "no": int(h["warc-segment-number"]), "block": block}
-
-    parts = _scan(archives, _SEGMENT, segment)
-    joined = parts.groupBy("origin").agg(F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("no", "block"))).alias("parts"))
-
+    given = [F.max(f.name).alias(f.name) for f in _PART.fields if f.name not in ("origin", "no", "block")]
+    parts = F.array_sort(F.collect_list(F.when(F.col("no").isNotNull(), F.struct("no", "block")))).alias("parts")
+    joined = _scan(archives).groupBy("origin").agg(*given, parts)
     kind = to_arrow_schema(_RESULT)
 
     def assemble(batches):
@@ -236,11 +264,21 @@ def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
             for at in range(0, b.num_rows, 64):
                 out = []
                 for r in b.slice(at, 64).to_pylist():
+                    if not r["parts"]:
+                        out.append({f.name: r[f.name] for f in _RESULT.fields})
+                        continue
                     block = b"".join(x["block"] for x in r["parts"])
                     if [x["no"] for x in r["parts"]] != list(range(1, len(r["parts"]) + 1)) or r["total"] != len(block):
                         raise ValueError(f"record {r['origin']}: segments are missing, doubled or of a wrong total length")
-                    out.append(_decoded(r["page_id"], r["digest"], block, len(r["parts"])))
+                    out.append(_decoded(r["page_id"], r["digest"], r["http"], block, len(r["parts"])))
                 if out:
                     yield pa.RecordBatch.from_pylist(out, kind)
 
-    return _scan(archives, _RESULT, whole).unionByName(joined.mapInArrow(assemble, _RESULT))
+    out = cut(joined.mapInArrow(assemble, _RESULT))
+    extent = lambda c: [F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
+    asked = out.where("record_type = 'revisit' AND refers_to IS NOT NULL").groupBy("refers_to").agg(*extent("payload_bytes"), *extent("payload_digest"))
+    there = out.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max("payload_bytes").alias("n"), F.max("payload_digest").alias("d"))
+    wrong = asked.join(there, "refers_to").where("lo_payload_bytes != n OR hi_payload_bytes != n OR lo_payload_digest != d OR hi_payload_digest != d").limit(1).collect()
+    if wrong:
+        raise ValueError(f"a revisit of page {wrong[0]['refers_to']} differs from it")
+    return out

@@ -369,7 +369,7 @@ def test_missing_segment_is_found(spark, tmp_path):
     parts = [("response", "<a>", 1, None, b"HTTP/1.1 200 OK\r\n\r\nab"), ("continuation", "<b>", 3, 25, b"c")]
     out = b""
     for kind, rid, no, total, block in parts:
-        head = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Segment-Number", no), ("WARC-Segment-Total-Length", total), ("WARC-Payload-Digest", "sha1:x"), ("Page-ID", 1)]
+        head = [("WARC-Type", kind), ("WARC-Record-ID", rid), ("WARC-Segment-Number", no), ("WARC-Segment-Total-Length", total), ("Page-ID", 1)]
         if kind == "continuation":
             head.append(("WARC-Segment-Origin-ID", "<a>"))
         out += warc.record(head, block)
@@ -379,6 +379,47 @@ def test_missing_segment_is_found(spark, tmp_path):
         warc.read_archives(spark, [f"file://{tmp_path}/x.warc.gz"]).collect()
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    import base64
+    import gzip
+
+    body = "<p>é</p>".encode()
+    sha = hashlib.sha1(body).digest()
+    b32 = base64.b32encode(sha).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    content = ("Content-Type", "application/http; msgtype=response")
+    out = warc.record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<i>")], b"software: x")
+    out += warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<a>"), ("WARC-Payload-Digest", f"sha1:{b32}"), content], http)
+    out += warc.record([("WARC-Type", "resource"), ("WARC-Record-ID", "<b>"), ("Content-Type", "text/html")], body)
+    out += warc.record([("WARC-Type", "revisit"), ("WARC-Record-ID", "<c>"), ("WARC-Payload-Digest", f"sha1:{b32}"), ("WARC-Refers-To", "<a>"), content], b"HTTP/1.1 200 OK\r\n\r\n")
+    out += warc.record([("WARC-Type", "request"), ("WARC-Record-ID", "<d>")], b"GET / HTTP/1.1\r\n\r\n")
+    folded = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <e>\r\nX-Note: caf\xe9\r\n goes\r\n\ton\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(http) + http + b"\r\n\r\n"
+    out += gzip.compress(folded)
+    (tmp_path / "x.warc.gz").write_bytes(out)
+    heads = [h for h, _ in warc.records_of(gzip.open(tmp_path / "x.warc.gz"))]
+    assert heads[-1]["x-note"] == "café goes on"
+    got = [tuple(r)[:5] for r in warc.read_archives(spark, [f"file://{tmp_path}/x.warc.gz"]).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, len(body), sha.hex(), "response", None)] * 3 + [(None, None, sha.hex(), "revisit", None)]))
+    assert warc.digest_of("SHA-1:" + sha.hex()) == warc.digest_of(f"sha1:{b32}") == ("sha1", sha) and warc.digest_of("crc:12") is warc.digest_of(None) is warc.digest_of("sha1:zz") is None
+    (tmp_path / "y.warc.gz").write_bytes(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<a>"), ("WARC-Payload-Digest", f"sha1:{b32}"), content], http + b"x"))
+    with pytest.raises(Exception, match="digest is wrong"):
+        warc.read_archives(spark, [f"file://{tmp_path}/y.warc.gz"])
+
+
+def test_a_revisit_must_be_of_its_page(spark, tmp_path):
+    body = b"x" * 1200
+    head = [("WARC-Payload-Digest", f"sha1:{hashlib.sha1(body).hexdigest()}"), ("Content-Type", "application/http")]
+    out = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<a>"), ("Page-ID", 9), *head], warc.HTTP + warc.chunked(body))
+    for length, ok in ((1200, True), (1199, False)):
+        more = warc.record([("WARC-Type", "revisit"), ("WARC-Record-ID", "<b>"), ("Page-ID", 3), ("Refers-To-Page-ID", 9), ("Payload-Length", length), *head], warc.HTTP)
+        (tmp_path / f"{length}.warc.gz").write_bytes(out + more)
+        if ok:
+            assert warc.read_archives(spark, [f"file://{tmp_path}/{length}.warc.gz"]).count() == 2
+        else:
+            with pytest.raises(ValueError, match="differs"):
+                warc.read_archives(spark, [f"file://{tmp_path}/{length}.warc.gz"])
+
+
 # vector search
 
 
@@ -485,4 +526,30 @@ def test_pipeline_stages(spark, tmp_path):
     words = lambda df: sum(len(WORDS.findall(r.text)) for r in df.collect())
     assert m.columns == docs.columns and abs(words(m) - 1.5 * words(c)) < 4 * 130
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert len(out) == m.count() and all(r.round_trip for r in out)
+    assert len(out) == m.count() and all(r.round_trip and len(r.ids) == r.n_tokens for r in out)
+    order = [r.doc_id for r in m.collect()]
+    assert sorted(order) == sorted(r.doc_id for r in out)
+
+
+def test_every_stage_takes_odd_rows(spark):
+    """Nulls, repeated rows and ids, ties, very long texts, columns with clashing names; and no rows at all."""
+    rng = random.Random(61)
+    base = text_of(rng, 60)
+    rows = [(1, base, "en", "a", 5, "x", 1.0), (1, base, "en", "a", 5, "x", 1.0), (None, base + " more", None, None, None, None, None), (None, text_of(rng, 50), "en", None, 7, "y", 2.0), (7, text_of(rng, 70), "de", "b", 1, "z", 3.0), (7, text_of(rng, 71), "de", "b", 1, "z", 3.0),
+            (8, text_of(rng, 120_000), "en", "a", 9, "q", 0.0), (9, None, "en", "a", None, "q", 0.0), (10, "", "en", "b", 0, "q", 0.0), (11, " \n", None, "b", 0, "q", 0.0), (-1, text_of(rng, 40) + " password: hunter2222", "en", "a", 1, "r", 1.0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, position double"
+    d = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, d, "")
+        none = stage(spark, d.limit(0), "")
+        assert none.count() == 0
+        if name == "encode":
+            assert got.count() == len(rows) and all(r.round_trip for r in got.collect())
+            continue
+        assert got.columns == d.columns == none.columns
+        ids = sorted(str(r.doc_id) for r in got.collect())
+        want = {"quality": ["-1", "1", "1", "7", "7", "8", "None", "None"], "near_dedup": ["-1", "1", "10", "11", "7", "7", "8", "9", "None"], "secrets": sorted(str(r[0]) for r in rows)}
+        if name in want:
+            assert ids == want[name], name
+        else:
+            assert {"9", "10", "11"}.isdisjoint(ids) and {"1", "7", "8"} & set(ids)
