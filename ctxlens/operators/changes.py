@@ -46,27 +46,49 @@ def _top(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.withColumn("n", F.row_number().over(w)).where(F.col("n") <= n).drop("n")
 
 
+def names_in(promises: DataFrame, names: DataFrame, head: int = 6) -> DataFrame:
+    """(promise_id, name) of the names (distinct, in lower case) that a promise's text contains.
+
+    Places where the first few characters of some name stand are found by a join on these; only there the text is cut to the
+    lengths that names with this head have, and what is cut must equal a name. So neither all lengths of names
+    nor all names with a common head multiply the text.
+    """
+    span = names.agg(F.min(F.length("name")).alias("least"), F.max(F.length("name")).alias("most")).first()
+    if span.least is None:
+        return promises.select("promise_id", F.lit("").alias("name")).limit(0)
+    head = min(head, span.least)
+    heads = settle(names.groupBy(F.left("name", F.lit(head)).alias("head")).agg(F.collect_set(F.length("name")).alias("lengths")))
+    if heads.limit(HEADS + 1).count() <= HEADS:
+        heads = F.broadcast(heads)
+    text = F.lower("text")
+    tails = F.transform(F.sequence(F.lit(1), F.length(text) - head + 1), lambda i: F.substr(text, i, F.lit(span.most)))
+    places = promises.where(F.length("text") >= head).select("promise_id", F.explode(tails).alias("tail"))
+    places = places.join(heads, F.left("tail", F.lit(head)) == F.col("head"))
+    cuts = places.select("promise_id", "tail", F.explode("lengths").alias("n")).where(F.length("tail") >= F.col("n"))
+    return cuts.select("promise_id", F.left("tail", F.col("n")).alias("name")).distinct().join(names, "name", "left_semi").select("promise_id", "name")
+
+
+#: Heads of names up to this many are broadcast (a head has a few characters and a few lengths).
+HEADS = 50_000
+
+
 def affected_promises(changes: DataFrame, promises: DataFrame, people: DataFrame, most: int = 3) -> DataFrame:
     """(change_id, promise_id): the first ``most`` open promises, by id, that a change may touch.
 
     A promise is touched if it is the person's own, names the person, or shares a keyword with either claim. Each of the
-    three conditions is an equi-join, on the person, on substrings of the lengths that names have, and on keywords;
-    since only the first few ids count, each key keeps only its first few promises before the join, so that a
-    common keyword or name can't multiply.
+    three conditions is an equi-join, on the person, on names found in the text, and on keywords; since only the first
+    few ids count, each key keeps only its first few promises before the join, so that a common keyword or name can't
+    multiply.
     """
     promises = promises.where("status = 'open'").select("promise_id", "person_id", "text")
     named = people.select(F.col("person_id"), F.lower(F.trim("name")).alias("name")).where("name != ''")
     subject = changes.select("change_id", "person_id", "before_claim", "after_claim").join(named, "person_id", "left").withColumn("name", F.coalesce("name", F.lit("unknown speaker")))
+    subject = settle(subject)  # read by every branch
 
     own = _top(promises.select("promise_id", "person_id"), "person_id", most)
     found = [subject.select("change_id", "person_id").join(own, "person_id").select("change_id", "promise_id")]
 
-    lengths = sorted(r[0] for r in named.select(F.length("name")).distinct().collect()) + [len("unknown speaker")]  # one row for each length of a name
-    text = F.lower("text")
-    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
-    spans = F.flatten(F.array(*[pieces(n) for n in dict.fromkeys(lengths)]))
-    mentions = promises.select("promise_id", F.explode(F.array_distinct(spans)).alias("name"))
-    mentions = mentions.join(subject.select("name").distinct(), "name", "left_semi")
+    mentions = names_in(promises.select("promise_id", "text"), subject.select("name").distinct())
     found.append(subject.select("change_id", "name").join(_top(mentions, "name", most), "name").select("change_id", "promise_id"))
 
     words = F.array_union(change_words(F.col("before_claim")), change_words(F.col("after_claim")))
@@ -80,7 +102,7 @@ def affected_promises(changes: DataFrame, promises: DataFrame, people: DataFrame
 
 def context_changes(facts: DataFrame, utterances: DataFrame, people: DataFrame, promises: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per change: claims, rooms and affected promises, ids in sorted arrays; ``limit`` takes the newest 1 to 25."""
-    changes = pairs(facts)
+    changes = pairs(settle(facts))  # both sides of the pairs read it
     if limit is not None:
         changes = changes.orderBy(F.col("superseded_at").desc(), F.col("valid_from").desc(), "change_id").limit(max(1, min(limit, 25)))
     changes = settle(changes)  # three branches and the result read it

@@ -63,19 +63,21 @@ def chains(facts: DataFrame) -> DataFrame:
     """fact_id, root_id, depth of each fact in its supersession chain, along the stored pointers.
 
     Pointer doubling: a row knows an ancestor and the way to it; each round joins it to that ancestor's own, so a chain of n
-    facts takes log2(n) equi-joins. A pointer to a fact that isn't there ends the chain.
+    facts takes log2(n) equi-joins. Rows that have reached their root stay out of further joins, and those that haven't
+    all point to different facts of a chain, so that no root becomes a hot key. A pointer to a fact that isn't there
+    ends the chain.
     """
     edges = facts.where("superseded_by IS NOT NULL").select(F.col("superseded_by").alias("fact_id"), F.col("fact_id").alias("up"))
     edges = edges.groupBy("fact_id").agg(F.min("up").alias("up"))
-    state = facts.select("fact_id").join(edges, "fact_id", "left").select("fact_id", F.coalesce("up", "fact_id").alias("root_id"), F.col("up").isNotNull().cast("long").alias("depth"))
-    state, before = settle(state), None
-    while True:
-        total = state.agg(F.sum("depth")).first()[0]
-        if total == before:
-            return state
-        before = total
-        above = state.select(F.col("fact_id").alias("root_id"), F.col("root_id").alias("next"), F.col("depth").alias("more"))
-        state = settle(state.join(above, "root_id").select("fact_id", F.col("next").alias("root_id"), (F.col("depth") + F.col("more")).alias("depth")))
+    state = facts.select("fact_id").join(edges, "fact_id", "left").select("fact_id", F.coalesce("up", "fact_id").alias("root_id"), F.col("up").isNotNull().cast("long").alias("depth"), F.col("up").isNull().alias("done"))
+    state = settle(state)
+    for _ in range(63):  # a chain of 2**63 facts doesn't exist; pointers in a circle would go on for ever
+        if state.where("NOT done").isEmpty():
+            return state.drop("done")
+        above = state.select(F.col("fact_id").alias("root_id"), F.col("root_id").alias("next"), F.col("depth").alias("more"), F.col("done").alias("last"))
+        moved = state.where("NOT done").drop("done").join(above, "root_id").select("fact_id", F.col("next").alias("root_id"), (F.col("depth") + F.col("more")).alias("depth"), F.col("last").alias("done"))
+        state = settle(state.where("done").unionByName(moved))
+    raise ValueError("the pointers run in a circle")
 
 
 def fold_candidates(rows: list[dict], spoken: bool = False) -> list[dict]:

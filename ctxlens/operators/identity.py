@@ -97,12 +97,13 @@ def relabel_events(utterances: DataFrame, people: DataFrame) -> DataFrame:
     return mine.groupBy("person_id", "conversation_id").agg(F.array_sort(F.collect_list("utterance_id")).alias("utterance_ids"))
 
 
-def merge_mapping(merges: DataFrame, people: DataFrame) -> DataFrame:
+def merge_mapping(merges: DataFrame, people: DataFrame, strict: bool = True) -> DataFrame:
     """(old_id, new_id) of merge requests (merge_id, person_id): the oldest person of each survives, the smaller id on a tie.
 
-    A request counts if it names at least two different people and all exist.
+    A request counts if it names at least two different people and all exist; if not ``strict``, who doesn't exist is ignored.
     """
     asked = merges.distinct().join(people.select("person_id", "created_ms", F.lit(1).alias("here")), "person_id", "left")
+    asked = asked if strict else asked.where("here = 1")
     ok = asked.groupBy("merge_id").agg(F.count(F.lit(1)).alias("n"), F.count("here").alias("found"), F.min(F.struct("created_ms", "person_id")).alias("first")).where("n >= 2 AND n = found")
     return asked.join(ok, "merge_id").where(F.col("person_id") != F.col("first.person_id")).select(F.col("person_id").alias("old_id"), F.col("first.person_id").alias("new_id"))
 

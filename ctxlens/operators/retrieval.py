@@ -5,24 +5,88 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import cosine, index_score
+from ..functions.numeric import index_score
 from ..functions.text import any_term_pattern, query_terms, term_share
 from ..session import settle
 
 K = 60
+#: Entries of the matrix of cosines that a task holds at a time.
+CELLS = 1 << 22
 
 
-def knn(rows: DataFrame, queries: DataFrame, k: int, row_id: str, vector: str = "embedding", max_queries: int = 10_000) -> DataFrame:
+def block_scores(rows: DataFrame, queries: DataFrame, keep: list[str], k: int | None = None, vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """The columns of ``queries`` but its vector (``query``), the ``keep`` columns of ``rows``, cosine (to twelve digits).
+
+    Queries come in blocks of about ``block`` vectors, each of which travels to the tasks once and meets the rows where they lie, as
+    matrices; rows are never shuffled. With ``k``, only what can be among a query's k nearest rows goes on: whatever
+    is not below its k-th best so far in the task. Vectors that are null, or hold a null or a value that isn't finite,
+    take no part; those of another length don't meet; a zero vector has the cosine 0.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spark = rows.sparkSession
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(F.col(c), lambda x: x.isNull())
+    about = [c for c in queries.columns if c != "query"]
+    asked = settle(queries.where(whole("query")).select(*about, F.col("query").cast("array<double>").alias("query")))
+    blocks = max(1, -(-asked.count() // block))
+    asked = asked.withColumn("__block", F.pmod(F.xxhash64(*about), F.lit(blocks)))
+    seen = rows.where(whole(vector)).select(*keep, F.col(vector).cast("array<double>").alias("__v"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*[asked.schema[c] for c in about], *[seen.schema[c] for c in keep]]) + ", cosine double"
+
+    def matrices(v):
+        """(places, matrix, norms) for each length of vector."""
+        v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+        sizes = pc.list_value_length(v).to_numpy(zero_copy_only=False)
+        for d in np.unique(sizes[sizes > 0]).tolist():
+            at = np.flatnonzero(sizes == d)
+            x = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
+            fine = np.isfinite(x).all(axis=1)
+            yield at[fine], x[fine], np.sqrt((x[fine] ** 2).sum(axis=1))
+
+    def scored(part: DataFrame) -> DataFrame:
+        table = part.toArrow().combine_chunks()  # one block of queries
+        shared = spark.sparkContext.broadcast((table.select(about), {x.shape[1]: (at, x, n) for at, x, n in matrices(table.column("query"))}))
+
+        def run(batches):
+            ids, by_length = shared.value
+            best = {d: np.full(len(at), -2.0) for d, (at, _, _) in by_length.items()}
+            for b in batches:
+                for places, x, norms in matrices(b.column(len(keep))):
+                    if not len(places) or x.shape[1] not in by_length:
+                        continue
+                    at, q, qn = by_length[x.shape[1]]
+                    step = max(1, CELLS // max(1, len(at)))
+                    for lo in range(0, len(places), step):
+                        mag = np.outer(qn, norms[lo : lo + step])
+                        cos = np.round(np.divide(q @ x[lo : lo + step].T, mag, out=np.zeros_like(mag), where=mag > 0), 12)
+                        if k is None:
+                            i, j = (c.ravel() for c in np.indices(cos.shape))
+                        else:
+                            top = best[x.shape[1]]
+                            if cos.shape[1] >= k:
+                                np.maximum(top, np.partition(cos, cos.shape[1] - k, axis=1)[:, -k], out=top)
+                            i, j = np.nonzero(cos >= top[:, None])
+                        mine, theirs = ids.take(pa.array(at[i])).combine_chunks(), pa.array(places[lo + j])
+                        cols = [mine.column(c).combine_chunks() for c in about] + [b.column(c).take(theirs) for c in range(len(keep))] + [pa.array(cos[i, j])]
+                        for a in range(0, len(i), 1 << 16):
+                            yield pa.RecordBatch.from_arrays([c.slice(a, 1 << 16) for c in cols], [*about, *keep, "cosine"])
+
+        return seen.mapInArrow(run, fields)
+
+    out = scored(asked.where("__block = 0").drop("__block"))
+    for n in range(1, blocks):
+        out = out.unionByName(scored(asked.where(F.col("__block") == n).drop("__block")))
+    return out
+
+
+def knn(rows: DataFrame, queries: DataFrame, k: int, row_id: str, vector: str = "embedding", block: int = 4096) -> DataFrame:
     """query_id, row id, cosine, score ((1 + cosine) / 2), rank of the k nearest rows of each query, ties to the smaller id.
 
-    ``queries``: query_id, query (vector), a stated set of a checked size, which is broadcast; rows are scanned once and
-    never shuffled, only the ranked candidates of each task are. A larger set has to go to an index.
+    ``queries``: query_id, query (vector), any number of them, met in blocks; of the rows only candidates are shuffled.
     """
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"{n} or more queries; search in blocks of {max_queries}")
-    q = F.broadcast(queries.select("query_id", "query"))
-    scored = rows.join(q).select("query_id", row_id, F.round(cosine(F.col("query"), F.col(vector)), 12).alias("cosine"))
+    scored = block_scores(rows, queries.select("query_id", "query"), [row_id], k, vector, block)
     w = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), row_id)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", index_score(F.col("cosine")))
 

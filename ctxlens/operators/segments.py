@@ -28,17 +28,16 @@ def time_words(utterances: DataFrame) -> DataFrame:
 def label_words(words: DataFrame, segments: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
     """Words with the speaker of the first segment (by start) that holds their midpoint, else "unknown".
 
-    A range join made an equi-join: a segment is listed in each time bucket it touches, a word looks
-    in the bucket of its midpoint. Times are doubled so that midpoints are whole numbers.
+    A range join made an equi-join: the segments that touch a time bucket are one sorted list, and a word looks into that
+    of its midpoint, so a word is shuffled once and stays one row. Times are doubled so that midpoints are whole numbers.
     """
-    w = words.withColumn("mid2", F.col("start_ms") + F.col("end_ms")).withColumn("bucket", F.floor(F.col("mid2") / (2 * bucket_ms)))
-    s = segments.where("end_ms > start_ms").select(F.col("conversation_id").alias("c"), F.col("speaker").alias("found"), F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"))
-    s = s.withColumn("b", F.explode(F.sequence(F.floor(F.col("s0") / bucket_ms), F.floor((F.col("s1") - 1) / bucket_ms))))
-    inside = (F.col("mid2") >= 2 * F.col("s0")) & (F.col("mid2") < 2 * F.col("s1"))
-    met = w.join(s, (w["conversation_id"] == s["c"]) & (w["bucket"] == s["b"]) & inside, "left")
-    keys = words.columns
-    first = F.min(F.when(F.col("found").isNotNull(), F.struct("s0", "s1", "found")))
-    return met.groupBy(*keys).agg(first.alias("hit")).select(*keys, F.coalesce("hit.found", F.lit(UNKNOWN)).alias("speaker"))
+    w = words.withColumn("__mid", F.col("start_ms") + F.col("end_ms")).withColumn("__b", F.floor(F.col("__mid") / (2 * bucket_ms)))
+    s = segments.where("end_ms > start_ms AND speaker IS NOT NULL").select(F.col("conversation_id").alias("__c"), F.struct(F.col("start_ms").alias("s0"), F.col("end_ms").alias("s1"), "speaker").alias("s"))
+    s = s.withColumn("__at", F.explode(F.sequence(F.floor(F.col("s.s0") / bucket_ms), F.floor((F.col("s.s1") - 1) / bucket_ms))))
+    s = s.groupBy("__c", "__at").agg(F.array_sort(F.collect_list("s")).alias("__spans"))
+    met = w.join(s, (F.col("conversation_id") == F.col("__c")) & (F.col("__b") == F.col("__at")), "left")
+    hits = F.filter("__spans", lambda x: (F.col("__mid") >= 2 * x["s0"]) & (F.col("__mid") < 2 * x["s1"]))
+    return met.select(*words.columns, F.coalesce(F.get(hits, F.lit(0))["speaker"], F.lit(UNKNOWN)).alias("speaker"))
 
 
 def resolve_alias(rows: DataFrame, aliases: DataFrame, column: str = "speaker") -> DataFrame:

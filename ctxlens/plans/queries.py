@@ -12,6 +12,7 @@ from ..functions import dates, numeric, text
 from ..operators import changes, cluster, facts, identity, retrieval, scoring, segments, session as sessions, views, voice_activity
 from ..sources import audio, sinks
 from ..sources.tables import Bench, lookup, released
+from ..session import settle
 from ..streaming import reducer, streams
 from .oracle import with_views
 
@@ -186,7 +187,7 @@ _OPEN = ", op AS (SELECT * FROM promises WHERE status = 'open')"
 
 @query(_OPEN + f" SELECT * FROM ({_TOUCHED})", "pairs", "people", "promises")
 def affected_promises(b):
-    return changes.affected_promises(changes.pairs(b.facts()), b.promises(), b.people()).select("change_id", "promise_id")
+    return changes.affected_promises(changes.pairs(settle(b.facts())), b.promises(), b.people()).select("change_id", "promise_id")
 
 
 _CHANGES = f"""{_OPEN}, touched AS ({_TOUCHED}), rooms AS ({_ROOMS})
@@ -386,12 +387,14 @@ def decide_speaker(b):
     return _voice_queries(b).select("query_id").join(r, "query_id", "left").select("query_id", d["kind"].alias("kind"), d["reason"].alias("reason"))
 
 
-@query("""SELECT voiceprint_id AS query_id, CASE WHEN duration_ms < 3000 THEN 'pending' WHEN person_id % 9 = 4 THEN 'new' ELSE 'match' END AS kind,
-    CASE WHEN duration_ms >= 3000 AND person_id % 9 <> 4 THEN person_id END AS person_id FROM voiceprints WHERE voiceprint_id % 50 = 0""", "voiceprints")
+@query("""SELECT q.voiceprint_id AS query_id, CASE WHEN duration_ms < 3000 THEN 'pending' WHEN r.person_id IS NULL THEN 'new' ELSE 'match' END AS kind, CASE WHEN duration_ms >= 3000 THEN r.person_id END AS person_id
+    FROM voiceprints q LEFT JOIN (SELECT query_id, person_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, person_id) AS place FROM (SELECT query_id, person_id, max(cosine) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, voiceprint_id) AS rank FROM cos WHERE voiceprint_id % 50 <> 0)
+      WHERE rank <= 3 AND cosine >= 0.3 AND person_id % 9 <> 4 AND person_id IN (SELECT person_id FROM people) GROUP BY query_id, person_id)) r ON r.query_id = q.voiceprint_id AND r.place = 1 WHERE q.voiceprint_id % 50 = 0""", "cos", "people")
 def attribute_speakers(b):
-    """Own prints match; those of unknown people find nobody."""
+    """The stated query set is new speech, all other prints are known; some people are not."""
     clusters = b.voiceprints().where("voiceprint_id % 50 = 0").select(F.col("voiceprint_id").alias("query_id"), F.col("embedding").alias("query"), F.col("duration_ms").alias("speech_ms"))
-    return identity.attribute(clusters, b.voiceprints(), b.people().where("person_id % 9 <> 4")).select("query_id", "kind", "person_id")
+    return identity.attribute(clusters, b.voiceprints().where("voiceprint_id % 50 <> 0"), b.people().where("person_id % 9 <> 4"), threshold=0.3).select("query_id", "kind", "person_id")
 
 
 @query("SELECT query_id, c >= 0.6 AS is_owner, round(c, 9) AS confidence FROM (SELECT query_id, max(cosine) FILTER (person_id = 0) AS c FROM cos GROUP BY query_id)", "cos")
@@ -399,16 +402,17 @@ def owner_gate(b):
     return identity.owner_gate(_voice_queries(b), b.voiceprints(), b.people()).withColumn("confidence", F.round("confidence", 9))
 
 
-_MERGES = "SELECT person_id // 3 AS merge_id, person_id FROM people WHERE person_id < 150 UNION ALL SELECT 1000, 5000000 UNION ALL SELECT 1000, 149"
+_MERGES = "SELECT person_id // 3 AS merge_id, person_id FROM people UNION ALL SELECT -1, -5 UNION ALL SELECT -1, 149"
 _MAP = f""", m AS ({_MERGES}), g AS (SELECT merge_id, min((p.created_ms, p.person_id)) AS f FROM m LEFT JOIN people p ON p.person_id = m.person_id GROUP BY merge_id HAVING count(*) >= 2 AND count(*) = count(p.person_id)),
     map AS (SELECT m.person_id AS old_id, f[2] AS new_id FROM m JOIN g ON m.merge_id = g.merge_id WHERE m.person_id <> f[2])"""
 
 
-def _merge(b):
+def _merge(b, strict: bool = True):
+    """Everybody in threes, and one request with a person who doesn't exist."""
     p = b.people()
-    asked = p.where("person_id < 150").select(F.expr("person_id DIV 3").alias("merge_id"), "person_id")
-    odd = b.spark.createDataFrame([(1000, 5_000_000), (1000, 149)], "merge_id long, person_id long")
-    return p, identity.merge_mapping(asked.unionByName(odd), p)
+    asked = p.select(F.expr("person_id DIV 3").alias("merge_id"), "person_id")
+    odd = b.spark.createDataFrame([(-1, -5), (-1, 149)], "merge_id long, person_id long")
+    return p, identity.merge_mapping(asked.unionByName(odd), p, strict)
 
 
 @query(_MAP + " SELECT fact_id, coalesce(new_id, person_id) AS person_id FROM facts LEFT JOIN map ON old_id = person_id", "people", "facts")
@@ -441,20 +445,17 @@ def cohort_stats(b):
     return scoring.cohort_stats(b.trials(), "block", 20).select("block", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
-def _some_prints(b):
-    return b.voiceprints().where("voiceprint_id < 60")
-
-
 _TRIALS = """, tr AS (SELECT a.voiceprint_id AS t, e.voiceprint_id AS e, a.person_id = e.person_id AS genuine, round(list_dot_product(a.embedding, e.embedding) / (sqrt(list_dot_product(a.embedding, a.embedding)) * sqrt(list_dot_product(e.embedding, e.embedding))), 12) AS score
-    FROM voiceprints a JOIN voiceprints e ON a.voiceprint_id <> e.voiceprint_id AND a.voiceprint_id < 60 AND e.voiceprint_id < 60),
+    FROM voiceprints a JOIN voiceprints e ON a.voiceprint_id <> e.voiceprint_id AND a.voiceprint_id % 50 = 0),
     ts AS (SELECT t, avg(score) AS m, greatest(stddev_samp(score), 1e-6) AS s FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC) AS n FROM tr WHERE NOT genuine) WHERE n <= 8 GROUP BY t),
     es AS (SELECT e, avg(score) AS m, greatest(stddev_samp(score), 1e-6) AS s FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY score DESC) AS n FROM tr WHERE NOT genuine) WHERE n <= 8 GROUP BY e)"""
 
 
 @query(_TRIALS + " SELECT tr.t AS test_id, tr.e AS enrolled_id, round(((score - ts.m) / ts.s + (score - es.m) / es.s) / 2, 6) AS normalized FROM tr JOIN ts ON ts.t = tr.t JOIN es ON es.e = tr.e", "voiceprints")
 def as_norm(b):
-    p = _some_prints(b)
-    return scoring.normalized_trials(scoring.trial_pairs(p, p)).select("test_id", "enrolled_id", F.round("normalized", 6).alias("normalized"))
+    """The stated query set against all prints."""
+    p = b.voiceprints()
+    return scoring.normalized_trials(scoring.trial_pairs(p.where("voiceprint_id % 50 = 0"), p)).select("test_id", "enrolled_id", F.round("normalized", 6).alias("normalized"))
 
 
 @query("SELECT block, round(coalesce(avg((score >= 0.5)::INT) FILTER (NOT genuine), 0), 9) AS false_accept, round(coalesce(avg((score < 0.5)::INT) FILTER (genuine), 0), 9) AS false_reject FROM trials GROUP BY block", "trials")
@@ -489,12 +490,13 @@ def duration_bucket_rollup(b):
     return scoring.duration_report(b.utterances().withColumn("right", F.col("utterance_id") % 3 != 0))
 
 
-@query("""SELECT duration_bucket, "pending", "right", "new" FROM (SELECT CASE WHEN duration_ms < 3000 THEN 'short' ELSE 'long' END AS duration_bucket, count(*) FILTER (duration_ms < 3000) AS "pending", count(*) FILTER (duration_ms >= 3000) AS "right", 0::BIGINT AS "new"
-    FROM voiceprints WHERE voiceprint_id % 50 = 0 GROUP BY ALL)""", "voiceprints")
+@query("""SELECT CASE WHEN duration_ms < 3000 THEN 'short' ELSE 'long' END AS duration_bucket, count(*) FILTER (duration_ms < 3000) AS "pending", count(*) FILTER (duration_ms >= 3000 AND cosine >= 0.3 AND found = person_id) AS "right",
+    count(*) FILTER (duration_ms >= 3000 AND cosine >= 0.3 AND found <> person_id) AS "wrong", count(*) FILTER (duration_ms >= 3000 AND cosine < 0.3) AS "new" FROM (SELECT q.person_id, q.duration_ms, c.person_id AS found, cosine FROM voiceprints q
+      JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, voiceprint_id) AS rank FROM cos WHERE voiceprint_id % 50 <> 0) c ON c.query_id = q.voiceprint_id AND rank = 1) GROUP BY ALL""", "cos")
 def baseline_verdicts(b):
     turns = b.voiceprints().where("voiceprint_id % 50 = 0").select(F.col("voiceprint_id").alias("query_id"), F.col("embedding").alias("query"), "person_id", "duration_ms")
-    v = identity.baseline_verdicts(turns, b.voiceprints()).withColumn("duration_bucket", F.when(F.col("duration_ms") < 3000, "short").otherwise("long"))
-    return v.groupBy("duration_bucket").pivot("verdict", ["pending", "right", "new"]).count().fillna(0)
+    v = identity.baseline_verdicts(turns, b.voiceprints().where("voiceprint_id % 50 <> 0"), threshold=0.3).withColumn("duration_bucket", F.when(F.col("duration_ms") < 3000, "short").otherwise("long"))
+    return v.groupBy("duration_bucket").pivot("verdict", ["pending", "right", "wrong", "new"]).count().fillna(0)
 
 
 # segments
@@ -577,7 +579,12 @@ def turn_revision(b):
     return segments.revise_words(revised).select("position", "turn", "start_ms", "rev", "conversation_id")
 
 
-@query()
+@query(""", sg AS (SELECT conversation_id, start_ms % 7919 * 100000 + start_ms % 100000 AS seq, speaker, greatest(0, start_ms - 700) AS a, end_ms AS b FROM segments),
+    pt AS (SELECT conversation_id, seq, unnest(list_distinct(ps)) AS p FROM (SELECT s.conversation_id, s.seq, list(l.a) FILTER (l.a BETWEEN s.a AND s.b) || list(l.b) FILTER (l.b BETWEEN s.a AND s.b) AS ps
+      FROM sg s JOIN sg l ON l.conversation_id = s.conversation_id AND l.seq >= s.seq GROUP BY s.conversation_id, s.seq)),
+    iv AS (SELECT *, lead(p) OVER (PARTITION BY conversation_id, seq ORDER BY p) AS q FROM pt)
+    SELECT i.conversation_id, i.seq, s.speaker, p AS start_ms, q AS end_ms FROM iv i JOIN sg s ON s.conversation_id = i.conversation_id AND s.seq = i.seq
+    WHERE q IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sg l WHERE l.conversation_id = i.conversation_id AND l.seq > i.seq AND l.a <= i.p AND l.b >= i.q)""", "segments")
 def interval_subtract(b):
     s = b.segments().withColumn("seq", F.col("start_ms") % 7919 * 100_000 + F.col("start_ms") % 100_000)
     return segments.subtract_overlaps(s.withColumn("start_ms", F.greatest(F.lit(0), F.col("start_ms") - 700)))
@@ -667,9 +674,9 @@ def loops_owed(b):
     return views.loops(b.promises()).select("promise_id", "list", "place")
 
 
-@query("SELECT promise_id, due_at FROM promises WHERE status = 'open' AND person_id < 100 ORDER BY due_at NULLS FIRST, created_at, promise_id LIMIT 50", "promises")
+@query("SELECT promise_id, due_at FROM promises WHERE status = 'open' ORDER BY due_at NULLS FIRST, created_at, promise_id", "promises")
 def promises_sorted(b):
-    return views.promises_by_due(b.promises().where("person_id < 100"), "open").select("promise_id", "due_at").limit(50)
+    return views.promises_by_due(b.promises(), "open").select("promise_id", "due_at")
 
 
 @query("SELECT conversation_id, count(*) AS utterances FROM utterances GROUP BY conversation_id", "utterances")
@@ -727,11 +734,12 @@ def point_lookup(b):
 # scalars
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(strip_accents(lower(text))), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS normalized FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower(strip_accents(lower({0}))), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, md5({_NORMAL.format('text')}) AS normalized FROM documents")
 def normalize_claim(b):
-    """ASCII texts here; tests hold the folded form of others against the standard library."""
-    d = b.raw("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", F.md5(text.normalize_claim(F.col("text"), ascii_only=True)).alias("normalized"))
+    return b.raw("documents").select("doc_id", F.md5(text.normalize_claim(F.col("text"))).alias("normalized"))
 
 
 @query("SELECT promise_id, CASE promise_id % 4 WHEN 0 THEN text WHEN 1 THEN 'remind me: ' || text END AS command FROM promises", "promises")
@@ -766,13 +774,21 @@ def names_and_labels(b):
     return p.select("person_id", text.initials(F.col("name")).alias("initials"), text.display_name(blank, F.col("person_id")).alias("shown"), text.speaker_label(blank, F.col("person_id")).alias("label"))
 
 
-@query("SELECT event_id, regexp_matches(props || ' ' || event_type, '\"k\": [1-4]') AS cue, upper(left(event_type, 1)) || substr(event_type, 2) || ' rate' AS label FROM events")
+_SAID = ("actually", "nowhere", "no longer", "unchanged", "NOW, it")
+_CUED = "list_extract(['" + "', '".join(_SAID) + "'], (utterance_id % 5 + 1)::INT) || ' ' || text"
+
+
+@query(rf"SELECT utterance_id, regexp_matches({_CUED}, '(?i)\b(?:{'|'.join(text.CHANGE_CUES)})\b') AS cue, upper(left(speaker, 1)) || substr(speaker, 2) || ' rate' AS label FROM utterances", "utterances")
 def change_cues(b):
-    cue = F.when(F.get_json_object("props", "$.k").rlike("^[1-4]"), "No, I MOVED it").otherwise("nowhere, knowing")
-    return b.raw("events").select("event_id", text.has_change_cue(cue).alias("cue"), text.attribute_label(F.concat("event_type", F.lit("__rate "))).alias("label"))
+    said = F.concat(F.element_at(F.array(*map(F.lit, _SAID)), (F.col("utterance_id") % 5 + 1).cast("int")), F.lit(" "), F.col("text"))
+    return b.utterances().select("utterance_id", text.has_change_cue(said).alias("cue"), text.attribute_label(F.concat("speaker", F.lit("__rate "))).alias("label"))
 
 
-@query()
+_HASH = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(name, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+_CELLS = " || ".join(f"((g >> {(i // 5 * 3 + min(i % 5, 4 - i % 5)) % 29}) & 1)::VARCHAR" for i in range(25))
+
+
+@query(f"SELECT person_id, h AS hash, {text.HUES}[h % {len(text.HUES)} + 1]::BIGINT AS hue, {_CELLS} AS cells FROM (SELECT *, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS g FROM (SELECT person_id, {_HASH} AS h FROM people))", "people")
 def identicons(b):
     return b.people().select("person_id", text.fnv1a(F.col("name")).alias("hash"), text.identicon_hue(F.col("name")).alias("hue"), F.array_join(F.transform(text.identicon_cells(F.col("name")), lambda x: x.cast("int").cast("string")), "").alias("cells"))
 
@@ -793,11 +809,13 @@ def safe_arguments(b):
 # streams
 
 
-@query()
+@query("""SELECT conversation_id, (pos // 100)::BIGINT AS frame, 100::BIGINT AS n, round(sum(x), 4) AS total FROM (SELECT conversation_id, x, row_number() OVER (PARTITION BY conversation_id ORDER BY vec_id, i) - 1 AS pos FROM (
+    SELECT vec_id % 5 AS conversation_id, vec_id, unnest(e) AS x, unnest(range(len(e))) AS i FROM (SELECT vec_id, embedding[1:vec_id % 64 + 1]::DOUBLE[] AS e FROM embeddings))) GROUP BY ALL HAVING count(*) = 100""")
 def frame_packetizer(b):
     chunks = b.raw("embeddings").select((F.col("vec_id") % 5).alias("conversation_id"), F.col("vec_id").alias("seq"), F.slice("embedding", 1, (F.col("vec_id") % 64 + 1).cast("int")).alias("samples"))
     out = audio.packetize(chunks, size=100)
-    return out.select("conversation_id", "frame", F.size("samples").alias("n"))
+    total = F.aggregate(F.col("samples").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    return out.select("conversation_id", "frame", F.size("samples").alias("n"), F.round(total, 4).alias("total"))
 
 
 def _events(b):

@@ -116,8 +116,58 @@ def test_retrieval(spark):
     assert [r.fact_id for r in retrieval.search_facts(f, sem, None, "manual", 4).collect()] == [1, 3]
     empty = retrieval.search_text("a bb", spark.createDataFrame([(1, 1, "bb", "open")], "promise_id long, person_id long, text string, status string"), spark.createDataFrame([], "utterance_id long, person_id long, text string"))
     assert empty.count() == 0
-    with pytest.raises(ValueError):
-        retrieval.knn(sem, spark.range(3).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("query")), 1, "fact_id", "score", max_queries=2)
+
+
+def test_knn_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (300, 6)).astype("f8")  # many ties, some zero vectors
+    v[7] = 0
+    data = [(f"r{i:03}", x.tolist()) for i, x in enumerate(v)] + [("odd", [1.0, 2.0]), ("none", None), ("nan", [float("nan")] * 6), ("hole", [1.0, None, 1.0, 1.0, 1.0, 1.0])]
+    r = spark.createDataFrame(data, "id string, e array<double>").repartition(3)
+    q = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 300, 7)] + [(900, None), (901, [3.0, 4.0])], "query_id long, query array<double>")
+    mag = np.linalg.norm(v, axis=1)
+    for block in (5, 4096):
+        got = {}
+        for x in retrieval.knn(r, q, 4, "id", "e", block=block).collect():
+            got.setdefault(x.query_id, {})[x["rank"]] = (x.id, x.cosine)
+        assert got.pop(901) == {1: ("odd", pytest.approx(11 / 5 / 5**0.5))}
+        assert set(got) == set(range(0, 300, 7))
+        for i, hits in got.items():
+            m = mag * mag[i]
+            cos = np.round(np.divide(v @ v[i], m, out=np.zeros(300), where=m > 0), 12)
+            want = sorted(range(300), key=lambda j: (-cos[j], j))[:4]
+            assert [hits[n][0] for n in (1, 2, 3, 4)] == [f"r{j:03}" for j in want]
+    assert retrieval.knn(r, q.limit(0), 2, "id", "e").count() == 0
+
+
+def test_label_words_keeps_equal_words(spark):
+    w = spark.createDataFrame([(1, 1, 0, "a", 0, 10)] * 2 + [(1, 1, 1, "b", 25_000, 25_010)], "conversation_id long, utterance_id long, position int, text string, start_ms long, end_ms long")
+    s = spark.createDataFrame([(1, "A", 0, 30_000), (1, None, 0, 5), (1, "B", 24_000, 26_000)], "conversation_id long, speaker string, start_ms long, end_ms long")
+    assert rows(segments.label_words(w, s), "text", "speaker") == [("a", "A"), ("a", "A"), ("b", "A")]
+
+
+def test_chains_of_any_length(spark):
+    n = 70
+    data = [(i, i + 1 if i < n - 1 else None) for i in range(n)] + [(200, 999), (300, None)]
+    got = rows(facts.chains(spark.createDataFrame(data, "fact_id long, superseded_by long")), "fact_id", "root_id", "depth")
+    assert got == [(i, 0, i) for i in range(n)] + [(200, 200, 0), (300, 300, 0)]
+
+
+def test_names_in_texts(spark):
+    texts = ["call Ann and anna-maria", "ANNA", "an", "", "the anna marianne club", None]
+    names = ["ann", "anna", "anna-maria", "marianne", "zoe", "a.b"]
+    p = spark.createDataFrame(list(enumerate(texts)), "promise_id long, text string")
+    got = rows(changes.names_in(p, spark.createDataFrame([(n,) for n in names], "name string")), "promise_id", "name")
+    assert got == sorted((i, n) for i, t in enumerate(texts) for n in names if t and n in t.lower())
+    assert changes.names_in(p, spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_equal_error_rate_of_uneven_scores(spark):
+    rng = np.random.default_rng(2)
+    x = [(float(s), bool(g)) for s, g in zip(np.round(np.exp(8 * rng.standard_normal(400)), 3), rng.random(400) < 0.5, strict=True)]
+    g, o = [s for s, k in x if k], [s for s, k in x if not k]
+    want = min((abs(sum(s >= t for s in o) / len(o) - sum(s < t for s in g) / len(g)), t) for t, _ in x)[1]
+    assert scoring.equal_error_rate(spark.createDataFrame(x, "score double, genuine boolean")).first().threshold == want
 
 
 def test_decisions(spark):
