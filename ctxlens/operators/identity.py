@@ -75,6 +75,19 @@ def owner_gate(queries: DataFrame, voiceprints: DataFrame, people: DataFrame, th
     return out.select("query_id", (F.col("confidence") >= threshold).alias("is_owner"), "confidence")
 
 
+def owner_confidence(utterances: DataFrame, gate: DataFrame, key: str = "utterance_id", lagged: bool = False) -> DataFrame:
+    """Utterances with the confidence of the owner gate (query_id, confidence) for them, 0 where there is none.
+
+    ``lagged``: the last one known before the utterance in its conversation, as a live caller has it while a voice is looked up.
+    """
+    g = gate.select(F.col("query_id").alias("__q"), F.col("confidence").alias("__c"))
+    df = utterances.join(g, F.col(key) == F.col("__q"), "left")
+    if lagged:
+        w = Window.partitionBy("conversation_id").orderBy("start_ms", "utterance_id").rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("__c", F.last("__c", ignorenulls=True).over(w))
+    return df.withColumn("confidence", F.coalesce("__c", F.lit(0.0))).drop("__q", "__c")
+
+
 def wake_allowed(command, person_id, owner_id, confidence, threshold: float = OWNER_THRESHOLD):
     """Whether a wake command counts: there is one, the owner said it, and the voice is known well enough; null fails."""
     return F.coalesce(command.isNotNull() & (person_id == owner_id) & (confidence >= threshold), F.lit(False))

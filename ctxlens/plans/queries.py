@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from ..functions import dates, numeric, text
 from ..operators import changes, cluster, facts, identity, retrieval, scoring, segments, session as sessions, views, voice_activity
+from ..engine import Memory
+from ..session import fresh_folder, settle
 from ..sources import audio, sinks
-from ..sources.tables import Bench, lookup, released
-from ..session import settle
+from ..sources.tables import Bench, event_script, inject, lookup, read_table, read_transcript, released
 from ..streaming import reducer, streams
 from .oracle import with_views
 
@@ -806,6 +807,185 @@ def safe_arguments(b):
     return b.raw("events").select("event_id", text.safe_args(broken, "k long")["k"].alias("k"))
 
 
+# writes, sources and rows as callers see them
+
+
+@query("SELECT person_id::VARCHAR AS _id, name, relationship, is_owner FROM people", "people")
+def collection_scan(b):
+    """People written as a collection and read under its declared schema; a missing optional field reads as null."""
+    base = fresh_folder(b.spark, "collections")
+    at = F.timestamp_millis("created_ms")
+    p = b.people().select(F.col("person_id").cast("string").alias("_id"), F.lit("owner").alias("owner_id"), "name", at.alias("created_at"), at.alias("updated_at"), "relationship", "is_owner")
+    sinks.write_snapshot(p, f"{base}/people")
+    return read_table(b.spark, base, "people").select("_id", "name", "relationship", "is_owner")
+
+
+@query("SELECT conversation_id::VARCHAR AS conversation_id, utterance_id::VARCHAR AS utterance_id, person_id::VARCHAR AS person_id, speaker, md5(text) AS text, start_ms, end_ms FROM utterances", "utterances")
+def transcript_read(b):
+    """Conversations written as transcripts, one JSON document a line, and read back."""
+    turn = F.struct(F.col("utterance_id").cast("string").alias("utterance_id"), F.col("person_id").cast("string").alias("person_id"), "speaker", "text", "start_ms", "end_ms")
+    path = fresh_folder(b.spark, "transcripts")
+    b.utterances().groupBy(F.col("conversation_id").cast("string").alias("conversation_id")).agg(F.collect_list(turn).alias("utterances")).write.json(path)
+    return read_transcript(b.spark, path, lines=True).withColumn("text", F.md5("text"))
+
+
+@query("SELECT utterance_id, person_id, text FROM (SELECT utterance_id, person_id, text FROM utterances UNION ALL VALUES (-1::BIGINT, 7::BIGINT, 'hello'), (-2, NULL, ''))", "utterances")
+def injected_rows(b):
+    return inject(b.utterances().select("utterance_id", "person_id", "text"), [(-1, 7, "hello"), (-2, None, "")])
+
+
+@query("""SELECT (n * 3 + i)::BIGINT AS seq, type, ((t + n * 1000) // 2)::BIGINT AS at_ms FROM (VALUES (0, 'utterance', 0), (1, 'fact', 400), (2, 'promise', 900)) v(i, type, t), (SELECT unnest(range(3)) AS n)""")
+def scripted_events(b):
+    """A script of three events at double speed, three times, with a pause."""
+    script = [{"type": "utterance", "at_ms": 0}, {"type": "promise", "at_ms": 900}, {"type": "fact", "at_ms": 400}]
+    return event_script(b.spark, script, speed=2, loops=3, pause_ms=100).select("seq", "type", "at_ms")
+
+
+@query(f"""SELECT * FROM (SELECT 'promise' AS kind, promise_id AS id, person_id, text, 0.5::DOUBLE AS score FROM promises WHERE status = 'open' AND person_id = 7 AND regexp_matches(text, '{_PATTERN}') ORDER BY promise_id LIMIT 5)
+    UNION ALL SELECT * FROM (SELECT 'utterance', utterance_id, person_id, text, 0.25::DOUBLE FROM utterances WHERE person_id = 7 AND regexp_matches(text, '{_PATTERN}') ORDER BY utterance_id LIMIT 5)""", "promises", "utterances")
+def person_scope(b):
+    """A search of one person's rows; without a person it is lexical_or_regex."""
+    return retrieval.search_text(_ASK, b.promises(), b.utterances(), person=7)
+
+
+@query("SELECT utterance_id, turn % 2 = 0 AND coalesce(person_id = 0, false) AND utterance_id % 11 <> 3 AND utterance_id % 10 >= 6 AS allowed FROM utterances", "utterances")
+def wake_gate(b):
+    """A command, the owner's, in a voice known well enough; what is missing fails."""
+    command = F.when(F.col("turn") % 2 == 0, F.col("text"))
+    confidence = F.when(F.col("utterance_id") % 11 != 3, (F.col("utterance_id") % 10) / 10)
+    return b.utterances().select("utterance_id", identity.wake_allowed(command, F.col("person_id"), F.lit(0), confidence).alias("allowed"))
+
+
+@query("SELECT voiceprint_id, person_id, duration_ms::BIGINT AS duration_ms FROM voiceprints", "voiceprints")
+def public_rows(b):
+    return views.public_row(b.voiceprints())
+
+
+@query("SELECT DISTINCT conversation_id FROM utterances WHERE person_id = 7", "utterances")
+def conversations_of_person(b):
+    talks = b.utterances().groupBy("conversation_id").agg(F.collect_set("person_id").alias("participant_ids"))
+    return views.conversations_of(talks, F.lit(7).cast("long")).select("conversation_id")
+
+
+@query("SELECT fact_id, person_id, valid_from FROM facts WHERE superseded_by IS NULL", "facts")
+def recent_facts(b):
+    return facts.recent(b.facts()).select("fact_id", "person_id", "valid_from")
+
+
+@query("SELECT conversation_id, min(start_ms)::BIGINT AS started_at FROM utterances GROUP BY conversation_id", "utterances")
+def conversations_by_start(b):
+    talks = b.utterances().groupBy("conversation_id").agg(F.min("start_ms").alias("started_at"))
+    return _api(b).list_conversations(talks)
+
+
+@query("SELECT utterance_id, start_ms, text FROM utterances WHERE conversation_id = 7", "utterances")
+def conversation_lines(b):
+    return _api(b).list_utterances(7).select("utterance_id", "start_ms", "text")
+
+
+def _api(b) -> Memory:
+    return Memory(b.people(), b.facts(), b.promises(), b.utterances())
+
+
+@query("SELECT person_id, name FROM people", "people")
+def people_by_locale(b):
+    return views.people_by_name(b.people(), locale=True).select("person_id", "name")
+
+
+@query(f""", m AS ({_MERGES}), pe AS (SELECT person_id, created_ms, CASE WHEN person_id % 4 = 1 THEN name ELSE '  ' END AS name FROM people), g AS (
+    SELECT merge_id, min((p.created_ms, p.person_id)) AS f FROM m JOIN pe p ON p.person_id = m.person_id GROUP BY merge_id HAVING count(*) >= 2),
+    map AS (SELECT m.person_id AS old_id, f[2] AS new_id FROM m JOIN g ON m.merge_id = g.merge_id JOIN pe ON pe.person_id = m.person_id WHERE m.person_id <> f[2]),
+    nm AS (SELECT new_id, arg_min(name, (created_ms, person_id)) AS inherited FROM map JOIN pe ON person_id = old_id WHERE trim(name) <> '' GROUP BY new_id)
+    SELECT person_id, coalesce(nullif(trim(name), ''), inherited, name) AS name FROM pe LEFT JOIN nm ON new_id = person_id WHERE person_id NOT IN (SELECT old_id FROM map)""", "people")
+def merge_people_inherit(b):
+    """Missing people are ignored, and a survivor without a name takes the first one of those merged."""
+    p, m = _merge(b, strict=False)
+    p = p.withColumn("name", F.when(F.col("person_id") % 4 == 1, F.col("name")).otherwise("  "))
+    return identity.merge_people(p, {}, m, inherit_name=True)[0].select("person_id", "name")
+
+
+_CONFIDENCE = """, k AS (SELECT conversation_id, utterance_id, start_ms, CASE WHEN turn % 3 = 0 THEN (utterance_id % 10) / 10.0::DOUBLE END AS c FROM utterances)"""
+
+
+@query(_CONFIDENCE + " SELECT utterance_id, coalesce(c, 0) AS confidence, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY start_ms, utterance_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k", "utterances")
+def owner_confidence(b):
+    """The owner's confidence by utterance, and as it was known before each one."""
+    u = b.utterances()
+    gate = u.where("turn % 3 = 0").select(F.col("utterance_id").alias("query_id"), ((F.col("utterance_id") % 10) / 10).alias("confidence"))
+    before = identity.owner_confidence(u, gate, lagged=True).select("utterance_id", F.col("confidence").alias("before"))
+    return identity.owner_confidence(u, gate).select("utterance_id", "confidence").join(before, "utterance_id")
+
+
+@query("SELECT utterance_id, md5(text || CASE WHEN utterance_id % 4 = 0 THEN '!' ELSE '' END) AS text FROM utterances", "utterances")
+def replayed_poll(b):
+    """Rows that are polled again and again, some revised, are one row for each id."""
+    u = b.utterances().select("utterance_id", "text", F.lit(1).alias("poll"))
+    again = u.where("utterance_id % 4 = 0").withColumns({"text": F.concat("text", F.lit("!")), "poll": F.lit(2)})
+    rows = u.unionByName(u.withColumn("poll", F.lit(0))).unionByName(again)
+    return sinks.latest(rows, ["utterance_id"], [F.col("poll")]).select("utterance_id", F.md5("text").alias("text"))
+
+
+@query(f"SELECT doc_id, contains({_NORMAL.format('text')}, 'the data') AS found FROM documents")
+def phrase_contained(b):
+    return b.raw("documents").select("doc_id", text.contains_phrase(F.col("text"), F.lit(" The,  DÁTA!")).alias("found"))
+
+
+_SLOTS = ("move_date", "food_preference", "work", "recent_trip", "job", "birthday")
+
+
+@query("SELECT event_id, (['move', 'preference', 'job', 'travel', 'job', 'birthday'])[event_id % 6 + 1] AS slot, (['move,move_date', 'food_preference,preference', 'job,work', 'recent_trip,travel', 'job,work', 'birthday'])[event_id % 6 + 1] AS names FROM events")
+def attribute_slots(b):
+    name = F.element_at(F.array(*map(F.lit, _SLOTS)), (F.col("event_id") % 6 + 1).cast("int"))
+    names = F.element_at(F.array(*[F.lit(",".join(sorted(text.attribute_aliases(a)))) for a in _SLOTS]), (F.col("event_id") % 6 + 1).cast("int"))
+    return b.raw("events").select("event_id", text.canonical_attribute(name).alias("slot"), names.alias("names"))
+
+
+@query("""SELECT fact_id, 'That changed: ' || claim || '.' || CASE fact_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' I found 1 related open loop worth reviewing.' ELSE ' I found 2 related open loops worth reviewing.' END AS reply FROM candidates""", "candidates")
+def live_replies(b):
+    return b.candidates().select("fact_id", text.live_reply(F.concat(F.lit(" "), "claim", F.lit("!?.")), F.col("fact_id") % 3).alias("reply"))
+
+
+@query(f"SELECT fact_id, 'spoken-' || attribute || '-' || coalesce(superseded_by::VARCHAR, 'initial') AS spoken, 'note-' || left({_NORMAL.format('claim')}, 60) AS note FROM facts", "facts")
+def source_keys(b):
+    return b.facts().select("fact_id", text.spoken_key(F.col("attribute"), F.col("superseded_by")).alias("spoken"), text.note_key(F.col("claim")).alias("note"))
+
+
+@query("SELECT trial_id, round(greatest(-1, least(1, 2 * (score * 1.2::DOUBLE) - 1)), 9) AS cosine, floor(trial_id * 37 / 16000.0::DOUBLE * 1000 + 0.5)::BIGINT AS ms FROM trials", "trials")
+def score_and_clock_arithmetic(b):
+    """Cosines back from index scores (some out of range), and milliseconds of sample counts."""
+    return b.trials().select("trial_id", F.round(numeric.raw_cosine(F.col("score") * 1.2), 9).alias("cosine"), numeric.ms_of_samples(F.col("trial_id") * 37).alias("ms"))
+
+
+_CODES = "list_transform(list_transform(embedding::DOUBLE[], lambda x: greatest(-1, least(1, 3 * x))), lambda x: floor(CASE WHEN x < 0 THEN x * 32768 ELSE x * 32767 END + 0.5)::INT)"
+
+
+@query(f"SELECT vec_id, array_to_string({_CODES}, ',') AS codes, round(list_sum(list_transform({_CODES}, lambda x: x / 32768.0::DOUBLE)), 9) AS total, array_to_string(({_CODES})[1 + vec_id % 50:ceil((vec_id % 70 + 0.5) / 1000 * 1000)::BIGINT], ',') AS cut FROM embeddings")
+def sample_codes(b):
+    """Samples as 16-bit numbers (some clipped), back as fractions, and a time span of them at 1000 a second."""
+    i = F.col("vec_id")
+    e = b.raw("embeddings").select("vec_id", numeric.float_to_int16(F.transform(F.col("embedding").cast("array<double>"), lambda x: 3 * x)).alias("codes"))
+    text_of = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    total = F.aggregate(numeric.int16_to_float(F.col("codes")), F.lit(0.0), lambda s, x: s + x)
+    return e.select("vec_id", text_of("codes").alias("codes"), F.round(total, 9).alias("total"), text_of(numeric.slice_pcm(F.col("codes"), i % 50 + 0.5, i % 70 + 0.5, 1000)).alias("cut"))
+
+
+@query("SELECT doc_id, coalesce(strlen(text) > 0 AND strlen(text) % 4 = 0, false) AS whole FROM documents")
+def whole_pcm(b):
+    return b.raw("documents").select("doc_id", audio.valid_pcm(F.col("text").cast("binary")).alias("whole"))
+
+
+@query("""SELECT event_id, 'data: {"event_id":' || event_id || ',"type":"' || event_type || '"}' || chr(10) || chr(10) AS line FROM events""")
+def sse_lines(b):
+    return b.raw("events").select("event_id", text.sse_line(F.struct("event_id", F.col("event_type").alias("type"))).alias("line"))
+
+
+@query("SELECT conversation_id, string_agg(utterance_id::VARCHAR, ',' ORDER BY utterance_id) AS ids, md5(arg_min(text, utterance_id)) AS first_text FROM utterances GROUP BY conversation_id", "utterances")
+def keyed_rows(b):
+    m = views.keyed(b.utterances().select("conversation_id", "utterance_id", "text"), "conversation_id", "utterance_id")
+    keys = F.array_sort(F.map_keys("by_id"))
+    return m.select("conversation_id", F.array_join(F.transform(keys, lambda x: x.cast("string")), ",").alias("ids"), F.md5(F.element_at("by_id", F.element_at(keys, 1))["text"]).alias("first_text"))
+
+
 # streams
 
 

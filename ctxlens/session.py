@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTC for every date rule; adaptive plans; a state store that survives large keyed state.
@@ -23,10 +25,20 @@ def builder(app: str = "ctxlens", master: str | None = None) -> SparkSession.Bui
     return b
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Materialises an intermediate result in ``spark.checkpoint.dir`` (where unset: a folder of the warehouse), cutting its lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, where unset a folder of the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if spark.sparkContext.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder; nothing is created yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Materialises an intermediate result in the shared folder, cutting its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -21,10 +21,10 @@ def lookup(table: DataFrame, key: str, value: object, owner: str | None = None)
     return (hit.where(F.col("owner_id") == owner) if owner is not None else hit).limit(1)
 
 
-def read_transcript(spark: SparkSession, path: str) -> DataFrame:
-    """A transcript fixture (one JSON document with an array of turns), one row per turn."""
+def read_transcript(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A transcript fixture (one JSON document with an array of turns), one row per turn; with ``lines``, a document on each line."""
     turn = "utterance_id STRING, person_id STRING, speaker STRING, text STRING, start_ms BIGINT, end_ms BIGINT"
-    doc = spark.read.schema(f"conversation_id STRING, utterances ARRAY<STRUCT<{turn}>>").json(path, multiLine=True)
+    doc = spark.read.schema(f"conversation_id STRING, utterances ARRAY<STRUCT<{turn}>>").json(path, multiLine=not lines)
     return doc.select("conversation_id", F.inline("utterances"))
 
 
