@@ -34,7 +34,7 @@ _SPLIT = re.compile(
 _PLAIN = re.compile("[\0-ɏ]*")
 assert array("I").itemsize == 4 and sys.byteorder == "little"  # of what array() packs
 #: Distinct pre-tokens that a worker remembers; reaching it empties the memo. Longer ones than MEMO_CHARS are asked for each time.
-MEMO, MEMO_CHARS = 1_200_000, 64
+MEMO, MEMO_CHARS = 200_000, 64
 #: The pattern that _SPLIT spells out (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
