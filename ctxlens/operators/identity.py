@@ -45,6 +45,44 @@ def attribute(clusters: DataFrame, voiceprints: DataFrame, people: DataFrame, th
     return df.select("query_id", kind.alias("kind"), F.when(kind == "match", F.col("person_id")).alias("person_id"), F.when(F.col("speech_ms") >= floor_ms, F.col("best")).alias("score"))
 
 
+def attribute_minting(clusters: DataFrame, voiceprints: DataFrame, people: DataFrame, group: str, threshold: float = ATTRIBUTION_THRESHOLD, floor_ms: int = EMBED_MIN_MS) -> DataFrame:
+    """query_id, kind (pending, match, new), person_id: clusters in order, where the print of a new person is known to the next.
+
+    clusters: group, seq, query_id, query, speech_ms. Known prints are searched for all clusters at once; only what a group
+    has minted itself is met in a fold over the group (a session or tenant), in whose memory its new voices are. Of the three
+    nearest prints, minted ones included, those below the threshold and those of nobody drop out. Ids come out as text; a
+    new person's is "person-" and the query's.
+    """
+    import numpy as np
+    import pandas as pd
+
+    prints = voiceprints.select("voiceprint_id", F.col("person_id").alias("__p"), "embedding")
+    here = people.select(F.col("person_id").alias("__p"), F.lit(True).alias("here"))
+    hits = knn(prints, clusters.where(F.col("speech_ms") >= floor_ms), 3, "voiceprint_id").join(prints.drop("embedding"), "voiceprint_id").join(here, "__p", "left")
+    hits = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "cosine", F.when(F.col("here"), F.col("__p").cast("string")).alias("person")))).alias("hits"))
+    kind = clusters.schema["query_id"].dataType.simpleString()
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        minted, names, out = [], [], []
+        for r in pdf.sort_values("seq").itertuples():
+            if not r.speech_ms >= floor_ms:
+                out.append((r.query_id, "pending", None))
+                continue
+            v = np.asarray(r.query, "f8")
+            v = v / (np.linalg.norm(v) or 1)
+            near = [(h["cosine"], h["person"]) for h in (r.hits if r.hits is not None else [])]
+            near += zip(np.round(np.array(minted) @ v, 12).tolist(), names, strict=True) if minted else []
+            near = [p for c, p in sorted(near, key=lambda h: -h[0])[:3] if c >= threshold and p is not None]
+            if not near:
+                minted.append(v)
+                names.append(f"person-{r.query_id}")
+            out.append((r.query_id, "match", near[0]) if near else (r.query_id, "new", names[-1]))
+        return pd.DataFrame(out, columns=["query_id", "kind", "person_id"])
+
+    rows = clusters.select(group, "seq", "query_id", "query", "speech_ms").join(hits, "query_id", "left")
+    return rows.groupBy(group).applyInPandas(fold, f"query_id {kind}, kind string, person_id string")
+
+
 def attribute_in_order(clusters: list[tuple], prints: list[tuple], threshold: float = ATTRIBUTION_THRESHOLD) -> list[tuple]:
     """Attribution one cluster after the other, where a minted print is visible to the next: (query_id, kind, person_id).
 
@@ -99,9 +137,21 @@ def stamp(utterances: DataFrame, decisions: DataFrame) -> DataFrame:
     return utterances.join(d, utterances["cluster_id"] == F.col("__c"), "left").withColumn("person_id", F.coalesce("__p", "person_id")).drop("__c", "__p")
 
 
-def enroll(voiceprints: DataFrame, prints: DataFrame, dims: int) -> DataFrame:
-    """Appends prints of the right length."""
-    return voiceprints.unionByName(prints.where(F.size("embedding") == dims))
+def enroll(voiceprints: DataFrame, people: DataFrame, prints: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
+    """(voiceprints, people) with new prints; a print without a person brings one (``name``, else "Unknown"; id of the print).
+
+    A vector of another length, a missing one, or a person who doesn't exist is an error when the result is computed.
+    """
+    known = people.select(F.col("person_id").alias("__p"))
+    fits = F.coalesce(F.size("embedding") == dims, F.lit(False))
+    there = F.col("person_id").isNull() | F.col("__p").isNotNull()
+    checked = prints.join(known, F.col("person_id") == F.col("__p"), "left")
+    fine = F.assert_true(fits, F.lit(f"voiceprints must have {dims} dimensions")).isNull() & F.assert_true(there, F.lit("unknown person")).isNull()
+    checked = checked.withColumn("embedding", F.when(fine, F.col("embedding")))
+    owner = F.coalesce("person_id", F.col("voiceprint_id").cast(people.schema["person_id"].dataType))
+    columns = {"person_id": owner, "name": F.coalesce("name", F.lit("Unknown"))}
+    fresh = prints.where("person_id IS NULL").select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in people.schema])
+    return voiceprints.unionByName(checked.withColumn("person_id", owner).select(*voiceprints.columns)), people.unionByName(fresh)
 
 
 def relabel_events(utterances: DataFrame, people: DataFrame) -> DataFrame:

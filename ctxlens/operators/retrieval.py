@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ..functions.numeric import index_score
 from ..functions.text import any_term_pattern, query_terms, term_share
 from ..session import settle
 
+log = logging.getLogger(__name__)
 K = 60
 #: Entries of the matrix of cosines that a task holds at a time.
 CELLS = 1 << 22
@@ -149,6 +153,21 @@ def search_facts(facts: DataFrame, semantic: DataFrame, lexical: DataFrame, mode
     return reciprocal_rank_fusion(sem, lex, "fact_id", limit)
 
 
+def search_or_fall_back(facts: DataFrame, semantic: DataFrame, lexical: Callable[[], DataFrame], setting: str | None = None, limit: int = 10) -> DataFrame:
+    """``search_facts`` by the path of a setting; where the fused one can't be planned, the manual one, without a lexical leg if that fails."""
+    if search_mode(setting) == "fused":
+        try:
+            return search_facts(facts, semantic, lexical(), "fused", limit)
+        except Exception as e:  # whatever the lexical source raises
+            log.warning("fused search is unavailable, falling back: %s", e)
+    try:
+        leg = lexical()
+    except Exception as e:
+        log.warning("lexical search is unavailable: %s", e)
+        leg = None
+    return search_facts(facts, semantic, leg, "manual", limit)
+
+
 def search_mode(setting: str | None) -> str:
     """Retrieval path of a setting: "1" asks for the manual one, anything else for the fused one."""
     return "manual" if (setting or "").strip() == "1" else "fused"
@@ -188,6 +207,22 @@ def evidence(results: DataFrame, query: str = "query_id") -> DataFrame:
     return lines.groupBy(query).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("evidence"))
 
 
+#: What is answered without evidence (fixed value).
+NO_EVIDENCE = "I have nothing in memory about that yet."
+
+
+def answers(queries: DataFrame, results: DataFrame, wording: DataFrame, query: str = "query_id") -> DataFrame:
+    """Per query: text, and the cited results in order (kind:id); without any result the fixed text and no citations.
+
+    ``wording``: query, text, used (array of the ids that the text rests on), from the caller's model. Ids that weren't found don't count.
+    """
+    found = results.join(wording.select(query, "used"), query, "left")
+    cite = F.when(F.array_contains("used", F.col("id")), F.struct("place", F.concat_ws(":", "kind", "id").alias("what")))
+    found = found.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(cite)), lambda c: c["what"]).alias("citations"))
+    df = queries.select(query).join(found, query, "left").join(wording.select(query, "text"), query, "left")
+    return df.select(query, F.when(F.col("citations").isNull(), NO_EVIDENCE).otherwise(F.col("text")).alias("text"), F.coalesce("citations", F.array().cast("array<string>")).alias("citations"))
+
+
 def cited(results: DataFrame, used: DataFrame, query: str = "query_id") -> DataFrame:
     """Results whose ids an answer has used."""
     return results.join(used.select(query, "kind", "id"), [query, "kind", "id"], "left_semi")

@@ -101,6 +101,11 @@ def due_notifications(promises: DataFrame, now: Column, already: DataFrame | Non
     return due if already is None else due.join(already.select("promise_id"), "promise_id", "left_anti")
 
 
+def cancelled_notifications(scheduled: DataFrame, promises: DataFrame) -> DataFrame:
+    """Scheduled notifications to cancel: those whose promise isn't open, or isn't there, any more."""
+    return scheduled.join(promises.where("status = 'open'").select("promise_id"), "promise_id", "left_anti")
+
+
 def public_row(table: DataFrame) -> DataFrame:
     """Without vectors."""
     return table.drop("embedding")

@@ -986,6 +986,41 @@ def keyed_rows(b):
     return m.select("conversation_id", F.array_join(F.transform(keys, lambda x: x.cast("string")), ",").alias("ids"), F.md5(F.element_at("by_id", F.element_at(keys, 1))["text"]).alias("first_text"))
 
 
+@query("SELECT promise_id FROM promises WHERE promise_id % 3 = 0 AND status <> 'open'", "promises")
+def cancelled_notifications(b):
+    p = b.promises()
+    return views.cancelled_notifications(p.where("promise_id % 3 = 0").select("promise_id"), p).select("promise_id")
+
+
+@query("""SELECT promise_id AS draft_id, x.name AS to_name, f.claim AS "to", promise_id % 2 = 0 AND f.claim IS NOT NULL AS sent FROM promises p LEFT JOIN people x ON x.person_id = p.person_id
+    LEFT JOIN (SELECT person_id, claim, row_number() OVER (PARTITION BY person_id ORDER BY valid_from DESC, fact_id DESC) AS n FROM facts WHERE attribute = 'click' AND superseded_by IS NULL) f ON f.person_id = p.person_id AND n = 1""", "promises", "people", "facts")
+def email_drafts(b):
+    """A draft for every promise; every other one is sent, if there is an address."""
+    asked = b.promises().select(F.col("promise_id").alias("draft_id"), "person_id", F.lit("s").alias("subject"), F.col("text").alias("body"), "created_at")
+    drafts = sinks.create_drafts(asked, b.people(), b.facts(), "click")
+    wanted = asked.where("draft_id % 2 = 0")
+    return sinks.send_drafts(drafts, wanted.unionByName(wanted), now()).select("draft_id", "to_name", "to", F.col("sent_at").isNotNull().alias("sent"))
+
+
+@query(f"""SELECT 1::BIGINT AS query_id, 'said' AS text, string_agg(kind || ':' || id, ',' ORDER BY place) AS citations FROM ({_MEMORY}) WHERE place % 2 = 1
+    UNION ALL SELECT 2, '{retrieval.NO_EVIDENCE}', ''""", "facts", "promises", "utterances")
+def answers(b):
+    """A question with evidence, half of which is cited, and one without."""
+    m = _memory(b).withColumn("query_id", F.lit(1).cast("long"))
+    asked = b.spark.range(1, 3).toDF("query_id")
+    said = asked.select("query_id", F.lit("said").alias("text")).join(m.where("place % 2 = 1").groupBy("query_id").agg(F.collect_list("id").alias("used")), "query_id", "left")
+    return _flat(retrieval.answers(asked, m.where("place % 2 = 1 OR id NOT IN (-1)"), said))
+
+
+@query()
+def attribute_minting(b):
+    """The stated query set as speech of four sessions, in order; new voices become people."""
+    v = b.voiceprints()
+    i = F.col("voiceprint_id")
+    c = v.where("voiceprint_id % 50 = 0").select((i % 4).alias("session"), i.alias("seq"), i.alias("query_id"), F.col("embedding").alias("query"), F.col("duration_ms").alias("speech_ms"))
+    return identity.attribute_minting(c, v.where("voiceprint_id % 50 <> 0"), b.people().where("person_id % 9 <> 4"), "session", threshold=0.3)
+
+
 # streams
 
 

@@ -74,6 +74,23 @@ def append_reminders(promises: DataFrame, fire_at: Column) -> DataFrame:
     return promises.select(F.concat(F.lit("reminder-"), F.col("promise_id").cast("string")).alias("reminder_id"), "promise_id", F.lit("pending").alias("status"), fire_at.alias("fire_at"))
 
 
+def create_drafts(requests: DataFrame, people: DataFrame, facts: DataFrame, attribute: str = "email") -> DataFrame:
+    """Drafts of requests (draft_id, person_id, subject, body, created_at): the address is the person's current fact, never the request's."""
+    from ..operators.facts import current
+
+    known = people.select("person_id", F.col("name").alias("to_name"))
+    address = current(facts.where(F.col("attribute") == attribute)).select("person_id", F.col("claim").alias("to"))
+    df = requests.join(known, "person_id", "left").join(address, "person_id", "left")
+    return df.select("draft_id", "person_id", "to_name", "to", "subject", "body", "created_at", F.lit(None).cast("timestamp").alias("sent_at"))
+
+
+def send_drafts(drafts: DataFrame, asked: DataFrame, at: Column) -> DataFrame:
+    """Drafts with sent_at set for those asked for (draft_id, any number of times) that have a recipient; one that is sent stays as it is."""
+    wanted = asked.select(F.col("draft_id").alias("__d")).distinct()
+    ok = F.col("__d").isNotNull() & F.col("sent_at").isNull() & (F.trim(F.coalesce("to", F.lit(""))) != "")
+    return drafts.join(wanted, F.col("draft_id") == F.col("__d"), "left").withColumn("sent_at", F.when(ok, at.cast("timestamp")).otherwise(F.col("sent_at"))).drop("__d")
+
+
 def drafts_to_send(drafts: DataFrame) -> DataFrame:
     """Drafts, newest first, with whether they may be sent: once only, and with a recipient."""
     ok = F.col("sent_at").isNull() & (F.trim(F.coalesce("to", F.lit(""))) != "")

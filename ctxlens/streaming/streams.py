@@ -92,19 +92,26 @@ def every_nth_final(utterances: DataFrame, n: int = 25) -> DataFrame:
 
 
 def retry_gate(speech: DataFrame, floor_ms: int = 3000, tries: int = 3) -> DataFrame:
-    """cluster_id, attempt, speech_ms: when attribution is tried: after each ``floor_ms`` of new speech, at most ``tries`` times."""
+    """cluster_id, attempt, speech_ms, final: when a voice that stays ambiguous is tried, from (cluster_id, seq, speech_ms, ending).
+
+    An attempt needs the floor of speech, and as much new speech since the last one. After ``tries`` ambiguous attempts, or
+    when the session ends, one more is final and needs no new speech; nothing follows it.
+    """
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState):
-        done, at = state.get if state.exists else (0, 0)
+        done, at, over = state.get if state.exists else (0, 0, False)
         out = []
-        for ms in pd.concat(batches).sort_values("seq")["speech_ms"]:
-            if done < tries and ms - at >= floor_ms:
-                done, at = done + 1, int(ms)
-                out.append((k[0], done, at))
-        state.update((done, at))
-        yield pd.DataFrame(out, columns=["cluster_id", "attempt", "speech_ms"]).astype({"attempt": "int64", "speech_ms": "int64"})
-
-    return speech.groupBy("cluster_id").applyInPandasWithState(step, "cluster_id string, attempt long, speech_ms long", "done long, at long", "append", GroupStateTimeout.NoTimeout)
+        for r in pd.concat(batches).sort_values("seq").itertuples():
+            final = bool(r.ending) or done >= tries
+            if over or r.speech_ms < floor_ms or (not final and r.speech_ms - at < floor_ms):
+                continue
+            done, at, over = done + 1, int(r.speech_ms), final
+            out.append((k[0], done, at, final))
+        state.update((done, at, over))
+        yield pd.DataFrame(out, columns=["cluster_id", "attempt", "speech_ms", "final"]).astype({"attempt": "int64", "speech_ms": "int64", "final": "bool"})
+
+    rows = speech.select("cluster_id", "seq", "speech_ms", F.coalesce("ending", F.lit(False)).alias("ending"))
+    return rows.groupBy("cluster_id").applyInPandasWithState(step, "cluster_id string, attempt long, speech_ms long, final boolean", "done long, at long, over boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def interventions(events: pd.DataFrame, state: tuple, window_ms: int = 30_000, cooldown_ms: int = 10_000, remembered: int = 500) -> tuple[list[tuple], tuple]:

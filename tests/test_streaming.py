@@ -96,3 +96,15 @@ def test_interventions():
     e = pd.DataFrame([ev(0, "utterance", 0), ev(1, "fact", 31_000), ev(2, "utterance", 40_000), ev(3, "fact", 50_000, attribute="mood"), ev(4, "fact", 51_000), ev(5, "fact", 52_000), ev(6, "utterance", 53_000), ev(7, "fact", 60_000), ev(8, "fact", 61_000)])
     found, state = streams.interventions(e, ({}, [], None))
     assert [f[0] for f in found] == ["f4", "f8"] and state[2] == 61_000
+
+
+def test_retry_gate_ends_with_a_final_attempt(spark, folder):
+    # a is tried at each 3 s of new speech, three times, and then once for good; b at the end of the session; c has too little speech
+    a = [("a", ms, False) for ms in (1000, 3000, 4000, 6500, 9000, 9600, 9700, 20_000)]
+    d = [(i, *r) for i, r in enumerate([*a, ("b", 3500, None), ("b", 3600, True), ("b", 9000, True), ("c", 2000, True)])]
+    d = spark.createDataFrame(d, "seq long, cluster_id string, speech_ms long, ending boolean")
+    path, tmp = folder(d)
+    q = streams.emit(streams.retry_gate(streams.replay(spark, path, d.schema)), "retry_out", f"{tmp}/ck")
+    drain(q)
+    got = sorted((r.cluster_id, r.attempt, r.speech_ms, r.final) for r in spark.table("retry_out").collect())
+    assert got == [("a", 1, 3000, False), ("a", 2, 6500, False), ("a", 3, 9600, False), ("a", 4, 9700, True), ("b", 1, 3500, False), ("b", 2, 3600, True)]
