@@ -84,14 +84,41 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_records, op2_vector_search, op3_token_counts, op4_source_mix, op5_secret_scan, op6_span_dedup, op7_warc, op8_near_dedup, op9_quality, op10_bpe_codec)
+    for f in (op1_token_records, op2_vector_search, op3_token_counts, op4_source_mix, op5_secret_scan, op6_span_dedup, op7_warc, op8_near_dedup, op9_quality, op10_bpe_codec, op11_hard_negatives, op13_html_extract)
 }
 
 _CUTS = ", ".join(f"max(CASE WHEN metric = '{m}' THEN (hi + 6 * greatest(hi - lo, {step}))::BIGINT END) AS cut_{m}" for m, step in (("symbol_rate", 5), ("upper_rate", 2), ("word_len", 5), ("dup_line_rate", 40)))
 
 ORACLE = {
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) <= 3""",
+    "op13_html_extract": r"""
+WITH a AS (SELECT page_id, url, replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' ') AS t FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '</?b>', '', 'g'), '</?(?:p|h1)>'),
+  lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM a),
+c AS (SELECT page_id, url, coalesce(array_to_string(blocks, chr(10) || chr(10)), '') AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c""",
     "op8_near_dedup": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM d WHERE len(words) > 0)),
