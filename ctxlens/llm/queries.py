@@ -91,6 +91,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
 
 
+def op12_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cross_tokens import align
+
+    return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract_pages
 
@@ -99,7 +105,7 @@ def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_records, op2_vector_search, op3_token_counts, op4_source_mix, op5_secret_scan, op6_span_dedup, op7_warc, op8_near_dedup, op9_quality, op10_bpe_codec, op11_hard_negatives, op13_html_extract)
+    for f in (op1_token_records, op2_vector_search, op3_token_counts, op4_source_mix, op5_secret_scan, op6_span_dedup, op7_warc, op8_near_dedup, op9_quality, op10_bpe_codec, op11_hard_negatives, op12_cross_tokens, op13_html_extract)
 }
 
 _CUTS = ", ".join(f"max(CASE WHEN metric = '{m}' THEN (hi + 6 * greatest(hi - lo, {step}))::BIGINT END) AS cut_{m}" for m, step in (("symbol_rate", 5), ("upper_rate", 2), ("word_len", 5), ("dup_line_rate", 40)))
