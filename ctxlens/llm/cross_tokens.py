@@ -141,7 +141,7 @@ def aligned_tokens(encoded: DataFrame, vocabulary: DataFrame, least: int) -> Dat
     tokens = tokens.select("key", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("keep")).alias("keep"), "pos", (F.col("pos") >= F.col("n_a")).cast("int").alias("side"), (F.col("value").cast("int") + least).alias("id"))
     tokens = tokens.join(F.broadcast(vocabulary), ["side", "id"], "left")
     ends = tokens.select("key", "keep", "side", "id", F.sum("n_bytes").over(Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
-    # ids aren't null; naming ``keep``, too, makes both sides read the same columns, so that they share one exchange and one encoding
+    # ids aren't null; naming ``keep``, too, makes both sides read the same columns, so that they share one exchange
     partner = F.coalesce("id", F.xxhash64("keep").cast("int"))
     other = ends.select("key", "end", (1 - F.col("side")).alias("side"), partner.alias("partner"))
     met = ends.join(other, ["key", "end", "side"], "left")
@@ -168,7 +168,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: l
     vocabulary = spark.createDataFrame(sizes, "side int, id int, n_bytes long")
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PARTITION_BYTES))
-    encoded = encode_both(docs, a_path, b_path, wide, text, keep).repartition(parts, "key")
+    folder = fresh_dir(spark, "encoded")
+    encode_both(docs, a_path, b_path, wide, text, keep).write.option("compression", "zstd").parquet(folder)
+    encoded = spark.read.parquet(folder).repartition(parts, "key")
     tokens = aligned_tokens(encoded, vocabulary, 0 if wide else 32768)
     a, cut = F.col("side") == 0, F.col("partner").isNotNull()
     # within a group A's tokens come first; the last of a side in a group is at the cut
