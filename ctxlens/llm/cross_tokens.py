@@ -48,8 +48,8 @@ def b_table(sp) -> list[bytes]:
 class Pair:
     """Both tokenizers over whole texts, by pieces; each distinct piece is encoded once while it is remembered.
 
-    Whether pieces may stand for texts is seen from the models: A splits by the byte-level pattern, and no piece of B's vocabulary goes on after
-    a blank that follows something else. Otherwise texts are encoded whole.
+    Whether pieces may stand for texts is seen from the models: A splits by the byte-level pattern, and no piece of B's vocabulary has
+    a space after something else than white space. Otherwise texts are encoded whole.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -59,7 +59,7 @@ class Pair:
         self.a, self.sp = type(enc.tok).from_str(enc.tok.to_str()), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.bytes_a, self.bytes_b = a_table(self.a), b_table(self.sp)
-        self.by_piece = enc.memo_ok and not any(re.search(r"\S\s", t.decode("utf-8", "replace")) for t in self.bytes_b)
+        self.by_piece = enc.memo_ok and not any(re.search(r"\S ", t.decode("utf-8", "replace")) for t in self.bytes_b)
         self.memo: dict[str, tuple[bytes, bytes] | None] = {}
 
     def _encode(self, pieces: list[str]) -> list[tuple[bytes, bytes] | None]:

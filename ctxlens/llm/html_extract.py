@@ -24,13 +24,13 @@ from .html_layouts import lay_out
 
 @dataclass(frozen=True)
 class Params:
-    """sample: pages that the trees are fitted on (the bound), the least by a hash of their ids. layouts: new pages for each of them.
+    """sample: pages that the trees are fitted on (the bound), the least by a hash of their ids. layouts: new pages made of their blocks, in all.
 
     chars: of a sampled page at most so many characters are used in fitting. trees, depth, rate: of the boosting.
     """
 
     sample: int = 400
-    layouts: int = 4
+    layouts: int = 1600
     chars: int = 200_000
     trees: int = 24
     depth: int = 5
@@ -109,8 +109,8 @@ def _fields() -> list:
     return [T.StructField("label", T.DoubleType(), False), T.StructField("features", T.ArrayType(T.DoubleType(), False), False)]
 
 
-def training_rows(sample: DataFrame, p: Params, html: str = "html") -> DataFrame:
-    """(label, features) of the nodes of sampled pages with a landmark, and of the layouts made of all sampled pages' blocks."""
+def training_rows(sample: DataFrame, each: int, p: Params, html: str = "html") -> DataFrame:
+    """(label, features) of the nodes of sampled pages with a landmark, and of ``each`` layouts made of every sampled page's blocks."""
     import pyarrow as pa
 
     schema = T.StructType(_fields())
@@ -122,7 +122,7 @@ def training_rows(sample: DataFrame, p: Params, html: str = "html") -> DataFrame
                 rng = np.random.default_rng([p.seed, key % (1 << 63)])
                 dom = reader.parse(page[: p.chars])
                 labelled = [(dom, x)] if (x := landmark_labels(dom)) is not None else []
-                for _ in range(p.layouts):
+                for _ in range(each):
                     made, want = lay_out(rng, list(dom.texts.values()), TOKENS)
                     tree = reader.parse(made)
                     if len(want) == len(tree.texts):
@@ -148,7 +148,7 @@ def fit(pages: DataFrame, p: Params = Params(), page_id: str = "page_id", html:
     if not ids:
         return Trees(*(np.zeros(0, k) for k in ("i4", "f8", "i4", "i4", "f8", "i4", "f8")), 0)
     sample = pages.where(F.col(page_id).isin(ids)).select(key.alias("key"), F.col(html).alias("html")).orderBy("key", "html").limit(2 * p.sample)
-    rows = cut(training_rows(sample, p, "html"))
+    rows = cut(training_rows(sample, -(-p.layouts // len(ids)), p, "html"))
     model = GBTClassifier(maxIter=p.trees, maxDepth=p.depth, stepSize=p.rate, seed=p.seed, minInstancesPerNode=5, maxBins=48).fit(rows.select("label", array_to_vector("features").alias("features")).coalesce(4))
     folder = fresh_dir(spark, "html-trees")
     model.save(folder)

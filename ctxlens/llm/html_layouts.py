@@ -95,7 +95,7 @@ class _Page:
             self.links(self.number(2, 10), item="li" if inner or tag == "ul" else self.pick(("div", "li")))
             self.put(f"</{inner}>" if inner else "")
         elif kind == "header":
-            self.put(f"<{(t := self.pick(('div', 'p', 'h2', 'h1', 'div')))}>", self.text(self.words(1, 8), False), f"</{t}>")
+            self.put(f"<{(t := self.pick(('div', 'p', 'h2', 'div', 'span', 'div', 'div', 'h1')))}>", self.text(self.words(1, 8), False), f"</{t}>")
             if self.chance(0.5):
                 self.put("<p>", self.text(self.words(2, 10), False), "</p>")
         elif kind == "footer":
@@ -157,10 +157,10 @@ class _Page:
         else:
             self.put(f"<p{self.name(None)}>", self.text(s, True), "</p>")
 
-    def article(self) -> None:
+    def article(self, boxed: bool) -> None:
         """The article's blocks, with what doesn't belong to it in between."""
         if self.chance(0.8):
-            wrap = self.pick(("", "", "header", "header", "div"))
+            wrap = self.pick(("", "", "header", "header", "div") if boxed else ("", "", "", "div"))
             self.put(f"<{wrap}>" if wrap else "", "<h1>", self.text(self.words(1, 14), True), "</h1>", f"</{wrap}>" if wrap else "")
         inner = self.chance(0.25)
         self.put(f"<div{self.name('content' if self.chance(0.5) else None)}>" if inner else "")
@@ -210,7 +210,7 @@ class _Page:
             tags = [f"div{self.name(None)}"]
         for t in tags:
             self.put(f"<{t}{self.name('content') if ' ' not in t and self.chance(0.2) else ''}>")
-        self.article()
+        self.article(bool(tags) and tags[0] in ("article", "main"))
         self.put(*[f"</{t.split()[0]}>" for t in reversed(tags)])
 
 
