@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ctxlens.llm.bpe_codec import codec_digests
 from ctxlens.llm.common import fresh_dir
 from ctxlens.llm.near_dedup import keep_one
-from ctxlens.llm.quality import judge
+from ctxlens.llm.quality import kept_rows
 from ctxlens.llm.secret_scan import redact_secrets
 from ctxlens.llm.source_mix import mixed_documents
 
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and short texts go by the base rule. Rows are judged one by one, so repeated rows share a verdict.
     """
-    return judge(docs).where("kept").select(*docs.columns)
+    return kept_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

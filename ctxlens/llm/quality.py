@@ -154,7 +154,7 @@ def measure(docs: DataFrame, text: str = "text", repeats: bool = True) -> DataFr
     return df.select("*", *[c.alias(n) for n, c in _rates().items()])
 
 
-MADE = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *STEPS]
+MADE = ["n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *STEPS, *[f"cut_{m}" for m in STEPS]]
 
 
 def verdicts(measured: DataFrame, cuts: DataFrame, rules: Rules = Rules(), keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
@@ -168,6 +168,12 @@ def verdicts(measured: DataFrame, cuts: DataFrame, rules: Rules = Rules(), keys:
     return joined.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & fine).drop("__0", "__1")
 
 
+def kept_rows(docs: DataFrame, rules: Rules = Rules(), text: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, every column as it was, whatever its name."""
+    apart = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(keys[0]).alias("__lang"), F.col(keys[1]).alias("__source"), F.col(text).alias("__text"))
+    return judge(apart, rules, "__text", ("__lang", "__source")).where("kept").select("__row.*")
+
+
 def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", keys: tuple[str, str] = ("lang", "source"), columns: list[str] | None = None) -> DataFrame:
     """``docs`` (or only ``columns`` of it) with the metrics, cutoffs, base_failed and kept.
 

@@ -30,9 +30,12 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
-URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-URL_PLUS = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\+")
-UNICODE = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: A first alternative stands for an escape of an escape sign, escaped again and again (CHAIN times or more): each layer halves it, as the
+#: layers between differ in nothing else there.
+CHAIN = 8
+URL = re.compile(rf"%(?P<chain>(?:25){{{CHAIN},}})|(?:%[0-9A-Fa-f]{{2}})+")
+URL_PLUS = re.compile(rf"%(?P<chain>(?:25){{{CHAIN},}})|(?:%[0-9A-Fa-f]{{2}})+|\+")
+UNICODE = re.compile(rf"\\(?P<u>(?:u005[cC]){{{CHAIN},}})|\\(?P<x>(?:x5[cC]){{{CHAIN},}})|&(?P<d>(?:#38;){{{CHAIN},}})|&(?P<h>(?:#x26;){{{CHAIN},}})|" r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 #: Two lines and more of base64 characters, and one line's; lines may be indented or quoted.
 LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*\r?\n[ \t>]*+[A-Za-z0-9+/_-]++)++={0,2}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]+")
@@ -145,8 +148,16 @@ def _unescape(layer: Layer, pattern: re.Pattern, chars) -> Layer | None:
     return Layer(text, layer.spans if places is None else places) if text else None
 
 
+def _halved(m: re.Match, chain: str, unit: int) -> list[tuple[str, int]]:
+    """A chain of escaped escape signs at half its length: the sign stands for what has gone."""
+    left = len(chain) // unit // 2 * unit
+    return [(m[0][0], len(m[0]) - left), (chain[:left], 1)]
+
+
 def _url(m: re.Match) -> list[tuple[str, int]]:
     """Escaped bytes as UTF-8, else as Latin-1; a plus sign is a blank."""
+    if m["chain"]:
+        return _halved(m, m["chain"], 2)
     if m[0] == "+":
         return [(" ", 1)]
     raw = bytes.fromhex(m[0].replace("%", ""))
@@ -159,9 +170,13 @@ def _url(m: re.Match) -> list[tuple[str, int]]:
 
 
 def _unicode(m: re.Match) -> list[tuple[str, int]] | None:
-    if m[1]:
-        return [(chr(0x10000 + ((int(m[1], 16) - 0xD800) << 10) + int(m[2], 16) - 0xDC00), len(m[0]))]
-    n = int(m[8]) if m[8] else int(next(g for g in m.groups()[2:7] if g), 16)
+    for name, unit in (("u", 5), ("x", 3), ("d", 4), ("h", 5)):
+        if m[name]:
+            return _halved(m, m[name], unit)
+    high, low, *codes, decimal = m.groups()[4:]
+    if high:
+        return [(chr(0x10000 + ((int(high, 16) - 0xD800) << 10) + int(low, 16) - 0xDC00), len(m[0]))]
+    n = int(decimal) if decimal else int(next(g for g in codes if g), 16)
     return [(chr(n), len(m[0]))] if n < 0x110000 and not 0xD800 <= n < 0xE000 else None
 
 
@@ -217,23 +232,31 @@ class Members:
     """What the compressed members of one kind from a place on hold, piece by piece.
 
     end: where the whole members end. found: whether there is one. broken: whether another follows that breaks off; what comes
-    before its fault has been given.
+    before its fault has been given. ``more`` gives the bytes that come after ``raw``, where that is a block of something longer: a member
+    that isn't over at the end of the block goes on there.
     """
 
-    def __init__(self, raw: bytes, at: int = 0):
-        self.raw, self.end, self.found, self.broken = raw, at, False, False
+    def __init__(self, raw: bytes, at: int = 0, more=None):
+        self.raw, self.start, self.more, self.end, self.found, self.broken = raw, at, more, at, False, False
+
+    def again(self) -> Members:
+        return Members(self.raw, self.start, self.more)
 
     def __iter__(self):
         kind = next((k for k in PACKED if self.raw.startswith(k[0], self.end)), None)
         while kind and self.raw.startswith(kind[0], self.end):
             _, make, step = kind
-            d, at, got = make(), self.end, False
+            d, at, got, after = make(), self.end, False, None
             try:
                 while not d.eof:
                     if not d.needs_input:
                         piece = b""
                     elif at < len(self.raw):
                         piece, at = self.raw[at : at + step], min(len(self.raw), at + step)
+                    elif self.more is not None:
+                        after = after or (x[i : i + step] for x in self.more() for i in range(0, len(x), step))
+                        if (piece := next(after, None)) is None:
+                            break
                     else:
                         break
                     if x := d.decompress(piece, 1 << 20):
@@ -245,18 +268,33 @@ class Members:
                 self.broken = got
                 return
             self.found = True
+            if after is not None:  # it ended beyond this block; what follows it is for the next one
+                self.end = len(self.raw)
+                return
             self.end = at - len(d.unused_data)
 
 
-def _blocks(pieces):
-    """Pieces joined to blocks of BLOCK bytes at most that overlap."""
-    held = bytearray()
-    for x in pieces:
+def _blocks(members: Members):
+    """(block, more) of what members hold: blocks of BLOCK bytes at most that overlap, and what gives the bytes after one, None after the last."""
+    held, upto = bytearray(), 0
+
+    def after(place: int):
+        def more():
+            at = 0
+            for x in members.again():
+                if at + len(x) > place:
+                    yield x[max(0, place - at) :]
+                at += len(x)
+
+        return more
+
+    for x in members:
         held += x
+        upto += len(x)
         if len(held) >= BLOCK:
-            yield bytes(held)
+            yield bytes(held), after(upto)
             del held[: len(held) - OVERLAP]
-    yield bytes(held)
+    yield bytes(held), None
 
 
 #: ASCII text in UTF-16, both byte orders, anywhere in a binary payload.
@@ -280,31 +318,41 @@ def _views(raw: bytes):
                 yield m[0].replace(b"\x00", b"").decode("ascii"), False
 
 
-def _unpack(raw: bytes, seen: set[bytes]):
-    """Views of a payload, through any compressed members in it; ``seen``: digests, for payloads that unpack to themselves."""
+def _unpack(raw: bytes, seen: set[bytes], more=None):
+    """Views of a payload, through any compressed members in it, at any depth; ``seen``: digests, for payloads that unpack to themselves."""
+    todo = [_inside(raw, seen, more)]
+    while todo:
+        if (x := next(todo[-1], None)) is None:
+            todo.pop()
+        elif isinstance(x[0], bytes):
+            todo.append(_inside(x[0], seen, x[1]))
+        else:
+            yield x
+
+
+def _inside(raw: bytes, seen: set[bytes], more=None):
+    """Directly in a payload: its views (text, plain), and (bytes, more) for what its members hold."""
     digest = hashlib.sha256(raw).digest()
     if not raw or digest in seen:
         return
     seen.add(digest)
     at = 0
     if any(raw.startswith(k[0]) for k in PACKED):
-        first = Members(raw)
-        for block in _blocks(first):
-            yield from _unpack(block, seen)
+        first = Members(raw, 0, more)
+        yield from _blocks(first)
         at = first.end if first.found else 0
         if at == len(raw):
             return
     rest = raw[at:]
     if at and not first.broken:
-        yield from _unpack(rest, seen)
+        yield rest, more
         return
     yield from _views(rest)
     done = 0
     for m in MAGIC.finditer(rest):
         if m.start() >= max(1, done):
-            inner = Members(rest, m.start())
-            for block in _blocks(inner):
-                yield from _unpack(block, seen)
+            inner = Members(rest, m.start(), more)
+            yield from _blocks(inner)
             done = inner.end if inner.found else done
 
 
@@ -409,8 +457,8 @@ def _bytes(layer: Layer, tried: Tried, magic: re.Pattern, token: re.Pattern):
             to = len(raw) if inner.broken else inner.end
             done = at[to] if not inner.broken else done
             place = layer.place(m.start(), at[to])
-            for block in itertools.chain([first], itertools.islice(_blocks(Members(raw, i)), 1, None) if several else ()):
-                for text, plain in _unpack(block, set()):
+            for block, more in itertools.chain([first], itertools.islice(_blocks(inner.again()), 1, None) if several else ()):
+                for text, plain in _unpack(block, set(), more):
                     yield Layer(text, place, plain)
 
 

@@ -14,6 +14,7 @@ from math import lcm
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import broadcast_if_small, cut, small, split_join, word_count
 
@@ -136,10 +137,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=Fraction(3,
     rows is spread over as many tasks; the join to its plan is split likewise. Sources stay a table; one sum for each schedule
     comes to the driver. Null text: size 0; null source: the last source; rows with the same doc_id and text are
     interchangeable; texts of any length count whole; extra columns are ignored. The output is range-partitioned and sorted by
-    position; ``with_key`` adds ``h``, the hash of (doc_id, text) that orders a source.
+    position; ``with_key`` adds ``h``, the hash of (doc_id, text) that orders a source, and ``row``, a hash of all columns.
     """
     doc = F.col("doc_id").cast("long")
-    sized = docs.select(doc.alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), doc, F.col(text)).alias("h"))
+    sized = docs.select(doc.alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), doc, F.col(text)).alias("h"), *[row_hash(docs).alias("row")] * with_key)
     sized = cut(sized)
     sources = cut(plan_sources(sized, weights, schedules, share, most))
     by_shape = {r["shape"]: r["n"] for r in sources.groupBy("shape").agg(F.sum("target").alias("n")).collect()}  # a row for each schedule
@@ -150,41 +151,47 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share=Fraction(3,
     along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "before")
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", *["row"] * with_key).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(sums, placed["source"].eqNullSafe(sums["s"]) & (placed["bucket"] == sums["b"])).withColumn("start", F.col("start") + F.col("before"))
 
-    df = split_join(placed.select(_key(F.col("source")).alias("key"), "doc_id", "source", "size", "h", "start"), sources.select("key", "rows", "source_size", "target", "shape"), ["key"], "rows", n_rows, ["h"])
+    df = split_join(placed.select(_key(F.col("source")).alias("key"), "doc_id", "source", "size", "h", *["row"] * with_key, "start"), sources.select("key", "rows", "source_size", "target", "shape"), ["key"], "rows", n_rows, ["h"])
     df = df.withColumn("knots", knots_of(F.col("shape"), F.col("target"), schedules))
     whole = F.floor("target")
     part = lambda start: F.greatest(F.lit(0), F.least(F.col("size"), whole - start)).cast("long")
     first, again = part(F.col("start")), part(F.col("start") + F.col("source_size"))
-    df = df.select(*["h"] * with_key, "doc_id", "source", "size", "source_size", "target", (first + again).alias("taken"), first.alias("first_taken"), *[F.when(n > 0, _time_at(F.col("knots"), at.cast("double"))).alias(t) for t, n, at in (("t", first, F.col("start")), ("u", again, F.col("start") + F.col("source_size")))])
+    df = df.select(*["h", "row"] * with_key, "doc_id", "source", "size", "source_size", "target", (first + again).alias("taken"), first.alias("first_taken"), *[F.when(n > 0, _time_at(F.col("knots"), at.cast("double"))).alias(t) for t, n, at in (("t", first, F.col("start")), ("u", again, F.col("start") + F.col("source_size")))])
     curve = total_curve(by_shape, schedules)
     place = lambda t: F.when(F.col(t).isNotNull(), F.floor(_demand_at(curve, F.col(t))))
     df = df.withColumns({"position": place("t"), "again_position": place("u")})
     return df.drop("t", "u").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def row_hash(rows: DataFrame) -> Column:
+    """A hash of all columns of a row, nulls by their place; maps count as their sorted entries."""
+    plain = [F.sort_array(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in rows.schema]
+    return F.xxhash64(F.lit(29), *[x for c in plain for x in (c.isNull(), c)])
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix in training order, with the columns of ``docs``; a document taken twice comes twice,
     each time where its source's schedule puts it.
 
     A document at the end of its source's demand, of which only a part would be taken, comes whole if
-    that part is at least half of it. Rows meet their places by doc_id and content, which moves each text once, and the sort moves
-    it into training order; of rows that are equal in both, one stands for all. Null texts have no words and don't come.
+    that part is at least half of it. Rows meet their places by hashes of their id, text and all columns, which moves each text once, and the
+    sort moves it into training order; of rows that are equal in every column, one stands for all. Null texts have no words and don't come.
     """
     text = options.get("text", "text")
     seed = options.get("seed", 17)
-    keys = ["__h", "__doc"]
+    keys = ["__h", "__row"]
     places = mix(docs, **options, with_key=True).where(F.col("taken") > 0)
     half = F.col("size") / 2
     at = F.array_compact(F.array(F.when(F.col("first_taken") >= half, F.col("position")), F.when(F.col("taken") - F.col("first_taken") >= half, F.col("again_position"))))
-    places = places.select(F.col("h").alias("__h"), F.coalesce("doc_id", F.lit(0)).alias("__doc"), F.explode(at).alias("__position"))
+    places = places.select(F.col("h").alias("__h"), F.col("row").alias("__row"), F.explode(at).alias("__position"))
     doc = F.col("doc_id").cast("long")
-    rows = docs.withColumns({"__h": F.xxhash64(F.lit(seed), doc, F.col(text)), "__doc": F.coalesce(doc, F.lit(0))})
+    rows = docs.withColumns({"__h": F.xxhash64(F.lit(seed), doc, F.col(text)), "__row": row_hash(docs)})
     equal = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys))
     if not small(equal, 0):
         equal = broadcast_if_small(equal)
         rows = rows.join(equal, keys, "left_anti").unionByName(rows.join(equal, keys, "left_semi").dropDuplicates(keys))
-    return rows.join(places, keys).orderBy("__position", "__doc").select(*docs.columns)
+    return rows.join(places, keys).orderBy("__position", doc, "__row").select(*docs.columns)

@@ -84,6 +84,32 @@ def test_mixed_documents_repeat_whole_documents(spark):
     assert max(v for k, v in times.items() if k != 3) <= 2 and sum(times.values()) > 60
 
 
+def test_rows_that_share_id_and_text_keep_their_own_columns(spark):
+    rng = random.Random(3)
+    rows = [(1, "shared words of a text", s, note) for s, note in (("a", "one"), ("b", "two"), ("b", "two"), ("b", "three"), (None, None))]
+    rows += [(i, text_of(rng, 8), "ab"[i % 2], "rest") for i in range(2, 40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, note string")
+    times = {(r.doc_id, r.source, r.note): r["count"] for r in source_mix.mixed_documents(d).groupBy("doc_id", "source", "note").count().collect()}
+    taken = source_mix.mix(d)
+    for source, copies in (("a", 1), ("b", 3), (None, 1)):
+        mine = sum(n for (i, s, _), n in times.items() if i == 1 and s == source)
+        assert mine <= 2 * copies
+        words = {r.taken for r in taken.where("doc_id = 1").collect() if r.source == source}
+        assert mine == 0 or max(words) > 0
+    assert set(times) <= {(r[0], r[2], r[3]) for r in rows} and all(n <= 2 * rows.count((1, "shared words of a text", k[1], k[2])) for k, n in times.items() if k[0] == 1)
+
+
+def test_quality_stage_leaves_extra_columns_alone(spark):
+    from ctxlens.llm.quality import MADE
+
+    rng = random.Random(8)
+    rows = [(i, text_of(rng, 40), "en", "a", 7) for i in range(20)] + [(99, "short", "en", "a", 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(f"mine {c}") for c in MADE})
+    got = corpus_pipeline.quality(spark, d, "")
+    assert got.columns == d.columns and got.schema == d.schema
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, d.where("doc_id < 99").collect()))
+
+
 def test_second_passes_follow_the_schedule(spark):
     rng = random.Random(21)
     rows = [(i, text_of(rng, 10), "abcd"[i % 4]) for i in range(1200)]

@@ -393,3 +393,35 @@ def test_records_round_trip(spark, docs, tmp_path):
     with pytest.raises(Exception, match="checksum|index"):
         record_output.read_records(spark, shards).collect()
     assert record_output.read_records(spark, record_output.write_records(docs.limit(0), P.path(JSON))).count() == 0
+
+
+def test_payloads_unpack_at_any_depth():
+    x = b"password = hunter2222"
+    for _ in range(5000):
+        x = gzip.compress(x, 1)
+    text = "data " + base64.b64encode(x).decode()
+    assert secret_scan.find(text)[1] == [("assign", 5, len(text))]
+
+
+@pytest.mark.parametrize("sign, again", [("%", "25"), ("\\", "u005c"), ("\\", "x5c"), ("&", "#38;"), ("&", "#x26;")])
+def test_escape_chains_take_time_in_proportion(sign, again):
+    """An escape sign escaped n times: few layers, and what stands after it is still found."""
+    tail = {"%": "41KIA", "\\": "u0041KIA", "&": "#65;KIA"}[sign] + "ABCDEFGHIJKLMNOP"
+    for n in (0, 3, 7, 8, 9, 40, 20_000):
+        text = sign + again * n + tail + " password = hunter22"
+        base, more, layers = secret_scan.find(text)
+        assert [s for s in more if s[0] == "access"] and layers <= 8 + 2 * max(n, 1).bit_length(), n
+        a, b = next(s[1:] for s in more if s[0] == "access")
+        assert a == 0 and b == len(text) - 20 and [s for s in base if s[0] == "assign"] == [("assign", len(text) - 19, len(text))]
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_members_longer_than_a_block_are_unpacked_whole(monkeypatch, depth):
+    monkeypatch.setattr(secret_scan, "BLOCK", 1 << 17)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 14)
+    noise = np.random.default_rng(4).integers(0, 256, 400_000).astype("u1").tobytes()
+    raw = gzip.compress(noise + b" password = hunter2222 ", 1)
+    for _ in range(depth):
+        raw = gzip.compress(b"before " * 30_000 + raw + b" after " * 30_000, 1)
+    text = "x " + base64.b64encode(raw).decode()
+    assert ("assign", 2, len(text)) in secret_scan.find(text)[1]
