@@ -170,8 +170,8 @@ def verdicts(measured: DataFrame, cuts: DataFrame, rules: Rules = Rules(), keys:
 
 def kept_rows(docs: DataFrame, rules: Rules = Rules(), text: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, every column as it was, whatever its name."""
-    apart = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(keys[0]).alias("__lang"), F.col(keys[1]).alias("__source"), F.col(text).alias("__text"))
-    return judge(apart, rules, "__text", ("__lang", "__source")).where("kept").select("__row.*")
+    apart = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("of_row"), F.col(keys[0]).alias("of_lang"), F.col(keys[1]).alias("of_source"), F.col(text).alias("of_text"))
+    return judge(apart, rules, "of_text", ("of_lang", "of_source")).where("kept").select("of_row.*")
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text", keys: tuple[str, str] = ("lang", "source"), columns: list[str] | None = None) -> DataFrame:
