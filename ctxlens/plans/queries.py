@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates, numeric, text
+from ..operators.text_index import TextIndex
+from ..operators.vector_index import VectorIndex
 from ..operators import changes, cluster, facts, identity, retrieval, scoring, segments, session as sessions, views, voice_activity
 from ..engine import Memory
 from ..session import fresh_folder, settle
 from ..sources import audio, sinks
+from ..sources.log_table import LogTable
 from ..sources.tables import Bench, event_script, inject, lookup, read_table, read_transcript, released
-from ..streaming import reducer, streams
+from ..streaming import live, reducer, streams
 from .oracle import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +118,23 @@ def upsert_latest(b):
     return sinks.upsert(rev(u, 0), incoming, ["utterance_id"], "rev", "created").drop("rev")
 
 
+@query("""SELECT utterance_id, text, rev, created FROM (SELECT utterance_id, text, rev, row_number() OVER (PARTITION BY utterance_id ORDER BY batch DESC, rev DESC) AS n, arg_min(rev, [batch, rev]) OVER (PARTITION BY utterance_id) AS created FROM (
+    SELECT utterance_id, text, 0::BIGINT AS rev, 0 AS batch FROM utterances WHERE utterance_id % 5 <> 0 UNION ALL SELECT utterance_id, text || ' (revised)', 3, 1 FROM utterances WHERE utterance_id % 3 = 0
+    UNION ALL SELECT utterance_id, text || ' (early)', 1, 2 FROM utterances WHERE utterance_id % 4 = 0)) WHERE n = 1""", "utterances")
+def upsert_stream(b):
+    """Three batches into a log table as a stream, with a compaction after the second and a restart before the third; the last batch wins."""
+    base = fresh_folder(b.spark, "upsert-stream")
+    u = b.utterances().select("utterance_id", "text")
+    mark = lambda df, note, rev: df.select("utterance_id", F.concat("text", F.lit(note)).alias("text"), F.lit(rev).cast("long").alias("rev"), F.lit(rev).cast("long").alias("created"))
+    batches = [mark(u.where("utterance_id % 5 <> 0"), "", 0), mark(u.where("utterance_id % 3 = 0"), " (revised)", 3), mark(u.where("utterance_id % 4 = 0"), " (early)", 1)]
+    for i, batch in enumerate(batches):
+        batch.coalesce(1).write.parquet(f"{base}/in/{i}")
+        if i:
+            rows = streams.replay(b.spark, f"{base}/in/*", batch.schema)
+            streams.upsert_stream(rows, f"{base}/table", ["utterance_id"], "rev", "created", f"{base}/checkpoint", compact_every=2).awaitTermination()
+    return LogTable(b.spark, f"{base}/table", batches[0].schema, ["utterance_id"], "rev", "created").read()
+
+
 @query("SELECT promise_id, CASE WHEN promise_id % 5 = 0 THEN 'cancelled' WHEN promise_id % 5 = 1 THEN 'done' ELSE status END AS status FROM promises", "promises")
 def promise_status_changes(b):
     p = b.promises()
@@ -232,6 +252,17 @@ def knn_voiceprints(b):
     return hits.select("query_id", "voiceprint_id", "rank", F.round("cosine", 9).alias("cosine"), F.round("score", 9).alias("score"))
 
 
+@query("""SELECT query_id, voiceprint_id, rank, round(cosine, 9) AS cosine FROM (SELECT c.*, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, c.voiceprint_id) AS rank FROM cos c JOIN voiceprints q ON q.voiceprint_id = c.query_id WHERE query_id % 100 <> 0 OR c.person_id = q.person_id) WHERE rank <= 3""", "cos")
+def voice_index(b):
+    """A persisted index, built from two thirds of the prints and added to; every other query asks only for prints of its own person."""
+    prints = b.voiceprints()
+    index = VectorIndex.build(prints.where("voiceprint_id % 3 <> 0"), fresh_folder(b.spark, "voice-index"), "voiceprint_id", tag="person_id")
+    index.add(prints.where("voiceprint_id % 3 = 0"), "voiceprint_id", tag="person_id")
+    asked = prints.where("voiceprint_id % 50 = 0").select(F.col("voiceprint_id").alias("query_id"), F.col("embedding").alias("query"), F.when(F.expr("voiceprint_id % 100 = 0"), F.col("person_id")).alias("only"))
+    hits = index.search(asked, 3, tag="only")
+    return hits.select(F.col("query_id").cast("long").alias("query_id"), F.col("id").cast("long").alias("voiceprint_id"), "rank", F.round("cosine", 9).alias("cosine"))
+
+
 @query("SELECT query_id, voiceprint_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, voiceprint_id) AS rank FROM cos WHERE person_id = 3) WHERE rank <= 5", "cos")
 def knn_filtered(b):
     """The person filter stands before the ranking."""
@@ -263,6 +294,20 @@ def bm25(b):
     return _lexical(b)
 
 
+@query(_BM25.lstrip(", ").join(["WITH ", """, asked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT 1 AS query_id, * FROM sc UNION ALL
+    SELECT 2, doc_id, round(ln(1 + (docs - df1 + 0.5::DOUBLE) / (df1 + 0.5::DOUBLE)) * tf1 * 2.2::DOUBLE / (tf1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)), 6) FROM c, st WHERE tf1 > 0))
+    SELECT query_id, doc_id, score, rank FROM asked WHERE rank <= 50"""]))
+def lexical_index(b):
+    """Two questions to a persisted inverted index that was built in two parts; only the buckets of their terms are read."""
+    docs = b.raw("documents")
+    index = TextIndex(b.spark, fresh_folder(b.spark, "lexical-index"), buckets=16)
+    for part in (0, 1):
+        index.add(docs.where(F.pmod("doc_id", F.lit(2)) == part), "doc_id", F.col("text"), version=part)
+    asked = b.spark.createDataFrame([(1, " ".join(_TERMS)), (2, f"{_TERMS[1]}?")], "query_id int, text string")
+    scored = index.search(asked).withColumn("score", F.round("score", 6))
+    return retrieval.ranked(scored, "doc_id", 50, group="query_id").select("query_id", "doc_id", "score", "rank")
+
+
 _LEGS = ", sem AS (SELECT voiceprint_id AS doc_id, row_number() OVER (ORDER BY cosine DESC, voiceprint_id) AS s FROM cos WHERE query_id = 0), lex AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS l FROM sc)"
 
 
@@ -597,9 +642,9 @@ def released_turns(b):
 
 
 def _turns(b):
-    """Embeddings as turns of ten conversations."""
+    """Embeddings as turns of conversations, fifty each."""
     v, i = b.voiceprints(), F.col("voiceprint_id")
-    return v.select((i % 10).alias("conversation_id"), F.concat(F.lit("turn-"), i.cast("string")).alias("label"), (i * 900).alias("start_ms"), (i * 900 + F.pmod(i * 37, F.lit(2500))).alias("end_ms"), F.when(i % 7 != 0, F.col("embedding")).alias("embedding"))
+    return v.select(F.expr("voiceprint_id DIV 50").alias("conversation_id"), F.concat(F.lit("turn-"), i.cast("string")).alias("label"), (i * 900).alias("start_ms"), (i * 900 + F.pmod(i * 37, F.lit(2500))).alias("end_ms"), F.when(i % 7 != 0, F.col("embedding")).alias("embedding"))
 
 
 @query()
@@ -626,7 +671,7 @@ def nearest_in_time(b):
 
 @query()
 def session_utterances(b):
-    """Words, spans and embeddings of ten conversations through the whole session plan."""
+    """Words, spans and embeddings of conversations through the whole session plan."""
     t = _turns(b)
     spans = t.select("conversation_id", F.col("label").alias("speaker"), "start_ms", "end_ms")
     words = t.select("conversation_id", F.regexp_extract("label", "[0-9]+", 0).cast("long").alias("utterance_id"), F.lit(0).alias("position"), F.col("label").alias("text"), (F.col("start_ms") + 10).alias("start_ms"), (F.col("start_ms") + 90).alias("end_ms"))
@@ -1012,13 +1057,45 @@ def answers(b):
     return _flat(retrieval.answers(asked, m.where("place % 2 = 1 OR id NOT IN (-1)"), said))
 
 
-@query()
-def attribute_minting(b):
-    """The stated query set as speech of four sessions, in order; new voices become people."""
-    v = b.voiceprints()
+_MINTING = """RECURSIVE , q AS (SELECT voiceprint_id AS query_id, duration_ms AS speech, voiceprint_id // 400 AS session, row_number() OVER (PARTITION BY voiceprint_id // 400 ORDER BY voiceprint_id) AS n FROM voiceprints WHERE voiceprint_id % 50 = 0),
+    known AS (SELECT query_id, list({'far': -cosine, 'minted': 0, 'rank': rank, 'person': CASE WHEN person_id IN (SELECT person_id FROM people WHERE person_id % 9 <> 4) THEN person_id::VARCHAR END} ORDER BY rank) AS known FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, voiceprint_id) AS rank FROM cos WHERE voiceprint_id % 50 <> 0) WHERE rank <= 3 GROUP BY query_id),
+    met AS (SELECT query_id, list({'m': voiceprint_id, 'c': cosine}) AS met FROM cos WHERE voiceprint_id % 50 = 0 GROUP BY query_id),
+    r AS (SELECT session, 0::BIGINT AS n, []::BIGINT[] AS minted, NULL::BIGINT AS query_id, NULL::VARCHAR AS kind, NULL::VARCHAR AS person_id FROM (SELECT DISTINCT session FROM q)
+      UNION ALL
+      SELECT session, n, CASE WHEN kind = 'new' THEN list_append(minted, query_id) ELSE minted END, query_id, kind, CASE kind WHEN 'new' THEN 'person-' || query_id WHEN 'match' THEN fits[1].person END FROM (
+        SELECT *, CASE WHEN speech < 3000 THEN 'pending' WHEN len(fits) = 0 THEN 'new' ELSE 'match' END AS kind FROM (
+          SELECT r.session, q.n, r.minted, q.query_id, q.speech, list_filter(list_sort(list_concat(k.known, list_transform(list_filter(m.met, lambda x: list_contains(r.minted, x.m)),
+            lambda x: {'far': -x.c, 'minted': 1, 'rank': list_position(r.minted, x.m)::BIGINT, 'person': 'person-' || x.m})))[1:3], lambda x: x.far <= -0.3 AND x.person IS NOT NULL) AS fits
+          FROM r JOIN q ON q.session = r.session AND q.n = r.n + 1 JOIN known k ON k.query_id = q.query_id JOIN met m ON m.query_id = q.query_id)))
+    SELECT query_id, kind, person_id FROM r WHERE query_id IS NOT NULL"""
+
+
+def _speech(b):
+    """The stated query set as speech of sessions, in order, one for each 400 prints."""
     i = F.col("voiceprint_id")
-    c = v.where("voiceprint_id % 50 = 0").select((i % 4).alias("session"), i.alias("seq"), i.alias("query_id"), F.col("embedding").alias("query"), F.col("duration_ms").alias("speech_ms"))
-    return identity.attribute_minting(c, v.where("voiceprint_id % 50 <> 0"), b.people().where("person_id % 9 <> 4"), "session", threshold=0.3)
+    return b.voiceprints().where("voiceprint_id % 50 = 0").select(F.expr("voiceprint_id DIV 400").alias("session"), i.alias("seq"), i.alias("query_id"), F.col("embedding").alias("query"), F.col("duration_ms").alias("speech_ms"))
+
+
+@query(_MINTING, "cos", "people")
+def attribute_minting(b):
+    """New voices become people that the session's later ones can match."""
+    return identity.attribute_minting(_speech(b), b.voiceprints().where("voiceprint_id % 50 <> 0"), b.people().where("person_id % 9 <> 4"), "session", threshold=0.3)
+
+
+@query(_MINTING + " AND kind <> 'pending'", "cos", "people")
+def live_attribution(b):
+    """The same by the stream: speech arrives in four parts, is met with the index, and decided on in keyed state; a restart lies between."""
+    base = fresh_folder(b.spark, "live-attribution")
+    index = VectorIndex.build(b.voiceprints().where("voiceprint_id % 50 <> 0"), f"{base}/index", "voiceprint_id", tag="person_id")
+    speech = _speech(b).select(F.col("session").alias("conversation_id"), F.col("query_id").alias("cluster_id"), "seq", F.timestamp_seconds(F.col("seq") % 400 + 86_400).alias("at"), "speech_ms", "query", F.lit(False).alias("ending"))
+    people = b.people().where("person_id % 9 <> 4")
+    for part in range(4):
+        speech.where(F.expr("seq DIV 50 % 8 DIV 2") == part).coalesce(1).write.parquet(f"{base}/in/{part}")
+        if part % 2:
+            out = live.attribute_live(streams.replay(b.spark, f"{base}/in/*", speech.schema), index, people, threshold=0.3)
+            streams.append_to(out, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return b.spark.read.parquet(f"{base}/out").select(F.col("cluster_id").cast("long").alias("query_id"), "kind", "person_id")
 
 
 # streams
@@ -1068,12 +1145,22 @@ def session(b):
     return s.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
-@query()
+_OWNERS = """RECURSIVE , ev AS (SELECT user_id::VARCHAR AS owner_id, event_id AS seq, event_type IN ('click', 'view', 'signup') AS said, (event_id % 3)::VARCHAR AS person_id, event_id * 700 AS at_ms FROM events),
+    cand AS (SELECT owner_id, seq, at_ms, person_id, (SELECT max_by(struct_pack(seq := c.seq, at_ms := c.at_ms), c.seq) FROM ev c WHERE c.said AND c.owner_id = f.owner_id AND c.person_id = f.person_id AND c.seq < f.seq) AS cue FROM ev f WHERE NOT said),
+    fit AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY seq) AS n FROM (SELECT owner_id, seq, at_ms, person_id, cue.seq AS cue FROM cand WHERE cue IS NOT NULL AND at_ms - cue.at_ms <= 30000)),
+    r AS (SELECT owner_id, 0::BIGINT AS n, -1000000000::BIGINT AS last, []::BIGINT[] AS used, NULL::BIGINT AS seq, false AS told FROM (SELECT DISTINCT owner_id FROM fit)
+      UNION ALL SELECT owner_id, n, CASE WHEN told THEN at_ms ELSE last END, CASE WHEN told THEN list_append(used, cue) ELSE used END, seq, told FROM (
+        SELECT f.owner_id, f.n, f.at_ms, f.cue, f.seq, r.last, r.used, f.at_ms - r.last >= 10000 AND NOT list_contains(r.used, f.cue) AS told FROM r JOIN fit f ON f.owner_id = r.owner_id AND f.n = r.n + 1))
+    SELECT r.owner_id, r.seq::VARCHAR AS fact_id, person_id, at_ms FROM r JOIN fit f ON f.owner_id = r.owner_id AND f.seq = r.seq WHERE told"""
+
+
+@query(_OWNERS.replace("RECURSIVE ,", "WITH RECURSIVE"))
 def live_context(b):
+    """Users are owners; each of their events is a cue or a fact about one of three people."""
     e = b.raw("events")
-    kind = F.when(F.col("event_id") % 2 == 0, "utterance").otherwise("fact")
+    said = F.col("event_type").isin("click", "view", "signup")
     rows = e.select(
-        F.lit("owner").alias("owner_id"), F.col("event_id").alias("seq"), kind.alias("type"), (F.col("user_id") % 5).cast("string").alias("person_id"), F.lit("actually, now").alias("text"), F.lit(True).alias("is_final"),
-        F.lit("move").alias("attribute"), F.col("event_id").cast("string").alias("fact_id"), F.lit("x").alias("superseded_fact_id"), (F.col("event_id") * 1500).alias("at_ms"),
+        F.col("user_id").cast("string").alias("owner_id"), F.col("event_id").alias("seq"), F.when(said, "utterance").otherwise("fact").alias("type"), (F.col("event_id") % 3).cast("string").alias("person_id"),
+        F.when(said, "actually, now").alias("text"), F.lit(True).alias("is_final"), F.lit("move").alias("attribute"), F.col("event_id").cast("string").alias("fact_id"), F.lit("x").alias("superseded_fact_id"), (F.col("event_id") * 700).alias("at_ms"),
     )
     return streams.live_context(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -139,6 +139,32 @@ def interventions(events: pd.DataFrame, state: tuple, window_ms: int = 30_000, c
     return out, (cues, seen, last)
 
 
+def announced(cued: DataFrame, key: str, window_ms: int = 30_000, cooldown_ms: int = 10_000) -> DataFrame:
+    """The batch form of ``live_context`` in two levels, over events with ``cue``.
+
+    First each fact meets the last cue of its (owner, person) before it: a running value, so a busy owner is spread over the people. What is
+    within the window is a candidate, few rows; over these an owner's cooldown is scanned in order.
+    """
+    cue = F.when((F.col("type") == "utterance") & F.coalesce("is_final", F.lit(False)) & F.col("cue"), F.struct(F.col("seq").alias("cue_seq"), F.col("at_ms").alias("cue_at")))
+    so_far = Window.partitionBy(key, "person_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    facts = cued.where("person_id IS NOT NULL").withColumn("last_cue", F.last(cue, ignorenulls=True).over(so_far))
+    facts = facts.where((F.col("type") == "fact") & F.col("superseded_fact_id").isNotNull() & F.col("attribute").isin(*ACTIONABLE))
+    near = facts.where(F.col("at_ms") - F.col("last_cue.cue_at") <= window_ms).select(F.col(key).cast("string").alias(key), "seq", "fact_id", "person_id", "at_ms", F.col("last_cue.cue_seq").alias("cue_seq"))
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, seen, last, keep = set(), set(), None, []
+        for r in pdf.sort_values("seq").itertuples():
+            told = (last is None or r.at_ms - last >= cooldown_ms) and r.cue_seq not in used and r.fact_id not in seen
+            if told:
+                used.add(r.cue_seq)
+                seen.add(r.fact_id)
+                last = r.at_ms
+                keep.append((getattr(r, key), r.fact_id, r.person_id, r.at_ms))
+        return pd.DataFrame(keep, columns=[key, "fact_id", "person_id", "at_ms"]).astype({"at_ms": "int64"})
+
+    return near.groupBy(key).applyInPandas(scan, f"{key} string, fact_id string, person_id string, at_ms long")
+
+
 def live_context(events: DataFrame, key: str = "owner_id") -> DataFrame:
     """Announcements per owner, in batch or as a stream: events with seq, type, person_id, text, is_final, attribute, fact_id, superseded_fact_id, at_ms."""
     import json
@@ -152,7 +178,7 @@ def live_context(events: DataFrame, key: str = "owner_id") -> DataFrame:
         return pd.DataFrame([(k, *f) for f in found], columns=[key, "fact_id", "person_id", "at_ms"]).astype({"at_ms": "int64"}), state
 
     if not events.isStreaming:
-        return cued.groupBy(key).applyInPandas(lambda k, pdf: rows(k[0], pdf, ({}, [], None))[0], out)
+        return announced(cued, key)
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState):
         old = json.loads(state.get[0]) if state.exists else [{}, [], None]
@@ -163,19 +189,20 @@ def live_context(events: DataFrame, key: str = "owner_id") -> DataFrame:
     return cued.groupBy(key).applyInPandasWithState(step, out, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_stream(rows: DataFrame, target: str, key: list[str], seq: str, created: str, checkpoint: str):
-    """Starts a query that folds each micro-batch into a new snapshot under ``target``; replays are harmless."""
-    from ..sources.sinks import upsert
+def upsert_stream(rows: DataFrame, target: str, key: list[str], seq: str, created: str, checkpoint: str, compact_every: int = 50):
+    """Starts a query that appends each micro-batch to the log table under ``target``; a batch that comes again changes nothing.
+
+    The log is folded into a new base every ``compact_every`` batches; between, a batch's cost follows the batch. Read it with ``LogTable.read``.
+    """
+    from ..sources.log_table import LogTable
+
+    schema = rows.schema
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.schema(batch.schema).parquet(f"{target}/v{epoch - 1}") if epoch else batch.limit(0)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.limit(0)
-        upsert(old, batch, key, seq, created).write.mode("overwrite").parquet(f"{target}/v{epoch}")
+        table = LogTable(batch.sparkSession, target, schema, key, seq, created)
+        table.append(batch, epoch)
+        if (epoch + 1) % compact_every == 0:
+            table.compact()
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -183,3 +210,8 @@ def upsert_stream(rows: DataFrame, target: str, key: list[str], seq: str, create
 def emit(rows: DataFrame, name: str, checkpoint: str, mode: str = "append"):
     """Starts a query into an in-memory table, for tests and the event sink."""
     return rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_to(rows: DataFrame, folder: str, checkpoint: str):
+    """Starts a query that appends what has come to Parquet files, each batch once."""
+    return rows.writeStream.format("parquet").option("path", folder).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,8 +2,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ctxlens.operators.vector_index import Shape, VectorIndex
 from ctxlens.schemas import EVENT
-from ctxlens.streaming import reducer, streams
+from ctxlens.sources.log_table import LogTable
+from ctxlens.streaming import live, reducer, streams
 
 
 def events(spark, *rows):
@@ -85,7 +87,9 @@ def test_upsert_stream(spark, folder):
     path, tmp = folder(d)
     q = streams.upsert_stream(streams.replay(spark, path, d.schema), f"{tmp}/out", ["id"], "seq", "created", f"{tmp}/ck")
     q.awaitTermination(60)
-    got = spark.read.parquet(f"{tmp}/out/v2")
+    table = LogTable(spark, f"{tmp}/out", d.schema, ["id"], "seq", "created")
+    assert table.last() == 2
+    got = table.read()
     assert sorted((r.id, r.text, r.created) for r in got.collect()) == [(0, "t8", 0), (1, "t9", 1), (2, "t10", 2), (3, "t11", 3)]
 
 
@@ -108,3 +112,65 @@ def test_retry_gate_ends_with_a_final_attempt(spark, folder):
     drain(q)
     got = sorted((r.cluster_id, r.attempt, r.speech_ms, r.final) for r in spark.table("retry_out").collect())
     assert got == [("a", 1, 3000, False), ("a", 2, 6500, False), ("a", 3, 9600, False), ("a", 4, 9700, True), ("b", 1, 3500, False), ("b", 2, 3600, True)]
+
+
+def speech_rows(spark, tmp, parts, prints, **options):
+    """Decisions of a live run over parts of speech; each part is a file, and a new run of the query starts with each."""
+    schema = "conversation_id string, cluster_id string, seq long, at timestamp, speech_ms long, query array<double>, ending boolean"
+    people = spark.createDataFrame([(p,) for p in ("ann", "bob")], "person_id string")
+    index = VectorIndex.build(spark.createDataFrame(prints, "voiceprint_id string, person_id string, embedding array<double>"), f"{tmp}/index", "voiceprint_id", tag="person_id", shape=Shape(block=2))
+    for i, part in enumerate(parts):
+        rows = [(c, k, seq, pd.Timestamp(at + 1000, unit="s").to_pydatetime(), ms, v, end) for c, k, seq, at, ms, v, end in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp}/in/{i}")
+        stream = streams.replay(spark, f"{tmp}/in/*", spark.createDataFrame([], schema).schema)
+        streams.append_to(live.attribute_live(stream, index, people, **options), f"{tmp}/out", f"{tmp}/ck").awaitTermination(120)
+    return [(r.conversation_id, r.cluster_id, r.attempt, r.kind, r.person_id, r.final) for r in spark.read.parquet(f"{tmp}/out").orderBy("conversation_id", "seq", "cluster_id", "attempt").collect()]
+
+
+PRINTS = [("v1", "ann", [1.0, 0.0, 0.0]), ("v2", "bob", [0.0, 1.0, 0.0]), ("v3", "gone", [0.0, 0.0, 1.0])]
+
+
+def test_live_attribution_mints_and_matches(spark, tmp_path):
+    new = [-1.0, -1.0, 0.0]
+    parts = [
+        [("c", "k0", 0, 0, 1000, [1.0, 0.0, 0.0], False), ("c", "k1", 1, 1, 3000, new, False), ("d", "k2", 0, 1, 3000, new, None)],
+        [("c", "k0", 2, 2, 3500, [1.0, 0.1, 0.0], False), ("c", "k3", 3, 3, 4000, [-1.0, -0.9, 0.0], False), ("c", "k1", 1, 3, 9000, [1.0, 0.0, 0.0], False), ("c", "k4", 4, 3, 4000, None, False)],
+        [("c", "k5", 5, 4, 4000, [0.0, 0.0, 1.0], False), ("c", "k0", 6, 5, 9000, [0.0, 1.0, 0.0], False)],
+    ]
+    got = speech_rows(spark, tmp_path, parts, PRINTS, threshold=0.6)
+    # a new voice is known to its conversation in the next run; another conversation mints its own; repeats and settled clusters are left alone;
+    # the print of a person who has gone doesn't count
+    assert got == [("c", "k1", 1, "new", "person-k1", False), ("c", "k0", 1, "match", "ann", False), ("c", "k3", 1, "match", "person-k1", False), ("c", "k5", 1, "new", "person-k5", False), ("d", "k2", 1, "new", "person-k2", False)]
+
+
+def test_live_attribution_tries_again_and_ends(spark, tmp_path):
+    both = [1.0, 0.95, 0.0]
+    parts = [
+        [("c", "k", 0, 0, 3000, both, False), ("c", "k", 1, 1, 5000, both, False), ("c", "k", 2, 2, 6000, both, False), ("e", "k", 0, 0, 3000, both, False), ("t", "k", 0, 0, 3000, both, False)],
+        [("c", "k", 3, 3, 9000, both, False), ("c", "k", 4, 4, 9100, both, False), ("e", "x", 1, 3, 100, [0.0, 0.0, 1.0], True)],
+        [("u", "k", 0, 500, 100, both, False)],  # its time makes the timer of t due
+        [("u", "k", 1, 501, 100, both, False)],
+    ]
+    got = speech_rows(spark, tmp_path, parts, PRINTS, threshold=0.6, margin=0.1, idle_ms=60_000)
+    assert [g for g in got if g[0] == "c"] == [("c", "k", 1, "ambiguous", None, False), ("c", "k", 2, "ambiguous", None, False), ("c", "k", 3, "ambiguous", None, False), ("c", "k", 4, "match", "ann", True)]
+    assert [g for g in got if g[0] == "e"] == [("e", "k", 1, "ambiguous", None, False), ("e", "k", 2, "match", "ann", True)]
+    assert [g for g in got if g[0] == "t"] == [("t", "k", 1, "ambiguous", None, False), ("t", "k", 2, "match", "ann", True)]
+    assert not [g for g in got if g[0] == "u"]
+
+
+def test_live_context_in_two_levels_equals_the_fold(spark):
+    import random
+
+    rng = random.Random(6)
+    rows, at = [], 0
+    for i in range(600):
+        at += rng.randrange(0, 6000)
+        said = rng.random() < 0.4
+        rows.append((f"o{i % 3}", i, "utterance" if said else rng.choice(["fact", "fact", "other"]), rng.choice(["p", "q", None]), rng.choice(["actually it moved", "plain talk", None]), rng.choice([True, True, False]), rng.choice(["move", "mood"]), f"f{i // 2}", rng.choice(["old", None]), at))
+    schema = "owner_id string, seq long, type string, person_id string, text string, is_final boolean, attribute string, fact_id string, superseded_fact_id string, at_ms long"
+    d = spark.createDataFrame(rows, schema)
+    got = sorted(tuple(r) for r in streams.live_context(d).collect())
+    pdf = d.withColumn("cue", F.coalesce(streams.has_change_cue(F.col("text")), F.lit(False))).toPandas().astype(object)
+    pdf = pdf.where(pdf.notna(), None)
+    want = sorted((o, *f) for o, part in pdf.groupby("owner_id") for f in streams.interventions(part, ({}, [], None))[0])
+    assert got == want and len(got) >= 4
