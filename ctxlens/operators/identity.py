@@ -140,7 +140,7 @@ def stamp(utterances: DataFrame, decisions: DataFrame) -> DataFrame:
 def enroll(voiceprints: DataFrame, people: DataFrame, prints: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
     """(voiceprints, people) with new prints; a print without a person brings one (``name``, else "Unknown"; id of the print).
 
-    A vector of another length, a missing one, or a person who doesn't exist is an error when the result is computed.
+    A vector of another length, a missing one, or a person who doesn't exist is an error when either result is computed.
     """
     known = people.select(F.col("person_id").alias("__p"))
     fits = F.coalesce(F.size("embedding") == dims, F.lit(False))
@@ -150,7 +150,7 @@ def enroll(voiceprints: DataFrame, people: DataFrame, prints: DataFrame, dims: i
     checked = checked.withColumn("embedding", F.when(fine, F.col("embedding")))
     owner = F.coalesce("person_id", F.col("voiceprint_id").cast(people.schema["person_id"].dataType))
     columns = {"person_id": owner, "name": F.coalesce("name", F.lit("Unknown"))}
-    fresh = prints.where("person_id IS NULL").select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in people.schema])
+    fresh = checked.where("person_id IS NULL AND embedding IS NOT NULL").select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in people.schema])
     return voiceprints.unionByName(checked.withColumn("person_id", owner).select(*voiceprints.columns)), people.unionByName(fresh)
 
 

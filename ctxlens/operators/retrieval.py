@@ -154,14 +154,17 @@ def search_facts(facts: DataFrame, semantic: DataFrame, lexical: DataFrame, mode
 
 
 def search_or_fall_back(facts: DataFrame, semantic: DataFrame, lexical: Callable[[], DataFrame], setting: str | None = None, limit: int = 10) -> DataFrame:
-    """``search_facts`` by the path of a setting; where the fused one can't be planned, the manual one, without a lexical leg if that fails."""
+    """``search_facts`` by the path of a setting; where the fused one fails, the manual one, without a lexical leg if that fails.
+
+    Plans are lazy, so each leg and the result (``limit`` rows) are computed here: a failure while running counts, not only one in planning.
+    """
     if search_mode(setting) == "fused":
         try:
-            return search_facts(facts, semantic, lexical(), "fused", limit)
+            return settle(search_facts(facts, semantic, lexical(), "fused", limit))
         except Exception as e:  # whatever the lexical source raises
             log.warning("fused search is unavailable, falling back: %s", e)
     try:
-        leg = lexical()
+        leg = settle(lexical())
     except Exception as e:
         log.warning("lexical search is unavailable: %s", e)
         leg = None

@@ -115,29 +115,19 @@ def revise_words(words: DataFrame) -> DataFrame:
     return tagged.unionByName(words.where(F.col("turn").isNull()).withColumn("n", newest).where("n = 1").drop("n"))
 
 
-def subtract_overlaps(segments: DataFrame) -> DataFrame:
+def subtract_overlaps(segments: DataFrame, bucket_ms: int = 10_000) -> DataFrame:
     """Segments (in the order of ``seq``) after each one has carved its span out of the earlier ones.
 
-    What remains of a segment is its span minus the union of all later ones of its conversation; a fold over the
-    later ones, by conversation, so that a conversation is the unit of memory.
+    What remains of a segment is where it is the last of those that cover a point: between neighbouring end points of the conversation the largest
+    covering seq wins, and neighbouring pieces of one segment are joined. Pieces meet segments by an equi-join on time buckets,
+    so a conversation's length is spread over tasks. Segments that end where they start leave nothing and carve nothing.
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[tuple] = []
-        for r in pdf.sort_values("seq").itertuples():
-            new = []
-            for seq, speaker, a, b in held:
-                if a >= r.end_ms or r.start_ms >= b:
-                    new.append((seq, speaker, a, b))
-                    continue
-                if a < r.start_ms:
-                    new.append((seq, speaker, a, r.start_ms))
-                if b > r.end_ms:
-                    new.append((seq, speaker, r.end_ms, b))
-            held = [*new, (r.seq, r.speaker, r.start_ms, r.end_ms)]
-        out = pd.DataFrame(held, columns=["seq", "speaker", "start_ms", "end_ms"])
-        out.insert(0, "conversation_id", pdf["conversation_id"].iloc[0])
-        return out
-
-    return segments.groupBy("conversation_id").applyInPandas(fold, "conversation_id long, seq long, speaker string, start_ms long, end_ms long")
+    real = segments.where("end_ms > start_ms").select("conversation_id", "seq", "speaker", "start_ms", "end_ms")
+    points = real.select("conversation_id", F.explode(F.array("start_ms", "end_ms")).alias("p")).distinct()
+    pieces = points.withColumn("q", F.lead("p").over(Window.partitionBy("conversation_id").orderBy("p"))).where("q IS NOT NULL").withColumn("bucket", F.floor(F.col("p") / bucket_ms))
+    spread = real.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_ms") / bucket_ms), F.floor((F.col("end_ms") - 1) / bucket_ms))))
+    met = pieces.join(spread, ["conversation_id", "bucket"]).where("p >= start_ms AND p < end_ms")
+    won = met.groupBy("conversation_id", "p", "q").agg(F.max(F.struct("seq", "speaker")).alias("s")).select("conversation_id", "p", "q", "s.*")
+    mine = Window.partitionBy("conversation_id", "seq", "speaker").orderBy("p")
+    runs = won.withColumn("new", F.coalesce((F.lag("q").over(mine) != F.col("p")).cast("long"), F.lit(0))).withColumn("run", F.sum("new").over(mine.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("conversation_id", "seq", "speaker", "run").agg(F.min("p").alias("start_ms"), F.max("q").alias("end_ms")).drop("run")

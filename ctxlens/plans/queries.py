@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from ..session import fresh_folder, settle
 from ..sources import audio, sinks
 from ..sources.log_table import LogTable
 from ..sources.tables import Bench, event_script, inject, lookup, read_table, read_transcript, released
-from ..streaming import live, reducer, streams
+from ..streaming import chains, live, reducer, streams
 from .oracle import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,14 @@ def now():
     return F.lit(NOW).cast("timestamp_ntz")
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """A sorted table with each row's place from 1 on, numbered within the sort's ranges and over their sizes, so that the order can be checked."""
+    rows = settle(df.withColumn("__id", F.monotonically_increasing_id())).withColumns({"__part": F.shiftright("__id", 33), "__i": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return rows.join(F.broadcast(sizes), "__part").withColumn("place", F.col("__before") + F.col("__i") + 1).drop("__id", "__part", "__i", "__before")
+
+
 # facts
 
 
@@ -501,7 +509,7 @@ _TRIALS = """, tr AS (SELECT a.voiceprint_id AS t, e.voiceprint_id AS e, a.perso
 def as_norm(b):
     """The stated query set against all prints."""
     p = b.voiceprints()
-    return scoring.normalized_trials(scoring.trial_pairs(p.where("voiceprint_id % 50 = 0"), p)).select("test_id", "enrolled_id", F.round("normalized", 6).alias("normalized"))
+    return scoring.normalized_in_blocks(p.where("voiceprint_id % 50 = 0"), p).select("test_id", "enrolled_id", F.round("normalized", 6).alias("normalized"))
 
 
 @query("SELECT block, round(coalesce(avg((score >= 0.5)::INT) FILTER (NOT genuine), 0), 9) AS false_accept, round(coalesce(avg((score < 0.5)::INT) FILTER (genuine), 0), 9) AS false_reject FROM trials GROUP BY block", "trials")
@@ -652,12 +660,12 @@ def online_clusters(b):
     return cluster.cluster_turns(_turns(b))
 
 
-@query("""SELECT person_id, round(list_sum(list_transform(list_zip(c, c), lambda x: x[1])), 6) AS total, speech_ms FROM (SELECT person_id, list(m ORDER BY i) AS c, max(ms)::BIGINT AS speech_ms FROM (
+@query("""SELECT person_id, round(list_sum(list_transform(range(1, len(c) + 1), lambda i: i * c[i])), 5) AS total, speech_ms FROM (SELECT person_id, list(m ORDER BY i) AS c, max(ms)::BIGINT AS speech_ms FROM (
     SELECT person_id, i, sum(x * d) / sum(d) AS m, sum(d) AS ms FROM (SELECT person_id, duration_ms AS d, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM voiceprints) GROUP BY person_id, i) GROUP BY person_id)""", "voiceprints")
 def weighted_centroids(b):
     t = b.voiceprints().select("person_id", F.lit(0).alias("start_ms"), F.col("duration_ms").alias("end_ms"), "embedding")
     c = cluster.weighted_centroids(t, "person_id")
-    return c.select("person_id", F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), "speech_ms")
+    return c.select("person_id", F.round(F.aggregate(F.transform("centroid", lambda x, i: (i + 1) * x), F.lit(0.0), lambda s, x: s + x), 5).alias("total"), "speech_ms")
 
 
 @query("""SELECT conversation_id, label, gap_ms, cluster_id FROM (SELECT t.*, p.cluster_id, greatest(0, t.start_ms - p.p1, p.p0 - t.end_ms)::BIGINT AS gap_ms, row_number() OVER (PARTITION BY t.conversation_id, t.label ORDER BY greatest(0, t.start_ms - p.p1, p.p0 - t.end_ms), p.cluster_id) AS n
@@ -702,9 +710,9 @@ def energy_vad(b):
 # views
 
 
-@query("SELECT person_id, name FROM people", "people")
+@query("SELECT person_id, name, row_number() OVER (ORDER BY name, person_id) AS place FROM people", "people")
 def people_by_name(b):
-    return views.people_by_name(b.people()).select("person_id", "name")
+    return placed(views.people_by_name(b.people()).select("person_id", "name"))
 
 
 @query("""SELECT person_id, section, row_number() OVER (PARTITION BY section ORDER BY name, person_id) AS place FROM (SELECT person_id, name, CASE WHEN trim(name) = '' OR regexp_matches(trim(name), '(?i)^(unknown|unnamed|speaker\\b)') THEN 'Waiting for a name' ELSE upper(left(trim(name), 1)) END AS section
@@ -720,9 +728,9 @@ def loops_owed(b):
     return views.loops(b.promises()).select("promise_id", "list", "place")
 
 
-@query("SELECT promise_id, due_at FROM promises WHERE status = 'open' ORDER BY due_at NULLS FIRST, created_at, promise_id", "promises")
+@query("SELECT promise_id, due_at, row_number() OVER (ORDER BY due_at NULLS FIRST, created_at, promise_id) AS place FROM promises WHERE status = 'open'", "promises")
 def promises_sorted(b):
-    return views.promises_by_due(b.promises(), "open").select("promise_id", "due_at")
+    return placed(views.promises_by_due(b.promises(), "open").select("promise_id", "due_at"))
 
 
 @query("SELECT conversation_id, count(*) AS utterances FROM utterances GROUP BY conversation_id", "utterances")
@@ -813,9 +821,9 @@ def resolve_tonight(b):
     return b.raw("events").select("event_id", dates.resolve_tonight(F.col("ts")).cast("timestamp_ntz").alias("tonight"), dates.today_iso(F.col("ts")).alias("today"))
 
 
-@query("SELECT person_id, upper(left(name, 1)) AS initials, CASE WHEN person_id % 2 = 0 THEN name ELSE 'Unknown speaker ' || person_id END AS shown, coalesce(nullif(CASE WHEN person_id % 2 = 0 THEN name ELSE '' END, ''), 'Unknown speaker ' || right(person_id::VARCHAR, 4)) AS label FROM people WHERE person_id > 0", "people")
+@query("SELECT person_id, upper(left(name, 1)) AS initials, CASE WHEN person_id % 2 = 0 THEN name ELSE 'Unknown speaker ' || person_id END AS shown, coalesce(nullif(CASE WHEN person_id % 2 = 0 THEN name ELSE '' END, ''), 'Unknown speaker ' || right(person_id::VARCHAR, 4)) AS label FROM people", "people")
 def names_and_labels(b):
-    p = b.people().where("person_id > 0")
+    p = b.people()
     blank = F.when(F.col("person_id") % 2 == 0, F.col("name")).otherwise("")
     return p.select("person_id", text.initials(F.col("name")).alias("initials"), text.display_name(blank, F.col("person_id")).alias("shown"), text.speaker_label(blank, F.col("person_id")).alias("label"))
 
@@ -839,11 +847,12 @@ def identicons(b):
     return b.people().select("person_id", text.fnv1a(F.col("name")).alias("hash"), text.identicon_hue(F.col("name")).alias("hue"), F.array_join(F.transform(text.identicon_cells(F.col("name")), lambda x: x.cast("int").cast("string")), "").alias("cells"))
 
 
-@query("SELECT vec_id, round(sqrt(list_dot_product(e, e) / len(e)), 9) AS rms, round(list_dot_product(e, e) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(e, e))), 9) AS self, len(e) // 2 AS half FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+@query("SELECT vec_id, round(sqrt(list_dot_product(e, e) / len(e)), 9) AS rms, round(list_dot_product(e, e) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(e, e))), 9) AS self, len(e) // 2 AS half, round(list_sum(list_transform(range(1, len(e) // 2 + 1), lambda i: i * e[2 * i - 1])), 6) AS resampled FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
 def sample_arithmetic(b):
     e = F.col("embedding").cast("array<double>")
-    half = F.size(numeric.resample(e, 16_000, 8_000))
-    return b.raw("embeddings").select("vec_id", F.round(numeric.rms(e), 9).alias("rms"), F.round(numeric.cosine(e, numeric.normalize(e)), 9).alias("self"), half.alias("half"))
+    lower = numeric.resample(e, 16_000, 8_000)
+    total = F.aggregate(F.transform(lower, lambda x, i: (i + 1) * x), F.lit(0.0), lambda s, x: s + x)
+    return b.raw("embeddings").select("vec_id", F.round(numeric.rms(e), 9).alias("rms"), F.round(numeric.cosine(e, numeric.normalize(e)), 9).alias("self"), F.size(lower).alias("half"), F.round(total, 6).alias("resampled"))
 
 
 @query("SELECT event_id, CASE WHEN k IS NULL THEN NULL ELSE k END AS k FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE regexp_extract(props, '\"k\": *([0-9]+)', 1)::BIGINT END AS k FROM events)")
@@ -912,29 +921,32 @@ def conversations_of_person(b):
     return views.conversations_of(talks, F.lit(7).cast("long")).select("conversation_id")
 
 
-@query("SELECT fact_id, person_id, valid_from FROM facts WHERE superseded_by IS NULL", "facts")
+@query("SELECT fact_id, person_id, valid_from, row_number() OVER (ORDER BY valid_from DESC, fact_id DESC) AS place FROM facts WHERE superseded_by IS NULL", "facts")
 def recent_facts(b):
-    return facts.recent(b.facts()).select("fact_id", "person_id", "valid_from")
+    return placed(facts.recent(b.facts()).select("fact_id", "person_id", "valid_from"))
 
 
-@query("SELECT conversation_id, min(start_ms)::BIGINT AS started_at FROM utterances GROUP BY conversation_id", "utterances")
+@query("SELECT *, row_number() OVER (ORDER BY started_at DESC, conversation_id) AS place FROM (SELECT conversation_id, max(end_ms)::BIGINT AS started_at FROM utterances GROUP BY conversation_id)", "utterances")
 def conversations_by_start(b):
-    talks = b.utterances().groupBy("conversation_id").agg(F.min("start_ms").alias("started_at"))
-    return _api(b).list_conversations(talks)
+    talks = b.utterances().groupBy("conversation_id").agg(F.max("end_ms").alias("started_at"))
+    return placed(_api(b).list_conversations(talks))
 
 
-@query("SELECT utterance_id, start_ms, text FROM utterances WHERE conversation_id = 7", "utterances")
+@query("SELECT utterance_id, start_ms, text, row_number() OVER (ORDER BY start_ms, utterance_id) AS place FROM utterances WHERE conversation_id = 7", "utterances")
 def conversation_lines(b):
-    return _api(b).list_utterances(7).select("utterance_id", "start_ms", "text")
+    return placed(_api(b).list_utterances(7).select("utterance_id", "start_ms", "text"))
 
 
 def _api(b) -> Memory:
     return Memory(b.people(), b.facts(), b.promises(), b.utterances())
 
 
-@query("SELECT person_id, name FROM people", "people")
+@query("SELECT person_id, name, row_number() OVER (ORDER BY lower(name), person_id) AS place FROM (SELECT person_id, CASE person_id % 3 WHEN 0 THEN name WHEN 1 THEN lower(name) ELSE upper(name) END AS name FROM people)", "people")
 def people_by_locale(b):
-    return views.people_by_name(b.people(), locale=True).select("person_id", "name")
+    """Names that differ in case stand together, unlike in the order of bytes."""
+    k = F.col("person_id") % 3
+    named = b.people().withColumn("name", F.when(k == 0, F.col("name")).when(k == 1, F.lower("name")).otherwise(F.upper("name")))
+    return placed(views.people_by_name(named, locale=True).select("person_id", "name"))
 
 
 @query(f""", m AS ({_MERGES}), pe AS (SELECT person_id, created_ms, CASE WHEN person_id % 4 = 1 THEN name ELSE '  ' END AS name FROM people), g AS (
@@ -1145,6 +1157,38 @@ def session(b):
     return s.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
+@query("""SELECT conversation_id, turn::BIGINT AS seq, row_number() OVER w AS number, CASE WHEN length(text) % 7 <> 0 THEN (sum(CASE WHEN length(text) % 7 <> 0 THEN length(text) ELSE 0 END) OVER w)::VARCHAR END AS result, length(text) % 7 = 0 AS failed
+    FROM utterances WINDOW w AS (PARTITION BY conversation_id ORDER BY turn)""", "utterances")
+def serial_chain(b):
+    """Every conversation's turns as a chain of work that fails on some of them, as a stream in two parts."""
+    base = fresh_folder(b.spark, "serial-chain")
+    turns = b.utterances().select("conversation_id", F.col("turn").cast("long").alias("seq"), "text")
+
+    def work(memory, said):
+        if len(said) % 7 == 0:
+            raise ValueError(said)
+        total = str(int(memory or 0) + len(said))
+        return total, total
+
+    for part, half in enumerate(("seq < 3", "seq >= 3")):
+        turns.where(half).coalesce(1).write.parquet(f"{base}/in/{part}")
+    streams.append_to(chains.chained(streams.replay(b.spark, f"{base}/in/*", turns.schema), work), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return b.spark.read.parquet(f"{base}/out").select(F.col("conversation_id").cast("long").alias("conversation_id"), "seq", "number", "result", F.col("error").isNotNull().alias("failed"))
+
+
+@query("""SELECT owner_id, min(event_id) AS first_seq, max(event_id) AS last_seq, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY owner_id ORDER BY ts, event_id) AS batch FROM (
+    SELECT user_id AS owner_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events)) GROUP BY owner_id, batch""")
+def debounced_batches(b):
+    """Each user's events in batches that a pause of six hours ends; a last event of somebody else makes the last pauses known."""
+    base = fresh_folder(b.spark, "debounced")
+    events = b.raw("events").select(F.col("user_id").alias("owner_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("at"))
+    last = events.agg((F.max("at") + F.expr("INTERVAL 2 DAYS")).alias("at")).select(F.lit(-1).cast("long").alias("owner_id"), F.lit(0).cast("long").alias("seq"), F.lit("end").alias("text"), "at")
+    for part, rows in enumerate((events, last)):
+        rows.coalesce(1).write.parquet(f"{base}/in/{part}")
+    streams.append_to(chains.debounced(streams.replay(b.spark, f"{base}/in/*", events.schema), 6 * 3_600_000), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return b.spark.read.parquet(f"{base}/out").where("owner_id <> '-1'").select(F.col("owner_id").cast("long").alias("owner_id"), "first_seq", "last_seq", "n")
+
+
 _OWNERS = """RECURSIVE , ev AS (SELECT user_id::VARCHAR AS owner_id, event_id AS seq, event_type IN ('click', 'view', 'signup') AS said, (event_id % 3)::VARCHAR AS person_id, event_id * 700 AS at_ms FROM events),
     cand AS (SELECT owner_id, seq, at_ms, person_id, (SELECT max_by(struct_pack(seq := c.seq, at_ms := c.at_ms), c.seq) FROM ev c WHERE c.said AND c.owner_id = f.owner_id AND c.person_id = f.person_id AND c.seq < f.seq) AS cue FROM ev f WHERE NOT said),
     fit AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY seq) AS n FROM (SELECT owner_id, seq, at_ms, person_id, cue.seq AS cue FROM cand WHERE cue IS NOT NULL AND at_ms - cue.at_ms <= 30000)),
