@@ -533,9 +533,16 @@ def calibrated_probability(b):
     return b.trials().select("trial_id", F.round(numeric.calibrated(F.col("score"), 3.5, -1.25), 9).alias("probability"))
 
 
-@query()
+@query("""RECURSIVE , c AS (SELECT score AS x, genuine::INT AS y, count(*)::DOUBLE AS n FROM trials GROUP BY ALL), t AS (SELECT sum(n) AS total, sum(x * n) / sum(n) AS mean FROM c),
+    p AS (SELECT any_value(total) AS total, any_value(mean) AS mean, sqrt(sum(n * (x - mean) * (x - mean)) / any_value(total)) AS spread FROM c, t),
+    l AS (SELECT list({'z': (x - mean) / spread, 'y': y, 'n': n} ORDER BY x, y) AS items FROM c, p),
+    r AS (SELECT 0 AS i, 0::DOUBLE AS slope, 0::DOUBLE AS intercept UNION ALL
+      SELECT i + 1, slope + 0.1::DOUBLE * list_sum(list_transform(items, lambda e: e.n * (e.y - 1 / (1 + exp(-(slope * e.z + intercept)))) * e.z)) / total, intercept + 0.1::DOUBLE * list_sum(list_transform(items, lambda e: e.n * (e.y - 1 / (1 + exp(-(slope * e.z + intercept)))))) / total
+      FROM r, l, p WHERE i < 2000)
+    SELECT round(slope / spread, 6) AS slope, round(intercept - slope * mean / spread, 6) AS intercept FROM r, p WHERE i = 2000""", "trials")
 def calibration_fit(b):
-    return b.spark.createDataFrame([scoring.fit_calibration(b.trials())], "slope double, intercept double")
+    slope, intercept = scoring.fit_calibration(b.trials())
+    return b.spark.createDataFrame([(round(slope, 6), round(intercept, 6))], "slope double, intercept double")
 
 
 @query("""SELECT bucket, n, r AS "right", floor(r * 100 / n + 0.5)::BIGINT AS percent FROM (SELECT coalesce(bucket, 'all') AS bucket, count(*) AS n, count(*) FILTER (ok) AS r FROM (
@@ -700,10 +707,19 @@ def partial_turns(b):
     return sessions.partial_turns(b.raw("events").select((F.floor(i / 400)).alias("conversation_id"), i.alias("seq"), kind.alias("type"), F.floor(i / 4).cast("string").alias("item_id"), (i * 250).alias("at_ms"), F.col("event_type").alias("text")))
 
 
-@query()
+@query("""RECURSIVE , w AS (SELECT event_id // 1600 AS stream_id, event_id % 1600 AS n, (event_id % 1600) * 20 AS a, (event_id % 1600) * 20 + 20 AS b, event_id // 100 % 16 IN (2, 5) OR value / 100 < 0.01 AS silent FROM events),
+    r AS (SELECT stream_id, -1::BIGINT AS n, false AS was, 0::BIGINT AS st, 0::BIGINT AS en, 0::BIGINT AS speech, 0::BIGINT AS quiet, false AS over FROM (SELECT DISTINCT stream_id FROM w)
+      UNION ALL SELECT stream_id, n, is_open AND NOT over, st, en, speech, quiet, over FROM (
+        SELECT *, is_open AND ((quiet >= 250 AND speech >= 1000) OR b - st >= 15000) AS over FROM (
+          SELECT stream_id, n, b, is_open, st, CASE WHEN is_open AND NOT silent THEN b ELSE en END AS en, CASE WHEN is_open AND NOT silent THEN speech + 20 ELSE speech END AS speech, CASE WHEN NOT is_open THEN quiet WHEN silent THEN quiet + 20 ELSE 0 END AS quiet FROM (
+            SELECT w.*, r.was OR NOT silent AS is_open, CASE WHEN r.was THEN r.st ELSE w.a END AS st, CASE WHEN r.was THEN r.en ELSE 0 END AS en, CASE WHEN r.was THEN r.speech ELSE 0 END AS speech, CASE WHEN r.was THEN r.quiet ELSE 0 END AS quiet
+            FROM r JOIN w ON w.stream_id = r.stream_id AND w.n = r.n + 1)))),
+    done AS (SELECT stream_id, st, en FROM (SELECT *, n = max(n) OVER (PARTITION BY stream_id) AS last FROM r) WHERE (over OR (last AND was)) AND speech >= 400)
+    SELECT stream_id, 'turn-' || (row_number() OVER (PARTITION BY stream_id ORDER BY st) - 1) AS turn, st AS start_ms, en AS end_ms FROM done""".replace("RECURSIVE ,", "WITH RECURSIVE"))
 def energy_vad(b):
-    i = F.col("event_id")
-    w = b.raw("events").select((i % 16).alias("stream_id"), F.expr("event_id DIV 16 * 20D").alias("start_ms"), F.expr("event_id DIV 16 * 20D + 20D").alias("end_ms"), F.when(F.expr("event_id DIV 1600 % 3") == 2, 0.0).otherwise(F.col("value") / 100).alias("rms"))
+    """Streams of 1600 windows; some stretches are silent, others longer than a turn may be."""
+    at = "event_id % 1600 * 20D"
+    w = b.raw("events").select(F.expr("event_id DIV 1600").alias("stream_id"), F.expr(at).alias("start_ms"), F.expr(f"{at} + 20D").alias("end_ms"), F.when(F.expr("event_id DIV 100 % 16 IN (2, 5)"), 0.0).otherwise(F.col("value") / 100).alias("rms"))
     return voice_activity.voice_turns(w)
 
 
@@ -1114,9 +1130,9 @@ def live_attribution(b):
 
 
 @query("""SELECT conversation_id, (pos // 100)::BIGINT AS frame, 100::BIGINT AS n, round(sum(x), 4) AS total FROM (SELECT conversation_id, x, row_number() OVER (PARTITION BY conversation_id ORDER BY vec_id, i) - 1 AS pos FROM (
-    SELECT vec_id % 5 AS conversation_id, vec_id, unnest(e) AS x, unnest(range(len(e))) AS i FROM (SELECT vec_id, embedding[1:vec_id % 64 + 1]::DOUBLE[] AS e FROM embeddings))) GROUP BY ALL HAVING count(*) = 100""")
+    SELECT vec_id // 50 AS conversation_id, vec_id, unnest(e) AS x, unnest(range(len(e))) AS i FROM (SELECT vec_id, embedding[1:vec_id % 64 + 1]::DOUBLE[] AS e FROM embeddings))) GROUP BY ALL HAVING count(*) = 100""")
 def frame_packetizer(b):
-    chunks = b.raw("embeddings").select((F.col("vec_id") % 5).alias("conversation_id"), F.col("vec_id").alias("seq"), F.slice("embedding", 1, (F.col("vec_id") % 64 + 1).cast("int")).alias("samples"))
+    chunks = b.raw("embeddings").select(F.expr("vec_id DIV 50").alias("conversation_id"), F.col("vec_id").alias("seq"), F.slice("embedding", 1, (F.col("vec_id") % 64 + 1).cast("int")).alias("samples"))
     out = audio.packetize(chunks, size=100)
     total = F.aggregate(F.col("samples").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
     return out.select("conversation_id", "frame", F.size("samples").alias("n"), F.round(total, 4).alias("total"))
@@ -1189,6 +1205,104 @@ def debounced_batches(b):
     return b.spark.read.parquet(f"{base}/out").where("owner_id <> '-1'").select(F.col("owner_id").cast("long").alias("owner_id"), "first_seq", "last_seq", "n")
 
 
+@query("""SELECT vec_id, 16000::BIGINT AS sample_rate, len(c)::BIGINT AS n, list_sum(list_transform(range(1, len(c) + 1), lambda i: i * c[i]))::BIGINT AS codes FROM (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(CASE WHEN greatest(-1, least(1, 9 * x::DOUBLE)) < 0 THEN greatest(-1, 9 * x::DOUBLE) * 32768 ELSE least(1, 9 * x::DOUBLE) * 32767 END + 0.5)::BIGINT) AS c FROM embeddings)""")
+def wav_round_trip(b):
+    """Clips, some of them too loud, written as WAV bytes and parsed again; the codes by their places."""
+    clips = b.raw("embeddings").select("vec_id", F.transform("embedding", lambda x: 9 * x.cast("double")).alias("samples"))
+
+    def parse(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            got = [audio.parse_wav(w) for w in batch.column(1).to_pylist()]
+            cols = [[rate for rate, _ in got], [len(x) for _, x in got], [int((x.astype("f8") * 32768).astype("i8") @ range(1, len(x) + 1)) for _, x in got]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in cols]], ["vec_id", "sample_rate", "n", "codes"])
+
+    return audio.wav_files(clips).select("vec_id", "wav").mapInArrow(parse, "vec_id long, sample_rate long, n long, codes long")
+
+
+@query("""SELECT conversation_id, count(*) AS frames, count(*) FILTER (bad) AS bad_sizes, round(count(*) / 10.0, 3)::DOUBLE AS audio_seconds, round(max(peak), 6) AS peak, round(sqrt(sum(energy) / sum(n)), 6) AS rms,
+    CASE WHEN count(*) FILTER (bad) > 0 THEN 'bad frame sizes' WHEN max(peak) > 0.0005 THEN 'ok' ELSE 'silent' END AS verdict FROM (
+    SELECT vec_id // 50 AS conversation_id, vec_id % 199 = 7 AS bad, CASE WHEN vec_id // 50 % 3 = 2 THEN 0 ELSE list_max(list_transform(e, lambda x: abs(x))) END AS peak,
+      k * CASE WHEN vec_id // 50 % 3 = 2 THEN 0 ELSE list_sum(list_transform(e, lambda x: x * x)) END AS energy, k * len(e) AS n FROM (SELECT vec_id, embedding::DOUBLE[] AS e, CASE WHEN vec_id % 199 = 7 THEN 24 ELSE 25 END AS k FROM embeddings)) GROUP BY conversation_id""")
+def uplink_report(b):
+    """Messages of 64 samples, repeated to a frame; some are a piece short, a third of the conversations is silent."""
+    quiet, short = F.expr("vec_id DIV 50 % 3 = 2"), F.col("vec_id") % 199 == 7
+
+    def packed(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            raw = [np.tile(np.array(x, "<f4"), k).tobytes() for x, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["conversation_id", "raw"])
+
+    said = b.raw("embeddings").select(F.expr("vec_id DIV 50").alias("conversation_id"), F.when(quiet, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")).alias("x"), F.when(short, 24).otherwise(25).alias("k"))
+    r = audio.uplink_report(said.mapInArrow(packed, "conversation_id long, raw binary"))
+    return r.select("conversation_id", "frames", "bad_sizes", F.round("audio_seconds", 3).alias("audio_seconds"), F.round("peak", 6).alias("peak"), F.round("rms", 6).alias("rms"), "verdict")
+
+
+@query("""SELECT 'print' AS kind, voiceprint_id::VARCHAR AS id, CASE WHEN voiceprint_id % 20 = 0 THEN 100000 + voiceprint_id ELSE person_id END AS person_id, NULL AS name FROM voiceprints WHERE voiceprint_id % 5 <> 1
+    UNION ALL SELECT 'person', person_id::VARCHAR, person_id, name FROM people UNION ALL SELECT 'person', (100000 + voiceprint_id)::VARCHAR, 100000 + voiceprint_id, CASE WHEN voiceprint_id % 40 = 0 THEN 'Guest ' || voiceprint_id ELSE 'Unknown' END FROM voiceprints WHERE voiceprint_id % 20 = 0""", "voiceprints", "people")
+def enroll_voices(b):
+    """A fifth of the prints is enrolled, a quarter of these without a person, which makes one."""
+    v = b.voiceprints().select("voiceprint_id", "person_id", "embedding")
+    fresh = v.where("voiceprint_id % 5 = 0").withColumn("name", F.when(F.col("voiceprint_id") % 40 == 0, F.concat(F.lit("Guest "), F.col("voiceprint_id").cast("string"))))
+    fresh = fresh.withColumns({"person_id": F.when(F.col("voiceprint_id") % 20 != 0, F.col("person_id")), "voiceprint_id": F.when(F.col("voiceprint_id") % 20 == 0, F.col("voiceprint_id") + 100_000).otherwise(F.col("voiceprint_id"))})
+    prints, people = identity.enroll(v.where("voiceprint_id % 5 > 1"), b.people(), fresh, 64)
+    real = F.when(F.col("voiceprint_id") >= 100_000, F.col("voiceprint_id") - 100_000).otherwise(F.col("voiceprint_id"))
+    return prints.select(F.lit("print").alias("kind"), real.cast("string").alias("id"), "person_id", F.lit(None).cast("string").alias("name")).unionByName(people.select(F.lit("person").alias("kind"), F.col("person_id").cast("string").alias("id"), "person_id", "name"))
+
+
+@query(_BM25 + _LEGS + " " + _FUSED.format(sem="SELECT doc_id, row_number() OVER (ORDER BY s) AS s FROM (SELECT * FROM sem WHERE s <= 10) WHERE doc_id % 3 <> 0 AND doc_id IN (SELECT doc_id FROM documents)", lex="SELECT NULL::BIGINT AS doc_id, NULL::BIGINT AS l WHERE false", where=""), "cos")
+def rrf_fallback(b):
+    """The lexical leg plans, and fails when it runs: what is left is the semantic leg of the manual path."""
+    alive, sem, lex = _legs(b)
+    failing = lex.withColumn("score", F.when(F.col("score") > -1, F.raise_error("index is gone").cast("double")))
+    return retrieval.search_or_fall_back(alive, sem, lambda: failing).select("fact_id", F.round("score", 9).alias("score"))
+
+
+@query("SELECT conversation_id, seq, speaker FROM (SELECT conversation_id, turn::BIGINT AS seq, speaker, lag(speaker) OVER (PARTITION BY conversation_id ORDER BY turn) AS before FROM utterances) WHERE before IS DISTINCT FROM speaker", "utterances")
+def changed_drafts(b):
+    """What differs from the last emission of its key, as a stream in two parts."""
+    base = fresh_folder(b.spark, "changed")
+    rows = b.utterances().select("conversation_id", F.col("turn").cast("long").alias("seq"), "speaker")
+    for part, half in enumerate(("seq < 2", "seq >= 2")):
+        rows.where(half).coalesce(1).write.parquet(f"{base}/in/{part}")
+    streams.append_to(streams.changed_only(streams.replay(b.spark, f"{base}/in/*", rows.schema), "conversation_id", "speaker"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return b.spark.read.parquet(f"{base}/out")
+
+
+@query("SELECT DISTINCT conversation_id, speaker AS cluster_id FROM utterances", "utterances")
+def pending_once(b):
+    """Announcements of speakers, each once over two parts of a stream."""
+    base = fresh_folder(b.spark, "pending")
+    rows = b.utterances().select("conversation_id", F.col("speaker").alias("cluster_id"), F.col("turn").cast("long").alias("seq"))
+    for part, half in enumerate(("seq < 2", "seq >= 2")):
+        rows.where(half).coalesce(1).write.parquet(f"{base}/in/{part}")
+    streams.append_to(streams.announce_once(streams.replay(b.spark, f"{base}/in/*", rows.schema)), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return b.spark.read.parquet(f"{base}/out").select("conversation_id", "cluster_id")
+
+
+@query("""RECURSIVE , sp AS (SELECT conversation_id::VARCHAR || ':' || speaker AS cluster_id, turn::BIGINT AS seq, (sum(end_ms - start_ms) OVER (PARTITION BY conversation_id, speaker ORDER BY turn))::BIGINT AS speech_ms, turn = max(turn) OVER (PARTITION BY conversation_id, speaker) AS ending, row_number() OVER (PARTITION BY conversation_id, speaker ORDER BY turn) AS n FROM utterances),
+    r AS (SELECT cluster_id, 0::BIGINT AS n, 0::BIGINT AS done, 0::BIGINT AS upto, false AS over, false AS tried, false AS final FROM (SELECT DISTINCT cluster_id FROM sp)
+      UNION ALL SELECT cluster_id, n, CASE WHEN tried THEN done + 1 ELSE done END, CASE WHEN tried THEN speech_ms ELSE upto END, over OR (tried AND fin), tried, fin FROM (
+        SELECT r.cluster_id, sp.n, r.done, r.upto, r.over, sp.speech_ms, sp.ending OR r.done >= 3 AS fin, NOT r.over AND sp.speech_ms >= 3000 AND (sp.ending OR r.done >= 3 OR sp.speech_ms - r.upto >= 3000) AS tried
+        FROM r JOIN sp ON sp.cluster_id = r.cluster_id AND sp.n = r.n + 1))
+    SELECT cluster_id, done AS attempt, upto AS speech_ms, final FROM r WHERE tried""", "utterances")
+def retry_attempts(b):
+    """When voices that stay ambiguous are tried, by the speech so far, as a stream in two parts."""
+    base = fresh_folder(b.spark, "retries")
+    w = Window.partitionBy("conversation_id", "speaker")
+    spoken = F.sum(F.col("end_ms") - F.col("start_ms")).over(w.orderBy("turn")).cast("long")
+    rows = b.utterances().select(F.concat_ws(":", "conversation_id", "speaker").alias("cluster_id"), F.col("turn").cast("long").alias("seq"), spoken.alias("speech_ms"), (F.col("turn") == F.max("turn").over(w)).alias("ending"))
+    for part, half in enumerate(("seq < 3", "seq >= 3")):
+        rows.where(half).coalesce(1).write.parquet(f"{base}/in/{part}")
+    streams.append_to(streams.retry_gate(streams.replay(b.spark, f"{base}/in/*", rows.schema)), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return b.spark.read.parquet(f"{base}/out")
+
+
 _OWNERS = """RECURSIVE , ev AS (SELECT user_id::VARCHAR AS owner_id, event_id AS seq, event_type IN ('click', 'view', 'signup') AS said, (event_id % 3)::VARCHAR AS person_id, event_id * 700 AS at_ms FROM events),
     cand AS (SELECT owner_id, seq, at_ms, person_id, (SELECT max_by(struct_pack(seq := c.seq, at_ms := c.at_ms), c.seq) FROM ev c WHERE c.said AND c.owner_id = f.owner_id AND c.person_id = f.person_id AND c.seq < f.seq) AS cue FROM ev f WHERE NOT said),
     fit AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY seq) AS n FROM (SELECT owner_id, seq, at_ms, person_id, cue.seq AS cue FROM cand WHERE cue IS NOT NULL AND at_ms - cue.at_ms <= 30000)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,6 @@ def read_wavs(spark: SparkSession, path: str) -> DataFrame:
 
 def wav_files(clips: DataFrame) -> DataFrame:
     """Adds ``wav``: the WAV encoding of ``samples``."""
-    import pandas as pd
 
     @F.pandas_udf("binary")
     def f(s: pd.Series) -> pd.Series:

@@ -200,3 +200,27 @@ def test_log_table_writes_follow_the_batch(spark, tmp_path):
     t.append(rows(spark, (5, "new", 2, 2)), 1)
     size = lambda b: sum(os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(f"{tmp_path}/log/batch={b}") for f in fs)
     assert size(1) * 50 < size(0) and t.read().count() == 20_000
+
+
+def test_catalog_keeps_a_store_to_its_declaration(spark, tmp_path):
+    from ctxlens.schemas import TABLES
+    from ctxlens.sources import catalog
+
+    base, built = f"{tmp_path}/store", []
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
+
+    def words(spark, folder):
+        built.append(folder)
+        TextIndex(spark, folder, buckets=4).add(docs, "id", F.col("text"))
+
+    one, two, three = (catalog.SearchIndex("facts", n, words) for n in ("claims", "values", "notes"))
+    first = catalog.apply(spark, base, [one, two], allowance=2)
+    assert len(first) == len(TABLES) + 2 and first[-2:] == ["created search index facts.claims", "created search index facts.values"]
+    assert catalog.apply(spark, base, [one, two], allowance=2) == [] and len(built) == 2
+    with pytest.raises(catalog.OverAllowance):
+        catalog.apply(spark, base, [one, three], allowance=2)  # the undeclared one takes up a place
+    assert [r.name for r in catalog.survey(spark, base).collect()] == ["claims", "values"] and len(built) == 2
+    assert catalog.apply(spark, base, [one, three], allowance=2, prune=True) == ["dropped search index facts.values", "created search index facts.notes"]
+    held = {r.name: r.folder for r in catalog.survey(spark, base).collect()}
+    assert set(held) == {"claims", "notes"}
+    assert TextIndex(spark, held["notes"], buckets=4).search(spark.createDataFrame([(1, "move")], "query_id int, text string")).count() == 3
