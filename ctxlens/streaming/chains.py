@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import keyed_states
+
 CHAIN = "conversation_id string, seq long, number long, result string, error string"
 
 
@@ -47,6 +49,7 @@ class Chain(StatefulProcessor):
 def chained(turns: DataFrame, work: Callable) -> DataFrame:
     """CHAIN of a stream of turns (conversation_id, seq, text): each row's result, or its error (``error`` not null: the dead letters)."""
     rows = turns.where("conversation_id IS NOT NULL AND seq IS NOT NULL").select(F.col("conversation_id").cast("string").alias("conversation_id"), F.col("seq").cast("long").alias("seq"), F.col("text").cast("string").alias("text"))
+    keyed_states(rows.sparkSession)
     return rows.groupBy("conversation_id").transformWithStateInPandas(Chain(work), CHAIN, "append", "None")
 
 
@@ -106,4 +109,5 @@ def debounced(events: DataFrame, pause_ms: int = 200, late: str = "0 seconds") -
     """
     rows = events.where("owner_id IS NOT NULL AND seq IS NOT NULL").select(F.col("owner_id").cast("string").alias("owner_id"), F.col("seq").cast("long").alias("seq"), F.col("text").cast("string").alias("text"), "at").withWatermark("at", late)
     out = "owner_id string, first_seq long, last_seq long, n long, texts array<string>, at_ms long"
+    keyed_states(rows.sparkSession)
     return rows.groupBy("owner_id").transformWithStateInPandas(Debounce(pause_ms), out, "append", "EventTime")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import keyed_states
 from ..sources.audio import FRAME_SAMPLES, SAMPLE_RATE
 
 OUT = "connection_id string, seq long, kind string, conversation_id string, position_ms long, raw binary, code int, reason string"
@@ -72,4 +73,5 @@ def _hello(text: str) -> tuple[str | None, str | None]:
 def connections(messages: DataFrame) -> DataFrame:
     """OUT of a stream of messages (connection_id, seq, text, raw): text messages have ``text``, binary ones ``raw``. Rows without an id or seq are left out."""
     m = messages.where("connection_id IS NOT NULL AND seq IS NOT NULL").select(F.col("connection_id").cast("string").alias("connection_id"), F.col("seq").cast("long").alias("seq"), F.col("text").cast("string").alias("text"), F.col("raw").cast("binary").alias("raw"))
+    keyed_states(m.sparkSession)
     return m.groupBy("connection_id").transformWithStateInPandas(Connection(), OUT, "append", "None")

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.vector_index import VectorIndex, usable
 from ..schemas import ATTRIBUTION_THRESHOLD, EMBED_MIN_MS
+from ..session import keyed_states
 
 OUT = "conversation_id string, cluster_id string, seq long, attempt long, kind string, person_id string, voiceprint_id string, score double, final boolean"
 
@@ -136,4 +137,5 @@ def attribute_live(speech: DataFrame, index: VectorIndex, people: DataFrame, lat
     none = lambda kind: F.lit(None).cast(kind)
     hits = found.select("e.*", none("long").alias("speech_ms"), none("array<double>").alias("query"), none("boolean").alias("ending"), F.col("id").alias("voiceprint_id"), "person_id", "cosine")
     both = events.select(*about, none("string").alias("voiceprint_id"), none("string").alias("person_id"), none("double").alias("cosine")).unionByName(hits).withWatermark("at", late)
+    keyed_states(both.sparkSession)
     return both.groupBy("conversation_id").transformWithStateInPandas(Attribution(threshold, margin, floor_ms, tries, idle_ms), OUT, "append", "EventTime")

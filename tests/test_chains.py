@@ -74,3 +74,15 @@ def test_a_subscriber_that_comes_back_gets_each_event_once(spark, tmp_path):
     assert log.after(*place).count() == 0 and log.after().count() == 4
     beats = [r.line.startswith(": heartbeat") for r in with_heartbeats(log.after(), at(0), at(50)).collect()]
     assert beats == [False, False, True, True, False, False, True]
+
+
+def test_keyed_states_in_a_session_with_the_default_store(spark, tmp_path):
+    plain = spark.newSession()
+    name = "spark.sql.streaming.stateStore.providerClass"
+    plain.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    own = lambda tmp, schema, parts, make: run(plain, f"{tmp_path}/{tmp}", parts, schema, make)
+    assert [r.result for r in own("chain", "conversation_id string, seq long, text string", [[("a", 0, "x")]], lambda s: chains.chained(s, lambda m, t: (t, t)))] == ["x"]
+    assert plain.conf.get(name).endswith("RocksDBStateStoreProvider")
+    plain.conf.set(name, "some.other.Provider")  # a store that was chosen stays
+    chains.keyed_states(plain)
+    assert plain.conf.get(name) == "some.other.Provider"
