@@ -381,3 +381,10 @@ def test_search_falls_back(spark):
     assert ids(retrieval.search_or_fall_back(f, sem, broken, None, 4)) == ids(retrieval.search_facts(f, sem, None, "manual", 4)) == [1, 3]
     assert ids(retrieval.search_or_fall_back(f, sem, lambda: lex, None, 4)) == ids(retrieval.search_facts(f, sem, lex, "fused", 4))
     assert ids(retrieval.search_or_fall_back(f, sem, lambda: lex, "1", 4)) == ids(retrieval.search_facts(f, sem, lex, "manual", 4))
+
+
+def test_answers_cite_by_kind_and_id(spark):
+    results = spark.createDataFrame([(1, "fact", 7, 1), (1, "promise", 7, 2), (1, "utterance", 8, 3)], "query_id long, kind string, id long, place int")
+    wording = spark.createDataFrame([(1, "said", ["fact:7", "utterance:8", "fact:9"])], "query_id long, text string, used array<string>")
+    got = {r.query_id: (r.text, r.citations) for r in retrieval.answers(spark.range(1, 3).toDF("query_id"), results, wording).collect()}
+    assert got == {1: ("said", ["fact:7", "utterance:8"]), 2: (retrieval.NO_EVIDENCE, [])}
