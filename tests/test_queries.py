@@ -43,3 +43,17 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["enroll_voices"])
+def test_query_with_large_ids(spark, con, tmp_path, name):
+    """Ids beyond a hundred thousand, as a gigabyte has them."""
+    for f in os.listdir(SF):
+        con.execute(f"copy (select *{' replace (vec_id + 99960 as vec_id)' if f == 'embeddings.parquet' else ''} from '{SF}/{f}') to '{tmp_path}/{f}'")
+    own = duckdb.connect()
+    for f in os.listdir(SF):
+        own.execute(f"create view {f.removesuffix('.parquet')} as select * from '{tmp_path}/{f}'")
+    df = QUERIES[name](spark, str(tmp_path))
+    cur = own.execute(ORACLE[name])
+    cols = [c[0] for c in cur.description]
+    assert sorted(str([r[c] for c in cols]) for r in df.collect()) == sorted(str(list(r)) for r in cur.fetchall())
