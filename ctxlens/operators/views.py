@@ -6,11 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import display_name, is_noise, is_unnamed
+from ..session import settle
 from .facts import live
 
 WAITING = "Waiting for a name"
 
 
+def numbered(df: DataFrame, group: str, *order: Column | str) -> DataFrame:
+    """Rows sorted by group and a total order, with their place in the group from 1 on: numbered within the sort's ranges and over their sizes, so a
+    group of any size is many tasks'. ``group`` isn't null.
+    """
+    rows = settle(df.orderBy(group, *order).withColumn("__id", F.monotonically_increasing_id())).withColumns({"__part": F.shiftright("__id", 33), "__i": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("__part", group).agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("__first"))  # a row for each range and group in it
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(sizes.withColumn("__before", before).drop("n")), ["__part", group]).withColumn("place", F.col("__before") + F.col("__i") - F.col("__first") + 1).drop("__id", "__part", "__i", "__first", "__before")
+
+
 def people_by_name(people: DataFrame, locale: bool = False) -> DataFrame:
     """By name in byte order; with ``locale`` in the order of the Unicode collation."""
     return people.orderBy(F.collate("name", "UNICODE") if locale else F.col("name"), "person_id")
@@ -35,14 +46,13 @@ def people_sections(people: DataFrame) -> DataFrame:
     unnamed = is_unnamed(F.col("name"))
     section = F.when(unnamed, WAITING).otherwise(F.upper(F.left(F.trim("name"), F.lit(1))))
     df = people.withColumn("section", section).withColumn("first", ~unnamed)
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("section").orderBy("name", "person_id"))).orderBy("first", "section", "place").drop("first")
+    return numbered(df, "section", "name", "person_id").orderBy("first", "section", "place").drop("first")
 
 
 def loops(promises: DataFrame, owner: int = 0) -> DataFrame:
     """list (owed, owing, closed) and place by due date, undated last."""
     kind = F.when(F.col("status") != "open", "closed").when(F.col("person_id") == owner, "owing").otherwise("owed")
-    w = Window.partitionBy("list").orderBy(F.col("due_at").asc_nulls_last(), "promise_id")
-    return promises.withColumn("list", kind).withColumn("place", F.row_number().over(w))
+    return numbered(promises.withColumn("list", kind), "list", F.col("due_at").asc_nulls_last(), "promise_id")
 
 
 def promises_by_due(promises: DataFrame, status: str | None = None, person: int | None = None) -> DataFrame:
