@@ -42,7 +42,7 @@ def cascade_delete(conversation: Column, utterances: DataFrame, facts: DataFrame
     Returns the tables that remain and one row of counts. A predecessor whose successor goes stays
     superseded, unless ``repair`` makes it current again.
     """
-    gone = utterances.where(F.col("conversation_id") == conversation).select(F.col("utterance_id").alias("__u"))
+    gone = F.broadcast(utterances.where(F.col("conversation_id") == conversation).select(F.col("utterance_id").alias("__u")))  # those of one conversation
     keep = {
         "utterances": utterances.where(~F.coalesce(F.col("conversation_id") == conversation, F.lit(False))),
         "facts": facts.join(gone, facts["source_utterance_id"] == F.col("__u"), "left_anti"),

@@ -388,3 +388,26 @@ def test_answers_cite_by_kind_and_id(spark):
     wording = spark.createDataFrame([(1, "said", ["fact:7", "utterance:8", "fact:9"])], "query_id long, text string, used array<string>")
     got = {r.query_id: (r.text, r.citations) for r in retrieval.answers(spark.range(1, 3).toDF("query_id"), results, wording).collect()}
     assert got == {1: ("said", ["fact:7", "utterance:8"]), 2: (retrieval.NO_EVIDENCE, [])}
+
+
+def test_loops_are_numbered_by_many_tasks(spark):
+    rows = [(i, i % 3, ("open", "done")[i % 4 == 0], None if i % 5 == 0 else i * 7 % 11) for i in range(300)]
+    df = views.loops(spark.createDataFrame(rows, "promise_id long, person_id long, status string, due_at int").repartition(7))
+    assert "row_number" not in df._jdf.queryExecution().optimizedPlan().toString()
+    kind = lambda r: "closed" if r[2] != "open" else "owing" if r[1] == 0 else "owed"
+    want = {}
+    for name in ("closed", "owing", "owed"):
+        mine = sorted((r for r in rows if kind(r) == name), key=lambda r: (r[3] is None, r[3] or 0, r[0]))
+        want |= {r[0]: (name, i + 1) for i, r in enumerate(mine)}
+    assert {r.promise_id: (r.list, r.place) for r in df.collect()} == want
+
+
+def test_a_deleted_conversation_goes_to_the_tables(spark):
+    u = spark.createDataFrame([(1, 7), (2, 8)], "utterance_id long, conversation_id long").repartition(3)
+    t = spark.createDataFrame([(1, 1), (2, 2), (3, 1)], "id long, source_utterance_id long").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keep, counts = sinks.cascade_delete(F.lit(7), u, t, t)
+        assert counts.first()[:] == (1, 2, 2) and "SortMergeJoin" not in counts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
