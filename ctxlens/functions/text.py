@@ -169,9 +169,9 @@ def identicon_hue(seed: Column) -> Column:
 def identicon_cells(seed: Column) -> Column:
     """25 booleans, five rows of five, mirrored; bits are read with a signed shift."""
     h = fnv1a(F.when(seed == "", "unknown").otherwise(seed))
-    signed = F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
-    cell = lambda i: F.call_function("shiftright", signed, F.lit((i // 5 * 3 + min(i % 5, 4 - i % 5)) % 29)).bitwiseAND(F.lit(1)) == 1
-    return F.array(*[cell(i) for i in range(25)])
+    signed = F.transform(F.array(h), lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x))  # the hash is computed once for all cells
+    cell = lambda x, i: F.call_function("shiftright", x, F.lit((i // 5 * 3 + min(i % 5, 4 - i % 5)) % 29)).bitwiseAND(F.lit(1)) == 1
+    return F.element_at(F.transform(signed, lambda x: F.array(*[cell(x, i) for i in range(25)])), 1)
 
 
 def spoken_key(attribute: Column, previous: Column) -> Column:
