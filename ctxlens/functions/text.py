@@ -38,9 +38,13 @@ def fold_accents(s: pd.Series) -> pd.Series:
 def normalize_claim(c: Column, ascii_only: bool = False) -> Column:
     """Lower case without accents; anything but a-z, 0-9 and white space becomes a space; runs of it become one.
 
-    ``ascii_only`` skips the fold, which only non-ASCII text needs (there is no such built-in function).
+    Only texts that aren't of ASCII alone go to Python, as there is no built-in function for them; ``ascii_only`` skips the fold.
     """
-    folded = F.lower(c) if ascii_only else fold_accents(c)
+    if ascii_only:
+        folded = F.lower(c)
+    else:
+        foreign = F.octet_length(c) > F.char_length(c)
+        folded = F.when(foreign, fold_accents(F.when(foreign, c))).otherwise(F.lower(c))
     return F.trim(F.regexp_replace(F.regexp_replace(folded, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 

@@ -104,3 +104,28 @@ def test_numbers(spark):
     assert one(spark, numeric.slice_pcm(arr(*range(32)), F.lit(1), F.lit(9)))[0] == [float(x) for x in range(16, 32)]
     assert [numeric.config_number(x, 0.6) for x in (None, " ", "nan", "x", "0.7")] == [0.6, 0.6, 0.6, 0.6, 0.7]
     random.seed(0)
+
+
+def test_identicon_hashes_once(spark):
+    plan = spark.createDataFrame([("a",)], "s string").select(text.identicon_cells(F.col("s")))._jdf.queryExecution().analyzed().toString()
+    assert plan.splitlines()[0].count("2166136261") <= 2  # of the offset basis, some fifty when each cell hashes
+
+
+def test_normalize_claim_is_the_fold_of_every_character(spark):
+    import re
+
+    rows = [f"A{chr(p)}b" for p in range(1, 0x20000) if not 0xD800 <= p < 0xE000] + ["ΟΔΟΣ Ünḯcó֑dé ﬁn…½", "", None]
+    norm = lambda s: None if s is None else re.sub(r"[ \t\n\x0b\f\r]+", " ", re.sub(r"[^a-z0-9 \t\n\x0b\f\r]", " ", text._fold(s))).strip(" ")
+    got = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i int, s string").select("i", text.normalize_claim(F.col("s")).alias("x")).collect()
+    assert {r.i: r.x for r in got} == {i: norm(s) for i, s in enumerate(rows)}
+
+
+def test_plain_texts_are_not_folded_in_python(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.pandas_udf(lambda s: (seen.add(int(s.notna().sum())), s)[1], "string")
+    kept, text.fold_accents = text.fold_accents, count
+    try:
+        spark.createDataFrame([("plain",), ("déjà vu",), (None,)], "s string").select(text.normalize_claim(F.col("s"))).collect()
+    finally:
+        text.fold_accents = kept
+    assert seen.value == 1
