@@ -411,3 +411,13 @@ def test_a_deleted_conversation_goes_to_the_tables(spark):
         assert counts.first()[:] == (1, 2, 2) and "SortMergeJoin" not in counts._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_normalized_blocks_in_parts_of_a_product(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    p = spark.createDataFrame([(i, i % 4, rng.normal(size=5).tolist()) for i in range(60)], "voiceprint_id long, person_id long, embedding array<double>")
+    got = lambda: sorted((r.test_id, r.enrolled_id, round(r.normalized, 9)) for r in scoring.normalized_in_blocks(p.where("voiceprint_id % 3 = 0"), p, top=4).collect())
+    whole = got()
+    monkeypatch.setattr(scoring, "CELLS", 180)  # three rows of a product at a time
+    want = scoring.normalized_trials(scoring.trial_pairs(p.where("voiceprint_id % 3 = 0"), p), 4).collect()
+    assert got() == whole == sorted((r.test_id, r.enrolled_id, round(r.normalized, 9)) for r in want) and len(whole) == 20 * 59
