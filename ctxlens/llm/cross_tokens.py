@@ -1,19 +1,21 @@
 """Alignment of the tokens that two tokenizers make of the same texts (operator 12), with relations.
 
-A byte-level BPE (A) and a SentencePiece model (B) encode each text in Arrow batches; the rest is Spark SQL. The tokens of both are exploded
+A byte-level BPE (A) and a SentencePiece model (B) encode each text in Arrow batches. The tokens of both are exploded
 with their places, their ends are running sums of the tokens' bytes, and an equi-join on document and end finds where both end. The running count
-of these cuts numbers the groups. A link's weight is how often its pair of ids is linked in the whole corpus.
+of these cuts before a token numbers its group (per document, in Arrow batches). A link's weight is how often its pair of ids is linked in the whole corpus.
 
 Everything between the exchange by document and a document's row keeps that partitioning, so tokens are shuffled once, as arrays of their ids.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,8 +100,6 @@ def pair(a_path: str, b_path: str) -> Pair:
 
 def encode_both(docs: DataFrame, a_path: str, b_path: str, wide: bool, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(key, keep, n_a, tokens): A's ids and then B's, 32768 less if they fit two bytes (not ``wide``); ``key`` is one of the row's own."""
-    import pyarrow as pa
-
     keep = docs.columns if keep is None else keep
     src = docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*[F.col(c) for c in keep]).alias("keep"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind, least = (T.IntegerType(), 0) if wide else (T.ShortType(), 32768)
@@ -121,34 +121,67 @@ def encode_both(docs: DataFrame, a_path: str, b_path: str, wide: bool, text: str
 
 @contextmanager
 def co_partitioned(spark: SparkSession):
-    """While it holds, a join whose sides are partitioned by some of its keys isn't shuffled again by all of them."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """While it holds, a join whose sides are partitioned by some of its keys isn't shuffled again by all of them, and sorted rows are aggregated in their order."""
+    names = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.replaceHashWithSortAgg": "true"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def aligned_tokens(encoded: DataFrame, vocabulary: DataFrame, least: int) -> DataFrame:
-    """(key, side, end, id, group, partner, keep) of every token: ``side`` 0 is A; ``partner`` the other's id if both end here; ``group`` from 0.
+def tokens_of(encoded: DataFrame, side: int, sizes: list[int], least: int) -> DataFrame:
+    """(key, end, id) of every token of a side (0: A, 1: B); an end is the running sum of its side's bytes.
 
-    encoded: (key, keep, n_a, tokens), partitioned by key. vocabulary: (side, id, n_bytes), as large as the vocabularies. A document
-    without tokens has one row, without side. ``keep`` is set in a document's first row only.
+    encoded: (key, keep, n_a, tokens). All who read the exchange below need the same columns, and so share it: ``keep`` is named without any effect.
     """
-    tokens = encoded.select("key", "keep", "n_a", F.posexplode_outer("tokens").alias("pos", "value"))
-    tokens = tokens.select("key", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("keep")).alias("keep"), "pos", (F.col("pos") >= F.col("n_a")).cast("int").alias("side"), (F.col("value").cast("int") + least).alias("id"))
-    tokens = tokens.join(F.broadcast(vocabulary), ["side", "id"], "left")
-    ends = tokens.select("key", "keep", "side", "id", F.sum("n_bytes").over(Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"))
-    # ids aren't null; naming ``keep``, too, makes both sides read the same columns, so that they share one exchange
-    partner = F.coalesce("id", F.xxhash64("keep").cast("int"))
-    other = ends.select("key", "end", (1 - F.col("side")).alias("side"), partner.alias("partner"))
-    met = ends.join(other, ["key", "end", "side"], "left")
-    so_far = Window.partitionBy("key").orderBy("end", "side").rowsBetween(Window.unboundedPreceding, -1)
-    both = F.col("partner").isNotNull()
-    cuts = F.coalesce(F.sum((both & (F.col("side") == 0)).cast("long")).over(so_far), F.lit(0))
-    return met.select("key", "side", "end", "id", (cuts - (both & (F.col("side") == 1)).cast("long")).alias("group"), "partner", "keep")
+    vocabulary = encoded.sparkSession.createDataFrame(list(enumerate(sizes)), "id int, n_bytes long")
+    n_a = F.col("n_a") + F.xxhash64("keep").bitwiseAND(F.lit(0)).cast("int")
+    mine = F.slice("tokens", F.lit(1), n_a) if side == 0 else F.slice("tokens", n_a + 1, F.size("tokens"))
+    tokens = encoded.select("key", F.posexplode(mine).alias("pos", "id")).withColumn("id", F.col("id").cast("int") + least).join(F.broadcast(vocabulary), "id")
+    return tokens.select("key", F.sum("n_bytes").over(Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"), "id")
+
+
+def linked(encoded: DataFrame, both: Pair, least: int) -> DataFrame:
+    """(key, end, a, b): a token of A and one of B of the same document that end at the same byte."""
+    a, b = (tokens_of(encoded, side, [len(t) for t in table], least) for side, table in enumerate((both.bytes_a, both.bytes_b)))
+    return a.withColumnRenamed("id", "a").join(b.withColumnRenamed("id", "b"), ["key", "end"])
+
+
+@lru_cache(maxsize=1)
+def signed(n: int) -> list[str]:
+    """Ids below n before each sign: within a side of a group, between its sides, between groups."""
+    return [f"{i}{sign}" for sign in ",|;" for i in range(n)]
+
+
+def grouped(both: Pair, least: int):
+    """UDF: from a document's n_a, tokens and its links' ends and pairs to n_groups, groups_sha256 and the distinct pairs with their times."""
+    n, sizes = max(len(both.bytes_a), len(both.bytes_b)), [np.array([len(t) for t in table], "i8") for table in (both.bytes_a, both.bytes_b)]
+
+    @F.arrow_udf("n_groups long, groups_sha256 string, pairs array<struct<pair: long, times: long>>")
+    def f(n_a: pa.Array, tokens: pa.Array, ends: pa.Array, pairs: pa.Array) -> pa.Array:
+        groups, digests, found, times = [], [], [], []
+        for k, x, end, pair in zip(n_a.to_pylist(), tokens, ends, pairs, strict=True):
+            ids = x.values.to_numpy().astype("i8") + least
+            cuts = np.unique(end.values.to_numpy()) if end.is_valid else np.array([], "i8")
+            # a token's group is the running count of cuts before its end; within a group A's tokens come first
+            place = np.concatenate([2 * np.searchsorted(cuts, np.cumsum(size[of])) + side for side, (size, of) in enumerate(zip(sizes, (ids[:k], ids[k:]), strict=True))])
+            order = np.argsort(place, kind="stable")
+            place = place[order]
+            sign = np.where(np.diff(place, append=-1) == 0, 0, 1 + place % 2)
+            groups.append(len(cuts))
+            digests.append(hashlib.sha256("".join(map(signed(n).__getitem__, (ids[order] + n * sign).tolist()))[:-1].encode()).hexdigest() if len(ids) else "")
+            distinct, number = np.unique(pair.values.to_numpy(), return_counts=True) if pair.is_valid else (np.array([], "i8"),) * 2
+            found.append(distinct)
+            times.append(number)
+        at = pa.array(np.cumsum([0] + [len(x) for x in found]), pa.int32())
+        inner = pa.StructArray.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(times))], ["pair", "times"])
+        return pa.StructArray.from_arrays([pa.array(groups, pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(at, inner)], ["n_groups", "groups_sha256", "pairs"])
+
+    return f
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -163,48 +196,32 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: l
     out = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     keep = [c for c in (keep or ["doc_id"]) if c not in out]
     both = Pair(a_path, b_path)
-    sizes = [(side, i, len(t)) for side, table in enumerate((both.bytes_a, both.bytes_b)) for i, t in enumerate(table)]
     wide = max(len(both.bytes_a), len(both.bytes_b)) > 65_536
-    vocabulary = spark.createDataFrame(sizes, "side int, id int, n_bytes long")
+    least = 0 if wide else 32768
     n_bytes = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PARTITION_BYTES))
-    folder = fresh_dir(spark, "encoded")
-    encode_both(docs, a_path, b_path, wide, text, keep).write.option("compression", "zstd").parquet(folder)
-    encoded = spark.read.parquet(folder).repartition(parts, "key")
-    tokens = aligned_tokens(encoded, vocabulary, 0 if wide else 32768)
-    a, cut = F.col("side") == 0, F.col("partner").isNotNull()
-    # within a group A's tokens come first; the last of a side in a group is at the cut
-    sign = F.when(~cut, F.lit(",")).when(a, F.lit("|")).otherwise(F.lit(";"))
-    place = F.shiftleft("group", 33) + F.shiftleft(F.col("side").cast("long"), 32) + F.col("end")
-    rows = tokens.select("key", "keep", "side", F.concat(F.col("id").cast("string"), sign).alias("piece"), place.alias("place"), F.when(a & cut, F.shiftleft(F.col("id").cast("long"), 32) + F.col("partner")).alias("pair"))
-    per_document = rows.groupBy("key").agg(
-        F.max("keep").alias("keep"),
-        F.count(F.when(a, 1)).alias("n_a"),
-        F.count(F.when(F.col("side") == 1, 1)).alias("n_b"),
-        F.count("pair").alias("n_groups"),
-        F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY place)").alias("groups"),
-        F.sort_array(F.collect_list("pair")).alias("pairs"),
-    )
-    digest = F.when(F.col("groups").isNull(), "").otherwise(F.sha2(F.expr("left(groups, length(groups) - 1)"), 256))
+    # sorted as documents, tokens are in order already when they are sorted for the join
+    encoded = encode_both(docs, a_path, b_path, wide, text, keep).repartition(parts, "key").sortWithinPartitions("key")
+    pair = F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")
+    links = linked(encoded, both, least).groupBy("key").agg(F.collect_list("end").alias("ends"), F.collect_list(pair).alias("pairs"))
+    met = encoded.join(links, "key", "left").select("key", "keep", "n_a", F.size("tokens").alias("n"), grouped(both, least)("n_a", "tokens", "ends", "pairs").alias("made"))
     folder = fresh_dir(spark, "aligned")
     with co_partitioned(spark):
-        per_document.select("key", "keep", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "pairs").write.option("compression", "zstd").parquet(folder)
+        met.select("key", "keep", F.col("n_a").cast("long").alias("n_a"), (F.col("n") - F.col("n_a")).cast("long").alias("n_b"), "made.*").write.option("compression", "zstd").parquet(folder)
     done = spark.read.parquet(folder)
-    links = done.select("key", F.explode("pairs").alias("pair"))
-    counts = links.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    per_pair = done.select("key", F.inline("pairs"))
+    counts = per_pair.groupBy("pair").agg(F.sum("times").alias("n"), F.count(F.lit(1)).alias("documents"))
     b_id = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
     folder = fresh_dir(spark, "aligned-pairs")
-    counts.select("pair", "n", b_id.alias("b")).write.parquet(folder)
+    counts.select("pair", "n", "documents", b_id.alias("b")).write.parquet(folder)
     counts = spark.read.parquet(folder)
     best = counts.groupBy("b").agg(F.max("n").alias("most"))
-    counts = counts.join(best, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
+    counts = counts.join(best, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"), "documents")
     if small(counts, PAIRS):
-        weighed = links.join(F.broadcast(counts), "pair")
+        weighed = per_pair.join(F.broadcast(counts), "pair")
     else:
-        per_pair = links.groupBy("key", "pair").agg(F.count(F.lit(1)).alias("times"))
-        counts = counts.withColumn("weight", F.col("n"))
-        weighed = split_join(per_pair, counts, ["pair"], "weight", counts.agg(F.sum("n")).first()[0] or 0, ["key"]).select("key", "n", "best", F.explode(F.array_repeat("pair", F.col("times").cast("int"))))
-    sums = weighed.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"), F.count(F.when(F.col("best"), 1)).alias("n_best"), F.sum("n").alias("count_sum"))
+        weighed = split_join(per_pair, counts, ["pair"], "documents", counts.agg(F.sum("documents")).first()[0] or 0, ["key"])
+    sums = weighed.groupBy("key").agg(F.sum("times").alias("n_links"), F.sum(F.when(F.col("best"), F.col("times"))).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     joined = done.select("key", "keep", "n_a", "n_b", "n_groups", "groups_sha256").join(sums, "key", "left")
     return joined.select(*[F.col("keep")[c].alias(c) for c in keep], "n_a", "n_b", "n_groups", *map(zero, ("n_links", "n_best", "count_sum")), "groups_sha256")

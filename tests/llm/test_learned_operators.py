@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import DataFrameWriter
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -156,6 +157,24 @@ def test_alignment_by_the_shuffled_join_is_the_same(spark, tokenizers, monkeypat
     assert rows() == before
 
 
+def test_tokens_are_shuffled_once(spark, monkeypatch):
+    plans, parquet = [], DataFrameWriter.parquet
+
+    def seen(self, *args, **kwargs):
+        plans.extend(self._df._jdf.queryExecution().executedPlan().toString().splitlines())
+        return parquet(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    df = spark.createDataFrame([(i, f"the cat {i} sat") for i in range(12)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cross_tokens.align(df, P.path(A), P.path(B)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [x for x in plans if "REPARTITION_BY_NUM" in x and "ReusedExchange" in x]
+    assert len([x for x in plans if "REPARTITION_BY_NUM" in x and "ReusedExchange" not in x]) == 1
+
+
 def test_pieces_encode_as_whole_texts(tokenizers):
     t, sp = tokenizers
     both = cross_tokens.Pair(P.path(A), P.path(B))
