@@ -37,7 +37,9 @@ class TextIndex:
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/{at}")
         stored = self.spark.read.parquet(f"{self.folder}/postings/{at}")
         stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/terms/{at}")
-        src.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("t").cast("long")), F.lit(0)).alias("length")).write.mode("overwrite").parquet(f"{self.folder}/totals/{at}")
+        # counts add up to the length, so texts are read and split once
+        length = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("length"))
+        docs.agg(F.count(F.lit(1)).alias("docs")).crossJoin(length).write.mode("overwrite").parquet(f"{self.folder}/totals/{at}")
 
     def _of(self, name: str, buckets: list[int]) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}").where(F.col("bucket").isin(buckets))

@@ -119,6 +119,19 @@ def test_text_index_equals_the_scan(spark, tmp_path):
         assert [best[q, i + 1] for i in range(len(mine))] == [d for _, d in mine]
 
 
+def test_text_index_splits_a_text_once(spark, tmp_path):
+    df, seen = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string"), spark.sparkContext.accumulator(0)
+
+    def same(text):
+        seen.add(1)
+        return text
+
+    TextIndex(spark, str(tmp_path), buckets=4).add(df, "id", F.udf(same).asNondeterministic()("text"))
+    assert seen.value == len(TEXTS)
+    total = spark.read.parquet(f"{tmp_path}/totals").first()
+    assert (total.docs, total.length) == (len(TEXTS), sum(len(re.findall(r"\w+", t or "")) for t in TEXTS))
+
+
 def test_text_index_reads_only_wanted_buckets(spark, tmp_path):
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(400)]
