@@ -1,8 +1,8 @@
 """Alignment of the tokens that two tokenizers make of the same texts (operator 12), with relations.
 
-A byte-level BPE (A) and a SentencePiece model (B) encode each text in Arrow batches. The tokens of both are exploded
-with their places, their ends are running sums of the tokens' bytes, and an equi-join on document and end finds where both end. The running count
-of these cuts before a token numbers its group (per document, in Arrow batches). A link's weight is how often its pair of ids is linked in the whole corpus.
+A byte-level BPE (A) and a SentencePiece model (B) encode each text in Arrow batches. The tokens' ends are running sums of their bytes; the tokens
+of both are exploded with their places and ends, and an equi-join on document and end finds where both end. The running count of these cuts before a
+token numbers its group (in Arrow batches). A link's weight is how often its pair of ids is linked in the whole corpus.
 
 Everything between the exchange by document and a document's row keeps that partitioning, so tokens are shuffled once, as arrays of their ids.
 """
@@ -11,26 +11,39 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import byte_chars, json_encoder
+from .bpe import _LETTER, _NUMBER, _SPLIT, Memo, byte_chars, json_encoder
 from .common import fresh_dir, small, split_join
 
 #: Texts are cut where a space follows something else than white space: neither tokenizer joins what stands on both sides.
 PIECE = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*(?:\s+\Z)?")
-#: Pieces that a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 200_000, 64
+_OTHER = f"[^ \\t\\n{_LETTER}{_NUMBER}]+(?:(?<=')[{_LETTER}]+)?"
+_WORD = f"[{_LETTER}]+|[{_NUMBER}]+|{_OTHER}"
+#: Smaller pieces, for texts of FINE code points: runs of letters, digits or other signs with a space before, and white space as A splits it.
+#: An apostrophe stays with the letters after it, and two and more spaces with the word after them.
+UNIT = re.compile(f" ?(?:{_WORD})|[ \\t\\n]+(?=[\\t\\n][^ \\t\\n])|[\\t\\n](?=[^ \\t\\n])|[ \\t\\n]*[\\t\\n](?= [^ \\t\\n])|[ \\t\\n]+\\Z|[ \\t\\n]+(?:{_WORD})")
+FINE = re.compile("[\\t\\n -~¡-ɏ]*")
+#: Places inside a piece of B's vocabulary where UNIT may split, and how many such pieces are looked for in each text.
+CROSSING, CROSSINGS = re.compile(f"[\\t\\n]|[{_LETTER}][^ {_LETTER}]|[{_NUMBER}][^ {_NUMBER}]|[^ {_LETTER}{_NUMBER}][{_LETTER}{_NUMBER}]"), 8
+#: Pieces that a worker remembers, and their characters in all; reaching either forgets them.
+MEMO, MEMO_CHARS = 300_000, 5_000_000
 #: Bytes of text for each partition of tokens: some 1.5 million tokens of both kinds.
 PARTITION_BYTES = 2 << 20
 #: Up to so many linked pairs of ids are broadcast with their counts.
 PAIRS = 500_000
+#: Tokens that are laid out at once in Arrow batches after the exchange, more only if one document has them.
+CHUNK = 1 << 20
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -47,11 +60,20 @@ def b_table(sp) -> list[bytes]:
     return [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(n)) else n.replace("▁", " ").encode() for n in names]
 
 
+class Numbers(dict):
+    """Piece -> its number, in order of first sight."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 class Pair:
     """Both tokenizers over whole texts, by pieces; each distinct piece is encoded once while it is remembered.
 
     Whether pieces may stand for texts is seen from the models: A splits by the byte-level pattern, and no piece of B's vocabulary has
-    a space after something else than white space. Otherwise texts are encoded whole.
+    a space after something else than white space. Otherwise texts are encoded whole. Units (smaller pieces) may stand for a text if no piece
+    of B's vocabulary that holds a place between units is in it.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -61,36 +83,75 @@ class Pair:
         self.a, self.sp = type(enc.tok).from_str(enc.tok.to_str()), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.bytes_a, self.bytes_b = a_table(self.a), b_table(self.sp)
+        self.size_a, self.size_b = (np.array([len(t) for t in table], "i8") for table in (self.bytes_a, self.bytes_b))
         self.by_piece = enc.memo_ok and not any(re.search(r"\S ", t.decode("utf-8", "replace")) for t in self.bytes_b)
-        self.memo: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def _encode(self, pieces: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids by both as unsigned 32-bit integers, None where bytes differ. Pieces begin with the space that B adds."""
-        out = []
-        ours = self.a.encode_batch_fast(pieces, add_special_tokens=False)
-        theirs = self.sp.encode([p[1:] for p in pieces], num_threads=1)
-        for p, x, b in zip(pieces, ours, theirs, strict=True):
-            raw, a = p.encode(), x.ids
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            out.append((np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None)
-        return out
+        shown = [t.decode("utf-8", "replace") for i, t in enumerate(self.bytes_b) if not (self.sp.is_byte(i) or self.sp.is_control(i) or self.sp.is_unknown(i))]
+        self.crossing = [t for t in shown if CROSSING.search(t) and FINE.fullmatch(t)]
+        self.crossing += [t.content for t in self.a.get_added_tokens_decoder().values() if not t.special]
+        self.line = self.sp.encode("\n")
+        kept = all(b"".join(map(self.bytes_b.__getitem__, self.sp.encode(x))) == b" " + x.encode() for x in ("\n", "\t"))
+        self.by_unit = self.by_piece and kept and len(self.crossing) <= CROSSINGS and not any(x in t for t in self.crossing for x in "\t\n")
+        self.words = Memo(self.a) if self.by_unit else None
+        self.forget()
+
+    def forget(self) -> None:
+        """ids holds those of all pieces; of A and of B, begins and counts say where a piece's are; differ, which pieces' bytes differ."""
+        self.memo, self.chars, self.ids, self.differ = Numbers(), 0, array("I"), bytearray()
+        self.begins, self.counts = (array("q"), array("q")), (array("q"), array("q"))
+
+    def _encode(self, pieces: list[str]) -> None:
+        """Adds pieces' ids by both. Pieces that don't begin with the space that B adds, to more than nothing, are encoded after a line feed."""
+        added = [p[0] == " " and len(p) > 1 for p in pieces]
+        if self.by_unit and FINE.fullmatch("".join(pieces)):
+            ours = [array("I", b"".join(map(self.words.__getitem__, _SPLIT.findall(p)))) for p in pieces]
+            self.words.clear()
+        else:
+            ours = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        theirs, line = self.sp.encode([p[1:] if x else f"\n{p}" for p, x in zip(pieces, added, strict=True)], num_threads=1), len(self.line)
+        for i in [i for i, x in enumerate(added) if not x]:
+            if theirs[i][:line] != self.line:
+                raise ValueError("a line feed is joined with what follows")
+            theirs[i] = theirs[i][line:]
+        raw, differ = [p.encode() for p in pieces], np.zeros(len(pieces), bool)
+        n_bytes = np.fromiter(map(len, raw), "i8")
+        for side, (of, table, size) in enumerate(((ours, self.bytes_a, self.size_a), (theirs, self.bytes_b, self.size_b))):
+            counts, flat = np.fromiter(map(len, of), "i8"), np.fromiter(chain.from_iterable(of), "u4")
+            ends = np.cumsum(counts)
+            sizes = np.diff(np.append(0, np.cumsum(size[flat]))[np.append(0, ends)])
+            if (sizes != n_bytes).any() or b"".join(map(table.__getitem__, flat.tolist())) != b"".join(raw):
+                differ |= [b"".join(map(table.__getitem__, ids)) != r for ids, r in zip(of, raw, strict=True)]
+            self.begins[side].frombytes((ends - counts + len(self.ids)).tobytes())
+            self.counts[side].frombytes(counts.tobytes())
+            self.ids.frombytes(flat.tobytes())
+        self.differ += differ.tobytes()
+        self.chars += sum(map(len, pieces))
+
+    def split(self, text: str) -> list[str]:
+        text = f" {text}"
+        if self.by_unit and FINE.fullmatch(text) and not any(x in text for x in self.crossing):
+            return UNIT.findall(text)
+        return PIECE.findall(text) if self.by_piece else [text]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each text the ids of A and of B; none for empty texts and those whose bytes differ."""
-        parts = [(PIECE.findall(f" {t}") if self.by_piece else [f" {t}"]) if t else [] for t in texts]
-        new = list({p for ps in parts for p in ps if p not in self.memo})
-        got = dict(zip(new, self._encode(new), strict=True)) if new else {}
-        memo, out = self.memo, []
-        for ps in parts:
-            found = [got[p] if p in got else memo[p] for p in ps]
-            if None in found:
-                found = []
-            a, b = b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
-            out.append((np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")))
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-        memo.update((p, v) for p, v in got.items() if len(p) <= MEMO_CHARS)
-        return out
+        parts, known = [self.split(t) if t else [] for t in texts], len(self.memo)
+        numbers = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(parts)), "i8")
+        if not len(numbers):
+            return [(np.array([], "u4"),) * 2] * len(texts)
+        if len(self.memo) > known:
+            self._encode(list(islice(self.memo, known, None)))
+        at = np.cumsum([0] + [len(ps) for ps in parts])
+        wrong = np.append(0, np.cumsum(np.frombuffer(self.differ, bool)[numbers]))[at]  # the arrays can't grow while views of them are kept
+        sides = []
+        for begins, counts in zip(self.begins, self.counts, strict=True):
+            n = np.frombuffer(counts, "i8")[numbers]
+            to = np.cumsum(n)
+            mine = np.frombuffer(self.ids, "u4")[np.repeat(np.frombuffer(begins, "i8")[numbers] - to + n, n) + np.arange(to[-1])]
+            cut = np.append(0, to)[at]
+            sides.append([mine[x:y] if same else mine[:0] for x, y, same in zip(cut, cut[1:], wrong[1:] == wrong[:-1], strict=False)])
+        if len(self.memo) > MEMO or self.chars > MEMO_CHARS:
+            self.forget()
+        return list(zip(*sides, strict=True))
 
 
 @lru_cache(maxsize=1)
@@ -99,11 +160,18 @@ def pair(a_path: str, b_path: str) -> Pair:
 
 
 def encode_both(docs: DataFrame, a_path: str, b_path: str, wide: bool, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(key, keep, n_a, tokens): A's ids and then B's, 32768 less if they fit two bytes (not ``wide``); ``key`` is one of the row's own."""
+    """(key, keep, n_a, tokens, low_a, high_a, low_b, high_b): A's ids and then B's, 32768 less if they fit two bytes (not ``wide``); ``key`` is one of the row's own.
+
+    Ends of tokens are running sums of their bytes. The last eight bits (low, signed) are apart from those above (high), which hardly change and so take little room in an exchange.
+    """
     keep = docs.columns if keep is None else keep
     src = docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*[F.col(c) for c in keep]).alias("keep"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind, least = (T.IntegerType(), 0) if wide else (T.ShortType(), 32768)
-    schema = T.StructType([src.schema["key"], src.schema["keep"], T.StructField("n_a", T.IntegerType()), T.StructField("tokens", T.ArrayType(kind))])
+    kinds = [("tokens", kind), ("low_a", T.ByteType()), ("high_a", T.IntegerType()), ("low_b", T.ByteType()), ("high_b", T.IntegerType())]
+    schema = T.StructType([src.schema["key"], src.schema["keep"], T.StructField("n_a", T.IntegerType()), *[T.StructField(c, T.ArrayType(of)) for c, of in kinds]])
+
+    def lists(parts: list[np.ndarray], values: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in parts]), pa.int32()), pa.array(values))
 
     def run(batches):
         both = pair(a_path, b_path)
@@ -112,9 +180,11 @@ def encode_both(docs: DataFrame, a_path: str, b_path: str, wide: bool, text: str
                 part = batch.slice(at, 128)
                 ids = both.encode(part.column(2).to_pylist())
                 flat = [np.concatenate(x) for x in ids]
-                ends = np.cumsum([0] + [len(x) for x in flat])
-                values = pa.array((np.concatenate(flat).astype("i8") - least).astype("i4" if wide else "i2"))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(a) for a, _ in ids], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["key", "keep", "n_a", "tokens"])
+                columns = [lists(flat, (np.concatenate(flat).astype("i8") - least).astype("i4" if wide else "i2"))]
+                for size, own in zip((both.size_a, both.size_b), zip(*ids, strict=True), strict=True):
+                    ends = np.concatenate([np.cumsum(size[x]) for x in own])
+                    columns += [lists(own, ends.astype("i1")), lists(own, (ends >> 8).astype("i4"))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(a) for a, _ in ids], pa.int32()), *columns], schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -133,53 +203,95 @@ def co_partitioned(spark: SparkSession):
             spark.conf.set(k, v)
 
 
-def tokens_of(encoded: DataFrame, side: int, sizes: list[int], least: int) -> DataFrame:
-    """(key, end, id) of every token of a side (0: A, 1: B); an end is the running sum of its side's bytes.
+def chunks(n_a: pa.Array, tokens: pa.Array, least: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents in chunks of some CHUNK tokens: first, end, the numbers of tokens of A and of B in turn, where each document's tokens begin and end, ids."""
+    at, n_a = np.cumsum([0, *tokens.value_lengths().to_pylist()]), n_a.to_numpy().astype("i8")
+    flat, first = tokens.flatten(), 0
+    while first < len(n_a):
+        end = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK, "right")) - 1)
+        ids = flat[at[first] : at[end]].to_numpy().astype("i4") + least
+        mine = n_a[first:end]
+        yield first, end, np.stack([mine, np.diff(at[first : end + 1]) - mine], 1).ravel(), at[first : end + 1] - at[first], ids
+        first = end
+
 
-    encoded: (key, keep, n_a, tokens). All who read the exchange below need the same columns, and so share it: ``keep`` is named without any effect.
+def is_side(counts: np.ndarray, side: int) -> np.ndarray:
+    """Which tokens are of a side, from the numbers of tokens of A and of B in turn."""
+    return np.repeat(np.arange(len(counts)) % 2 == side, counts)
+
+
+def tokens_of(encoded: DataFrame, side: str) -> DataFrame:
+    """(key, place, end) of every token of side a or b: its place among its document's, under the side's name, and its end in bytes.
+
+    Documents without tokens have a row of nulls, since the filter that Spark derives from posexplode() would part the exchanges.
     """
-    vocabulary = encoded.sparkSession.createDataFrame(list(enumerate(sizes)), "id int, n_bytes long")
-    n_a = F.col("n_a") + F.xxhash64("keep").bitwiseAND(F.lit(0)).cast("int")
-    mine = F.slice("tokens", F.lit(1), n_a) if side == 0 else F.slice("tokens", n_a + 1, F.size("tokens"))
-    tokens = encoded.select("key", F.posexplode(mine).alias("pos", "id")).withColumn("id", F.col("id").cast("int") + least).join(F.broadcast(vocabulary), "id")
-    return tokens.select("key", F.sum("n_bytes").over(Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end"), "id")
+    end = F.shiftleft(F.col("high"), 8).bitwiseOR(F.col("low").cast("int").bitwiseAND(F.lit(255)))
+    tokens = encoded.select("key", F.col(f"high_{side}").alias("highs"), F.posexplode_outer(whole(f"low_{side}")).alias(side, "low"))
+    return tokens.select("key", side, F.col("highs")[F.col(side)].alias("high"), "low").select("key", side, end.alias("end"))
+
 
+def whole(column: str) -> Column:
+    """A column of encode_both()'s, with all others named without any effect: those who read its exchange need the same columns, and so share it."""
+    named = F.xxhash64("key", "keep", "n_a", *[F.size(c) for c in ("tokens", "low_a", "high_a", "low_b", "high_b")])
+    return F.when(named.bitwiseAND(F.lit(0)) == 0, F.col(column))
 
-def linked(encoded: DataFrame, both: Pair, least: int) -> DataFrame:
-    """(key, end, a, b): a token of A and one of B of the same document that end at the same byte."""
-    a, b = (tokens_of(encoded, side, [len(t) for t in table], least) for side, table in enumerate((both.bytes_a, both.bytes_b)))
-    return a.withColumnRenamed("id", "a").join(b.withColumnRenamed("id", "b"), ["key", "end"])
+
+def linked(encoded: DataFrame) -> DataFrame:
+    """(key, end, a, b): the places of a token of A and one of B of the same document that end at the same byte."""
+    return tokens_of(encoded, "a").join(tokens_of(encoded, "b"), ["key", "end"])
 
 
 @lru_cache(maxsize=1)
-def signed(n: int) -> list[str]:
-    """Ids below n before each sign: within a side of a group, between its sides, between groups."""
-    return [f"{i}{sign}" for sign in ",|;" for i in range(n)]
+def signed(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids below n before each sign (within a side of a group, between its sides, between groups) as eight bytes, and their lengths without the zeros behind."""
+    if n > 10_000_000:
+        raise ValueError("ids of more than seven digits")
+    names = np.array([f"{i}{sign}".encode() for sign in ",|;" for i in range(n)], "S8")
+    return names.view("u8"), np.char.str_len(names)
+
 
+def grouped(n_ids: tuple[int, int], least: int):
+    """UDF: from a document's n_a, tokens and links to n_groups, groups_sha256 and the distinct pairs with their times.
 
-def grouped(both: Pair, least: int):
-    """UDF: from a document's n_a, tokens and its links' ends and pairs to n_groups, groups_sha256 and the distinct pairs with their times."""
-    n, sizes = max(len(both.bytes_a), len(both.bytes_b)), [np.array([len(t) for t in table], "i8") for table in (both.bytes_a, both.bytes_b)]
+    A link is the places of its two tokens in one number. Tokens have a byte at least, so each end is a side's only one, and each link a cut.
+    """
+    n = max(n_ids)
 
     @F.arrow_udf("n_groups long, groups_sha256 string, pairs array<struct<pair: long, times: long>>")
-    def f(n_a: pa.Array, tokens: pa.Array, ends: pa.Array, pairs: pa.Array) -> pa.Array:
-        groups, digests, found, times = [], [], [], []
-        for k, x, end, pair in zip(n_a.to_pylist(), tokens, ends, pairs, strict=True):
-            ids = x.values.to_numpy().astype("i8") + least
-            cuts = np.unique(end.values.to_numpy()) if end.is_valid else np.array([], "i8")
-            # a token's group is the running count of cuts before its end; within a group A's tokens come first
-            place = np.concatenate([2 * np.searchsorted(cuts, np.cumsum(size[of])) + side for side, (size, of) in enumerate(zip(sizes, (ids[:k], ids[k:]), strict=True))])
+    def f(n_a: pa.Array, tokens: pa.Array, links: pa.Array) -> pa.Array:
+        names, widths = signed(n)
+        lengths, flat, begun = np.array(links.value_lengths().fill_null(0).to_pylist(), "i8"), links.flatten(), 0
+        digests, pairs, times, distinct = [], [np.array([], "i8")], [np.array([], "i8")], [np.array([0])]
+        for first, end, counts, at, ids in chunks(n_a, tokens, least):
+            document = np.repeat(np.arange(end - first), lengths[first:end])
+            link = flat[begun : begun + len(document)].to_numpy()
+            begun += len(document)
+            a = at[document] + (link >> 32)
+            b = at[document] + counts[::2][document] + (link & 0xFFFFFFFF)
+            # a token's group is the running count of its side's cuts before it; within a group A's tokens come first
+            place = np.empty(len(ids), "i8")
+            for side, last in enumerate((a, b)):
+                cut, mine = np.zeros(len(ids), "i8"), is_side(counts, side)
+                cut[last] = 1
+                cut = cut[mine]
+                place[mine] = 2 * (np.cumsum(cut) - cut) + side
             order = np.argsort(place, kind="stable")
             place = place[order]
             sign = np.where(np.diff(place, append=-1) == 0, 0, 1 + place % 2)
-            groups.append(len(cuts))
-            digests.append(hashlib.sha256("".join(map(signed(n).__getitem__, (ids[order] + n * sign).tolist()))[:-1].encode()).hexdigest() if len(ids) else "")
-            distinct, number = np.unique(pair.values.to_numpy(), return_counts=True) if pair.is_valid else (np.array([], "i8"),) * 2
-            found.append(distinct)
+            code = ids[order] + n * sign
+            text = names[code].view("u1")
+            text = text[text != 0]
+            ends = np.append(0, np.cumsum(widths[code]))[at].tolist()
+            digests += [hashlib.sha256(text[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(ends, ends[1:], strict=False)]
+            whole, number = np.unique((document * n_ids[0] + ids[a]) * n_ids[1] + ids[b], return_counts=True)
+            whole, mine_b = np.divmod(whole, n_ids[1])
+            of, mine_a = np.divmod(whole, n_ids[0])
+            pairs.append(mine_a << 32 | mine_b)
             times.append(number)
-        at = pa.array(np.cumsum([0] + [len(x) for x in found]), pa.int32())
-        inner = pa.StructArray.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(times))], ["pair", "times"])
-        return pa.StructArray.from_arrays([pa.array(groups, pa.int64()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(at, inner)], ["n_groups", "groups_sha256", "pairs"])
+            distinct.append(np.bincount(of, minlength=end - first))
+        at = pa.array(np.cumsum(np.concatenate(distinct)), pa.int32())
+        inner = pa.StructArray.from_arrays([pa.array(np.concatenate(pairs)), pa.array(np.concatenate(times))], ["pair", "times"])
+        return pa.StructArray.from_arrays([pa.array(lengths), pa.array(digests, pa.string()), pa.ListArray.from_arrays(at, inner)], ["n_groups", "groups_sha256", "pairs"])
 
     return f
 
@@ -202,9 +314,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: l
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PARTITION_BYTES))
     # sorted as documents, tokens are in order already when they are sorted for the join
     encoded = encode_both(docs, a_path, b_path, wide, text, keep).repartition(parts, "key").sortWithinPartitions("key")
-    pair = F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")
-    links = linked(encoded, both, least).groupBy("key").agg(F.collect_list("end").alias("ends"), F.collect_list(pair).alias("pairs"))
-    met = encoded.join(links, "key", "left").select("key", "keep", "n_a", F.size("tokens").alias("n"), grouped(both, least)("n_a", "tokens", "ends", "pairs").alias("made"))
+    links = linked(encoded).groupBy("key").agg(F.collect_list(F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("links"))
+    met = encoded.join(links, "key", "left").select("key", "keep", "n_a", F.size("tokens").alias("n"), grouped((len(both.bytes_a), len(both.bytes_b)), least)(whole("n_a"), "tokens", "links").alias("made"))
     folder = fresh_dir(spark, "aligned")
     with co_partitioned(spark):
         met.select("key", "keep", F.col("n_a").cast("long").alias("n_a"), (F.col("n") - F.col("n_a")).cast("long").alias("n_b"), "made.*").write.option("compression", "zstd").parquet(folder)

@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import DataFrameWriter
@@ -190,6 +191,32 @@ def test_pieces_encode_as_whole_texts(tokenizers):
         assert (a.tolist(), b.tolist()) == (want if same else ([], [])), repr(x)
 
 
+def test_units_encode_as_whole_texts(tokenizers, monkeypatch):
+    """Words are asked for once, whatever stands around them; also where what is remembered is forgotten at once."""
+    t, sp = tokenizers
+    both = cross_tokens.Pair(P.path(A), P.path(B))
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    both.encode([f"{a}.\n{b}, {a}" for a in words for b in words])
+    assert both.by_unit and len(both.memo) < 4 * len(words)
+    monkeypatch.setattr(cross_tokens, "MEMO", 50)
+    rng = np.random.default_rng(3)
+    alphabet = list("abéZ1²ª.,'-\n\t  (|s") + ["  ", " the", "\n ", "'s", "'ll", "².", " '", "<|endoftext|>", "</s>"]
+    for _ in range(100):
+        texts = ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(30)]
+        for x, (a, b) in zip(texts, both.encode(texts), strict=True):
+            want = (t.encode(f" {x}", add_special_tokens=False).ids, sp.encode(x)) if x else ([], [])
+            assert (a.tolist(), b.tolist()) == want, repr(x)
+
+
+def test_tokens_are_laid_out_in_chunks(monkeypatch):
+    tokens, n_a = [[1, 2, 3], [], [4, 5], [6], [], [7, 8, 9, 10]], [2, 0, 1, 1, 0, 2]
+    monkeypatch.setattr(cross_tokens, "CHUNK", 3)
+    found = list(cross_tokens.chunks(pa.array(n_a, pa.int32()), pa.array([[], *tokens], pa.list_(pa.int16()))[1:], 100))
+    assert [x[:2] for x in found] == [(0, 2), (2, 5), (5, 6)]
+    assert [ids.tolist() for *_, ids in found] == [[101, 102, 103], [104, 105, 106], [107, 108, 109, 110]]
+    assert [(counts.tolist(), at.tolist()) for _, _, counts, at, _ in found] == [([2, 1, 0, 0], [0, 3, 3]), ([1, 1, 1, 0, 0, 0], [0, 2, 3, 3]), ([2, 2], [0, 4])]
+
+
 def test_op12_query(spark, tokenizers):
     from ctxlens.llm.queries import QUERIES
 
