@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 _LONG_MIN, _LONG_MAX = -(1 << 63), (1 << 63) - 1
+#: Entries of the matrix of distances to centroids that are held at a time.
+CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -79,14 +81,16 @@ def dots(a: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1) if len(x) else np.zeros(0, int)
+    """Each row's nearest centroid; CELLS distances are held at a time, so that neither driver nor task holds a matrix of all."""
+    half, step = 0.5 * (c * c).sum(1), max(1, CELLS // len(c))
+    return np.concatenate([np.zeros(0, int), *(np.argmax(x[at : at + step] @ c.T - half, axis=1) for at in range(0, len(x), step))])
 
 
 def k_means(rows: DataFrame, n: int, dims: int, p: Params) -> np.ndarray:
     """Centroids from at most 2 * p.sample rows, the least by a hash of id and vector."""
     key = F.xxhash64("id", "vec", F.lit(p.seed))
-    picked = rows.where(F.pmod(key, F.lit(max(1, n // p.sample))) == 0).select(key.alias("key"), "id", "vec").orderBy("key", "id").limit(2 * p.sample).collect()
-    x = np.array([r.vec for r in picked], "f8").reshape(-1, dims)
+    picked = rows.where(F.pmod(key, F.lit(max(1, n // p.sample))) == 0).select(key.alias("key"), "id", "vec").orderBy("key", "id").limit(2 * p.sample).toArrow()
+    x = picked.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dims)
     distinct = np.unique(x, axis=0)
     lists = int(min(p.max_lists, len(distinct), max(1, round(n**0.5))))
     if not lists:
@@ -236,7 +240,8 @@ def visit(wants: DataFrame, index: DataFrame, lists: Lists, k: int, same: bool,
             todo = wants.join(last, "anchor_id", "left").select(*wants.columns, kth("score", _LONG_MIN).alias("floors"), F.transform(kth("back", _LONG_MIN + 1), lambda v: -v).alias("floor_ids"))
         asked = todo.mapInArrow(asks(lo_rank, hi_rank), ask_schema)
         packed = asked.groupBy("list", "block", F.pmod(F.xxhash64("anchor_id"), F.lit(parts)).alias("part")).applyInArrow(pack, pack_schema)
-        met = packed.join(index, ["list", "block"]).select("anchor_id", "label", "raw", *SLOTS, "ids", "labels", "vecs")
+        # by merge: Spark takes a packed vector for a small value, and would send the index or the asks through the driver as a broadcast
+        met = packed.join(index.hint("merge"), ["list", "block"]).select("anchor_id", "label", "raw", *SLOTS, "ids", "labels", "vecs")
         new = met.mapInArrow(scan, "anchor_id long, slot int, id long, score long")
         new = new if found is None else new.unionByName(found)
         found = cut(new.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))

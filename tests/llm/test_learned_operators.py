@@ -57,6 +57,30 @@ def test_hard_negatives_equal_brute_force(spark, kind):
     assert {tuple(r) for r in got} == brute_negatives(rows, p) and len(got) == len({tuple(r) for r in got})
 
 
+def test_packed_vectors_are_never_broadcast(spark, monkeypatch):
+    plans, cut = [], hard_negatives.cut
+
+    def seen(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())  # as it ran, with what was decided on the way
+        return out
+
+    monkeypatch.setattr(hard_negatives, "cut", seen)
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, i % 3, rng.normal(size=4).tolist()) for i in range(60)], "vec_id long, label long, embedding array<double>")
+    assert hard_negatives.mine(df, df["vec_id"] % 5 == 0).count()
+    joins = [line for plan in plans for line in plan.splitlines() if "Join [list" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
+
+
+def test_nearest_centroids_in_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, c = rng.integers(-9, 9, (50, 4)).astype("f8"), rng.integers(-9, 9, (7, 4)).astype("f8")
+    want = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1).tolist()
+    monkeypatch.setattr(hard_negatives, "CELLS", 21)
+    assert hard_negatives.nearest(x, c).tolist() == want and len(hard_negatives.nearest(x[:0], c)) == 0
+
+
 def test_hard_negatives_odd_rows(spark):
     schema = "vec_id long, label int, embedding array<float>, anchor_id string, `rank` string"
     good = [(i, i % 2, [float(i % 5), 1.0 + i % 3], "x", "y") for i in range(20)]
