@@ -164,13 +164,17 @@ class VectorIndex:
 
         return queries.select("query_id", "tag", "query", "floor").mapInArrow(f, "list int, part int, query_id string, tag string, query array<double>, floor double")
 
-    def _met(self, asked: DataFrame, k: int | None) -> DataFrame:
-        """(query_id, id, tag, cosine) of asks (packed by list) with the blocks of their lists: not below the floor, k for each block at most."""
+    def _met(self, asked: DataFrame, k: int | None, so_far: bool = False) -> DataFrame:
+        """(query_id, id, tag, cosine) of asks (packed by list) with the blocks of their lists: not below the floor, k for each block at most.
+
+        ``so_far``: nor below a query's k-th best of all the blocks that its task has met.
+        """
         import pyarrow as pa
 
         dims = self.dims
 
         def scan(batches):
+            tops: dict = {}  # a query's k best so far
             for b in batches:
                 for r in range(b.num_rows):
                     q_ids, q_tags, floors, q, ids, tags, vecs = (b.column(c)[r].values if c in (0, 1, 2, 4, 5) else b.column(c)[r].as_py() for c in range(7))
@@ -181,30 +185,54 @@ class VectorIndex:
                     if q_tags.null_count < len(q_tags):
                         mine, theirs = np.array(q_tags.to_pylist(), object), np.array(tags.to_pylist(), object)
                         on &= np.equal(mine, None)[:, None] | (mine[:, None] == theirs[None, :])
-                    if k is not None and cos.shape[1] > k:
+                    if k is not None and so_far:
+                        names, none = q_ids.to_pylist(), np.full(k, -2.0)
+                        far = np.hstack([np.array([tops.get(n, none) for n in names]), np.where(on, cos, -2.0)])
+                        best = np.partition(far, far.shape[1] - k, axis=1)[:, -k:]
+                        on &= cos >= best.min(axis=1)[:, None]
+                        if len(tops) > 1 << 16:  # only lets more through
+                            tops.clear()
+                        tops.update(zip(names, best, strict=True))
+                    elif k is not None and cos.shape[1] > k:
                         far = np.where(on, cos, -2.0)
                         on &= cos >= np.partition(far, cos.shape[1] - k, axis=1)[:, -k, None]
                     i, j = np.nonzero(on)
                     yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(i)), ids.take(pa.array(j)), tags.take(pa.array(j)), pa.array(cos[i, j])], ["query_id", "id", "tag", "cosine"])
 
-        met = asked.join(self.blocks().withColumnRenamed("tags", "of_row"), ["list", "part"]).select("query_ids", "tags", "floors", "queries", "ids", "of_row", "vecs")
+        # by merge: packed vectors look like small values, and would go through the driver as a broadcast
+        met = asked.join(self.blocks().withColumnRenamed("tags", "of_row").hint("merge"), ["list", "part"]).select("query_ids", "tags", "floors", "queries", "ids", "of_row", "vecs")
         return met.mapInArrow(scan, "query_id string, id string, tag string, cosine double")
 
-    def above(self, queries: DataFrame, floor: float) -> DataFrame:
-        """(query_id, id, tag, cosine) of all vectors whose cosine is at least ``floor``; works on streams, row by row, without a shuffle of its own."""
-        q = queries.where(usable("query") & (F.size("query") == self.dims)).select(F.col("query_id").cast("string").alias("query_id"), F.lit(None).cast("string").alias("tag"), F.col("query").cast("array<double>").alias("query"), F.lit(float(floor)).alias("floor"))
+    def tags(self) -> DataFrame:
+        """The distinct tags (tag) of the vectors."""
+        return self.spark.read.parquet(f"{self.folder}/blocks").select(F.explode("tags").alias("tag")).where("tag IS NOT NULL").distinct()
+
+    def above(self, queries: DataFrame, floor: float, k: int | None = None) -> DataFrame:
+        """(query_id, id, tag, cosine) of all vectors whose cosine is at least ``floor``; with ``k``, at least of those that can be among a query's k nearest.
+
+        Works on streams: the queries of a task go to each list that can hold such a vector as one matrix, without a shuffle before.
+        """
         import pyarrow as pa
 
-        def single(batches):
-            for b in batches:
-                for r in range(b.num_rows):
-                    one = b.slice(r, 1)
-                    listed = [pa.array([one.column(c).to_pylist()], t) for c, t in ((2, pa.list_(pa.string())), (3, pa.list_(pa.string())), (5, pa.list_(pa.float64())))]
-                    raw = pa.array([np.array(one.column(4)[0].as_py(), "f8").tobytes()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), *listed, raw], ["list", "part", "query_ids", "tags", "floors", "queries"])
+        q = queries.where(usable("query") & (F.size("query") == self.dims)).select(F.col("query_id").cast("string").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
+        centroids, widths, sizes, parts, dims, group = self.centroids, self.widths, self.sizes, self._parts(), self.dims, self.shape.group
 
-        asked = self._asks(q, 0, len(self.centroids)).mapInArrow(single, "list int, part int, query_ids array<string>, tags array<string>, floors array<double>, queries binary")
-        return self._met(asked, None)
+        def asks(batches):
+            for b in batches:
+                for lo in range(0, b.num_rows, 2048):
+                    p = b.slice(lo, 2048)
+                    raw = _rows(p.column(1), dims)
+                    need = (_bounds(centroids, widths, raw) >= floor) & (sizes > 0)
+                    for to in np.flatnonzero(need.any(axis=0)).tolist():
+                        at = np.flatnonzero(need[:, to])
+                        for a in range(0, len(at), group):
+                            some = at[a : a + group]
+                            listed = [pa.array([v], pa.list_(t)) for v, t in ((p.column(0).take(pa.array(some)).to_pylist(), pa.string()), ([None] * len(some), pa.string()), ([floor] * len(some), pa.float64()))]
+                            for part in range(parts[to]):
+                                yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([part], pa.int32()), *listed, pa.array([raw[some].tobytes()], pa.binary())], ["list", "part", "query_ids", "tags", "floors", "queries"])
+
+        asked = q.mapInArrow(asks, "list int, part int, query_ids array<string>, tags array<string>, floors array<double>, queries binary")
+        return self._met(asked, k, so_far=True)
 
     def search(self, queries: DataFrame, k: int, probe: float | None = None, tag: str | None = None) -> DataFrame:
         """query_id, id (as strings), tag, cosine (to twelve digits), rank of each query's k nearest, ties to the shorter, then smaller id (whole

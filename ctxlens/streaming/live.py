@@ -12,8 +12,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.vector_index import VectorIndex, usable
 from ..schemas import ATTRIBUTION_THRESHOLD, EMBED_MIN_MS
-from ..session import keyed_states
+from ..session import keyed_states, settle
 
+#: Prints that an attempt looks at, at most; people of the index that are broadcast, at most.
+NEAREST, PEOPLE = 12, 100_000
 OUT = "conversation_id string, cluster_id string, seq long, attempt long, kind string, person_id string, voiceprint_id string, score double, final boolean"
 
 
@@ -22,7 +24,7 @@ def choose(known: list[tuple[float, str | None, str]], minted: list[tuple[float,
 
     Of the three nearest (twelve with a margin), prints below the threshold and those of nobody drop out after the cut; a person counts once.
     """
-    near = sorted([*known, *minted], key=lambda h: -h[0])[: 12 if margin > 0 else 3]
+    near = sorted([*known, *minted], key=lambda h: -h[0])[: NEAREST if margin > 0 else 3]
     people: dict[str, tuple[float, str]] = {}
     for cosine, person, voice in near:
         if cosine >= threshold and person is not None:
@@ -97,7 +99,7 @@ class Attribution(StatefulProcessor):
             moment = max(moment, int(pd.Timestamp(e.at).timestamp() * 1000))
             if e.seq <= s["seq"]:
                 continue
-            near = sorted(hits.get((e.cluster_id, e.seq), []), key=lambda h: (-h[0], h[1]))[:12]  # of all prints of the index, so more can't matter
+            near = sorted(hits.get((e.cluster_id, e.seq), []), key=lambda h: (-h[0], h[1]))[:NEAREST]  # of all prints of the index, so more can't matter
             s |= {"seq": int(e.seq), "speech_ms": int(e.speech_ms), "query": [float(x) for x in e.query], "cosines": [float(h[0]) for h in near], "people": [h[2] for h in near], "voices": [h[1] for h in near]}
             final = bool(e.ending) or s["attempts"] >= self.tries
             if not s["done"] and s["speech_ms"] >= self.floor_ms and (final or not s["attempts"] or s["speech_ms"] - s["at_ms"] >= self.floor_ms):
@@ -130,9 +132,10 @@ def attribute_live(speech: DataFrame, index: VectorIndex, people: DataFrame, lat
     about = ["conversation_id", "cluster_id", "seq", "at", "speech_ms", "query", "ending"]
     events = speech.where(usable("query")).select(F.col("conversation_id").cast("string").alias("conversation_id"), F.col("cluster_id").cast("string").alias("cluster_id"), F.col("seq").cast("long").alias("seq"), "at", F.col("speech_ms").cast("long").alias("speech_ms"), F.col("query").cast("array<double>").alias("query"), F.coalesce("ending", F.lit(False)).alias("ending"))
     which = F.to_json(F.struct("conversation_id", "cluster_id", "seq", "at"))
-    found = index.above(events.select(which.alias("query_id"), "query"), threshold)
+    found = index.above(events.select(which.alias("query_id"), "query"), threshold, NEAREST)
     e = F.from_json("query_id", "conversation_id string, cluster_id string, seq long, at timestamp")
-    here = people.select(F.col("person_id").cast("string").alias("tag"), F.lit(True).alias("here"))
+    here = settle(people.select(F.col("person_id").cast("string").alias("tag")).join(index.tags(), "tag", "left_semi").distinct().withColumn("here", F.lit(True)))  # of those with a print
+    here = F.broadcast(here) if here.limit(PEOPLE + 1).count() <= PEOPLE else here.hint("merge")
     found = found.join(here, "tag", "left").select(e.alias("e"), "id", F.when(F.col("here"), F.col("tag")).alias("person_id"), "cosine")
     none = lambda kind: F.lit(None).cast(kind)
     hits = found.select("e.*", none("long").alias("speech_ms"), none("array<double>").alias("query"), none("boolean").alias("ending"), F.col("id").alias("voiceprint_id"), "person_id", "cosine")

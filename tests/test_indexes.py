@@ -72,6 +72,28 @@ def test_index_above_a_floor(built):
     assert got == {(q, i) for q in range(0, len(cos), 50) for i in range(len(cos)) if cos[q, i] >= 0.6}
 
 
+def test_index_above_keeps_the_nearest_and_is_never_broadcast(built):
+    _, index, df, cos = built
+    asked = df.where("voiceprint_id % 10 = 0").selectExpr("voiceprint_id AS query_id", "embedding AS query")
+    hits = index.above(asked, 0.6, 2)
+    got = {(int(r.query_id), int(r.id)) for r in hits.collect()}
+    fits = {q: [i for i in range(len(cos)) if cos[q, i] >= 0.6] for q in range(0, len(cos), 10)}
+    assert got <= {(q, i) for q, near in fits.items() for i in near}
+    assert got >= {(q, i) for q, near in fits.items() for i in sorted(near, key=lambda i: (-cos[q, i], i))[:2]}
+    joins = [line for line in hits._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [list" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
+
+
+def test_queries_of_a_task_meet_a_list_together(built, monkeypatch):
+    _, index, df, cos = built
+    asked = df.where("voiceprint_id % 10 = 0").selectExpr("voiceprint_id AS query_id", "embedding AS query").coalesce(1)
+    packed = []
+    monkeypatch.setattr(VectorIndex, "_met", lambda self, asks, *a, **k: packed.extend(asks.collect()) or asks)
+    index.above(asked, -1.0)
+    n, lists = len(range(0, len(cos), 10)), index._parts()[index.sizes > 0].sum()
+    assert len(packed) == lists * -(-n // index.shape.group) and sum(len(r.query_ids) for r in packed) == lists * n
+
+
 def test_bounds_leave_out_lists_of_clustered_prints(built):
     kind, index, df, cos = built
     x = vectors(kind)
