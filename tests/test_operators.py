@@ -421,3 +421,21 @@ def test_normalized_blocks_in_parts_of_a_product(spark, monkeypatch):
     monkeypatch.setattr(scoring, "CELLS", 180)  # three rows of a product at a time
     want = scoring.normalized_trials(scoring.trial_pairs(p.where("voiceprint_id % 3 = 0"), p), 4).collect()
     assert got() == whole == sorted((r.test_id, r.enrolled_id, round(r.normalized, 9)) for r in want) and len(whole) == 20 * 59
+
+
+def test_normalized_blocks_are_never_broadcast(spark, monkeypatch):
+    plans, settle = [], scoring.settle
+
+    def seen(df):
+        out = settle(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())  # as it ran, with what was decided on the way
+        return out
+
+    monkeypatch.setattr(scoring, "settle", seen)
+    rng = np.random.default_rng(3)
+    p = spark.createDataFrame([(i, i % 4, rng.normal(size=5).tolist()) for i in range(60)], "voiceprint_id long, person_id long, embedding array<double>")
+    trials = scoring.normalized_in_blocks(p.where("voiceprint_id % 3 = 0"), p, top=4, block=16)
+    assert trials.count() == 20 * 59
+    plans.append(trials._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "Join [block" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
