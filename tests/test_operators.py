@@ -140,6 +140,24 @@ def test_knn_in_blocks(spark):
     assert retrieval.knn(r, q.limit(0), 2, "id", "e").count() == 0
 
 
+@pytest.mark.parametrize("least", [None, 0.3])
+def test_neighbours_of_all_rows(spark, monkeypatch, least):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (200, 6)).astype("f8")  # many ties, some zero vectors
+    v[7], v[20:60] = 0, v[20]  # more exact copies than neighbours are wanted
+    data = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, [1.0, 2.0]), (901, [2.0, 1.0]), (902, None), (903, [float("nan")] * 6), (904, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (None, [1.0] * 6)]
+    r = spark.createDataFrame(data, "id long, e array<double>").repartition(3)
+    monkeypatch.setattr(retrieval, "CELLS", 100)
+    mag = np.outer(*[np.linalg.norm(v, axis=1)] * 2)
+    cos = np.round(np.divide(v @ v.T, mag, out=np.zeros_like(mag), where=mag > 0), 12)
+    want = {(q, j, n + 1) for q in range(200) for n, j in enumerate(sorted((j for j in range(200) if j != q and (least is None or cos[q, j] >= least)), key=lambda j: (-cos[q, j], j))[:4])}
+    want |= {(900, 901, 1), (901, 900, 1)}
+    for block, side in ((16, 3), (8192, 16)):
+        got = {(x.query_id, x.id, x["rank"]) for x in retrieval.neighbours(r, 4, "id", least, "e", block=block, side=side).collect()}
+        assert got == want
+    assert retrieval.neighbours(r.limit(0), 4, "id", least, "e").count() == 0
+
+
 def test_label_words_keeps_equal_words(spark):
     w = spark.createDataFrame([(1, 1, 0, "a", 0, 10)] * 2 + [(1, 1, 1, "b", 25_000, 25_010)], "conversation_id long, utterance_id long, position int, text string, start_ms long, end_ms long")
     s = spark.createDataFrame([(1, "A", 0, 30_000), (1, None, 0, 5), (1, "B", 24_000, 26_000)], "conversation_id long, speaker string, start_ms long, end_ms long")

@@ -45,6 +45,11 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+def test_every_voice_is_decided_on(spark, con):
+    asked = {r.query_id for r in QUERIES["decide_speaker"](spark, SF).collect()}
+    assert asked == {i for (i,) in con.execute("SELECT vec_id FROM embeddings").fetchall()}
+
+
 @pytest.mark.parametrize("name", ["enroll_voices"])
 def test_query_with_large_ids(spark, con, tmp_path, name):
     """Ids beyond a hundred thousand, as a gigabyte has them."""
